@@ -59,3 +59,143 @@ def q_user_stats_all_guilds(spark, sf):
 @query("category_counts")
 def q_category_counts(spark, sf):
     return L.category_counts(L.guild_rollup(_users(spark, sf)), ["guild"])
+
+
+# --------------------------------------------------------------------------
+# routing
+# --------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import actions as A  # noqa: E402
+from ..operators import routing as R  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+from ..sources import files as FI  # noqa: E402
+
+CONV_BOT_USER = 0  # the assistant's role code: its turns are the bot's own
+
+
+def _docs(spark, sf):
+    return TB.messages_from_documents(TB.table(spark, sf, "documents"))
+
+
+@query("eligible")
+def q_eligible(spark, sf):
+    m = TB.messages_from_conversations(TB.table(spark, sf, "conversations"))
+    return m.select("message_id", "guild", "author",
+                    R.gate_reason(CONV_BOT_USER).alias("reason"))
+
+
+@query("route")
+def q_route(spark, sf):
+    return R.route(_docs(spark, sf)).select("message_id", "route", "prompt")
+
+
+@query("prompt_extract")
+def q_prompt_extract(spark, sf):
+    return _docs(spark, sf).select("message_id", R.is_image_prompt().alias("is_image"),
+                                   R.prompt_text().alias("prompt"))
+
+
+@query("score_quarantine")
+def q_score_quarantine(spark, sf):
+    scored = SC.lexicon_scores(_docs(spark, sf))
+    return (scored.select(R.score_status(scored).alias("status"))
+            .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("class_flags")
+def q_class_flags(spark, sf):
+    return R.class_flags(TB.scored_documents(spark, sf))
+
+
+@query("user_stats")
+def q_user_stats(spark, sf):
+    return L.with_rate_and_favourite(_users(spark, sf))
+
+
+@query("stats_requests")
+def q_stats_requests(spark, sf):
+    users = _users(spark, sf)
+    reqs = TB.stats_requests_from_documents(TB.table(spark, sf, "documents"))
+    targets = R.stats_targets(reqs).withColumn("pos", F.col("pos").cast("bigint"))
+    per_user = (targets.where(F.col("kind") == "user")
+                .join(users, ["guild", "author"]))
+    per_guild = (targets.where(F.col("kind") == "guild").drop("author")
+                 .join(L.guild_rollup(users), "guild")
+                 .withColumn("author", F.lit(None).cast("bigint")))
+    out = L.with_rate_and_favourite(per_user.unionByName(per_guild))
+    return out.select("request_id", "pos", "kind", "guild", "author", "incidents",
+                      "total_seen", "rate", "favourite")
+
+
+# --------------------------------------------------------------------------
+# scoring
+# --------------------------------------------------------------------------
+
+@query("score_lexicon")
+def q_score_lexicon(spark, sf):
+    from ..functions.classes import CLASSES
+    return SC.lexicon_scores(_docs(spark, sf)).select("message_id", *CLASSES)
+
+
+@query("score_case_max")
+def q_score_case_max(spark, sf):
+    from ..functions.classes import CLASSES
+    return SC.case_max_scores(_docs(spark, sf)).select("message_id", *CLASSES)
+
+
+@query("rate_report")
+def q_rate_report(spark, sf):
+    return SC.rate_report(SC.lexicon_scores(_docs(spark, sf), decimals=None))
+
+
+@query("token_list")
+def q_token_list(spark, sf):
+    return SC.token_list(_docs(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# actions and reports
+# --------------------------------------------------------------------------
+
+@query("tier")
+def q_tier(spark, sf):
+    return A.tier(TB.scored_documents(spark, sf))
+
+
+@query("apology")
+def q_apology(spark, sf):
+    return A.apology(_docs(spark, sf))
+
+
+def _personas(spark):
+    cfg = FI.load_persona_config()
+    return cfg, FI.personas(spark, cfg)
+
+
+@query("persona_reply")
+def q_persona_reply(spark, sf):
+    cfg, per = _personas(spark)
+    return A.persona_reply(_docs(spark, sf), per, cfg["user"].get("all", []),
+                           cfg["user"].get("p_default", 0.2))
+
+
+@query("actions")
+def q_actions(spark, sf):
+    cfg, per = _personas(spark)
+    return A.actions(TB.scored_documents(spark, sf), _docs(spark, sf), per,
+                     cfg["user"].get("all", []), cfg["user"].get("p_default", 0.2))
+
+
+@query("why_report")
+def q_why_report(spark, sf):
+    last = L.last_message(_docs(spark, sf))
+    return A.why_report(last, TB.fixture_scores(last))
+
+
+@query("stats_report")
+def q_stats_report(spark, sf):
+    g = L.guild_rollup(_users(spark, sf))
+    txt = F.regexp_replace(L.stats_text(F.col("guild")), r"\s+$", "")
+    return g.select("guild", txt.alias("report"))

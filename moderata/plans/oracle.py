@@ -126,3 +126,272 @@ def _():
     return ledger_cte() + f""",
 g AS (SELECT guild, {sums} FROM users GROUP BY guild)
 {unions}"""
+
+
+# --------------------------------------------------------------------------
+# routing
+# --------------------------------------------------------------------------
+
+NL, TAB = "chr(10)", "chr(9)"
+
+
+def _gate(bot_user: str = "NULL") -> str:
+    return (f"CASE WHEN author = {bot_user} THEN 'self' "
+            "WHEN coalesce(author_is_bot, false) THEN 'bot' "
+            "WHEN guild IS NULL THEN 'no_guild' "
+            "WHEN coalesce(length(text), 0) = 0 THEN 'empty' "
+            "WHEN substr(text, 1, 1) = '%' THEN 'command' END")
+
+
+IS_IMAGE = ("(starts_with(lower(text), 'toxic show me ') "
+            "OR starts_with(lower(text), 'toxicbot show me '))")
+PROMPT = "regexp_extract(text, '(?is)^toxic(bot)? show me (.*)$', 2)"
+
+
+@sql("eligible")
+def _():
+    return f"WITH m AS ({CONV_MESSAGES})\nSELECT message_id, guild, author, {_gate('0')} AS reason FROM m"
+
+
+@sql("route")
+def _():
+    return f"""WITH m AS ({DOC_MESSAGES}),
+r AS (SELECT message_id, text, coalesce({_gate()}, CASE WHEN {IS_IMAGE} THEN 'image' ELSE 'score' END) AS route FROM m)
+SELECT message_id, route, CASE WHEN route = 'image' THEN {PROMPT} END AS prompt FROM r"""
+
+
+@sql("prompt_extract")
+def _():
+    return f"WITH m AS ({DOC_MESSAGES})\nSELECT message_id, {IS_IMAGE} AS is_image, {PROMPT} AS prompt FROM m"
+
+
+@sql("score_quarantine")
+def _():
+    return ("SELECT CASE WHEN text IS NULL THEN 'quarantine' ELSE 'scored' END AS status, "
+            "count(*) AS n FROM documents GROUP BY 1")
+
+
+@sql("class_flags")
+def _():
+    names = ", ".join(f"CASE WHEN {c} > 0.5 THEN '{c}' END" for c in CLASSES)
+    return SCORED_DOCS + f"""
+SELECT message_id, {NOVER} AS n_flags, ({NOVER}) > 0 AS is_incident,
+       concat_ws(',', {names}) AS flags FROM scored"""
+
+
+@sql("user_stats")
+def _():
+    return ledger_cte() + f"\nSELECT users.*, {rate()} AS rate, {favourite()} AS favourite FROM users"
+
+
+STATS_REQUESTS = """SELECT doc_id AS request_id, source AS guild,
+  CASE doc_id % 3 WHEN 0 THEN CAST([] AS BIGINT[])
+                  WHEN 1 THEN [(doc_id // 3) % 7]
+                  ELSE [(doc_id // 3) % 7, (doc_id // 3 + 2) % 7] END AS mentions
+FROM documents"""
+
+
+@sql("stats_requests")
+def _():
+    sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTERS)
+    cols = ", ".join(COUNTERS)
+    return ledger_cte() + f""",
+req AS ({STATS_REQUESTS}),
+ment AS (SELECT request_id, guild, unnest(mentions) AS author,
+                unnest(generate_series(0, len(mentions) - 1)) AS pos FROM req),
+g AS (SELECT guild, {sums} FROM users GROUP BY guild),
+t AS (SELECT request_id, pos::BIGINT AS pos, 'user' AS kind, guild, author, {cols}
+      FROM ment JOIN users USING (guild, author)
+      UNION ALL
+      SELECT request_id, 0::BIGINT AS pos, 'guild' AS kind, guild, NULL::BIGINT AS author, {cols}
+      FROM req JOIN g USING (guild) WHERE len(mentions) = 0)
+SELECT request_id, pos, kind, guild, author, incidents, total_seen,
+       {rate()} AS rate, {favourite()} AS favourite FROM t"""
+
+
+# --------------------------------------------------------------------------
+# scoring
+# --------------------------------------------------------------------------
+
+def _lexicon_values() -> str:
+    from ..operators.scoring import DEFAULT_LEXICON
+    rows = []
+    for term in sorted(DEFAULT_LEXICON):
+        for c, w in DEFAULT_LEXICON[term].items():
+            rows.append(f"('{term}', '{c}', {float(w)}::DOUBLE)")
+    return ", ".join(rows)
+
+
+def _bias(c: str) -> str:
+    from ..operators.scoring import DEFAULT_BIAS
+    return f"{float(DEFAULT_BIAS.get(c, 0.0))}::DOUBLE"
+
+
+TERM_RE = r"[\p{L}\p{M}\p{N}_]+"
+WORD_RE = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
+
+
+def _lexicon_sum_cte(variants: dict[str, str]) -> str:
+    """Per (doc, variant, class) sum of weights of matching tokens."""
+    toks = "\n  UNION ALL ".join(
+        f"SELECT doc_id, '{v}' AS variant, unnest(regexp_extract_all({expr}, '{TERM_RE}')) AS term "
+        f"FROM documents" for v, expr in variants.items())
+    return f"""lex(term, cls, w) AS (VALUES {_lexicon_values()}),
+toks AS ({toks}),
+sums AS (SELECT doc_id, variant, cls, sum(w) AS s FROM toks JOIN lex USING (term)
+         GROUP BY doc_id, variant, cls)"""
+
+
+@sql("score_lexicon")
+def _():
+    cols = ",\n  ".join(
+        f"round(1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))), 6) AS {c}"
+        for c in CLASSES)
+    return f"""WITH {_lexicon_sum_cte({'low': 'lower(text)'})}
+SELECT d.doc_id AS message_id,
+  {cols}
+FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id"""
+
+
+@sql("score_case_max")
+def _():
+    per_v = ", ".join(
+        f"coalesce(sum(s) FILTER (WHERE cls = '{c}' AND variant = '{v}'), 0) AS {c}_{v}"
+        for c in CLASSES for v in ("orig", "up", "low"))
+    cols = ",\n  ".join(
+        f"round(1 / (1 + exp(-({_bias(c)} + greatest({c}_orig, {c}_up, {c}_low)))), 6) AS {c}"
+        for c in CLASSES)
+    return f"""WITH {_lexicon_sum_cte({'orig': 'text', 'up': 'upper(text)', 'low': 'lower(text)'})},
+p AS (SELECT d.doc_id, {per_v} FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id AS message_id,
+  {cols}
+FROM p"""
+
+
+def _rate_lines(prefix: str = "") -> str:
+    parts = [f"'{h}: ' || printf('%.2f%%', {prefix}{c} * 100.0)" for h, c in zip(CLASSES_HUMAN, CLASSES)]
+    return f" || {NL} || {TAB} || ".join(parts)
+
+
+@sql("rate_report")
+def _():
+    cols = ",\n  ".join(
+        f"1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))) AS {c}"
+        for c in CLASSES)
+    return f"""WITH {_lexicon_sum_cte({'low': 'lower(text)'})},
+p AS (SELECT d.doc_id AS message_id, {cols}
+      FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id)
+SELECT message_id, 'I rate the message:' || {NL} || {TAB} || {_rate_lines()} AS report FROM p"""
+
+
+@sql("token_list")
+def _():
+    return (f"SELECT doc_id AS message_id, array_to_string(regexp_extract_all(text, '{WORD_RE}'), ', ') "
+            f"AS tokens, len(regexp_extract_all(text, '{WORD_RE}'))::BIGINT AS n_tokens FROM documents")
+
+
+# --------------------------------------------------------------------------
+# actions and reports
+# --------------------------------------------------------------------------
+
+def _list(values) -> str:
+    esc = [v.replace("'", "''") for v in values]
+    return "[" + ", ".join(f"'{v}'" for v in esc) + "]" if values else "CAST([] AS VARCHAR[])"
+
+
+def _pick(lst: str, salt: str) -> str:
+    return f"CASE WHEN len({lst}) > 0 THEN list_extract({lst}, ({h_int('message_id', salt)} % len({lst}) + 1)::INTEGER) END"
+
+
+def _tier_sql() -> str:
+    from ..functions.classes import IDENTITY_REACTION, PLAIN_REACTION, TOXIC_REPLIES
+    return SCORED_DOCS + f""",
+t AS (SELECT message_id, {NOVER} AS n_flags, identity_attack > 0.5 AS ia FROM scored),
+t2 AS (SELECT message_id, n_flags, CASE WHEN n_flags >= 4 THEN 'reply'
+            WHEN n_flags >= 2 AND ia THEN 'react_identity'
+            WHEN n_flags >= 2 THEN 'react' ELSE 'none' END AS tier FROM t)
+SELECT message_id, n_flags, tier,
+  CASE tier WHEN 'reply' THEN {_pick(_list(TOXIC_REPLIES), 'toxic_reply')}
+            WHEN 'react_identity' THEN '{IDENTITY_REACTION}'
+            WHEN 'react' THEN '{PLAIN_REACTION}' END AS payload
+FROM t2"""
+
+
+@sql("tier")
+def _():
+    return _tier_sql()
+
+
+def _apology_sql() -> str:
+    from ..functions.classes import APOLOGY_REPLIES
+    return f"""WITH m AS ({DOC_MESSAGES}),
+a AS (SELECT message_id, list_contains(regexp_split_to_array(lower(text), '\\s+'), 'sorry')
+                         AND contains(lower(text), 'toxic') AS apology FROM m)
+SELECT message_id, apology, CASE WHEN apology THEN {_pick(_list(APOLOGY_REPLIES), 'apology_reply')} END AS reply
+FROM a"""
+
+
+@sql("apology")
+def _():
+    return _apology_sql()
+
+
+def _persona_sql() -> str:
+    from ..sources.files import load_persona_config, persona_rows
+    cfg = load_persona_config()
+    vals = ", ".join(
+        f"({a}::BIGINT, {repr(n) if n else 'NULL'}, {p if p is not None else 'NULL'}::DOUBLE, {_list(r)})"
+        for a, n, p, r in persona_rows(cfg))
+    pool_all = _list(cfg["user"].get("all", []))
+    p_def = float(cfg["user"].get("p_default", 0.2))
+    return f"""WITH m AS ({DOC_MESSAGES}),
+per(author, name, p, resps) AS (VALUES {vals}),
+j AS (SELECT m.message_id, m.author, per.name, coalesce(per.p, {p_def}::DOUBLE) AS p,
+             list_concat({pool_all}, coalesce(per.resps, CAST([] AS VARCHAR[]))) AS pool
+      FROM m JOIN per USING (author)),
+f AS (SELECT *, len(pool) > 0 AND {h_unit('message_id', 'persona')} < p AS fired FROM j)
+SELECT message_id, author, name, fired, CASE WHEN fired THEN {_pick('pool', 'persona_pick')} END AS reply
+FROM f"""
+
+
+@sql("persona_reply")
+def _():
+    return _persona_sql()
+
+
+@sql("actions")
+def _():
+    return f"""WITH t AS ({_tier_sql()}),
+a AS ({_apology_sql()}),
+p AS ({_persona_sql()})
+SELECT message_id, tier AS action, payload FROM t WHERE tier <> 'none'
+UNION ALL SELECT message_id, 'apology', reply FROM a WHERE apology
+UNION ALL SELECT message_id, 'persona', reply FROM p WHERE fired"""
+
+
+@sql("why_report")
+def _():
+    return SCORED_DOCS + f""",
+last AS (SELECT guild, author, channel, max(message_id) AS message_id
+         FROM scored GROUP BY guild, author, channel)
+SELECT l.guild, l.author, l.channel, l.message_id,
+  'Your last message, ' || CAST(l.author AS VARCHAR) || ' ''' ||
+  CASE WHEN length(s.text) > 100 THEN substr(s.text, 1, 97) || '...' ELSE s.text END ||
+  ''' was rated:' || {NL} || {TAB} || {_rate_lines('s.')} AS report
+FROM last l JOIN scored s USING (message_id)"""
+
+
+@sql("stats_report")
+def _():
+    sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTERS)
+    cats = f" || {NL} || {TAB} || {TAB} || ".join(
+        f"'{h}: ' || CAST({c} AS VARCHAR)" for h, c in zip(CLASSES_HUMAN, CLASSES))
+    return ledger_cte() + f""",
+g AS (SELECT guild, {sums} FROM users GROUP BY guild)
+SELECT guild, regexp_replace(
+  'For ' || guild || ' I found the following:' || {NL} || {TAB} || ' Toxic incidents: ' ||
+  CAST(incidents AS VARCHAR) || '/' || CAST(total_seen AS VARCHAR) || ', ' ||
+  printf('%.1f', 100.0::DOUBLE * incidents / total_seen) || '% toxic' || {NL} || {TAB} ||
+  'Favorite form of toxicity (unweighted... for now): ' || {favourite()} || {NL} || {TAB} ||
+  'Incidents by category:' || {NL} || {TAB} || {TAB} || {cats} || {NL}, '\\s+$', '') AS report
+FROM g"""

@@ -95,3 +95,17 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_scores(messages_from_events(table(spark, sf_dir, "events")))
+
+
+def stats_requests_from_documents(docs: DataFrame) -> DataFrame:
+    """A ``%stats`` request per document: no mention (guild report), one or two
+    mentioned authors, chosen by the document id."""
+    third = F.expr("doc_id div 3")
+    first = third % N_FIXTURE_AUTHORS
+    second = (third + 2) % N_FIXTURE_AUTHORS
+    k = F.col("doc_id") % 3
+    mentions = (F.when(k == 0, F.array().cast("array<bigint>"))
+                .when(k == 1, F.array(first))
+                .otherwise(F.array(first, second)))
+    return docs.select(F.col("doc_id").alias("request_id"), F.col("source").alias("guild"),
+                       mentions.alias("mentions"))
