@@ -199,3 +199,119 @@ def q_stats_report(spark, sf):
     g = L.guild_rollup(_users(spark, sf))
     txt = F.regexp_replace(L.stats_text(F.col("guild")), r"\s+$", "")
     return g.select("guild", txt.alias("report"))
+
+
+# --------------------------------------------------------------------------
+# training data, losses, metrics
+# --------------------------------------------------------------------------
+
+from ..functions.classes import CLASSES, IDENTITY_COLUMNS  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import labels as LB  # noqa: E402
+from ..operators import requests as RQ  # noqa: E402
+
+
+def _train(spark, sf):
+    return TB.training_frame(spark, sf)
+
+
+def _with_logits(train):
+    lg = SC.lexicon_logits(F.lower(F.col("comment_text")))
+    return train.select("*", *[lg[c].alias(f"logit_{c}") for c in CLASSES])
+
+
+def _class_long(train):
+    """(id, class, logit, y) for the seven toxicity classes."""
+    t = _with_logits(train)
+    trip = ", ".join(f"'{c}', `logit_{c}`, `{c}`" for c in CLASSES)
+    return t.select("id", F.expr(f"stack({len(CLASSES)}, {trip}) AS (class, logit, y)"))
+
+
+@query("labels_binary")
+def q_labels_binary(spark, sf):
+    return LB.labels_binary(_train(spark, sf))
+
+
+@query("identity_mask")
+def q_identity_mask(spark, sf):
+    return LB.identity_mask(_train(spark, sf))
+
+
+@query("split_hash")
+def q_split_hash(spark, sf):
+    return LB.split_hash(_train(spark, sf).select("id")).select("id", "split")
+
+
+@query("bce_loss")
+def q_bce_loss(spark, sf):
+    return LB.bce_loss(_class_long(_train(spark, sf)))
+
+
+@query("bce_masked")
+def q_bce_masked(spark, sf):
+    t = _with_logits(_train(spark, sf))
+    long = LB.unpivot(t, ["id", "logit_identity_attack"], IDENTITY_COLUMNS, "class", "y")
+    return LB.bce_masked(long.withColumnRenamed("logit_identity_attack", "logit"))
+
+
+@query("eval_metrics")
+def q_eval_metrics(spark, sf):
+    long = _class_long(_train(spark, sf))
+    long = long.select("id", "class", (F.col("y") > 0.5).cast("int").alias("y_true"),
+                       (F.col("logit") > 0).cast("int").alias("y_pred"))
+    return LB.eval_metrics(long)
+
+
+# --------------------------------------------------------------------------
+# features
+# --------------------------------------------------------------------------
+
+CYCLIC_RESOLUTION = 16
+
+
+@query("cyclic_encode")
+def q_cyclic_encode(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    enc = FE.cyclic_encoding(F.col("value"), CYCLIC_RESOLUTION)
+    return (ev.select("event_id", F.posexplode(enc).alias("i", "enc"))
+            .select("event_id", F.col("i").cast("bigint").alias("i"),
+                    F.round("enc", 9).alias("enc")))
+
+
+@query("vector_pool")
+def q_vector_pool(spark, sf):
+    p = FE.vector_pool(TB.table(spark, sf, "embeddings"), ["label"])
+    return p.select("label", "pos", F.round("mean", 6).alias("mean"), "max")
+
+
+# --------------------------------------------------------------------------
+# image requests
+# --------------------------------------------------------------------------
+
+def _requests(spark, sf):
+    return TB.image_requests_from_documents(TB.table(spark, sf, "documents"))
+
+
+@query("request_validate")
+def q_request_validate(spark, sf):
+    return RQ.validate(_requests(spark, sf)).select(
+        "request_id", "h", "w", "scale", "ddim_steps", "n", "cond_scale", "reason", "valid")
+
+
+@query("best_of_n")
+def q_best_of_n(spark, sf):
+    emb = TB.table(spark, sf, "embeddings")
+    centroid = FE.pooled_arrays(FE.vector_pool(emb, ["label"]), ["label"]) \
+        .select("label", F.col("mean").alias("query"))
+    cands = (RQ.score_candidates(emb, centroid, "label")
+             .select(F.expr("vec_id div 8").alias("prompt_id"), F.col("vec_id").alias("cand_id"),
+                     F.round("score", 6).alias("score")))
+    return RQ.best_of_n(cands)
+
+
+@query("safety_gate")
+def q_safety_gate(spark, sf):
+    v = RQ.validate(_requests(spark, sf)).where("valid")
+    s = SC.lexicon_scores(v.select("request_id", F.col("prompt").alias("text")))
+    flagged = s.select("request_id", (F.greatest("obscene", "sexual_explicit") > 0.5).alias("nsfw"))
+    return RQ.safety_gate(flagged).select("request_id", "status", "message")

@@ -395,3 +395,176 @@ SELECT guild, regexp_replace(
   'Favorite form of toxicity (unweighted... for now): ' || {favourite()} || {NL} || {TAB} ||
   'Incidents by category:' || {NL} || {TAB} || {TAB} || {cats} || {NL}, '\\s+$', '') AS report
 FROM g"""
+
+
+# --------------------------------------------------------------------------
+# training data, losses, metrics
+# --------------------------------------------------------------------------
+
+def _training_cte() -> str:
+    from ..functions.classes import IDENTITY_COLUMNS, REACTION_COLUMNS
+    cols = ["d.doc_id AS id", "d.text AS comment_text", "l.toxic::DOUBLE AS toxic"]
+    cols += [f"l.toxic::DOUBLE * {h_unit('d.doc_id', 'label:' + c)} AS {c}" for c in CLASSES[1:]]
+    cols += [f"CASE WHEN {h_unit('d.doc_id', 'identity:' + c)} >= 0.6::DOUBLE THEN "
+             f"({h_unit('d.doc_id', 'identity:' + c)} - 0.6::DOUBLE) / 0.4::DOUBLE END AS {c}"
+             for c in IDENTITY_COLUMNS]
+    cols += [f"({h_int('d.doc_id', 'reaction:' + c)} % 10)::INTEGER AS {c}" for c in REACTION_COLUMNS]
+    return ("tf AS (SELECT " + ",\n  ".join(cols) +
+            "\n  FROM documents d JOIN labels l USING (doc_id))")
+
+
+def _logits_cte() -> str:
+    """tl: training rows with the lexicon logit of every class."""
+    lg = ",\n  ".join(
+        f"{_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0) AS logit_{c}" for c in CLASSES)
+    return f"""{_training_cte()},
+{_lexicon_sum_cte({'low': 'lower(text)'})},
+lg AS (SELECT d.doc_id AS id,
+  {lg}
+  FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
+tl AS (SELECT tf.*, lg.* EXCLUDE (id) FROM tf JOIN lg USING (id))"""
+
+
+def _class_long() -> str:
+    return "\n  UNION ALL ".join(
+        f"SELECT id, '{c}' AS class, logit_{c} AS logit, {c} AS y FROM tl" for c in CLASSES)
+
+
+BCE = "(greatest(logit, 0.0::DOUBLE) - logit * y + ln(1 + exp(-abs(logit))))"
+
+
+@sql("labels_binary")
+def _():
+    cols = ", ".join(f"{c}, ({c} > 0.5)::BIGINT AS {c}_bin" for c in CLASSES)
+    return f"WITH {_training_cte()}\nSELECT id, {cols} FROM tf"
+
+
+@sql("identity_mask")
+def _():
+    from ..functions.classes import IDENTITY_COLUMNS
+    u = "\n  UNION ALL ".join(
+        f"SELECT id, '{c}' AS identity, coalesce({c}, 0.0::DOUBLE) AS value, {c} IS NOT NULL AS known FROM tf"
+        for c in IDENTITY_COLUMNS)
+    return f"WITH {_training_cte()}\n{u}"
+
+
+@sql("split_hash")
+def _():
+    return (f"WITH {_training_cte()}\nSELECT id, CASE WHEN {h_int('id', 'split')} % 10 < 1 "
+            "THEN 'holdout' ELSE 'train' END AS split FROM tf")
+
+
+def _bce(long_sql: str) -> str:
+    return f"""lo AS ({long_sql}),
+ls AS (SELECT class, {BCE} AS loss FROM lo)
+SELECT class, round(avg(loss), 6) AS loss, count(*) AS n FROM ls GROUP BY class
+UNION ALL SELECT 'all', round(avg(loss), 6), count(*) FROM ls"""
+
+
+@sql("bce_loss")
+def _():
+    return f"WITH {_logits_cte()},\n{_bce(_class_long())}"
+
+
+@sql("bce_masked")
+def _():
+    from ..functions.classes import IDENTITY_COLUMNS
+    u = "\n  UNION ALL ".join(
+        f"SELECT id, '{c}' AS class, logit_identity_attack AS logit, {c} AS y FROM tl WHERE {c} IS NOT NULL"
+        for c in IDENTITY_COLUMNS)
+    return f"WITH {_logits_cte()},\n{_bce(u)}"
+
+
+@sql("eval_metrics")
+def _():
+    return f"""WITH {_logits_cte()},
+lo AS (SELECT id, class, (y > 0.5)::INTEGER AS y_true, (logit > 0)::INTEGER AS y_pred
+       FROM ({_class_long()})),
+c AS (SELECT class, count_if(y_true = 1 AND y_pred = 1) AS tp, count_if(y_true = 0 AND y_pred = 1) AS fp,
+             count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 0 AND y_pred = 0) AS tn
+      FROM lo GROUP BY class),
+m AS (SELECT class, tp, fp, fn, tn,
+        CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS precision,
+        CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS recall,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1,
+        (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy FROM c),
+sub AS (SELECT avg(ok) AS accuracy FROM (SELECT id, min((y_true = y_pred)::INTEGER) AS ok FROM lo GROUP BY id))
+SELECT class, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM m
+UNION ALL
+SELECT 'macro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, sum(tn)::BIGINT,
+       round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       round((SELECT accuracy FROM sub), 6) FROM m"""
+
+
+# --------------------------------------------------------------------------
+# features
+# --------------------------------------------------------------------------
+
+@sql("cyclic_encode")
+def _():
+    r = 16
+    arg = f"value / pow(10000.0::DOUBLE, i::DOUBLE / {float(r)}::DOUBLE)"
+    return (f"SELECT event_id, i::BIGINT AS i, round(CASE WHEN i % 2 = 0 THEN sin({arg}) "
+            f"ELSE cos({arg}) END, 9) AS enc FROM events, range(0, {r}) t(i)")
+
+
+@sql("vector_pool")
+def _():
+    return """WITH e AS (SELECT label, unnest(embedding) AS x,
+                  unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings)
+SELECT label, pos::BIGINT AS pos, round(avg(x::DOUBLE), 6) AS mean, max(x::DOUBLE) AS max
+FROM e GROUP BY label, pos"""
+
+
+# --------------------------------------------------------------------------
+# image requests
+# --------------------------------------------------------------------------
+
+def _requests_cte() -> str:
+    hh, hw = h_int("doc_id", "h"), h_int("doc_id", "w")
+    hs, hc = h_int("doc_id", "steps"), h_int("doc_id", "scale")
+    return f"""rq AS (SELECT doc_id AS request_id, text AS prompt,
+  CASE WHEN {hh} % 5 <> 0 THEN (128 * ({hh} % 32 + 1))::INTEGER END AS h,
+  CASE WHEN {hw} % 5 <> 0 THEN (128 * ({hw} % 32 + 1))::INTEGER END AS w,
+  CASE WHEN {hc} % 3 <> 0 THEN ({hc} % 100) / 10.0::DOUBLE END AS scale,
+  CASE WHEN {hs} % 7 <> 0 THEN ({hs} % 300 + 1)::INTEGER END AS ddim_steps
+  FROM documents),
+rv AS (SELECT request_id, prompt, coalesce(h, 256) AS h, coalesce(w, 256) AS w,
+  coalesce(scale, 5.0::DOUBLE) AS scale, coalesce(ddim_steps, 30) AS ddim_steps,
+  8 AS n, 10.0::DOUBLE AS cond_scale FROM rq),
+rr AS (SELECT *, CASE WHEN h::BIGINT * w > 524288 THEN 'pixels'
+                      WHEN ddim_steps > 250 THEN 'steps' END AS reason FROM rv)"""
+
+
+@sql("request_validate")
+def _():
+    return (f"WITH {_requests_cte()}\nSELECT request_id, h, w, scale, ddim_steps, n, cond_scale, "
+            "reason, reason IS NULL AS valid FROM rr")
+
+
+@sql("best_of_n")
+def _():
+    return """WITH e AS (SELECT label, unnest(embedding) AS x,
+                  unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings),
+cen AS (SELECT label, list(m ORDER BY pos) AS query
+        FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM e GROUP BY label, pos) GROUP BY label),
+sc AS (SELECT vec_id // 8 AS prompt_id, vec_id AS cand_id,
+         round(list_sum(list_transform(list_zip(embedding, query), lambda t: t[1]::DOUBLE * t[2])), 6) AS score
+       FROM embeddings JOIN cen USING (label))
+SELECT prompt_id, arg_max(cand_id, struct_pack(a := score, b := -cand_id)) AS best_id,
+       max(score) AS best_score, count(*) AS n_candidates FROM sc GROUP BY prompt_id"""
+
+
+@sql("safety_gate")
+def _():
+    lg = " , ".join(
+        f"round(1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))), 6) AS {c}"
+        for c in ("obscene", "sexual_explicit"))
+    return f"""WITH {_requests_cte()},
+{_lexicon_sum_cte({'low': 'lower(text)'})},
+p AS (SELECT d.doc_id AS request_id, {lg} FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
+f AS (SELECT rr.request_id, greatest(p.obscene, p.sexual_explicit) > 0.5 AS nsfw
+      FROM rr JOIN p USING (request_id) WHERE rr.reason IS NULL)
+SELECT request_id, CASE WHEN coalesce(nsfw, false) THEN 'withheld' ELSE 'shown' END AS status,
+       CASE WHEN coalesce(nsfw, false) THEN '😳 Sorry but I can''t show you this!' END AS message FROM f"""

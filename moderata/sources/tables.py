@@ -109,3 +109,44 @@ def stats_requests_from_documents(docs: DataFrame) -> DataFrame:
                 .otherwise(F.array(first, second)))
     return docs.select(F.col("doc_id").alias("request_id"), F.col("source").alias("guild"),
                        mentions.alias("mentions"))
+
+
+def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for the training CSV, derived from ``documents`` + ``labels``.
+
+    comment_text = document text; ``toxic`` = the label table's toxic flag;
+    the other six soft labels are the toxic flag times a hash of (doc, class);
+    identity labels are NULL for 60 % of (doc, group) pairs (hash), else a
+    value in [0, 1); reaction counts are hash mod 10. Only labelled documents
+    are used (inner join).
+    """
+    from ..functions.classes import IDENTITY_COLUMNS, REACTION_COLUMNS
+    from ..functions.columns import hash_int
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = docs.join(labels, "doc_id")
+    cols = [F.col("doc_id").alias("id"), F.col("text").alias("comment_text"),
+            F.col("toxic").cast("double").alias("toxic")]
+    for c in CLASSES[1:]:
+        cols.append((F.col("toxic").cast("double") * hash_unit("doc_id", "label:" + c)).alias(c))
+    for c in IDENTITY_COLUMNS:
+        v = hash_unit("doc_id", "identity:" + c)
+        cols.append(F.when(v >= 0.6, (v - F.lit(0.6)) / F.lit(0.4)).alias(c))
+    for c in REACTION_COLUMNS:
+        cols.append((hash_int("doc_id", "reaction:" + c) % 10).cast("int").alias(c))
+    return j.select(*cols)
+
+
+def image_requests_from_documents(docs: DataFrame) -> DataFrame:
+    """An image request per document: the whole text is the prompt; size,
+    steps and scale come from hashes of the id, some left NULL (defaults)."""
+    from ..functions.columns import hash_int
+    hh, hw = hash_int("doc_id", "h"), hash_int("doc_id", "w")
+    hs, hc = hash_int("doc_id", "steps"), hash_int("doc_id", "scale")
+    return docs.select(
+        F.col("doc_id").alias("request_id"), F.col("text").alias("prompt"),
+        F.when(hh % 5 != 0, (F.lit(128) * (hh % 32 + 1)).cast("int")).alias("h"),
+        F.when(hw % 5 != 0, (F.lit(128) * (hw % 32 + 1)).cast("int")).alias("w"),
+        F.when(hc % 3 != 0, (hc % 100) / F.lit(10.0)).alias("scale"),
+        F.when(hs % 7 != 0, (hs % 300 + 1).cast("int")).alias("ddim_steps"),
+        F.lit(None).cast("int").alias("n"), F.lit(None).cast("double").alias("cond_scale"))
