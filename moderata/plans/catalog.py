@@ -315,3 +315,64 @@ def q_safety_gate(spark, sf):
     s = SC.lexicon_scores(v.select("request_id", F.col("prompt").alias("text")))
     flagged = s.select("request_id", (F.greatest("obscene", "sexual_explicit") > 0.5).alias("nsfw"))
     return RQ.safety_gate(flagged).select("request_id", "status", "message")
+
+
+# --------------------------------------------------------------------------
+# vocabulary learning and encoding
+# --------------------------------------------------------------------------
+
+from ..operators import vocab as VO  # noqa: E402
+
+BPE_MERGES = 32        # merges learned by the registered check (a parameter)
+HEAD_IDS, TAIL_IDS, PAD_TO = 256, 128, 256
+
+
+@query("word_counts")
+def q_word_counts(spark, sf):
+    return VO.word_counts(TB.table(spark, sf, "documents"))
+
+
+@query("bpe_pairs")
+def q_bpe_pairs(spark, sf):
+    words = VO.word_counts(TB.table(spark, sf, "documents"))
+    return VO.pair_counts(VO.initial_symbols(words))
+
+
+def _learn(spark, sf):
+    words = VO.word_counts(TB.table(spark, sf, "documents")).checkpoint(eager=True)
+    merges = VO.learn_merges(spark, words, BPE_MERGES)
+    alpha = [r["ch"] for r in VO.alphabet(words).collect()]  # bounded by the character set
+    return words, merges, alpha
+
+
+@query("bpe_merges")
+def q_bpe_merges(spark, sf):
+    _, merges, _ = _learn(spark, sf)
+    return VO.merges_frame(spark, merges)
+
+
+def _encoded(spark, sf):
+    _, merges, alpha = _learn(spark, sf)
+    enc = VO.encoder(spark, alpha, merges)
+    return _docs(spark, sf).select("message_id", enc(F.col("text")).alias("ids"))
+
+
+@query("encode_head")
+def q_encode_head(spark, sf):
+    e = _encoded(spark, sf)
+    ids = VO.head_ids(F.col("ids"), HEAD_IDS)
+    return e.select("message_id", F.size("ids").cast("bigint").alias("n_ids"), ids.alias("ids"))
+
+
+@query("encode_tail")
+def q_encode_tail(spark, sf):
+    e = _encoded(spark, sf)
+    ids = VO.tail_ids(F.col("ids"), TAIL_IDS)
+    return e.select("message_id", F.size("ids").cast("bigint").alias("n_ids"), ids.alias("ids"))
+
+
+@query("pad_mask")
+def q_pad_mask(spark, sf):
+    e = _encoded(spark, sf)
+    padded, mask = LB.pad_mask(VO.head_ids(F.col("ids"), HEAD_IDS), PAD_TO, VO.pad_id())
+    return e.select("message_id", padded.alias("input_ids"), mask.alias("attention_mask"))

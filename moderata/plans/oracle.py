@@ -568,3 +568,22 @@ f AS (SELECT rr.request_id, greatest(p.obscene, p.sexual_explicit) > 0.5 AS nsfw
       FROM rr JOIN p USING (request_id) WHERE rr.reason IS NULL)
 SELECT request_id, CASE WHEN coalesce(nsfw, false) THEN 'withheld' ELSE 'shown' END AS status,
        CASE WHEN coalesce(nsfw, false) THEN '😳 Sorry but I can''t show you this!' END AS message FROM f"""
+
+
+# --------------------------------------------------------------------------
+# vocabulary
+# --------------------------------------------------------------------------
+
+@sql("word_counts")
+def _():
+    return (f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{WORD_RE}')) "
+            "AS word FROM documents) GROUP BY word")
+
+
+@sql("bpe_pairs")
+def _():
+    return f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{WORD_RE}'))
+                  AS word FROM documents) GROUP BY word),
+p AS (SELECT n, unnest(range(1, length(word))) AS i, word FROM w WHERE length(word) >= 2)
+SELECT substr(word, i::BIGINT, 1) AS left, substr(word, i::BIGINT + 1, 1) AS right, sum(n)::BIGINT AS count
+FROM p GROUP BY 1, 2"""
