@@ -376,3 +376,63 @@ def q_pad_mask(spark, sf):
     e = _encoded(spark, sf)
     padded, mask = LB.pad_mask(VO.head_ids(F.col("ids"), HEAD_IDS), PAD_TO, VO.pad_id())
     return e.select("message_id", padded.alias("input_ids"), mask.alias("attention_mask"))
+
+
+# --------------------------------------------------------------------------
+# streaming (run to completion with availableNow, then read the sink)
+# --------------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import ledger_stream as ST  # noqa: E402
+
+
+def _stream_source(spark, sf):
+    return ST.event_source(spark, sf, glob="events.parquet")
+
+
+@query("stream_ledger")
+def q_stream_ledger(spark, sf):
+    base = scratch_path(spark, "stream-ledger")
+    ST.run_to_end(ST.start_counters(_stream_source(spark, sf), f"{base}/users", f"{base}/_ck"))
+    return ST.current_users(spark, f"{base}/users")
+
+
+@query("stream_last_message")
+def q_stream_last_message(spark, sf):
+    base = scratch_path(spark, "stream-last")
+    ST.run_to_end(ST.start_latest(_stream_source(spark, sf), f"{base}/last", f"{base}/_ck"))
+    return ST.current_last_messages(spark, f"{base}/last")
+
+
+@query("stream_history")
+def q_stream_history(spark, sf):
+    base = scratch_path(spark, "stream-history")
+    ST.run_to_end(ST.start_history(_stream_source(spark, sf), f"{base}/history", f"{base}/_ck"))
+    return spark.read.parquet(f"{base}/history")
+
+
+# --------------------------------------------------------------------------
+# training and the learned scorer
+# --------------------------------------------------------------------------
+
+from ..operators import training as TR  # noqa: E402
+
+
+def _fit(spark, sf):
+    t = LB.split_hash(_train(spark, sf))
+    model = TR.fit(t.where(F.col("split") == "train"))
+    return model, t.where(F.col("split") == "holdout")
+
+
+@query("train_eval")
+def q_train_eval(spark, sf):
+    model, holdout = _fit(spark, sf)
+    return TR.evaluate(model, holdout)
+
+
+@query("score_learned")
+def q_score_learned(spark, sf):
+    model, _ = _fit(spark, sf)
+    out = model.transform(_docs(spark, sf).select("message_id", "text"), text_col="text",
+                          keep=("message_id",))
+    return out.select("message_id", *[F.round(c, 6).alias(c) for c in CLASSES])

@@ -587,3 +587,26 @@ def _():
 p AS (SELECT n, unnest(range(1, length(word))) AS i, word FROM w WHERE length(word) >= 2)
 SELECT substr(word, i::BIGINT, 1) AS left, substr(word, i::BIGINT + 1, 1) AS right, sum(n)::BIGINT AS count
 FROM p GROUP BY 1, 2"""
+
+
+# --------------------------------------------------------------------------
+# streaming: the final tables equal the batch operators on the same events
+# --------------------------------------------------------------------------
+
+@sql("stream_ledger")
+def _():
+    return ledger_cte(SCORED_EVENTS) + "\nSELECT * FROM users"
+
+
+@sql("stream_last_message")
+def _():
+    return f"""WITH m AS ({EVENT_MESSAGES})
+SELECT guild, author, channel, arg_max(message_id, struct_pack(a := ts, b := message_id)) AS message_id,
+       arg_max(text, struct_pack(a := ts, b := message_id)) AS text
+FROM m GROUP BY guild, author, channel"""
+
+
+@sql("stream_history")
+def _():
+    return SCORED_EVENTS + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} " \
+                           f"FROM scored WHERE {MAXS} > 0.5"
