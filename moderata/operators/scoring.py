@@ -58,32 +58,52 @@ def _adder(m: Column):
     return add
 
 
-def lexicon_logits(text: Column, lexicon: Mapping[str, Mapping[str, float]] = DEFAULT_LEXICON,
-                   bias: Mapping[str, float] = DEFAULT_BIAS) -> dict[str, Column]:
+def lexicon_hits(text: Column, lexicon: Mapping[str, Mapping[str, float]] = DEFAULT_LEXICON
+                 ) -> Column:
+    """Tokens of ``text`` that are lexicon terms (one regex pass; the term test
+    is a hash-set ``IN``). Usually a handful per text, whatever its length."""
     if len(lexicon) > MAX_LEXICON_TERMS:
         raise ValueError("lexicon too large to inline; join it as a table instead")
-    toks = tokens(text, TERM_PATTERN)
+    terms = sorted(lexicon)
+    return F.filter(tokens(text, TERM_PATTERN), lambda t: t.isin(*terms))
+
+
+def logits_from_hits(hits: Column, lexicon: Mapping[str, Mapping[str, float]] = DEFAULT_LEXICON,
+                     bias: Mapping[str, float] = DEFAULT_BIAS) -> dict[str, Column]:
     out = {}
     for c in CLASSES:
         m = _class_map(lexicon, c)
         b = F.lit(float(bias.get(c, 0.0)))
-        if m is None:
-            out[c] = b
-            continue
-        s = F.aggregate(toks, F.lit(0.0), _adder(m))
-        out[c] = b + s
+        out[c] = b if m is None else b + F.aggregate(hits, F.lit(0.0), _adder(m))
     return out
 
 
+def lexicon_logits(text: Column, lexicon: Mapping[str, Mapping[str, float]] = DEFAULT_LEXICON,
+                   bias: Mapping[str, float] = DEFAULT_BIAS) -> dict[str, Column]:
+    """Logit expressions per class for one text expression. Prefer
+    ``with_lexicon_logits``, which tokenises once for all seven classes."""
+    return logits_from_hits(lexicon_hits(text, lexicon), lexicon, bias)
+
+
+def with_lexicon_logits(df: DataFrame, text: Column, prefix: str = "logit_",
+                        lexicon=DEFAULT_LEXICON, bias=DEFAULT_BIAS,
+                        tag: str = "") -> DataFrame:
+    """Adds ``<prefix><class>`` logit columns; the text is tokenised once."""
+    hits = f"_lex_hits{tag}"
+    x = df.withColumn(hits, lexicon_hits(text, lexicon))
+    lg = logits_from_hits(F.col(hits), lexicon, bias)
+    return x.select("*", *[lg[c].alias(prefix + c) for c in CLASSES]).drop(hits)
+
+
 def lexicon_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_BIAS,
                    text: str = "text", decimals: int | None = 6) -> DataFrame:
     """M4: lower-cased word tokens matched against the lexicon."""
-    logits = lexicon_logits(F.lower(F.col(text)), lexicon, bias)
-    out = messages
+    x = with_lexicon_logits(messages, F.lower(F.col(text)), "_lg_", lexicon, bias)
+    cols = []
     for c in CLASSES:
-        p = sigmoid(logits[c])
-        out = out.withColumn(c, F.round(p, decimals) if decimals is not None else p)
-    return out
+        p = sigmoid(F.col("_lg_" + c))
+        cols.append((F.round(p, decimals) if decimals is not None else p).alias(c))
+    return x.select(*[F.col(c) for c in messages.columns if c not in CLASSES], *cols)
 
 
 def case_max_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_BIAS,
@@ -93,13 +113,15 @@ def case_max_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_B
     ``logits`` is set. The lexicon is matched case-sensitively here, as the
     model sees each variant as it is."""
     t = F.col(text)
-    variants = [lexicon_logits(v, lexicon, bias) for v in (t, F.upper(t), F.lower(t))]
-    out = messages
+    x = messages
+    for tag, v in (("o", t), ("u", F.upper(t)), ("l", F.lower(t))):
+        x = with_lexicon_logits(x, v, f"_lg{tag}_", lexicon, bias, tag)
+    cols = []
     for c in CLASSES:
-        x = F.greatest(*[v[c] for v in variants])
-        x = x if logits else sigmoid(x)
-        out = out.withColumn(c, F.round(x, decimals) if decimals is not None else x)
-    return out
+        z = F.greatest(*[F.col(f"_lg{tag}_{c}") for tag in "oul"])
+        z = z if logits else sigmoid(z)
+        cols.append((F.round(z, decimals) if decimals is not None else z).alias(c))
+    return x.select(*[F.col(c) for c in messages.columns if c not in CLASSES], *cols)
 
 
 def rate_report(scored: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ CONV_BOT_USER = 0  # the assistant's role code: its turns are the bot's own
 
 
 def _docs(spark, sf):
-    return TB.messages_from_documents(TB.table(spark, sf, "documents"))
+    return TB.messages_from_documents(TB.text_table(spark, sf, "documents"))
 
 
 @query("eligible")
@@ -216,8 +216,7 @@ def _train(spark, sf):
 
 
 def _with_logits(train):
-    lg = SC.lexicon_logits(F.lower(F.col("comment_text")))
-    return train.select("*", *[lg[c].alias(f"logit_{c}") for c in CLASSES])
+    return SC.with_lexicon_logits(train, F.lower(F.col("comment_text")))
 
 
 def _class_long(train):
@@ -329,17 +328,17 @@ HEAD_IDS, TAIL_IDS, PAD_TO = 256, 128, 256
 
 @query("word_counts")
 def q_word_counts(spark, sf):
-    return VO.word_counts(TB.table(spark, sf, "documents"))
+    return VO.word_counts(TB.text_table(spark, sf, "documents"))
 
 
 @query("bpe_pairs")
 def q_bpe_pairs(spark, sf):
-    words = VO.word_counts(TB.table(spark, sf, "documents"))
+    words = VO.word_counts(TB.text_table(spark, sf, "documents"))
     return VO.pair_counts(VO.initial_symbols(words))
 
 
 def _learn(spark, sf):
-    words = VO.word_counts(TB.table(spark, sf, "documents")).checkpoint(eager=True)
+    words = VO.word_counts(TB.text_table(spark, sf, "documents")).checkpoint(eager=True)
     merges = VO.learn_merges(spark, words, BPE_MERGES)
     alpha = [r["ch"] for r in VO.alphabet(words).collect()]  # bounded by the character set
     return words, merges, alpha

@@ -30,6 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row text work at least one split per core.
+
+    A scan yields one task per file split (row group). Large inputs already
+    have far more splits than cores, and this is a no-op; a small input
+    packed in few row groups would otherwise run on one core. Round-robin
+    repartitioning is deterministic under task retry (rows are sorted first).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table for per-row text work (tokenising, regex, UDFs)."""
+    return spread(table(spark, sf_dir, name))
+
+
 def messages_from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("message_id"),
@@ -122,7 +141,7 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..functions.classes import IDENTITY_COLUMNS, REACTION_COLUMNS
     from ..functions.columns import hash_int
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = docs.join(labels, "doc_id")
     cols = [F.col("doc_id").alias("id"), F.col("text").alias("comment_text"),
