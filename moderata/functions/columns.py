@@ -99,3 +99,8 @@ def shorten(text: str | Column, limit: int, keep: int) -> Column:
     t = col(text)
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, keep), F.lit("..."))) \
         .otherwise(t)
+
+
+def display_name(name: str | Column, discriminator: str | Column) -> Column:
+    """``name#discriminator``."""
+    return F.concat_ws("#", col(name), col(discriminator))
