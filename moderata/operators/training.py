@@ -23,7 +23,7 @@ from ..functions.classes import CLASSES
 from ..functions.columns import TERM_PATTERN
 from . import labels as LB
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16  # dense gradient per partition per iteration
 
 
 @dataclass
@@ -82,10 +82,14 @@ def fit(train: DataFrame, text_col: str = "comment_text", max_iter: int = 25,
 
 
 def evaluate(model: MultiLabelModel, holdout: DataFrame, id_col: str = "id") -> DataFrame:
-    """Held-out metrics: prediction = logit > 0, truth = label > 0.5."""
-    scored = model.transform(holdout, keep=(id_col, *CLASSES))
-    trip = ", ".join(f"'{c}', CAST(`logit_{c}` > 0 AS INT), CAST(`{c}` > 0.5 AS INT)"
+    """Held-out metrics: prediction = logit > 0, truth = label > 0.5.
+
+    The truth labels are carried as ``y_<class>``: the model's output columns
+    carry the class names."""
+    truth = [F.col(c).alias(f"y_{c}") for c in CLASSES]
+    x = holdout.select(id_col, model.text_col, *truth)
+    scored = model.transform(x, keep=(id_col, *[f"y_{c}" for c in CLASSES]))
+    trip = ", ".join(f"'{c}', CAST(`logit_{c}` > 0 AS INT), CAST(`y_{c}` > 0.5 AS INT)"
                      for c in CLASSES)
     long = scored.select(id_col, F.expr(f"stack({len(CLASSES)}, {trip}) AS (class, y_pred, y_true)"))
     return LB.eval_metrics(long, id_col)
-
