@@ -53,19 +53,29 @@ def apology(messages: DataFrame, replies: Sequence[str] = APOLOGY_REPLIES) -> Da
                            .alias("reply"))
 
 
+MAX_BROADCAST_PERSONAS = 100_000
+
+
 def persona_reply(messages: DataFrame, personas: DataFrame, pool_all: Sequence[str] = (),
-                  p_default: float = PERSONA_P_DEFAULT) -> DataFrame:
+                  p_default: float = PERSONA_P_DEFAULT,
+                  n_personas: int | None = None) -> DataFrame:
     """A4: users listed in the persona config may get a canned reply.
 
-    ``personas`` (author, name, p, resps) comes from a configuration file, so
-    its size is bounded by that file and it is broadcast. Unlisted users never
-    fire (inner join); the general pool only adds to listed users' pools.
+    ``personas`` (author, name, p, resps) comes from a configuration file.
+    Its row count is checked (``n_personas`` if the caller knows it, else a
+    count of the small frame): up to ``MAX_BROADCAST_PERSONAS`` rows it is
+    broadcast, beyond that a shuffle join is used. Unlisted users never fire
+    (inner join); the general pool only adds to listed users' pools.
     """
+    n = personas.count() if n_personas is None else n_personas
+    side = personas.select("author", "name", "p", "resps")
+    if n <= MAX_BROADCAST_PERSONAS:
+        side = F.broadcast(side)
     pool = F.concat(_lits(list(pool_all)), F.coalesce(F.col("resps"), _lits([])))
     p = F.coalesce(F.col("p"), F.lit(float(p_default)))
     fired = (F.size(F.col("pool")) > 0) & (hash_unit("message_id", "persona") < p)
     return (messages.select("message_id", "author")
-            .join(F.broadcast(personas.select("author", "name", "p", "resps")), "author")
+            .join(side, "author")
             .withColumn("pool", pool)
             .select("message_id", "author", "name", fired.alias("fired"),
                     F.when(fired, pick(F.col("pool"), "message_id", "persona_pick"))
@@ -94,7 +104,7 @@ def why_report(last: DataFrame, scored_last: DataFrame) -> DataFrame:
 
 def actions(scored: DataFrame, messages: DataFrame, personas: DataFrame | None = None,
             pool_all: Sequence[str] = (), p_default: float = PERSONA_P_DEFAULT,
-            threshold: float = THRESHOLD) -> DataFrame:
+            threshold: float = THRESHOLD, n_personas: int | None = None) -> DataFrame:
     """Every reaction and reply as (message_id, action, payload) rows."""
     t = (tier(scored, threshold).where(F.col("tier") != "none")
          .select("message_id", F.col("tier").alias("action"), "payload"))
@@ -102,7 +112,7 @@ def actions(scored: DataFrame, messages: DataFrame, personas: DataFrame | None =
          .select("message_id", F.lit("apology").alias("action"), F.col("reply").alias("payload")))
     out = t.unionByName(a)
     if personas is not None:
-        p = (persona_reply(messages, personas, pool_all, p_default).where("fired")
+        p = (persona_reply(messages, personas, pool_all, p_default, n_personas).where("fired")
              .select("message_id", F.lit("persona").alias("action"),
                      F.col("reply").alias("payload")))
         out = out.unionByName(p)

@@ -128,3 +128,41 @@ def pad_mask(ids: Column, length: int, pad_id: int) -> tuple[Column, Column]:
 def round_up(n: Column, multiple: int) -> Column:
     """Length padded to a multiple (pad_to_multiple_of)."""
     return ((n + multiple - 1) / multiple).cast("int") * multiple
+
+
+def split_exact(df: DataFrame, id_col: str = "id", fraction_den: int = 10,
+                salt: str = "split") -> DataFrame:
+    """T4 (exact form): a hold-out of exactly n // fraction_den rows, the rows
+    with the smallest (hash(id), id), without a single-partition window.
+
+    The 32-bit hash is located in two steps by histograms of its high and low
+    16 bits (at most 65,536 rows each reach the driver, whatever n is); the
+    rows sharing the exact boundary hash are ranked by id with a top-k. Runs a
+    few small jobs; the result is a lazy projection of ``df``.
+    """
+    h = hash_int(id_col, salt)
+    x = df.withColumn("_h", h)
+    n = x.count()
+    k = n // fraction_den
+    if k == 0:
+        return df.withColumn("split", F.lit("train"))
+
+    def locate(frame: DataFrame, bucket: Column, need: int) -> tuple[int, int]:
+        hist = sorted((r["b"], r["c"]) for r in
+                      frame.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
+        cum = 0
+        for b, c in hist:
+            if cum + c >= need:
+                return b, need - cum
+            cum += c
+        raise AssertionError("histogram smaller than requested rank")
+
+    hi, need = locate(x, F.shiftright(F.col("_h"), 16), k)
+    band = x.where(F.shiftright(F.col("_h"), 16) == hi)
+    lo, need = locate(band, F.col("_h").bitwiseAND(0xFFFF), need)
+    t_hash = (hi << 16) | lo
+    same = x.where(F.col("_h") == t_hash).select(id_col)
+    t_id = same.orderBy(F.col(id_col).asc()).limit(need).agg(F.max(id_col)).collect()[0][0]
+    hold = (F.col("_h") < F.lit(t_hash)) | ((F.col("_h") == F.lit(t_hash))
+                                            & (F.col(id_col) <= F.lit(t_id)))
+    return x.withColumn("split", F.when(hold, "holdout").otherwise("train")).drop("_h")

@@ -33,6 +33,7 @@ from ..functions.columns import WORD_PATTERN, tokens
 
 SEP = "\u0001"  # symbol separator inside a word's symbol string
 CHAR_PATTERN = "(?s)."  # one code point
+MAX_VOCAB = 2_000_000  # merges + alphabet shipped to executors: bounded by this
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -51,16 +52,28 @@ def _sym_array(syms: Column) -> Column:
     return F.split(syms, SEP)
 
 
+# Every "left SEP right" pair, captured by a zero-width match at each symbol start.
+PAIR_PATTERN = f"(?:^|(?<={SEP}))(?=([^{SEP}]+{SEP}[^{SEP}]+))"
+
+
+def _pairs(state: DataFrame, weight: Column) -> DataFrame:
+    """(p, n): one row per adjacent symbol pair, p = left SEP right."""
+    return state.select(weight.alias("n"),
+                        F.explode(F.regexp_extract_all("syms", F.lit(PAIR_PATTERN), 1)).alias("p"))
+
+
+def _split_pair(df: DataFrame) -> DataFrame:
+    return df.select(F.substring_index("p", SEP, 1).alias("left"),
+                     F.substring_index("p", SEP, -1).alias("right"), "count")
+
+
+def _pair_key_counts(state: DataFrame) -> DataFrame:
+    return _pairs(state, F.col("n")).groupBy("p").agg(F.sum("n").alias("count"))
+
+
 def pair_counts(state: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count: (left, right, count)."""
-    arr = _sym_array(F.col("syms"))
-    idx = F.when(F.size(arr) >= 2, F.sequence(F.lit(1), F.size(arr) - 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(idx, lambda i: F.struct(F.element_at(arr, i).alias("left"),
-                                                 F.element_at(arr, i + 1).alias("right")))
-    return (state.select("n", F.explode(pairs).alias("p"))
-            .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-            .agg(F.sum("n").alias("count")))
+    return _split_pair(_pair_key_counts(state))
 
 
 def alphabet(words: DataFrame) -> DataFrame:
@@ -82,39 +95,57 @@ def apply_merge(syms: Column, left: str, right: str) -> Column:
     return F.regexp_replace(syms, F.lit(pat), F.lit("$1" + _replacement_literal(left + right)))
 
 
+def _pair_pattern(left: str, right: str) -> str:
+    return f"(^|{SEP}){_regex_literal(left)}{SEP}{_regex_literal(right)}(?={SEP}|$)"
+
+
 def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
                  min_count: int = 1, checkpoint_every: int = 8) -> list[tuple[str, str, int]]:
     """T5: learn up to ``n_merges`` merges from (word, n). Returns the merges in
-    rank order as (left, right, count); only this bounded list reaches the driver."""
-    state = initial_symbols(words.select("word", "n")).where(F.length("word") > 1) \
-        .select("n", "syms")
-    state = state.checkpoint(eager=True)
+    rank order as (left, right, count); only this bounded list reaches the driver.
+
+    Pair counts are kept up to date incrementally: a merge only changes the
+    words that contain the merged pair, so each round explodes just those
+    words (old pairs with weight -n, new pairs with +n) and folds the delta
+    into the counts. Both the words and the counts are persisted per round
+    and checkpointed every ``checkpoint_every`` rounds.
+    """
+    # U+0001 is reserved as the symbol separator; words holding it are skipped
+    state = (initial_symbols(words.select("word", "n"))
+             .where((F.length("word") > 1) & (F.instr("word", SEP) == 0))
+             .select("n", "syms").checkpoint(eager=True))
+    counts = _pair_key_counts(state).checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
-    older = None  # persisted state to release once its successor is built
+    held: list[DataFrame] = []  # persisted frames from earlier rounds
     for r in range(n_merges):
-        top = (pair_counts(state)
+        top = (_split_pair(counts)
                .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc())
                .limit(1).collect())
-        if older is not None:
-            older.unpersist()
-            older = None
         if not top or top[0]["count"] < min_count:
             break
         left, right, cnt = top[0]["left"], top[0]["right"], int(top[0]["count"])
         merges.append((left, right, cnt))
-        nxt = state.withColumn("syms", apply_merge(F.col("syms"), left, right))
-        # keep only words that can still merge (two or more symbols)
-        nxt = nxt.where(F.instr("syms", SEP) > 0)
+        hit = F.col("syms").rlike(_pair_pattern(left, right))
+        merged = apply_merge(F.col("syms"), left, right)
+        old = state.where(hit)
+        new = old.withColumn("syms", merged)
+        delta = _pairs(old, -F.col("n")).unionByName(_pairs(new, F.col("n")))
+        counts = (counts.select("p", F.col("count").alias("n")).unionByName(delta)
+                  .groupBy("p").agg(F.sum("n").alias("count"))
+                  .where(F.col("count") > 0))
+        # words left with one symbol can never merge again
+        state = (state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
+                 .where(F.instr("syms", SEP) > 0))
         if (r + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
+            state, counts = state.checkpoint(eager=True), counts.checkpoint(eager=True)
+            for h in held:
+                h.unpersist()
+            held = []
         else:
-            nxt = nxt.persist()
-        older = state if state.is_cached else None
-        state = nxt
-    if older is not None:
-        older.unpersist()
-    if state.is_cached:
-        state.unpersist()
+            state, counts = state.persist(), counts.persist()
+            held += [state, counts]
+    for h in held:
+        h.unpersist()
     return merges
 
 
@@ -177,6 +208,8 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 def encoder(spark: SparkSession, alpha: Sequence[str], merges: Sequence[tuple[str, str, int]]):
     """A pandas UDF text -> ARRAY<INT> of token ids ([UNK] for unknown symbols)."""
     vocab = vocabulary(alpha, merges)
+    if len(vocab) > MAX_VOCAB:
+        raise ValueError(f"vocabulary of {len(vocab)} tokens is too large to broadcast")
     ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
     bc = spark.sparkContext.broadcast((vocab, ranks))
     unk = vocab[SPECIAL_TOKENS[0]]

@@ -174,18 +174,23 @@ def _personas(spark):
     return cfg, FI.personas(spark, cfg)
 
 
+def _n_personas(cfg):
+    return len(FI.persona_rows(cfg))
+
+
 @query("persona_reply")
 def q_persona_reply(spark, sf):
     cfg, per = _personas(spark)
     return A.persona_reply(_docs(spark, sf), per, cfg["user"].get("all", []),
-                           cfg["user"].get("p_default", 0.2))
+                           cfg["user"].get("p_default", 0.2), _n_personas(cfg))
 
 
 @query("actions")
 def q_actions(spark, sf):
     cfg, per = _personas(spark)
     return A.actions(TB.scored_documents(spark, sf), _docs(spark, sf), per,
-                     cfg["user"].get("all", []), cfg["user"].get("p_default", 0.2))
+                     cfg["user"].get("all", []), cfg["user"].get("p_default", 0.2),
+                     n_personas=_n_personas(cfg))
 
 
 @query("why_report")
@@ -435,3 +440,8 @@ def q_score_learned(spark, sf):
     out = model.transform(_docs(spark, sf).select("message_id", "text"), text_col="text",
                           keep=("message_id",))
     return out.select("message_id", *[F.round(c, 6).alias(c) for c in CLASSES])
+
+
+@query("split_exact")
+def q_split_exact(spark, sf):
+    return LB.split_exact(_train(spark, sf).select("id")).select("id", "split")

@@ -610,3 +610,11 @@ FROM m GROUP BY guild, author, channel"""
 def _():
     return SCORED_EVENTS + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} " \
                            f"FROM scored WHERE {MAXS} > 0.5"
+
+
+@sql("split_exact")
+def _():
+    return f"""WITH {_training_cte()},
+r AS (SELECT id, row_number() OVER (ORDER BY {h_int('id', 'split')}, id) AS rn,
+             count(*) OVER () AS n FROM tf)
+SELECT id, CASE WHEN rn <= n // 10 THEN 'holdout' ELSE 'train' END AS split FROM r"""
