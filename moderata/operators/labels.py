@@ -59,58 +59,76 @@ def bce_with_logits(logit: Column, y: Column) -> Column:
             + F.log1p(F.exp(-F.abs(logit))))
 
 
-def bce_loss(long: DataFrame, group: str | None = "class") -> DataFrame:
-    """Mean BCE over (example, class) rows with columns ``logit``, ``y``.
+def _rows(structs: list[Column]) -> Column:
+    return F.inline(F.array(*structs))
 
-    Grouped per class, plus an ``all`` row (the torch mean over every entry).
+
+def bce_loss(wide: DataFrame, classes: Sequence[str], logit: str = "logit_{}",
+             target: str = "{}", decimals: int = 6) -> DataFrame:
+    """Mean soft-target BCE per class plus an ``all`` row (the mean over
+    every known entry, as torch's mean). NULL targets are masked out (T10).
+
+    One pass: a single global aggregate (partial per task, one row each), so
+    the scored input is never materialised twice or shuffled by key.
+    """
+    aggs = []
+    for c in classes:
+        y = F.col(target.format(c))
+        l = bce_with_logits(F.col(logit.format(c)), y)
+        aggs += [F.sum(F.when(y.isNotNull(), l)).alias(f"s_{c}"), F.count(y).alias(f"n_{c}")]
+    one = wide.agg(*aggs)
+    s_all = sum((F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) for c in classes), F.lit(0.0))
+    n_all = sum((F.col(f"n_{c}") for c in classes), F.lit(0))
+    rows = [F.struct(F.lit(c).alias("class"), (F.col(f"s_{c}") / F.col(f"n_{c}")).alias("loss"),
+                     F.col(f"n_{c}").alias("n")) for c in classes]
+    rows.append(F.struct(F.lit("all").alias("class"), (s_all / n_all).alias("loss"),
+                         n_all.alias("n")))
+    out = one.select(_rows(rows)).where(F.col("n") > 0)
+    return out.withColumn("loss", F.round("loss", decimals))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def eval_metrics(wide: DataFrame, classes: Sequence[str], truth: str = "y_{}",
+                 pred: str = "p_{}", decimals: int = 6) -> DataFrame:
+    """Per-class tp/fp/fn/tn, precision, recall, F1, accuracy, and a
+    ``macro`` row: unweighted means over classes, and subset accuracy (a row
+    counts when all its labels are right). Divisions by zero give 0.
+
+    Input is wide (one row per example, 0/1 columns per class); everything
+    comes from one global aggregate: no shuffle by example or class.
     """
-    l = long.withColumn("loss", bce_with_logits(F.col("logit"), F.col("y")))
-    per = l.groupBy(group).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n"))
-    tot = l.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("all").alias(group), "loss", "n")
-    return per.unionByName(tot).withColumn("loss", F.round("loss", 6))
-
-
-def bce_masked(long: DataFrame) -> DataFrame:
-    """BCE over known labels only (NULL target = masked out)."""
-    return bce_loss(long.where(F.col("y").isNotNull()), "class")
-
-
-def confusion(long: DataFrame, group: str = "class") -> DataFrame:
-    """Per class tp/fp/fn/tn from (example, class, y_true, y_pred) 0/1 rows."""
-    t, p = F.col("y_true") == 1, F.col("y_pred") == 1
-    return long.groupBy(group).agg(
-        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
-        F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
-
-
-def _prf(df: DataFrame) -> DataFrame:
-    prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
-                    F.lit(0.0))
-    return df.withColumn("precision", prec).withColumn("recall", rec).withColumn("f1", f1)
-
-
-def eval_metrics(long: DataFrame, id_col: str = "id", decimals: int = 6) -> DataFrame:
-    """Per-class precision/recall/F1 and accuracy, plus a ``macro`` row
-    (unweighted mean over classes; accuracy there is subset accuracy: a row
-    counts when all its labels are right). Divisions by zero give 0."""
-    per = _prf(confusion(long))
-    per = per.withColumn("accuracy", (F.col("tp") + F.col("tn"))
-                         / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
-    rows_ok = (long.groupBy(id_col)
-               .agg(F.min((F.col("y_true") == F.col("y_pred")).cast("int")).alias("ok"))
-               .agg(F.avg("ok").alias("accuracy"))
-               .withColumn("k", F.lit(1)))
-    macro = (per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
-                     *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
-             .withColumn("k", F.lit(1))
-             .join(rows_ok, "k")  # two single-row aggregates
-             .select(F.lit("macro").alias("class"), "tp", "fp", "fn", "tn",
-                     "precision", "recall", "f1", "accuracy"))
-    out = per.select("class", "tp", "fp", "fn", "tn", "precision", "recall", "f1",
-                     "accuracy").unionByName(macro)
+    aggs = []
+    for c in classes:
+        t, p = F.col(truth.format(c)) == 1, F.col(pred.format(c)) == 1
+        aggs += [F.count_if(t & p).alias(f"tp_{c}"), F.count_if(~t & p).alias(f"fp_{c}"),
+                 F.count_if(t & ~p).alias(f"fn_{c}"), F.count_if(~t & ~p).alias(f"tn_{c}")]
+    all_ok = None
+    for c in classes:
+        ok = F.col(truth.format(c)) == F.col(pred.format(c))
+        all_ok = ok if all_ok is None else (all_ok & ok)
+    aggs.append(F.avg(all_ok.cast("double")).alias("subset"))
+    one = wide.agg(*aggs)
+
+    def m(c):
+        tp, fp, fn, tn = (F.col(f"{k}_{c}") for k in ("tp", "fp", "fn", "tn"))
+        return {"tp": tp, "fp": fp, "fn": fn, "tn": tn,
+                "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn),
+                "f1": _ratio(2 * tp, 2 * tp + fp + fn),
+                "accuracy": _ratio(tp + tn, tp + fp + fn + tn)}
+
+    per = {c: m(c) for c in classes}
+    keys = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy"]
+    rows = [F.struct(F.lit(c).alias("class"), *[per[c][k].alias(k) for k in keys])
+            for c in classes]
+    macro = {k: sum((per[c][k] for c in classes), F.lit(0)) for k in ("tp", "fp", "fn", "tn")}
+    for k in ("precision", "recall", "f1"):
+        macro[k] = sum((per[c][k] for c in classes), F.lit(0.0)) / F.lit(float(len(classes)))
+    macro["accuracy"] = F.col("subset")
+    rows.append(F.struct(F.lit("macro").alias("class"), *[macro[k].alias(k) for k in keys]))
+    out = one.select(_rows(rows))
     for c in ("precision", "recall", "f1", "accuracy"):
         out = out.withColumn(c, F.round(c, decimals))
     return out

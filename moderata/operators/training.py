@@ -89,7 +89,6 @@ def evaluate(model: MultiLabelModel, holdout: DataFrame, id_col: str = "id") ->
     truth = [F.col(c).alias(f"y_{c}") for c in CLASSES]
     x = holdout.select(id_col, model.text_col, *truth)
     scored = model.transform(x, keep=(id_col, *[f"y_{c}" for c in CLASSES]))
-    trip = ", ".join(f"'{c}', CAST(`logit_{c}` > 0 AS INT), CAST(`y_{c}` > 0.5 AS INT)"
-                     for c in CLASSES)
-    long = scored.select(id_col, F.expr(f"stack({len(CLASSES)}, {trip}) AS (class, y_pred, y_true)"))
-    return LB.eval_metrics(long, id_col)
+    wide = scored.select(*[(F.col(f"y_{c}") > 0.5).cast("int").alias(f"y_{c}") for c in CLASSES],
+                         *[(F.col(f"logit_{c}") > 0).cast("int").alias(f"p_{c}") for c in CLASSES])
+    return LB.eval_metrics(wide, CLASSES)

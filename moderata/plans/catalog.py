@@ -116,15 +116,17 @@ def q_user_stats(spark, sf):
 
 @query("stats_requests")
 def q_stats_requests(spark, sf):
-    users = _users(spark, sf)
+    """One aggregation gives user and guild rows (rollup), one join
+    answers every request target (null-safe on author for guild rows)."""
+    stats = L.ledger_and_guilds(TB.scored_documents(spark, sf))
     reqs = TB.stats_requests_from_documents(TB.table(spark, sf, "documents"))
     targets = R.stats_targets(reqs).withColumn("pos", F.col("pos").cast("bigint"))
-    per_user = (targets.where(F.col("kind") == "user")
-                .join(users, ["guild", "author"]))
-    per_guild = (targets.where(F.col("kind") == "guild").drop("author")
-                 .join(L.guild_rollup(users), "guild")
-                 .withColumn("author", F.lit(None).cast("bigint")))
-    out = L.with_rate_and_favourite(per_user.unionByName(per_guild))
+    j = targets.join(stats, (targets["guild"] == stats["guild"])
+                     & (targets["kind"] == stats["kind"])
+                     & targets["author"].eqNullSafe(stats["author"]))
+    out = j.select(targets["request_id"], targets["pos"], targets["kind"], targets["guild"],
+                   targets["author"], *[stats[c] for c in L.COUNTERS])
+    out = L.with_rate_and_favourite(out)
     return out.select("request_id", "pos", "kind", "guild", "author", "incidents",
                       "total_seen", "rate", "favourite")
 
@@ -224,13 +226,6 @@ def _with_logits(train):
     return SC.with_lexicon_logits(train, F.lower(F.col("comment_text")))
 
 
-def _class_long(train):
-    """(id, class, logit, y) for the seven toxicity classes."""
-    t = _with_logits(train)
-    trip = ", ".join(f"'{c}', `logit_{c}`, `{c}`" for c in CLASSES)
-    return t.select("id", F.expr(f"stack({len(CLASSES)}, {trip}) AS (class, logit, y)"))
-
-
 @query("labels_binary")
 def q_labels_binary(spark, sf):
     return LB.labels_binary(_train(spark, sf))
@@ -248,22 +243,21 @@ def q_split_hash(spark, sf):
 
 @query("bce_loss")
 def q_bce_loss(spark, sf):
-    return LB.bce_loss(_class_long(_train(spark, sf)))
+    return LB.bce_loss(_with_logits(_train(spark, sf)), CLASSES)
 
 
 @query("bce_masked")
 def q_bce_masked(spark, sf):
     t = _with_logits(_train(spark, sf))
-    long = LB.unpivot(t, ["id", "logit_identity_attack"], IDENTITY_COLUMNS, "class", "y")
-    return LB.bce_masked(long.withColumnRenamed("logit_identity_attack", "logit"))
+    return LB.bce_loss(t, IDENTITY_COLUMNS, logit="logit_identity_attack")
 
 
 @query("eval_metrics")
 def q_eval_metrics(spark, sf):
-    long = _class_long(_train(spark, sf))
-    long = long.select("id", "class", (F.col("y") > 0.5).cast("int").alias("y_true"),
-                       (F.col("logit") > 0).cast("int").alias("y_pred"))
-    return LB.eval_metrics(long)
+    t = _with_logits(_train(spark, sf))
+    wide = t.select(*[(F.col(c) > 0.5).cast("int").alias(f"y_{c}") for c in CLASSES],
+                    *[(F.col(f"logit_{c}") > 0).cast("int").alias(f"p_{c}") for c in CLASSES])
+    return LB.eval_metrics(wide, CLASSES)
 
 
 # --------------------------------------------------------------------------
