@@ -61,9 +61,9 @@ COUNTERS = ["incidents", "total_seen"] + CLASSES
 
 
 def ledger_cte(src: str = SCORED_DOCS) -> str:
-    cls = ", ".join(f"count_if({c} > 0.5) AS {c}" for c in CLASSES)
+    cls = ", ".join(f"count_if({c} > 0.5)::BIGINT AS {c}" for c in CLASSES)
     return (src + f""",
-users AS (SELECT guild, author, count_if({MAXS} > 0.5) AS incidents,
+users AS (SELECT guild, author, count_if({MAXS} > 0.5)::BIGINT AS incidents,
                  count(*) AS total_seen, {cls}
           FROM scored GROUP BY guild, author)""")
 
@@ -480,8 +480,10 @@ def _():
     return f"""WITH {_logits_cte()},
 lo AS (SELECT id, class, (y > 0.5)::INTEGER AS y_true, (logit > 0)::INTEGER AS y_pred
        FROM ({_class_long()})),
-c AS (SELECT class, count_if(y_true = 1 AND y_pred = 1) AS tp, count_if(y_true = 0 AND y_pred = 1) AS fp,
-             count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 0 AND y_pred = 0) AS tn
+c AS (SELECT class, count_if(y_true = 1 AND y_pred = 1)::BIGINT AS tp,
+             count_if(y_true = 0 AND y_pred = 1)::BIGINT AS fp,
+             count_if(y_true = 1 AND y_pred = 0)::BIGINT AS fn,
+             count_if(y_true = 0 AND y_pred = 0)::BIGINT AS tn
       FROM lo GROUP BY class),
 m AS (SELECT class, tp, fp, fn, tn,
         CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS precision,
