@@ -52,8 +52,22 @@ def _batch_writer(path: str):
     return write
 
 
+STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prefer_rocksdb(spark: SparkSession) -> None:
+    """Counter state grows with the number of (guild, author) keys: keep it in
+    RocksDB (off-heap, spills to local disk, checkpointed incrementally)
+    unless the session already names a provider. A query keeps the provider
+    it first started with (recorded in its checkpoint)."""
+    if not spark.conf.get(STATE_STORE_KEY, None):
+        spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
+
+
 def _start(df: DataFrame, mode: str, checkpoint: str, writer=None, path: str | None = None,
            available_now: bool = True):
+    prefer_rocksdb(df.sparkSession)
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     if writer is not None:
@@ -98,10 +112,15 @@ def run_to_end(query) -> None:
 
 
 def dropped_by_watermark(query) -> int:
-    """Rows dropped as late, summed over the query's recent progress."""
+    """Rows dropped as late, summed over the query's recent progress.
+
+    Spark filters late rows with the watermark of the *previous* batch, so a
+    row is dropped only from the second batch after the watermark passed it.
+    """
     total = 0
     for p in query.recentProgress or []:
-        for s in p.get("stateOperators", []) if isinstance(p, dict) else []:
-            total += int(s.get("numRowsDroppedByWatermark", 0))
+        ops = p["stateOperators"] if isinstance(p, dict) else p.stateOperators
+        for s in ops or []:
+            v = s["numRowsDroppedByWatermark"] if isinstance(s, dict) else s.numRowsDroppedByWatermark
+            total += int(v or 0)
     return total
-
