@@ -136,3 +136,21 @@ def token_list(messages: DataFrame, text: str = "text") -> DataFrame:
     toks = tokens(F.col(text), WORD_PATTERN)
     return messages.select("message_id", F.array_join(toks, ", ").alias("tokens"),
                            F.size(toks).cast("bigint").alias("n_tokens"))
+
+
+def scores_to_json(scored: DataFrame) -> Column:
+    """Scores as the scorer service's JSON object {human class name: p}."""
+    m = F.map_from_arrays(F.array(*[F.lit(h) for h in CLASSES_HUMAN]),
+                          F.array(*[F.col(c) for c in CLASSES]))
+    return F.to_json(m)
+
+
+def scores_from_json(df: DataFrame, json_col: str = "scores_json") -> DataFrame:
+    """Parse a scorer reply into the seven score columns, keyed by class name
+    (never by position: JSON key order is not the class order). A reply that
+    does not parse, or lacks a class, gives NULL scores (quarantine, F4)."""
+    m = F.from_json(F.col(json_col), "map<string,double>")
+    out = df.withColumn("_scores", m)
+    for h, c in zip(CLASSES_HUMAN, CLASSES):
+        out = out.withColumn(c, F.col("_scores").getItem(h))
+    return out.drop("_scores")

@@ -61,24 +61,36 @@ def featurizer(text_col: str = "comment_text", num_features: int = NUM_FEATURES)
 
 
 def fit(train: DataFrame, text_col: str = "comment_text", max_iter: int = 25,
-        reg: float = 0.01, num_features: int = NUM_FEATURES) -> MultiLabelModel:
+        reg: float = 0.01, num_features: int = NUM_FEATURES,
+        parallelism: int = len(CLASSES)) -> MultiLabelModel:
+    """Fit the feature pipeline once, then one model per class.
+
+    The per-class fits are independent, so they are submitted from a thread
+    pool (as Spark ML's one-vs-rest does): each L-BFGS iteration is a short
+    job, and concurrent fits keep the executors busy between iterations.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml import Pipeline
     tok, tf, idf = featurizer(text_col, num_features)
     fe = Pipeline(stages=[tok, tf, idf]).fit(train)
     feats = fe.transform(train).select("features", *CLASSES).persist()
-    models = {}
+
+    def fit_one(c: str) -> LogisticRegressionModel:
+        y = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        pos = feats.select("features", F.lit(1.0).alias("label"), y.alias("w"))
+        neg = feats.select("features", F.lit(0.0).alias("label"), (1.0 - y).alias("w"))
+        data = pos.unionByName(neg).where(F.col("w") > 0)
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
+                                maxIter=max_iter, regParam=reg, standardization=False)
+        return lr.fit(data)
+
     try:
-        for c in CLASSES:
-            y = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-            pos = feats.select("features", F.lit(1.0).alias("label"), y.alias("w"))
-            neg = feats.select("features", F.lit(0.0).alias("label"), (1.0 - y).alias("w"))
-            data = pos.unionByName(neg).where(F.col("w") > 0)
-            lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                                    maxIter=max_iter, regParam=reg, standardization=False)
-            models[c] = lr.fit(data)
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fitted = list(pool.map(fit_one, CLASSES))
     finally:
         feats.unpersist()
-    return MultiLabelModel(fe, models, text_col)
+    return MultiLabelModel(fe, dict(zip(CLASSES, fitted)), text_col)
 
 
 def evaluate(model: MultiLabelModel, holdout: DataFrame, id_col: str = "id") -> DataFrame:

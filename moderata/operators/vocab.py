@@ -125,7 +125,9 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
             break
         left, right, cnt = top[0]["left"], top[0]["right"], int(top[0]["count"])
         merges.append((left, right, cnt))
-        hit = F.col("syms").rlike(_pair_pattern(left, right))
+        # cheap substring test first; the regex then checks symbol boundaries
+        hit = (F.instr("syms", left + SEP + right) > 0) \
+            & F.col("syms").rlike(_pair_pattern(left, right))
         merged = apply_merge(F.col("syms"), left, right)
         old = state.where(hit)
         new = old.withColumn("syms", merged)

@@ -194,3 +194,22 @@ def test_stats_targets_mentions(spark):
                                 "request_id long, guild string, mentions array<long>")
     got = sorted((r.request_id, r.kind, r.author) for r in R.stats_targets(req).collect())
     assert got == [(1, "user", 3), (1, "user", 4), (2, "guild", None), (3, "guild", None)]
+
+
+def test_scores_json_round_trip_by_name(spark):
+    from moderata.operators import scoring as SC
+    rows = [(1, "g", 1, "c", "t", [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])]
+    s = scored(spark, rows)
+    js = s.select("message_id", SC.scores_to_json(s).alias("scores_json"))
+    back = SC.scores_from_json(js).collect()[0]
+    assert [back[c] for c in CLASSES] == [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
+    # keys in another order (a sorted JSON reply) still land in the right class
+    reordered = spark.createDataFrame(
+        [(2, '{"Identity Attack": 0.9, "Insult": 0.1, "Obscene": 0.2, "Severely Toxic": 0.3, '
+             '"Sexually Explicit": 0.4, "Threat": 0.5, "Toxic": 0.6}'), (3, "not json")],
+        "message_id long, scores_json string")
+    got = {r.message_id: r for r in SC.scores_from_json(reordered).collect()}
+    assert got[2].identity_attack == 0.9 and got[2].toxic == 0.6
+    assert got[3].toxic is None
+    ok, bad = R.split_quarantine(SC.scores_from_json(reordered))
+    assert [r.message_id for r in ok.collect()] == [2]
