@@ -20,6 +20,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # texts can be long: keep Arrow batches for pandas UDFs modest
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
 
@@ -40,11 +42,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the platform and points at shared storage; it
-    is only set here when missing (local tests), to a fresh scratch folder.
+    On a cluster this is set by the platform and points at shared storage.
+    Only a local-mode session (tests, benchmark) without it gets a fresh
+    scratch folder; a cluster session without it is an error, since a
+    machine-local folder would not survive the loss of an executor.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder")
         cur = tempfile.mkdtemp(prefix="moderata-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
