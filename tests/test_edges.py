@@ -213,3 +213,12 @@ def test_scores_json_round_trip_by_name(spark):
     assert got[3].toxic is None
     ok, bad = R.split_quarantine(SC.scores_from_json(reordered))
     assert [r.message_id for r in ok.collect()] == [2]
+
+
+def test_lookup_unknown_and_null_keys(spark):
+    rows = [(1, "g", 1, "c", "t", [0.9] * 7), (2, "g", 2, "c", "t", [0.1] * 7)]
+    users = L.ledger(scored(spark, rows))
+    keys = spark.createDataFrame([("g", 1), ("g", 3), (None, 1), ("g", None)],
+                                 "guild string, author long")
+    got = L.lookup(users, keys).collect()
+    assert [(r.guild, r.author, r.total_seen, r.incidents) for r in got] == [("g", 1, 1, 1)]
