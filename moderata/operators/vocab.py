@@ -99,16 +99,56 @@ def _pair_pattern(left: str, right: str) -> str:
     return f"(^|{SEP}){_regex_literal(left)}{SEP}{_regex_literal(right)}(?={SEP}|$)"
 
 
+def _accept_batch(ranked: list, candidates: int, complete: bool) -> list[tuple[str, str, int]]:
+    """The longest prefix of the ranked pairs that sequential BPE would merge
+    in this order: each next pair shares no symbol with the pairs taken before
+    it (so its count is unchanged) and its count is strictly above a bound on
+    every pair those merges can create. A merge of (a, b) creates only (x, ab)
+    and (ab, y), counted at most min(count(a, b), max(count of any pair ending
+    in a, count of any pair starting with b)).
+
+    ``ranked`` is the top of the pair ranking (count desc, left, right). The
+    first pair ending in a (starting with b) in it has the largest such count;
+    if none is listed, the last listed count bounds it (or 0 when ``complete``,
+    i.e. every pair is listed).
+    """
+    floor = 0 if complete else int(ranked[-1]["count"])
+    ends: dict[str, int] = {}
+    starts: dict[str, int] = {}
+    for x in ranked:
+        ends.setdefault(x["right"], int(x["count"]))
+        starts.setdefault(x["left"], int(x["count"]))
+    taken: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    bound = -1
+    for x in ranked[:candidates]:
+        a, b, c = x["left"], x["right"], int(x["count"])
+        if taken and (a in used or b in used or c <= bound):
+            break
+        taken.append((a, b, c))
+        used |= {a, b}
+        bound = max(bound, min(c, max(ends.get(a, floor), starts.get(b, floor))))
+    return taken
+
+
 def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
-                 min_count: int = 1, checkpoint_every: int = 8) -> list[tuple[str, str, int]]:
+                 min_count: int = 1, checkpoint_every: int = 8,
+                 candidates: int = 64) -> list[tuple[str, str, int]]:
     """T5: learn up to ``n_merges`` merges from (word, n). Returns the merges in
     rank order as (left, right, count); only this bounded list reaches the driver.
 
-    Pair counts are kept up to date incrementally: a merge only changes the
-    words that contain the merged pair, so each round explodes just those
-    words (old pairs with weight -n, new pairs with +n) and folds the delta
-    into the counts. Both the words and the counts are persisted per round
-    and checkpointed every ``checkpoint_every`` rounds.
+    Exact sequential BPE (count desc, then left, right ascending), with two
+    savings that do not change the result:
+    * pair counts are kept up to date incrementally: a merge only changes the
+      words holding the merged pair, so each round explodes just those words
+      (old pairs with weight -n, new pairs with +n) and folds the delta in;
+    * one round may take several merges: of the ``candidates`` best pairs, the
+      longest prefix that sequential BPE would take in the same order
+      (``_accept_batch``), decided from one top-k collect of the ranking.
+      ``candidates`` only sets how far a round looks ahead; pairs not taken
+      are considered again next round.
+    Words and counts are persisted per round and checkpointed every
+    ``checkpoint_every`` rounds (reliable files under spark.checkpoint.dir).
     """
     # U+0001 is reserved as the symbol separator; words holding it are skipped
     state = (initial_symbols(words.select("word", "n"))
@@ -116,19 +156,23 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
              .select("n", "syms").checkpoint(eager=True))
     counts = _pair_key_counts(state).checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
-    held: list[DataFrame] = []  # persisted frames from earlier rounds
-    for r in range(n_merges):
-        top = (_split_pair(counts)
-               .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc())
-               .limit(1).collect())
-        if not top or top[0]["count"] < min_count:
+    held: list[DataFrame] = []  # persisted frames since the last checkpoint
+    r = 0
+    while len(merges) < n_merges:
+        look = max(4 * candidates, 256)
+        ranked = (_split_pair(counts).where(F.col("count") >= min_count)
+                  .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc())
+                  .limit(look).collect())
+        if not ranked:
             break
-        left, right, cnt = top[0]["left"], top[0]["right"], int(top[0]["count"])
-        merges.append((left, right, cnt))
-        # cheap substring test first; the regex then checks symbol boundaries
-        hit = (F.instr("syms", left + SEP + right) > 0) \
-            & F.col("syms").rlike(_pair_pattern(left, right))
-        merged = apply_merge(F.col("syms"), left, right)
+        batch = _accept_batch(ranked, min(candidates, n_merges - len(merges)),
+                              complete=len(ranked) < look)
+        merges.extend(batch)
+        hit, merged = None, F.col("syms")
+        for a, b, _ in batch:
+            h = (F.instr("syms", a + SEP + b) > 0) & F.col("syms").rlike(_pair_pattern(a, b))
+            hit = h if hit is None else (hit | h)
+            merged = apply_merge(merged, a, b)
         old = state.where(hit)
         new = old.withColumn("syms", merged)
         delta = _pairs(old, -F.col("n")).unionByName(_pairs(new, F.col("n")))
@@ -138,7 +182,8 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
         # words left with one symbol can never merge again
         state = (state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
                  .where(F.instr("syms", SEP) > 0))
-        if (r + 1) % checkpoint_every == 0:
+        r += 1
+        if r % checkpoint_every == 0:
             state, counts = state.checkpoint(eager=True), counts.checkpoint(eager=True)
             for h in held:
                 h.unpersist()
@@ -148,7 +193,7 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
             held += [state, counts]
     for h in held:
         h.unpersist()
-    return merges
+    return merges[:n_merges]
 
 
 def merges_frame(spark: SparkSession, merges: Sequence[tuple[str, str, int]]) -> DataFrame:

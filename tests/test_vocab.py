@@ -11,6 +11,7 @@ from moderata.sources import tables as TB
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+")
 N_MERGES = 24
+N_MERGES_LONG = 160
 
 
 def py_texts():
@@ -72,3 +73,12 @@ def test_encoding_matches_python(spark):
     tail = df.select(VO.tail_ids(enc(F.col("text")), 128).alias("t")).collect()
     assert [r.t for r in tail] == [e[-128:] for e in expect]
     assert vocab["[UNK]"] == 0 and vocab["[PAD]"] == 3
+
+
+def test_batched_rounds_equal_sequential_bpe(spark):
+    """Many merges: rounds take several merges at once, results stay exact."""
+    _, expected = py_bpe(py_texts(), N_MERGES_LONG)
+    words = VO.word_counts(TB.table(spark, SF001, "documents"))
+    assert VO.learn_merges(spark, words, N_MERGES_LONG) == expected
+    one_by_one = VO.learn_merges(spark, words, 40, candidates=1)
+    assert one_by_one == expected[:40]
