@@ -40,7 +40,7 @@ DEFAULT_LEXICON: dict[str, dict[str, float]] = {
 DEFAULT_BIAS: dict[str, float] = {"toxic": -2.5, "severe_toxic": -4.0, "obscene": -3.5,
                                   "identity_attack": -4.0, "insult": -3.0, "threat": -4.5,
                                   "sexual_explicit": -4.5}
-MAX_LEXICON_TERMS = 100_000  # inlined as literals: keep the plan small
+MAX_INLINE_TERMS = 5_000  # inlined as literals up to this size; a join beyond
 
 
 def _class_map(lexicon: Mapping[str, Mapping[str, float]], c: str) -> Column | None:
@@ -62,8 +62,8 @@ def lexicon_hits(text: Column, lexicon: Mapping[str, Mapping[str, float]] = DEFA
                  ) -> Column:
     """Tokens of ``text`` that are lexicon terms (one regex pass; the term test
     is a hash-set ``IN``). Usually a handful per text, whatever its length."""
-    if len(lexicon) > MAX_LEXICON_TERMS:
-        raise ValueError("lexicon too large to inline; join it as a table instead")
+    if len(lexicon) > MAX_INLINE_TERMS:
+        raise ValueError("lexicon too large to inline; use lexicon_scores_join")
     terms = sorted(lexicon)
     return F.filter(tokens(text, TERM_PATTERN), lambda t: t.isin(*terms))
 
@@ -95,9 +95,39 @@ def with_lexicon_logits(df: DataFrame, text: Column, prefix: str = "logit_",
     return x.select("*", *[lg[c].alias(prefix + c) for c in CLASSES]).drop(hits)
 
 
+def lexicon_table(spark, lexicon: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(term, class, weight) rows of a lexicon."""
+    rows = [(t, c, float(w)) for t in sorted(lexicon) for c, w in lexicon[t].items() if w]
+    return spark.createDataFrame(rows, "term string, class string, weight double")
+
+
+def lexicon_scores_join(messages: DataFrame, lex: DataFrame, bias=DEFAULT_BIAS,
+                        text: str = "text", decimals: int | None = 6,
+                        key: str = "message_id") -> DataFrame:
+    """M4 for lexicons too large to inline: tokens are exploded and equi-joined
+    with the (term, class, weight) table -- AQE broadcasts it when its
+    measured size allows, else shuffles both sides and splits skewed terms --
+    then summed per message (partial aggregation) and joined back by key."""
+    toks = messages.select(key, F.explode(tokens(F.lower(F.col(text)), TERM_PATTERN)).alias("term"))
+    sums = (toks.join(lex, "term")
+            .groupBy(key).pivot("class", CLASSES).agg(F.sum("weight")))
+    out = messages.join(sums.select(key, *[F.col(c).alias("_s_" + c) for c in CLASSES]),
+                        key, "left")
+    cols = []
+    for c in CLASSES:
+        z = F.lit(float(bias.get(c, 0.0))) + F.coalesce(F.col("_s_" + c), F.lit(0.0))
+        p = sigmoid(z)
+        cols.append((F.round(p, decimals) if decimals is not None else p).alias(c))
+    return out.select(*[F.col(c) for c in messages.columns if c not in CLASSES], *cols)
+
+
 def lexicon_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_BIAS,
                    text: str = "text", decimals: int | None = 6) -> DataFrame:
-    """M4: lower-cased word tokens matched against the lexicon."""
+    """M4: lower-cased word tokens matched against the lexicon. Small lexicons
+    are inlined (narrow, no shuffle); larger ones go through a join."""
+    if len(lexicon) > MAX_INLINE_TERMS:
+        lex = lexicon_table(messages.sparkSession, lexicon)
+        return lexicon_scores_join(messages, lex, bias, text, decimals)
     x = with_lexicon_logits(messages, F.lower(F.col(text)), "_lg_", lexicon, bias)
     cols = []
     for c in CLASSES:

@@ -222,3 +222,21 @@ def test_lookup_unknown_and_null_keys(spark):
                                  "guild string, author long")
     got = L.lookup(users, keys).collect()
     assert [(r.guild, r.author, r.total_seen, r.incidents) for r in got] == [("g", 1, 1, 1)]
+
+
+def test_lexicon_join_path_equals_inline(spark):
+    from conftest import SF001
+    from moderata.operators import scoring as SC
+    from moderata.sources import tables as TB
+    msgs = TB.messages_from_documents(TB.table(spark, SF001, "documents"))
+    inline = SC.lexicon_scores(msgs).select("message_id", *CLASSES)
+    joined = SC.lexicon_scores_join(msgs, SC.lexicon_table(spark, SC.DEFAULT_LEXICON)) \
+        .select("message_id", *CLASSES)
+    a = sorted(tuple(r) for r in inline.collect())
+    b = sorted(tuple(r) for r in joined.collect())
+    assert a == b and len(a) == msgs.count()
+    # a lexicon over the inline limit takes the join path
+    big = dict(SC.DEFAULT_LEXICON)
+    big.update({f"zzterm{i}": {"toxic": 1.0} for i in range(SC.MAX_INLINE_TERMS)})
+    c = sorted(tuple(r) for r in SC.lexicon_scores(msgs, big).select("message_id", *CLASSES).collect())
+    assert c == a
