@@ -58,9 +58,75 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def latest_by_batch(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current table from per-batch absolute values: latest batch per key."""
-    df = spark.read.parquet(path)
+def _ids(spark: SparkSession, root: str, name: str, need_success: bool = False) -> list[int]:
+    """Values N of ``name=N`` sub-folders of ``root`` (Hadoop file system, so
+    any shared storage the cluster uses). With ``need_success`` only folders
+    whose write committed (``_SUCCESS`` present) count."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        nm = st.getPath().getName()
+        if st.isDirectory() and nm.startswith(name + "="):
+            if need_success and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                continue
+            out.append(int(nm.split("=", 1)[1]))
+    return sorted(out)
+
+
+def _compact_root(path: str) -> str:
+    return path.rstrip("/") + "_compact"
+
+
+def _latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    row = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("batch_id")).alias("r")
-    return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])
+    row = F.max_by(F.struct(*[F.col(c) for c in cols], F.col("batch_id")), F.col("batch_id"))
+    return (df.groupBy(*keys).agg(row.alias("r"))
+            .select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols + ["batch_id"]]))
+
+
+def _current_with_batch(spark: SparkSession, path: str, keys: Sequence[str],
+                        upto: int | None = None) -> DataFrame:
+    """Latest row per key (with its batch id): the newest committed snapshot
+    plus the batch folders after it (pruned by the batch_id partition)."""
+    snaps = _ids(spark, _compact_root(path), "upto", need_success=True)
+    if upto is not None:
+        snaps = [m for m in snaps if m <= upto]
+    batches = spark.read.parquet(path)
+    if snaps:
+        m0 = snaps[-1]
+        snap = spark.read.parquet(f"{_compact_root(path)}/upto={m0}")
+        batches = batches.where(F.col("batch_id") > m0)
+        if upto is not None:
+            batches = batches.where(F.col("batch_id") <= upto)
+        return _latest(snap.unionByName(batches.select(*snap.columns)), keys)
+    if upto is not None:
+        batches = batches.where(F.col("batch_id") <= upto)
+    return _latest(batches, keys)
+
+
+def latest_by_batch(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Current table from per-batch absolute values: the latest batch per key.
+
+    Reads the newest compacted snapshot (``compact``) and only the batches
+    written after it, so reading cost does not grow with the stream's age.
+    """
+    return _current_with_batch(spark, path, keys).drop("batch_id")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> int | None:
+    """Write the current table as of the newest batch to
+    ``<path>_compact/upto=M`` (overwriting that folder, so a retry is
+    harmless) and return M. Batches written meanwhile stay outside M and are
+    read on top of the snapshot. Old folders are left for the operator's
+    retention policy."""
+    done = _ids(spark, path, "batch_id", need_success=True)
+    if not done:
+        return None
+    m = done[-1]
+    cur = _current_with_batch(spark, path, keys, upto=m)
+    cur.write.mode("overwrite").parquet(f"{_compact_root(path)}/upto={m}")
+    return m

@@ -77,3 +77,22 @@ def test_late_rows_are_dropped_and_reported(spark):
     kept = spark.read.parquet(f"{src}/a.parquet", f"{src}/b.parquet")
     batch_users = L.ledger(TB.fixture_scores(TB.messages_from_events(kept)))
     assert _rows(ST.current_users(spark, f"{work}/users")) == _rows(batch_users)
+
+
+def test_compaction_keeps_the_current_table(spark):
+    from moderata.sources import files as FI
+    work = tempfile.mkdtemp(prefix="moderata-compact-", dir="/tmp")
+    schema = "guild string, author long, total_seen long"
+    batches = [[("g", 1, 1), ("g", 2, 1)], [("g", 1, 2)], [("h", 1, 1)], [("g", 2, 5)]]
+    for i, rows in enumerate(batches[:3]):
+        FI.write_batch(spark.createDataFrame(rows, schema), work, i)
+    before = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
+    assert FI.compact(spark, work, ["guild", "author"]) == 2
+    after = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
+    assert after == before == [("g", 1, 2), ("g", 2, 1), ("h", 1, 1)]
+    FI.write_batch(spark.createDataFrame(batches[3], schema), work, 3)
+    later = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
+    assert later == [("g", 1, 2), ("g", 2, 5), ("h", 1, 1)]
+    assert FI.compact(spark, work, ["guild", "author"]) == 3      # builds on snapshot 2
+    again = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
+    assert again == later
