@@ -197,8 +197,10 @@ def q_actions(spark, sf):
 
 @query("why_report")
 def q_why_report(spark, sf):
+    """The latest message per (guild, author, channel), re-scored by the
+    lexicon scorer on its text."""
     last = L.last_message(_docs(spark, sf))
-    return A.why_report(last, TB.fixture_scores(last))
+    return A.why_report(last, SC.lexicon_scores(last, decimals=None))
 
 
 @query("stats_report")

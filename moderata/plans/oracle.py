@@ -371,14 +371,20 @@ UNION ALL SELECT message_id, 'persona', reply FROM p WHERE fired"""
 
 @sql("why_report")
 def _():
-    return SCORED_DOCS + f""",
+    cols = ",\n  ".join(
+        f"1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))) AS {c}"
+        for c in CLASSES)
+    return f"""WITH {_lexicon_sum_cte({'low': 'lower(text)'})},
+p AS (SELECT d.doc_id AS message_id, {cols}
+      FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
+m AS ({DOC_MESSAGES}),
 last AS (SELECT guild, author, channel, max(message_id) AS message_id
-         FROM scored GROUP BY guild, author, channel)
+         FROM m GROUP BY guild, author, channel)
 SELECT l.guild, l.author, l.channel, l.message_id,
   'Your last message, ' || CAST(l.author AS VARCHAR) || ' ''' ||
-  CASE WHEN length(s.text) > 100 THEN substr(s.text, 1, 97) || '...' ELSE s.text END ||
-  ''' was rated:' || {NL} || {TAB} || {_rate_lines('s.')} AS report
-FROM last l JOIN scored s USING (message_id)"""
+  CASE WHEN length(t.text) > 100 THEN substr(t.text, 1, 97) || '...' ELSE t.text END ||
+  ''' was rated:' || {NL} || {TAB} || {_rate_lines('p.')} AS report
+FROM last l JOIN m t USING (message_id) JOIN p USING (message_id)"""
 
 
 @sql("stats_report")
