@@ -20,7 +20,6 @@ Encoding (T6)
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -300,5 +299,3 @@ def pad_id() -> int:
 def split_symbols(s: str) -> list[str]:
     return s.split(SEP) if s else []
 
-
-_ = re  # re kept for callers that escape patterns
