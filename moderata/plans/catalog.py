@@ -114,23 +114,40 @@ def q_user_stats(spark, sf):
     return L.with_rate_and_favourite(_users(spark, sf))
 
 
-@query("stats_requests")
-def q_stats_requests(spark, sf):
-    """One aggregation gives user and guild rows (rollup), one join
-    answers every request target (null-safe on author for guild rows)."""
+def _stat_targets(spark, sf):
+    """One aggregation gives user and guild rows (grouping sets), one
+    join answers every request target (null-safe on author for guild rows).
+    Unknown users match nothing (no row)."""
     stats = L.ledger_and_guilds(TB.scored_documents(spark, sf))
     reqs = TB.stats_requests_from_documents(TB.table(spark, sf, "documents"))
     targets = R.stats_targets(reqs).withColumn("pos", F.col("pos").cast("bigint"))
     j = targets.join(stats, (targets["guild"] == stats["guild"])
                      & (targets["kind"] == stats["kind"])
                      & targets["author"].eqNullSafe(stats["author"]))
-    out = j.select(targets["request_id"], targets["pos"], targets["kind"], targets["guild"],
-                   targets["author"], *[stats[c] for c in L.COUNTERS])
-    out = L.with_rate_and_favourite(out)
+    return j.select(targets["request_id"], targets["pos"], targets["kind"], targets["guild"],
+                    targets["author"], *[stats[c] for c in L.COUNTERS])
+
+
+@query("stats_requests")
+def q_stats_requests(spark, sf):
+    out = L.with_rate_and_favourite(_stat_targets(spark, sf))
     return out.select("request_id", "pos", "kind", "guild", "author", "incidents",
                       "total_seen", "rate", "favourite")
 
 
+@query("stats_request_report")
+def q_stats_request_report(spark, sf):
+    """A8 per request: one stats block per mentioned user in mention order, or
+    the guild block without mentions, joined and right-stripped. A request's
+    group is bounded by the mentions of one message."""
+    rows = _stat_targets(spark, sf)
+    name = F.when(F.col("kind") == "user", F.col("author").cast("string")).otherwise(F.col("guild"))
+    per = rows.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", L.stats_text(name).alias("t")))).alias("b"))
+    text = F.regexp_replace(F.array_join(F.transform("b", lambda x: x["t"]), ""), r"\s+$", "")
+    return per.select("request_id", text.alias("report"))
+
+
 # --------------------------------------------------------------------------
 # scoring
 # --------------------------------------------------------------------------
@@ -441,3 +458,4 @@ def q_score_learned(spark, sf):
 @query("split_exact")
 def q_split_exact(spark, sf):
     return LB.split_exact(_train(spark, sf).select("id")).select("id", "split")
+

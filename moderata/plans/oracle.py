@@ -626,3 +626,28 @@ def _():
 r AS (SELECT id, row_number() OVER (ORDER BY {h_int('id', 'split')}, id) AS rn,
              count(*) OVER () AS n FROM tf)
 SELECT id, CASE WHEN rn <= n // 10 THEN 'holdout' ELSE 'train' END AS split FROM r"""
+
+
+@sql("stats_request_report")
+def _():
+    sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTERS)
+    cols = ", ".join(COUNTERS)
+    cats = f" || {NL} || {TAB} || {TAB} || ".join(
+        f"'{h}: ' || CAST({c} AS VARCHAR)" for h, c in zip(CLASSES_HUMAN, CLASSES))
+    block = (f"'For ' || nm || ' I found the following:' || {NL} || {TAB} || ' Toxic incidents: ' || "
+             f"CAST(incidents AS VARCHAR) || '/' || CAST(total_seen AS VARCHAR) || ', ' || "
+             f"printf('%.1f', 100.0::DOUBLE * incidents / total_seen) || '% toxic' || {NL} || {TAB} || "
+             f"'Favorite form of toxicity (unweighted... for now): ' || {favourite()} || {NL} || {TAB} || "
+             f"'Incidents by category:' || {NL} || {TAB} || {TAB} || {cats} || {NL}")
+    return ledger_cte() + f""",
+req AS ({STATS_REQUESTS}),
+ment AS (SELECT request_id, guild, unnest(mentions) AS author,
+                unnest(generate_series(0, len(mentions) - 1)) AS pos FROM req),
+g AS (SELECT guild, {sums} FROM users GROUP BY guild),
+t AS (SELECT request_id, pos, CAST(author AS VARCHAR) AS nm, {cols}
+      FROM ment JOIN users USING (guild, author)
+      UNION ALL
+      SELECT request_id, 0 AS pos, guild AS nm, {cols}
+      FROM req JOIN g USING (guild) WHERE len(mentions) = 0)
+SELECT request_id, regexp_replace(string_agg({block}, '' ORDER BY pos), '\\s+$', '') AS report
+FROM t GROUP BY request_id"""
