@@ -17,7 +17,7 @@ from ..functions.classes import (APOLOGY_REPLIES, APOLOGY_SUBSTRING, APOLOGY_TOK
                                  CLASSES_HUMAN, IDENTITY_REACTION, PERSONA_P_DEFAULT,
                                  PLAIN_REACTION, THRESHOLD, TIER_REACT_MIN, TIER_REPLY_MIN,
                                  TOXIC_REPLIES, WHY_CUT_CHARS, WHY_MAX_CHARS)
-from ..functions.columns import hash_unit, n_over, over, pick, rate_lines, shorten, words
+from ..functions.columns import hash_unit, n_over, over, pick, rate_lines, shorten
 
 
 def _lits(values: Sequence[str]):
@@ -43,7 +43,9 @@ def tier(scored: DataFrame, threshold: float = THRESHOLD,
 def is_apology(text: str = "text"):
     """A2: a whitespace token equal to "sorry" and "toxic" anywhere (lower-cased)."""
     low = F.lower(F.col(text))
-    return F.array_contains(words(low), APOLOGY_TOKEN) & low.contains(APOLOGY_SUBSTRING)
+    # a whitespace-delimited token equal to the word, without splitting the text
+    token = low.rlike(rf"(^|\s){APOLOGY_TOKEN}(\s|$)")
+    return low.contains(APOLOGY_SUBSTRING) & token
 
 
 def apology(messages: DataFrame, replies: Sequence[str] = APOLOGY_REPLIES) -> DataFrame:
