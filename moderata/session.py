@@ -48,13 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     machine-local folder would not survive the loss of an executor.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return cur or ""
     if not cur:
-        master = spark.sparkContext.master or ""
+        master = sc.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder")
         cur = tempfile.mkdtemp(prefix="moderata-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+    sc.setCheckpointDir(cur)
     return cur
 
 

@@ -38,8 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     packed in few row groups would otherwise run on one core. Round-robin
     repartitioning is deterministic under task retry (rows are sorted first).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 2 * cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    if splits < 2 * cores:
         return df.repartition(cores)
     return df
 
