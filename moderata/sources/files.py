@@ -32,6 +32,18 @@ def read_training_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE")
     return df
 
 
+def training_csv_to_parquet(spark: SparkSession, src: str, dst: str,
+                            partitions: int | None = None) -> DataFrame:
+    """Convert the training CSV once to Parquet: a multi-line CSV file is read
+    by one task per file, the Parquet copy splits by row group and prunes
+    columns. ``partitions`` spreads the rows before writing (round robin)."""
+    df = read_training_csv(spark, src)
+    if partitions:
+        df = df.repartition(partitions)
+    df.write.mode("overwrite").parquet(dst)
+    return spark.read.parquet(dst)
+
+
 def load_persona_config(path: str = PERSONA_CONFIG) -> dict:
     """The persona configuration is a small file read on the driver."""
     with open(path, encoding="utf-8") as f:

@@ -20,6 +20,8 @@ def test_training_csv(spark):
     assert rows[1].severe_toxic == 0.5 and rows[1].asian is None
     assert rows[2].white == 0.25 and rows[2].funny == 0
     assert "severe_toxicity" not in df.columns
+    pq = FI.training_csv_to_parquet(spark, d, os.path.join(d, "train.parquet"), partitions=2)
+    assert sorted(tuple(r) for r in pq.collect()) == sorted(tuple(r) for r in df.collect())
 
 
 def test_display_name(spark):
