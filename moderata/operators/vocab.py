@@ -146,8 +146,9 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
       (``_accept_batch``), decided from one top-k collect of the ranking.
       ``candidates`` only sets how far a round looks ahead; pairs not taken
       are considered again next round.
-    Words and counts are persisted per round and checkpointed every
-    ``checkpoint_every`` rounds (reliable files under spark.checkpoint.dir).
+    Pair counts are checkpointed every round, the words every
+    ``checkpoint_every`` rounds and persisted in between (reliable files
+    under spark.checkpoint.dir).
     """
     # U+0001 is reserved as the symbol separator; words holding it are skipped
     state = (initial_symbols(words.select("word", "n"))
@@ -178,18 +179,23 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
         counts = (counts.select("p", F.col("count").alias("n")).unionByName(delta)
                   .groupBy("p").agg(F.sum("n").alias("count"))
                   .where(F.col("count") > 0))
-        # words left with one symbol can never merge again
-        state = (state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
-                 .where(F.instr("syms", SEP) > 0))
+        state = state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
         r += 1
+        # The pair counts (one row per distinct adjacent pair, small next to
+        # the words) are checkpointed every round: each round's plan refers to
+        # the previous round's, and cached plans carry their history in their
+        # descriptions, which would otherwise double round after round.
+        counts = counts.checkpoint(eager=True)
         if r % checkpoint_every == 0:
-            state, counts = state.checkpoint(eager=True), counts.checkpoint(eager=True)
+            # words left with one symbol can never merge again: drop them where
+            # the plan is cut anyway
+            state = state.where(F.instr("syms", SEP) > 0).checkpoint(eager=True)
             for h in held:
                 h.unpersist()
             held = []
         else:
-            state, counts = state.persist(), counts.persist()
-            held += [state, counts]
+            state = state.persist()
+            held.append(state)
     for h in held:
         h.unpersist()
     return merges[:n_merges]
