@@ -13,6 +13,9 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    # a small driver heap, like a default session: plan or driver-side memory
+    # growth shows up here instead of on a cluster
+    os.environ.setdefault("MODERATA_DRIVER_MEM", "2g")
     from moderata.session import local_session
     s = local_session("*", 8, "moderata-tests")
     yield s
