@@ -28,29 +28,32 @@ def positional_encoding(df: DataFrame, pos_col: str, dims: int = 128) -> DataFra
     return df.withColumn("pos_enc", cyclic_encoding(F.col(pos_col).cast("double"), dims))
 
 
-def vector_pool(df: DataFrame, keys: Sequence[str], vec: str = "embedding") -> DataFrame:
-    """Mean and max per dimension over all vectors of a group, long form
-    (keys, pos, mean, max).
+def pooled_vectors(df: DataFrame, keys: Sequence[str], vec: str = "embedding") -> DataFrame:
+    """(keys, mean ARRAY, max ARRAY) per group -- mean ‖ max pooling.
 
-    ``posexplode`` is narrow and the aggregate is a hash aggregate with a
-    partial step, so a hot group costs one partial row per map task and
-    dimension, never a whole group in one task.
+    Whole vectors are aggregated by Spark ML's ``Summarizer`` (partial
+    aggregation per task, then a merge), so no row-per-dimension explode
+    happens before the shuffle and a hot group costs one partial vector per
+    map task.
     """
-    long = df.select(*keys, F.posexplode(vec).alias("pos", "x"))
-    return (long.groupBy(*keys, "pos")
-            .agg(F.avg(F.col("x").cast("double")).alias("mean"),
-                 F.max(F.col("x").cast("double")).alias("max"))
-            .withColumn("pos", F.col("pos").cast("bigint")))
-
-
-def pooled_arrays(pooled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Re-assemble long-form pooled values into (keys, mean ARRAY, max ARRAY),
-    mean ‖ max as in the reference's sequence pooling. One group = one vector,
-    bounded by the vector width."""
-    g = pooled.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "mean", "max"))).alias("v"))
-    return g.select(*keys, F.transform("v", lambda s: s["mean"]).alias("mean"),
-                    F.transform("v", lambda s: s["max"]).alias("max"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    summ = Summarizer.metrics("mean", "max")
+    g = (df.select(*keys, array_to_vector(F.col(vec)).alias("_v"))
+         .groupBy(*keys).agg(summ.summary(F.col("_v")).alias("_s")))
+    return g.select(*keys, vector_to_array(F.col("_s.mean")).alias("mean"),
+                    vector_to_array(F.col("_s.max")).alias("max"))
+
+
+def vector_pool(df: DataFrame, keys: Sequence[str], vec: str = "embedding") -> DataFrame:
+    """T13 in long form (keys, pos, mean, max); only the per-group results
+    are exploded."""
+    both = F.arrays_zip(F.col("mean").alias("mean"), F.col("max").alias("max"))
+    return (pooled_vectors(df, keys, vec)
+            .select(*keys, F.posexplode(both).alias("pos", "m"))
+            .select(*keys, F.col("pos").cast("bigint").alias("pos"),
+                    F.col("m.mean").alias("mean"), F.col("m.max").alias("max")))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -318,8 +318,7 @@ def q_request_validate(spark, sf):
 @query("best_of_n")
 def q_best_of_n(spark, sf):
     emb = TB.table(spark, sf, "embeddings")
-    centroid = FE.pooled_arrays(FE.vector_pool(emb, ["label"]), ["label"]) \
-        .select("label", F.col("mean").alias("query"))
+    centroid = FE.pooled_vectors(emb, ["label"]).select("label", F.col("mean").alias("query"))
     cands = (RQ.score_candidates(emb, centroid, "label")
              .select(F.expr("vec_id div 8").alias("prompt_id"), F.col("vec_id").alias("cand_id"),
                      F.round("score", 6).alias("score")))
