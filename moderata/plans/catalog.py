@@ -458,3 +458,13 @@ def q_score_learned(spark, sf):
 def q_split_exact(spark, sf):
     return LB.split_exact(_train(spark, sf).select("id")).select("id", "split")
 
+
+
+@query("stream_actions")
+def q_stream_actions(spark, sf):
+    cfg, per = _personas(spark)
+    base = scratch_path(spark, "stream-actions")
+    ST.run_to_end(ST.start_actions(_stream_source(spark, sf), f"{base}/actions", f"{base}/_ck",
+                                   per, cfg["user"].get("all", []),
+                                   cfg["user"].get("p_default", 0.2), _n_personas(cfg)))
+    return spark.read.parquet(f"{base}/actions").drop("batch_id")

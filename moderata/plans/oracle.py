@@ -303,9 +303,9 @@ def _pick(lst: str, salt: str) -> str:
     return f"CASE WHEN len({lst}) > 0 THEN list_extract({lst}, ({h_int('message_id', salt)} % len({lst}) + 1)::INTEGER) END"
 
 
-def _tier_sql() -> str:
+def _tier_sql(scored_src: str | None = None) -> str:
     from ..functions.classes import IDENTITY_REACTION, PLAIN_REACTION, TOXIC_REPLIES
-    return SCORED_DOCS + f""",
+    return (scored_src or SCORED_DOCS) + f""",
 t AS (SELECT message_id, {NOVER} AS n_flags, identity_attack > 0.5 AS ia FROM scored),
 t2 AS (SELECT message_id, n_flags, CASE WHEN n_flags >= 4 THEN 'reply'
             WHEN n_flags >= 2 AND ia THEN 'react_identity'
@@ -322,9 +322,9 @@ def _():
     return _tier_sql()
 
 
-def _apology_sql() -> str:
+def _apology_sql(messages_sql: str | None = None) -> str:
     from ..functions.classes import APOLOGY_REPLIES
-    return f"""WITH m AS ({DOC_MESSAGES}),
+    return f"""WITH m AS ({messages_sql or DOC_MESSAGES}),
 a AS (SELECT message_id, list_contains(regexp_split_to_array(lower(text), '\\s+'), 'sorry')
                          AND contains(lower(text), 'toxic') AS apology FROM m)
 SELECT message_id, apology, CASE WHEN apology THEN {_pick(_list(APOLOGY_REPLIES), 'apology_reply')} END AS reply
@@ -336,7 +336,7 @@ def _():
     return _apology_sql()
 
 
-def _persona_sql() -> str:
+def _persona_sql(messages_sql: str | None = None) -> str:
     from ..sources.files import load_persona_config, persona_rows
     cfg = load_persona_config()
     vals = ", ".join(
@@ -344,7 +344,7 @@ def _persona_sql() -> str:
         for a, n, p, r in persona_rows(cfg))
     pool_all = _list(cfg["user"].get("all", []))
     p_def = float(cfg["user"].get("p_default", 0.2))
-    return f"""WITH m AS ({DOC_MESSAGES}),
+    return f"""WITH m AS ({messages_sql or DOC_MESSAGES}),
 per(author, name, p, resps) AS (VALUES {vals}),
 j AS (SELECT m.message_id, m.author, per.name, coalesce(per.p, {p_def}::DOUBLE) AS p,
              list_concat({pool_all}, coalesce(per.resps, CAST([] AS VARCHAR[]))) AS pool
@@ -651,3 +651,20 @@ t AS (SELECT request_id, pos, CAST(author AS VARCHAR) AS nm, {cols}
       FROM req JOIN g USING (guild) WHERE len(mentions) = 0)
 SELECT request_id, regexp_replace(string_agg({block}, '' ORDER BY pos), '\\s+$', '') AS report
 FROM t GROUP BY request_id"""
+
+
+def _routed(messages_sql: str) -> str:
+    """Messages that reach the scorer: eligible (no bot user here) and not an
+    image prompt."""
+    return (f"SELECT * FROM ({messages_sql}) WHERE {_gate()} IS NULL AND NOT {IS_IMAGE}")
+
+
+@sql("stream_actions")
+def _():
+    routed = _routed(EVENT_MESSAGES)
+    return f"""WITH t AS ({_tier_sql("WITH" + _fixture(routed))}),
+a AS ({_apology_sql(routed)}),
+p AS ({_persona_sql(routed)})
+SELECT message_id, tier AS action, payload FROM t WHERE tier <> 'none'
+UNION ALL SELECT message_id, 'apology', reply FROM a WHERE apology
+UNION ALL SELECT message_id, 'persona', reply FROM p WHERE fired"""

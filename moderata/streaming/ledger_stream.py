@@ -124,3 +124,28 @@ def dropped_by_watermark(query) -> int:
             v = s["numRowsDroppedByWatermark"] if isinstance(s, dict) else s.numRowsDroppedByWatermark
             total += int(v or 0)
     return total
+
+
+def start_actions(messages: DataFrame, out: str, checkpoint: str, personas: DataFrame,
+                  pool_all=(), p_default: float = 0.2, n_personas: int | None = None,
+                  scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
+                  bot_user_id: int | None = None, available_now: bool = True):
+    """S9 as a stream: per micro-batch, route (gates, image prompts), score and
+    derive the action rows (tiers, apologies, persona replies) with the batch
+    operators. The micro-batch is persisted once for the three branches and
+    written to ``batch_id=N`` (overwrite), so a replayed batch is harmless."""
+    from ..operators import actions as A
+    from ..operators import routing as R
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        b = batch.persist()
+        try:
+            routed = R.to_score(b, bot_user_id)
+            acts = A.actions(scorer(routed), routed, personas, pool_all, p_default,
+                             n_personas=n_personas)
+            FI.write_batch(acts, out, batch_id)
+        finally:
+            b.unpersist()
+
+    return _start(deduplicated(messages, watermark), "append", checkpoint, write,
+                  available_now=available_now)

@@ -96,3 +96,23 @@ def test_compaction_keeps_the_current_table(spark):
     assert FI.compact(spark, work, ["guild", "author"]) == 3      # builds on snapshot 2
     again = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
     assert again == later
+
+
+def test_action_stream_equals_batch_under_replay(spark):
+    from moderata.operators import actions as A
+    from moderata.operators import routing as R
+    from moderata.sources import files as FI
+    cfg = FI.load_persona_config()
+    per = FI.personas(spark, cfg)
+    work = tempfile.mkdtemp(prefix="moderata-acts-", dir="/tmp")
+    src = os.path.join(work, "src")
+    os.makedirs(src)
+    for name in ("a", "b"):  # the same events twice
+        shutil.copy(f"{SF001}/events.parquet", os.path.join(src, f"{name}.parquet"))
+    msgs = ST.event_source(spark, src, max_files_per_trigger=1)
+    ST.run_to_end(ST.start_actions(msgs, f"{work}/acts", f"{work}/ck", per,
+                                   cfg["user"]["all"], cfg["user"]["p_default"]))
+    got = spark.read.parquet(f"{work}/acts").drop("batch_id")
+    m = R.to_score(TB.messages_from_events(TB.table(spark, SF001, "events")))
+    want = A.actions(TB.fixture_scores(m), m, per, cfg["user"]["all"], cfg["user"]["p_default"])
+    assert _rows(got) == _rows(want)
