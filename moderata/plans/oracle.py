@@ -148,6 +148,12 @@ IS_IMAGE = ("(starts_with(lower(text), 'toxic show me ') "
 PROMPT = "regexp_extract(text, '(?is)^toxic(bot)? show me (.*)$', 2)"
 
 
+def _routed(messages_sql: str) -> str:
+    """Messages that reach the scorer: eligible (no bot user here) and not an
+    image prompt."""
+    return (f"SELECT * FROM ({messages_sql}) WHERE {_gate()} IS NULL AND NOT {IS_IMAGE}")
+
+
 @sql("eligible")
 def _():
     return f"WITH m AS ({CONV_MESSAGES})\nSELECT message_id, guild, author, {_gate('0')} AS reason FROM m"
@@ -603,12 +609,12 @@ FROM p GROUP BY 1, 2"""
 
 @sql("stream_ledger")
 def _():
-    return ledger_cte(SCORED_EVENTS) + "\nSELECT * FROM users"
+    return ledger_cte("WITH" + _fixture(_routed(EVENT_MESSAGES))) + "\nSELECT * FROM users"
 
 
 @sql("stream_last_message")
 def _():
-    return f"""WITH m AS ({EVENT_MESSAGES})
+    return f"""WITH m AS ({_routed(EVENT_MESSAGES)})
 SELECT guild, author, channel, arg_max(message_id, struct_pack(a := ts, b := message_id)) AS message_id,
        arg_max(text, struct_pack(a := ts, b := message_id)) AS text
 FROM m GROUP BY guild, author, channel"""
@@ -616,7 +622,7 @@ FROM m GROUP BY guild, author, channel"""
 
 @sql("stream_history")
 def _():
-    return SCORED_EVENTS + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} " \
+    return "WITH" + _fixture(_routed(EVENT_MESSAGES)) + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} " \
                            f"FROM scored WHERE {MAXS} > 0.5"
 
 
@@ -653,12 +659,6 @@ SELECT request_id, regexp_replace(string_agg({block}, '' ORDER BY pos), '\\s+$',
 FROM t GROUP BY request_id"""
 
 
-def _routed(messages_sql: str) -> str:
-    """Messages that reach the scorer: eligible (no bot user here) and not an
-    image prompt."""
-    return (f"SELECT * FROM ({messages_sql}) WHERE {_gate()} IS NULL AND NOT {IS_IMAGE}")
-
-
 @sql("stream_actions")
 def _():
     routed = _routed(EVENT_MESSAGES)

@@ -75,23 +75,30 @@ def _start(df: DataFrame, mode: str, checkpoint: str, writer=None, path: str | N
     return w.format("parquet").option("path", path).start()
 
 
+def scorable(messages: DataFrame, watermark: str, bot_user_id: int | None = None) -> DataFrame:
+    """Deduplicated messages that pass the gates and are not image prompts:
+    only these are scored and recorded."""
+    from ..operators import routing as R
+    return R.to_score(deduplicated(messages, watermark), bot_user_id)
+
+
 def start_counters(messages: DataFrame, out: str, checkpoint: str,
                    scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
-                   available_now: bool = True):
-    counts = L.ledger(scorer(deduplicated(messages, watermark)))
+                   available_now: bool = True, bot_user_id: int | None = None):
+    counts = L.ledger(scorer(scorable(messages, watermark, bot_user_id)))
     return _start(counts, "update", checkpoint, _batch_writer(out), available_now=available_now)
 
 
 def start_latest(messages: DataFrame, out: str, checkpoint: str, watermark: str = "30 days",
-                 available_now: bool = True):
-    latest = L.last_message(deduplicated(messages, watermark))
+                 available_now: bool = True, bot_user_id: int | None = None):
+    latest = L.last_message(scorable(messages, watermark, bot_user_id))
     return _start(latest, "update", checkpoint, _batch_writer(out), available_now=available_now)
 
 
 def start_history(messages: DataFrame, out: str, checkpoint: str,
                   scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
-                  available_now: bool = True):
-    hist = L.history(scorer(deduplicated(messages, watermark)))
+                  available_now: bool = True, bot_user_id: int | None = None):
+    hist = L.history(scorer(scorable(messages, watermark, bot_user_id)))
     return _start(hist, "append", checkpoint, path=out, available_now=available_now)
 
 
