@@ -1,0 +1,7 @@
+"""moderata: message-moderation analytics on Spark.
+
+Operators are DataFrame -> DataFrame functions in ``moderata.operators``;
+sources, sinks and schemas in ``moderata.sources``; column helpers and fixed
+values in ``moderata.functions``; streaming queries in ``moderata.streaming``;
+the registered, oracle-checked queries in ``moderata.plans``.
+"""
