@@ -468,3 +468,25 @@ def q_stream_actions(spark, sf):
                                    per, cfg["user"].get("all", []),
                                    cfg["user"].get("p_default", 0.2), _n_personas(cfg)))
     return spark.read.parquet(f"{base}/actions").drop("batch_id")
+
+
+@query("lookup_users")
+def q_lookup_users(spark, sf):
+    """every mentioned (guild, author) looked up in the ledger at once
+    (a join with the key table; unknown and NULL keys give no row)."""
+    reqs = TB.stats_requests_from_documents(TB.table(spark, sf, "documents"))
+    keys = (R.stats_targets(reqs).where(F.col("kind") == "user")
+            .select("request_id", F.col("pos").cast("bigint").alias("pos"), "guild", "author"))
+    return L.lookup(_users(spark, sf), keys)
+
+
+@query("reply_pick")
+def q_reply_pick(spark, sf):
+    """A3: the repeatable choice from each reply list, for every message."""
+    from ..functions.classes import APOLOGY_REPLIES, TOXIC_REPLIES
+    from ..functions.columns import pick
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return TB.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("message_id"),
+        pick(lit(TOXIC_REPLIES), "doc_id", "toxic_reply").alias("toxic_reply"),
+        pick(lit(APOLOGY_REPLIES), "doc_id", "apology_reply").alias("apology_reply"))

@@ -668,3 +668,21 @@ p AS ({_persona_sql(routed)})
 SELECT message_id, tier AS action, payload FROM t WHERE tier <> 'none'
 UNION ALL SELECT message_id, 'apology', reply FROM a WHERE apology
 UNION ALL SELECT message_id, 'persona', reply FROM p WHERE fired"""
+
+
+@sql("lookup_users")
+def _():
+    return ledger_cte() + f""",
+req AS ({STATS_REQUESTS}),
+ment AS (SELECT request_id, guild, unnest(mentions) AS author,
+                unnest(generate_series(0, len(mentions) - 1)) AS pos FROM req)
+SELECT m.request_id, m.pos::BIGINT AS pos, m.guild, m.author, u.* EXCLUDE (guild, author)
+FROM ment m JOIN users u USING (guild, author)"""
+
+
+@sql("reply_pick")
+def _():
+    from ..functions.classes import APOLOGY_REPLIES, TOXIC_REPLIES
+    t = _pick(_list(TOXIC_REPLIES), "toxic_reply").replace("message_id", "doc_id")
+    a = _pick(_list(APOLOGY_REPLIES), "apology_reply").replace("message_id", "doc_id")
+    return f"SELECT doc_id AS message_id, {t} AS toxic_reply, {a} AS apology_reply FROM documents"
