@@ -490,3 +490,10 @@ def q_reply_pick(spark, sf):
         F.col("doc_id").alias("message_id"),
         pick(lit(TOXIC_REPLIES), "doc_id", "toxic_reply").alias("toxic_reply"),
         pick(lit(APOLOGY_REPLIES), "doc_id", "apology_reply").alias("apology_reply"))
+
+
+@query("training_frame")
+def q_training_frame(spark, sf):
+    """S1 stand-in: the training schema (text, 7 soft toxicity labels, 24
+    nullable identity labels, 5 reaction counts) derived from the tables."""
+    return _train(spark, sf)

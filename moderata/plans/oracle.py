@@ -686,3 +686,8 @@ def _():
     t = _pick(_list(TOXIC_REPLIES), "toxic_reply").replace("message_id", "doc_id")
     a = _pick(_list(APOLOGY_REPLIES), "apology_reply").replace("message_id", "doc_id")
     return f"SELECT doc_id AS message_id, {t} AS toxic_reply, {a} AS apology_reply FROM documents"
+
+
+@sql("training_frame")
+def _():
+    return f"WITH {_training_cte()}\nSELECT * FROM tf"
