@@ -305,8 +305,9 @@ def q_vector_pool(spark, sf):
 # image requests
 # --------------------------------------------------------------------------
 
-def _requests(spark, sf):
-    return TB.image_requests_from_documents(TB.table(spark, sf, "documents"))
+def _requests(spark, sf, text=False):
+    read = TB.text_table if text else TB.table  # the prompt is scored in safety_gate
+    return TB.image_requests_from_documents(read(spark, sf, "documents"))
 
 
 @query("request_validate")
@@ -327,7 +328,7 @@ def q_best_of_n(spark, sf):
 
 @query("safety_gate")
 def q_safety_gate(spark, sf):
-    v = RQ.validate(_requests(spark, sf)).where("valid")
+    v = RQ.validate(_requests(spark, sf, text=True)).where("valid")
     s = SC.lexicon_scores(v.select("request_id", F.col("prompt").alias("text")))
     flagged = s.select("request_id", (F.greatest("obscene", "sexual_explicit") > 0.5).alias("nsfw"))
     return RQ.safety_gate(flagged).select("request_id", "status", "message")
