@@ -49,3 +49,17 @@ def test_metrics_are_one_global_aggregate(spark, name):
 def test_stats_requests_aggregates_messages_once(spark):
     p = plan(spark, "stats_requests")
     assert p.count("Expand") == 1  # one grouping-sets aggregate for users and guilds
+
+
+def test_vector_pool_aggregates_whole_vectors(spark):
+    p = plan(spark, "vector_pool")
+    # the explode (Generate) happens after the aggregation, above the shuffle
+    before_shuffle = p[p.index("Exchange"):]
+    assert "Generate" not in before_shuffle
+    assert "Generate" in p[:p.index("Exchange")]
+
+
+def test_best_of_n_has_no_regrouping(spark):
+    p = plan(spark, "best_of_n")
+    assert "collect_list" not in p
+    assert "max_by" in p
