@@ -9,9 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.classes import CLASSES, IDENTITY_COLUMNS
+from ..operators import actions as A
+from ..operators import features as FE
+from ..operators import labels as LB
 from ..operators import ledger as L
+from ..operators import requests as RQ
+from ..operators import routing as R
+from ..operators import scoring as SC
+from ..operators import training as TR
+from ..operators import vocab as VO
+from ..session import scratch_path
+from ..sources import files as FI
 from ..sources import tables as TB
+from ..streaming import ledger_stream as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,12 +78,6 @@ def q_category_counts(spark, sf):
 # routing
 # --------------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..operators import actions as A  # noqa: E402
-from ..operators import routing as R  # noqa: E402
-from ..operators import scoring as SC  # noqa: E402
-from ..sources import files as FI  # noqa: E402
 
 CONV_BOT_USER = 0  # the assistant's role code: its turns are the bot's own
 
@@ -154,13 +161,11 @@ def q_stats_request_report(spark, sf):
 
 @query("score_lexicon")
 def q_score_lexicon(spark, sf):
-    from ..functions.classes import CLASSES
     return SC.lexicon_scores(_docs(spark, sf)).select("message_id", *CLASSES)
 
 
 @query("score_case_max")
 def q_score_case_max(spark, sf):
-    from ..functions.classes import CLASSES
     return SC.case_max_scores(_docs(spark, sf)).select("message_id", *CLASSES)
 
 
@@ -231,11 +236,6 @@ def q_stats_report(spark, sf):
 # training data, losses, metrics
 # --------------------------------------------------------------------------
 
-from ..functions.classes import CLASSES, IDENTITY_COLUMNS  # noqa: E402
-from ..operators import features as FE  # noqa: E402
-from ..operators import labels as LB  # noqa: E402
-from ..operators import requests as RQ  # noqa: E402
-
 
 def _train(spark, sf):
     return TB.training_frame(spark, sf)
@@ -338,7 +338,6 @@ def q_safety_gate(spark, sf):
 # vocabulary learning and encoding
 # --------------------------------------------------------------------------
 
-from ..operators import vocab as VO  # noqa: E402
 
 BPE_MERGES = 32        # merges learned by the registered check (a parameter)
 HEAD_IDS, TAIL_IDS, PAD_TO = 256, 128, 256
@@ -399,9 +398,6 @@ def q_pad_mask(spark, sf):
 # streaming (run to completion with availableNow, then read the sink)
 # --------------------------------------------------------------------------
 
-from ..session import scratch_path  # noqa: E402
-from ..streaming import ledger_stream as ST  # noqa: E402
-
 
 def _stream_source(spark, sf):
     return ST.event_source(spark, sf, glob="events.parquet")
@@ -432,8 +428,6 @@ def q_stream_history(spark, sf):
 # training and the learned scorer
 # --------------------------------------------------------------------------
 
-from ..operators import training as TR  # noqa: E402
-
 
 def _fit(spark, sf):
     t = LB.split_hash(_train(spark, sf))
@@ -460,7 +454,6 @@ def q_split_exact(spark, sf):
     return LB.split_exact(_train(spark, sf).select("id")).select("id", "split")
 
 
-
 @query("stream_actions")
 def q_stream_actions(spark, sf):
     cfg, per = _personas(spark)
