@@ -240,3 +240,16 @@ def test_lexicon_join_path_equals_inline(spark):
     big.update({f"zzterm{i}": {"toxic": 1.0} for i in range(SC.MAX_INLINE_TERMS)})
     c = sorted(tuple(r) for r in SC.lexicon_scores(msgs, big).select("message_id", *CLASSES).collect())
     assert c == a
+
+
+def test_reference_intents_prediction_logits_and_one_message(spark):
+    """The reference's three unit tests, by intent: a prediction gives seven
+    values in [0, 1]; logits give seven values; one message gives one row."""
+    from moderata.operators import scoring as SC
+    m = messages(spark, [(1, "200", "100", 1234, False, "Hello world")])
+    p = SC.case_max_scores(m).select(*CLASSES).collect()[0]
+    assert len(p) == 7 and all(0.0 <= v <= 1.0 for v in p)
+    lg = SC.case_max_scores(m, logits=True).select(*CLASSES).collect()[0]
+    assert len(lg) == 7
+    users = L.ledger(SC.lexicon_scores(m)).collect()
+    assert len(users) == 1 and users[0].total_seen == 1 and users[0].guild == "200"
