@@ -75,28 +75,51 @@ def _start(df: DataFrame, mode: str, checkpoint: str, writer=None, path: str | N
     return w.format("parquet").option("path", path).start()
 
 
-def scorable(messages: DataFrame, watermark: str, bot_user_id: int | None = None) -> DataFrame:
+def scorable(messages: DataFrame, watermark: str | None, bot_user_id: int | None = None
+             ) -> DataFrame:
     """Deduplicated messages that pass the gates and are not image prompts:
-    only these are scored and recorded."""
+    only these are scored and recorded. ``watermark=None`` skips the dedup
+    (for a feed that ``start_clean_feed`` already deduplicated)."""
     from ..operators import routing as R
-    return R.to_score(deduplicated(messages, watermark), bot_user_id)
+    src = messages if watermark is None else deduplicated(messages, watermark)
+    return R.to_score(src, bot_user_id)
+
+
+def start_clean_feed(messages: DataFrame, out: str, checkpoint: str,
+                     watermark: str = "30 days", bot_user_id: int | None = None,
+                     available_now: bool = True):
+    """Two-stage form, first stage: deduplicate and route once, append the
+    messages that will be scored to a Parquet feed (exactly-once file sink).
+    The ledger, latest, history and action streams then read the feed with
+    ``feed_source`` and ``watermark=None``: the source is read and the dedup
+    state kept once, not once per downstream stream."""
+    return _start(scorable(messages, watermark, bot_user_id), "append", checkpoint, path=out,
+                  available_now=available_now)
+
+
+def feed_source(spark: SparkSession, directory: str,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    r = spark.readStream.schema(schemas.MESSAGE)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(directory)
 
 
 def start_counters(messages: DataFrame, out: str, checkpoint: str,
-                   scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
+                   scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
                    available_now: bool = True, bot_user_id: int | None = None):
     counts = L.ledger(scorer(scorable(messages, watermark, bot_user_id)))
     return _start(counts, "update", checkpoint, _batch_writer(out), available_now=available_now)
 
 
-def start_latest(messages: DataFrame, out: str, checkpoint: str, watermark: str = "30 days",
+def start_latest(messages: DataFrame, out: str, checkpoint: str, watermark: str | None = "30 days",
                  available_now: bool = True, bot_user_id: int | None = None):
     latest = L.last_message(scorable(messages, watermark, bot_user_id))
     return _start(latest, "update", checkpoint, _batch_writer(out), available_now=available_now)
 
 
 def start_history(messages: DataFrame, out: str, checkpoint: str,
-                  scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
+                  scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
                   available_now: bool = True, bot_user_id: int | None = None):
     hist = L.history(scorer(scorable(messages, watermark, bot_user_id)))
     return _start(hist, "append", checkpoint, path=out, available_now=available_now)
@@ -135,7 +158,7 @@ def dropped_by_watermark(query) -> int:
 
 def start_actions(messages: DataFrame, out: str, checkpoint: str, personas: DataFrame,
                   pool_all=(), p_default: float = 0.2, n_personas: int | None = None,
-                  scorer: Scorer = TB.fixture_scores, watermark: str = "30 days",
+                  scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
                   bot_user_id: int | None = None, available_now: bool = True):
     """S9 as a stream: per micro-batch, route (gates, image prompts), score and
     derive the action rows (tiers, apologies, persona replies) with the batch
@@ -154,5 +177,5 @@ def start_actions(messages: DataFrame, out: str, checkpoint: str, personas: Data
         finally:
             b.unpersist()
 
-    return _start(deduplicated(messages, watermark), "append", checkpoint, write,
-                  available_now=available_now)
+    src = messages if watermark is None else deduplicated(messages, watermark)
+    return _start(src, "append", checkpoint, write, available_now=available_now)
