@@ -491,3 +491,13 @@ def q_training_frame(spark, sf):
     """S1 stand-in: the training schema (text, 7 soft toxicity labels, 24
     nullable identity labels, 5 reaction counts) derived from the tables."""
     return _train(spark, sf)
+
+
+@query("bpe_vocab")
+def q_bpe_vocab(spark, sf):
+    """T5 output: token -> id (special tokens, alphabet by code point, merges
+    in creation order). Bounded by the vocabulary size parameter."""
+    _, merges, alpha = _learn(spark, sf)
+    vocab = VO.vocabulary(alpha, merges)
+    return spark.createDataFrame(sorted(vocab.items(), key=lambda kv: kv[1]),
+                                 "token string, id int")

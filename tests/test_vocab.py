@@ -82,3 +82,14 @@ def test_batched_rounds_equal_sequential_bpe(spark):
     assert VO.learn_merges(spark, words, N_MERGES_LONG) == expected
     one_by_one = VO.learn_merges(spark, words, 40, candidates=1)
     assert one_by_one == expected[:40]
+
+
+def test_vocab_query_layout(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["bpe_vocab"](spark, SF001).orderBy("id").collect()
+    toks = [r.token for r in rows]
+    assert [r.id for r in rows] == list(range(len(rows)))
+    assert toks[:5] == ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
+    merges = E.queries()["bpe_merges"](spark, SF001).orderBy("rank").collect()
+    tail = list(dict.fromkeys(m.token for m in merges))  # first occurrence keeps its id
+    assert toks[-len(tail):] == tail
