@@ -3,14 +3,18 @@
 Learning (T5)
   1. one pass over the corpus: pre-tokenise (words or punctuation runs) and
      ``groupBy(word).count()`` -- a hash aggregate with partial aggregation;
-  2. every later step works on the *distinct* words with their counts:
-     each round counts adjacent symbol pairs weighted by word count
-     (``groupBy(pair).sum``), takes the best pair (count desc, then left,
-     right ascending) with a top-1 (no global sort), and rewrites the symbol
-     strings with one narrow ``regexp_replace``.
-  Lineage is cut with ``checkpoint()`` every few rounds (files under the
-  session's ``spark.checkpoint.dir``), so a lost executor recomputes at most
-  a few rounds. One merge per round is the exact algorithm.
+  2. every later step works on the *distinct* words with their counts. The
+     adjacent-pair counts are built once and then updated incrementally: a
+     merge changes only the words holding the merged pair, so a round
+     explodes just those (old pairs -n, new pairs +n). Each round collects
+     only the top of the pair ranking (count desc, then left, right; a
+     ``limit``, no global sort) and takes every merge that sequential BPE
+     provably takes next (see ``_accept_batch``) -- the result equals one
+     merge at a time. Words are rewritten with one narrow ``regexp_replace``
+     per merge.
+  Pair counts are checkpointed every round and the words every few rounds
+  (files under the session's ``spark.checkpoint.dir``), so a lost executor
+  recomputes at most a few rounds and plans stay small.
 
 Encoding (T6)
   The learned merges are bounded by the vocabulary size parameter, so they
@@ -156,7 +160,7 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
              .select("n", "syms").checkpoint(eager=True))
     counts = _pair_key_counts(state).checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
-    held: list[DataFrame] = []  # persisted frames since the last checkpoint
+    held: list[DataFrame] = []  # persisted word states since the last checkpoint
     r = 0
     while len(merges) < n_merges:
         look = max(4 * candidates, 256)
@@ -186,6 +190,10 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
         # the previous round's, and cached plans carry their history in their
         # descriptions, which would otherwise double round after round.
         counts = counts.checkpoint(eager=True)
+        # building the counts read the previous words in full, so that copy is
+        # cached now; older copies are no longer needed
+        while len(held) > 1:
+            held.pop(0).unpersist()
         if r % checkpoint_every == 0:
             # words left with one symbol can never merge again: drop them where
             # the plan is cut anyway
