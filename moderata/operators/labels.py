@@ -1,8 +1,10 @@
 """Training-data preparation, losses and evaluation metrics.
 
-Wide label sets are handled in long format (one row per example and label)
-so every step is a plain projection or a hash aggregate with map-side
-partial aggregation; nothing is collected per example or per class.
+Label preparation is per row (projections, ``stack`` to long form where a
+table per label is wanted). Losses and metrics are one global aggregate over
+wide rows (one row per example): a single pass with a partial aggregate per
+task, no shuffle by example or class. The exact hold-out uses two bounded
+histograms instead of a global window.
 """
 
 from __future__ import annotations

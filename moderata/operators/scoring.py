@@ -2,8 +2,10 @@
 
 Two scorers:
 * ``lexicon_scores`` (M4): logit = bias + sum of term weights, per class.
-  The lexicon is a bounded parameter, inlined into the plan as map literals,
-  so scoring is a per-row expression: no join, no shuffle, whole-stage codegen.
+  Up to ``MAX_INLINE_TERMS`` terms the lexicon is inlined into the plan (a
+  hash-set ``IN`` and map literals), so scoring is a per-row expression with
+  the text tokenised once: no join, no shuffle. Larger lexicons go through
+  ``lexicon_scores_join`` (an equi-join with the term table).
 * ``case_max_scores`` (M2/M3): the same scorer on the text as is, upper- and
   lower-cased; the largest logit per class wins, then the sigmoid (monotone,
   so max before or after agrees). Three expressions + ``greatest``: no shuffle.

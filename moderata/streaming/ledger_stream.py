@@ -1,23 +1,27 @@
-"""The incident ledger as Structured Streaming queries.
-
-Three queries read the same message source:
-
-* counters  (update mode): dedup -> score -> ``ledger`` aggregate. Spark's
-  state store keeps the running counters; ``foreachBatch`` writes the changed
-  keys with their *absolute* values to ``users/batch_id=N`` (overwriting that
-  folder), so a replayed micro-batch rewrites the same rows instead of adding
-  them twice. Current table = latest batch per key (``latest_by_batch``).
-* latest    (update mode): dedup -> ``max_by`` latest message per
-  (guild, author, channel), same sink pattern.
-* history   (append mode): dedup -> score -> incident rows -> Parquet file
-  sink (exactly-once through the sink's commit log).
-
-Duplicates: a source may be re-read, so every query drops repeated message
-ids within a watermark (``dropDuplicatesWithinWatermark``); its state is
-bounded by the watermark. Counter state is bounded by the number of keys.
-Rows later than the watermark are dropped by Spark and reported in the query
-progress (``numRowsDroppedByWatermark``): choose it longer than the longest
-expected delay.
+"""The incident ledger and the reactions as Structured Streaming queries.
+
+Streams over the same messages (each passes the gates and routing first):
+
+* counters  (update mode): score -> ``ledger`` aggregate. Spark's state store
+  (RocksDB unless configured otherwise) keeps the running counters;
+  ``foreachBatch`` writes the changed keys with their *absolute* values to
+  ``users/batch_id=N`` (overwriting that folder), so a replayed micro-batch
+  rewrites the same rows instead of adding them twice. Current table = the
+  newest snapshot (``files.compact``) plus later batches, latest per key.
+* latest    (update mode): ``max_by`` latest message per (guild, author,
+  channel), same sink pattern.
+* history   (append mode): incident rows -> Parquet file sink (exactly-once
+  through the sink's commit log).
+* actions   (foreachBatch): tiers, apologies and persona replies computed per
+  micro-batch with the batch operators, written per batch id.
+
+Duplicates: a source may be re-read, so repeated message ids are dropped
+within a watermark (``dropDuplicatesWithinWatermark``); that state is bounded
+by the watermark, counter state by the number of keys. Rows later than the
+watermark are dropped by Spark and reported in the query progress
+(``numRowsDroppedByWatermark``). In the two-stage form ``start_clean_feed``
+deduplicates and routes once into a Parquet feed that the other streams read
+with ``watermark=None``.
 """
 
 from __future__ import annotations
