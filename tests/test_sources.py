@@ -28,3 +28,14 @@ def test_display_name(spark):
     r = spark.createDataFrame([("joe", "1234")], "n string, d string") \
         .select(display_name("n", "d").alias("x")).collect()[0]
     assert r.x == "joe#1234"
+
+
+def test_spread_is_a_no_op_for_many_splits(spark):
+    from moderata.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10_000, 1, 4 * cores)
+    assert spread(many) is many                     # enough splits: untouched
+    one = spark.range(0, 10_000, 1, 1)
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in spread_one.collect()) == list(range(10_000))
