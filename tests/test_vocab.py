@@ -93,3 +93,14 @@ def test_vocab_query_layout(spark):
     merges = E.queries()["bpe_merges"](spark, SF001).orderBy("rank").collect()
     tail = list(dict.fromkeys(m.token for m in merges))  # first occurrence keeps its id
     assert toks[-len(tail):] == tail
+
+
+def test_spark_and_python_pretokenisers_agree_on_sf001(spark):
+    """Words are learned with Spark's tokeniser and encoded with Python's:
+    both must split every text of the larger fixture the same way."""
+    from conftest import SF01
+    texts = [t for (t,) in duckdb.sql(
+        f"SELECT text FROM '{SF01}/documents.parquet' ORDER BY doc_id").fetchall()]
+    got = [r.t for r in TB.table(spark, SF01, "documents").orderBy("doc_id")
+           .select(F.regexp_extract_all("text", F.lit(VO.WORD_PATTERN), 0).alias("t")).collect()]
+    assert got == [VO._pretokenize(t) for t in texts]
