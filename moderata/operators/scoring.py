@@ -103,6 +103,19 @@ def lexicon_table(spark, lexicon: Mapping[str, Mapping[str, float]]) -> DataFram
     return spark.createDataFrame(rows, "term string, class string, weight double")
 
 
+def _join_sums(messages: DataFrame, lex: DataFrame, text: Column, key: str,
+               prefix: str) -> DataFrame:
+    """Adds ``<prefix><class>`` = summed weights of the text's terms (0 if none)."""
+    toks = messages.select(key, F.explode(tokens(text, TERM_PATTERN)).alias("term"))
+    sums = (toks.join(lex, "term")
+            .groupBy(key).pivot("class", CLASSES).agg(F.sum("weight")))
+    out = messages.join(sums.select(key, *[F.col(c).alias(prefix + c) for c in CLASSES]),
+                        key, "left")
+    for c in CLASSES:
+        out = out.withColumn(prefix + c, F.coalesce(F.col(prefix + c), F.lit(0.0)))
+    return out
+
+
 def lexicon_scores_join(messages: DataFrame, lex: DataFrame, bias=DEFAULT_BIAS,
                         text: str = "text", decimals: int | None = 6,
                         key: str = "message_id") -> DataFrame:
@@ -110,15 +123,10 @@ def lexicon_scores_join(messages: DataFrame, lex: DataFrame, bias=DEFAULT_BIAS,
     with the (term, class, weight) table -- AQE broadcasts it when its
     measured size allows, else shuffles both sides and splits skewed terms --
     then summed per message (partial aggregation) and joined back by key."""
-    toks = messages.select(key, F.explode(tokens(F.lower(F.col(text)), TERM_PATTERN)).alias("term"))
-    sums = (toks.join(lex, "term")
-            .groupBy(key).pivot("class", CLASSES).agg(F.sum("weight")))
-    out = messages.join(sums.select(key, *[F.col(c).alias("_s_" + c) for c in CLASSES]),
-                        key, "left")
+    out = _join_sums(messages, lex, F.lower(F.col(text)), key, "_s_")
     cols = []
     for c in CLASSES:
-        z = F.lit(float(bias.get(c, 0.0))) + F.coalesce(F.col("_s_" + c), F.lit(0.0))
-        p = sigmoid(z)
+        p = sigmoid(F.lit(float(bias.get(c, 0.0))) + F.col("_s_" + c))
         cols.append((F.round(p, decimals) if decimals is not None else p).alias(c))
     return out.select(*[F.col(c) for c in messages.columns if c not in CLASSES], *cols)
 
@@ -146,8 +154,17 @@ def case_max_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_B
     model sees each variant as it is."""
     t = F.col(text)
     x = messages
-    for tag, v in (("o", t), ("u", F.upper(t)), ("l", F.lower(t))):
-        x = with_lexicon_logits(x, v, f"_lg{tag}_", lexicon, bias, tag)
+    variants = (("o", t), ("u", F.upper(t)), ("l", F.lower(t)))
+    if len(lexicon) > MAX_INLINE_TERMS:  # join path, one join per case variant
+        lex = lexicon_table(messages.sparkSession, lexicon)
+        for tag, v in variants:
+            x = _join_sums(x, lex, v, "message_id", f"_s{tag}_")
+            for c in CLASSES:
+                x = x.withColumn(f"_lg{tag}_{c}",
+                                 F.lit(float(bias.get(c, 0.0))) + F.col(f"_s{tag}_{c}"))
+    else:
+        for tag, v in variants:
+            x = with_lexicon_logits(x, v, f"_lg{tag}_", lexicon, bias, tag)
     cols = []
     for c in CLASSES:
         z = F.greatest(*[F.col(f"_lg{tag}_{c}") for tag in "oul"])

@@ -253,3 +253,15 @@ def test_reference_intents_prediction_logits_and_one_message(spark):
     assert len(lg) == 7
     users = L.ledger(SC.lexicon_scores(m)).collect()
     assert len(users) == 1 and users[0].total_seen == 1 and users[0].guild == "200"
+
+
+def test_case_max_join_path_equals_inline(spark):
+    from conftest import SF001
+    from moderata.operators import scoring as SC
+    from moderata.sources import tables as TB
+    msgs = TB.messages_from_documents(TB.table(spark, SF001, "documents"))
+    inline = sorted(tuple(r) for r in SC.case_max_scores(msgs).select("message_id", *CLASSES).collect())
+    big = dict(SC.DEFAULT_LEXICON)
+    big.update({f"zzterm{i}": {"toxic": 1.0} for i in range(SC.MAX_INLINE_TERMS)})
+    joined = sorted(tuple(r) for r in SC.case_max_scores(msgs, big).select("message_id", *CLASSES).collect())
+    assert joined == inline
