@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import minhash, pieces, quality
 from .common import table
 
 
@@ -13,5 +13,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {"op3_quality": op3_quality}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op3_quality, op8_minhash, op10_sentencepiece)}
 LLM_SQL: dict[str, str] = {}
