@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pieces, quality
+from . import lines, minhash, mixing, pieces, quality
 from .common import table
 
 
@@ -21,5 +21,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_quality, op8_minhash, op10_sentencepiece)}
-LLM_SQL: dict[str, str] = {}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op8_minhash, op9_mixing, op10_sentencepiece)}
+LLM_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
