@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WHITE, hashed_words, mix64, word_table, written
 
@@ -78,6 +79,10 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return out.view(np.int64)
 
 
+def _told(more: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("more", more)])
+
+
 def _per_text(texts, fill):
     """Columns n, d1, d2 of each text's set, and fill(set) for texts with words."""
     n = len(texts)
@@ -92,21 +97,21 @@ def _per_text(texts, fill):
     return pd.DataFrame({"n": size, "d1": d1, "d2": d2, "more": pd.Series(more, dtype=object)})
 
 
-@F.pandas_udf("n long, d1 long, d2 long, more array<long>")
+@F.pandas_udf(_told(T.ArrayType(T.LongType())))
 def sketched(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and band hashes of each text's set."""
     for texts in it:
         yield _per_text(texts, lambda own: bands_of(signature(own, BANDS * ROWS)))
 
 
-@F.pandas_udf("n long, d1 long, d2 long, more binary")
+@F.pandas_udf(_told(T.BinaryType()))
 def full_sets(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and the sorted set itself."""
     for texts in it:
         yield _per_text(texts, lambda own: own.tobytes())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def overlap(left: pd.Series, right: pd.Series) -> pd.Series:
     """Size of the intersection of two sets of sorted 64-bit values."""
     out = np.zeros(len(left), dtype=np.int64)
