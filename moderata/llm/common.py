@@ -11,7 +11,7 @@ from ..sources.tables import table  # noqa: F401  (re-exported for the operators
 
 WHITE = b" \t\n\x0b\x0c\r"
 PIECE = 1 << 18   # bytes of one text handled at a time
-SLAB = 1 << 21    # bytes of several texts handled in one numpy pass
+SLAB = 1 << 19    # bytes of several texts handled in one numpy pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

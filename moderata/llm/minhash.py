@@ -83,6 +83,13 @@ def _told(more: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("more", more)])
 
 
+def _small(it, rows: int = 1000):
+    """Batches of at most ``rows`` rows, so that results are handed on before the next are made."""
+    for texts in it:
+        for lo in range(0, len(texts), rows):
+            yield texts.iloc[lo:lo + rows]
+
+
 def _per_text(texts, fill):
     """Columns n, d1, d2 of each text's set, and fill(set) for texts with words."""
     n = len(texts)
@@ -100,14 +107,14 @@ def _per_text(texts, fill):
 @F.pandas_udf(_told(T.ArrayType(T.LongType())))
 def sketched(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and band hashes of each text's set."""
-    for texts in it:
+    for texts in _small(it):
         yield _per_text(texts, lambda own: bands_of(signature(own, BANDS * ROWS)))
 
 
 @F.pandas_udf(_told(T.BinaryType()))
 def full_sets(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and the sorted set itself."""
-    for texts in it:
+    for texts in _small(it):
         yield _per_text(texts, lambda own: own.tobytes())
 
 

@@ -39,7 +39,7 @@ ALPHA = 0.6
 SEED = 20
 ZIPF_SHIFT = 2.7
 BYTE_LOG_WEIGHT = -20.0
-UNIT_SLAB = 1 << 21
+UNIT_SLAB = 1 << 20
 
 
 class Vocabulary:
@@ -170,7 +170,7 @@ def lattice(vocab: Vocabulary, raw: bytes, starts: np.ndarray):
     entry[lone, len(columns) - 1] = padded[lone]
     flat = np.flatnonzero(entry.ravel() >= 0)
     node = flat // len(columns)
-    length = np.array(columns[::-1], dtype=np.int64)[flat - node * len(columns)]
+    length = np.array(columns[::-1])[flat - node * len(columns)]
     place = entry.ravel()[flat]
     weight = vocab.logs[place]
     counts = np.bincount(node, minlength=n)
@@ -209,18 +209,18 @@ def lattice(vocab: Vocabulary, raw: bytes, starts: np.ndarray):
         k += 1
         edge = edge[counts[node[edge]] > k]
     share[last] = 2.0
-    return ptr[:-1], share, length, vocab.ids[place]
+    return ptr[:-1], share, length.astype(np.uint16), vocab.ids[place]
 
 
 class Arena:
     """The lattices of the first distinct units that a task meets, up to ``limit`` bytes of them."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 1 << 21):
+    def __init__(self, vocab: Vocabulary, limit: int = 1 << 20):
         self.vocab, self.limit = vocab, limit
         self.pool = b""
         self.codes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
         self.ptr, self.share = np.zeros(0, int), np.zeros(0)
-        self.length, self.ids = np.zeros(0, int), np.zeros(0, np.int32)
+        self.length, self.ids = np.zeros(0, np.uint16), np.zeros(0, np.int32)
 
     def get(self, raw: bytes, begin: np.ndarray, stop: np.ndarray):
         """Start of each unit of ``raw`` in the node space, and the lattice arrays of that space."""
