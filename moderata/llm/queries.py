@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, mixing, pieces, quality
+from . import langid, licenses, lines, minhash, mixing, outliers, pieces, pii, quality, vptree
 from .common import table
 
 
@@ -29,5 +29,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op8_minhash, op9_mixing, op10_sentencepiece)}
-LLM_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fit(docs))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_license_scan, op3_quality, op4_quality_rules, op5_language_id, op6_pii, op7_vptree,
+    op8_minhash, op9_mixing, op10_sentencepiece)}
+LLM_SQL: dict[str, str] = {"op7_vptree": vptree.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
