@@ -5,19 +5,22 @@ fixed permutation ``sigma`` scatters a shingle over the circle of 2^64 places;
 a second permutation ``pi`` ranks the places. Coordinate k of the signature is
 the smallest rank after turning the circle by k steps, so two permutations
 give all coordinates (C-MinHash). ``ROWS`` consecutive coordinates form a band;
-documents that agree on a band are candidates. With 32 bands of 4 a pair at
-similarity 0.8 is missed with probability (1 - 0.8^4)^32 < 5e-8.
+documents that agree on a band are candidates. With 40 bands of 5 a pair at
+similarity 0.8 is missed with probability (1 - 0.8^5)^40 < 2e-7.
 
 Every link is confirmed on the full sets: 100 * |A & B| >= 80 * |A | B|.
 
-Scale. Documents with equal sets are collapsed first. Buckets are never
-expanded into all pairs: in each round, each member of a bucket that is not
-yet in the component of the bucket's centre is compared with that centre only,
-and confirmed links merge components. Centres change from round to round. What
-is left after ``STAR_ROUNDS`` rounds, members of one bucket in different
-components, is compared completely, so no link is lost. A large group of near
-copies melts into one component in the first rounds and emits about one pair
-per member.
+Scale. Documents with equal sets are collapsed first. Each document carries a
+card of 256 counts (its shingles by slot); the sum of the slot-wise minima of
+two cards bounds their overlap from above, so most false candidates fall
+without a look at their sets. Buckets of up to ``SMALL`` classes give their few
+pairs. Larger buckets are never expanded into all pairs: every member is
+compared with the bucket's centre (the member that shares most buckets), and
+confirmed links merge components. Only members outside the centre's component
+are then compared with the others, and only where the shingles that they have
+in common with any open document (``r``) allow a similarity of 0.8, again an exact
+bound. No link is lost, no candidate is dropped, and a large group of near
+copies emits about one pair per member.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 (n_shingles 0), is linked with nothing and is kept; fewer than four words form
@@ -39,8 +42,9 @@ from pyspark.sql import types as T
 from .common import WHITE, hashed_words, mix64, word_table, written
 
 WORDS = 4
-BANDS, ROWS = 32, 4
-STAR_ROUNDS = 2
+BANDS, ROWS = 40, 5
+SMALL = 8
+SLOTS = 256
 _WORD = word_table(WHITE)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,8 +83,14 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return out.view(np.int64)
 
 
-def _told(more: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("more", more)])
+def _told(*more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField(*m) for m in more])
+
+
+def card(own: np.ndarray) -> bytes:
+    """Counts of the shingles by slot, one byte each; empty where a count passes 255."""
+    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SLOTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _small(it, rows: int = 1000):
@@ -90,32 +100,33 @@ def _small(it, rows: int = 1000):
             yield texts.iloc[lo:lo + rows]
 
 
-def _per_text(texts, fill):
-    """Columns n, d1, d2 of each text's set, and fill(set) for texts with words."""
+def _per_text(texts, **fill):
+    """Columns n, d1, d2 of each text's set, and more functions of the set for texts with words."""
     n = len(texts)
     size, d1, d2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    more = [None] * n
+    more = {c: [None] * n for c in fill}
     for k, words in hashed_words(texts, _WORD):
         own = shingles(words)
         size[k] = len(own)
         d1[k] = own.sum(dtype=np.uint64).view(np.int64)
         d2[k] = mix64(own).sum(dtype=np.uint64).view(np.int64)
-        more[k] = fill(own)
-    return pd.DataFrame({"n": size, "d1": d1, "d2": d2, "more": pd.Series(more, dtype=object)})
+        for c, f in fill.items():
+            more[c][k] = f(own)
+    return pd.DataFrame({"n": size, "d1": d1, "d2": d2, **{c: pd.Series(v, dtype=object) for c, v in more.items()}})
 
 
-@F.pandas_udf(_told(T.ArrayType(T.LongType())))
+@F.pandas_udf(_told(("bands", T.ArrayType(T.LongType())), ("card", T.BinaryType())))
 def sketched(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Size, digest and band hashes of each text's set."""
+    """Size, digest, band hashes and card of each text's set."""
     for texts in _small(it):
-        yield _per_text(texts, lambda own: bands_of(signature(own, BANDS * ROWS)))
+        yield _per_text(texts, bands=lambda own: bands_of(signature(own, BANDS * ROWS)), card=card)
 
 
-@F.pandas_udf(_told(T.BinaryType()))
+@F.pandas_udf(_told(("shingles", T.BinaryType())))
 def full_sets(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and the sorted set itself."""
     for texts in _small(it):
-        yield _per_text(texts, lambda own: own.tobytes())
+        yield _per_text(texts, shingles=lambda own: own.tobytes())
 
 
 @F.pandas_udf(T.LongType())
@@ -132,6 +143,36 @@ def overlap(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.LongType())
+def overlap_bound(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Upper bound of the overlap by two cards (no bound where a card is empty)."""
+    out = np.full(len(left), np.iinfo(np.int64).max // 1000)
+    use = np.flatnonzero((left.str.len() > 0).to_numpy() & (right.str.len() > 0).to_numpy())
+    for lo in range(0, len(use), 2000):
+        at = use[lo:lo + 2000]
+        x, y = (np.frombuffer(b"".join(c.iloc[at]), np.uint8).reshape(-1, SLOTS) for c in (left, right))
+        out[at] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def unpacked(sets: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(x, np.int64) for x in sets], dtype=object)
+
+
+def possible(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and cards allow a similarity of 0.8."""
+    left = cards.select(F.col("id").alias("a"), F.col("card").alias("ca"), F.col("n").alias("na"))
+    right = cards.select(F.col("id").alias("b"), F.col("card").alias("cb"), F.col("n").alias("nb"))
+    return (pairs.join(left, "a").join(right, "b")
+            .select("a", "b", "na", "nb", overlap_bound(F.col("ca"), F.col("cb")).alias("c"))
+            .where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * 80).select("a", "b"))
+
+
+def _pair(a: str = "a", b: str = "b"):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of 0.8 or more."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
@@ -142,7 +183,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (id, n, comp) with the components joined that ``links`` (a, b) connect.
+    """``nodes`` (id, comp) with the components joined that ``links`` (a, b) connect.
 
     The smallest label spreads over the links between components, with pointer
     jumps; only whether a label changed reaches the driver.
@@ -163,7 +204,7 @@ def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if jumped.where("r <> old").isEmpty():
             break
     return written(nodes.join(root.withColumnRenamed("v", "comp"), "comp", "left")
-                   .select("id", "n", F.coalesce("r", "comp").alias("comp")), "nodes")
+                   .select("id", F.coalesce("r", "comp").alias("comp")), "nodes")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,44 +219,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                      .select("id", "rep", *key), "members")
     reps = member.where("id = rep").select("id", *key)
     # buckets with at least two classes
-    placed = (known.join(reps, ["id", *key], "left_semi").select("id", F.posexplode("more").alias("band", "h"))
+    placed = (known.join(reps, ["id", *key], "left_semi").select("id", "n", F.posexplode("bands").alias("band", "h"))
               .distinct())
     shared = placed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = written(placed.join(shared, ["band", "h"], "left_semi"), "buckets")
-    nodes = written(reps.join(buckets.select("id").distinct(), "id", "left_semi")
-                    .select("id", "n", F.col("id").alias("comp"), "d1", "d2"), "nodes")
-    # only documents in a shared bucket are read as full sets
-    sets = written(rows.join(nodes.select("id", "n", "d1", "d2"), "id")
-                   .select("id", "n", "d1", "d2", full_sets("t").alias("x"))
-                   .where("x.n = n and x.d1 = d1 and x.d2 = d2")
-                   .select("id", "n", F.col("x.more").alias("shingles")), "sets")
-    nodes, tried = nodes.select("id", "n", "comp"), None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = buckets.join(nodes, "id")
-        split = written(placed.groupBy("band", "h")
-                 .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                      F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "comp")).alias("c"))
-                 .where("lo <> hi").select("band", "h", F.col("c.id").alias("b"), F.col("c.n").alias("nb"),
-                                           F.col("c.comp").alias("cb")), "split")
-        if split.isEmpty():  # every bucket lies in one component
-            break
-        mine = placed.select("band", "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        if turn < STAR_ROUNDS:  # each member against its bucket's centre
-            pairs = mine.join(split, ["band", "h"])
-        else:  # what is still apart, completely
-            open_ = mine.join(split.select("band", "h"), ["band", "h"], "left_semi")
-            pairs = open_.join(open_.toDF("band", "h", "b", "nb", "cb"), ["band", "h"]).where("a < b")
-        pairs = (pairs.where("ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * 80")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if tried is not None:  # pairs of earlier rounds were confirmed or rejected for good
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        links = written(confirm(pairs, sets), "confirmed")
-        if not links.isEmpty():
-            nodes = merged(nodes, links)
+    buckets = written(placed.join(shared, ["band", "h"]), "buckets")
+    shares = buckets.groupBy("id").agg(F.sum("size").alias("shares"))
+    cards = written(known.join(shares, "id").join(reps, ["id", *key], "left_semi")
+                    .select("id", "n", "card", "shares").dropDuplicates(["id"]), "cards")
+    small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
+    sized = "least(na, nb) * 100 >= greatest(na, nb) * 80"
+    few = (small.select("band", "h", F.col("id").alias("a"), F.col("n").alias("na"))
+           .join(small.select("band", "h", F.col("id").alias("b"), F.col("n").alias("nb")), ["band", "h"])
+           .where("a < b").where(sized).select("a", "b"))
+    large = written(large.join(cards.select("id", "shares"), "id"), "large")
+    centre = (large.groupBy("band", "h").agg(F.max(F.struct("shares", "id", "n")).alias("c"))
+              .select("band", "h", F.col("c.id").alias("b"), F.col("c.n").alias("nb")))
+    star = (large.select("band", "h", F.col("id").alias("a"), F.col("n").alias("na")).join(centre, ["band", "h"])
+            .where("a <> b").where(sized).select(*_pair()))
+    pairs = written(possible(few.union(star).distinct(), cards), "pairs")
+    busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
+    # only documents in question are read as full sets
+    sets = written(rows.join(reps.join(busy, "id", "left_semi"), "id")
+                   .select("id", *key, full_sets("t").alias("x"))
+                   .where("x.n = n and x.d1 = d1 and x.d2 = d2").select("id", "n", "x.shingles"), "sets")
+    nodes = merged(sets.select("id", F.col("id").alias("comp")).distinct(), written(confirm(pairs, sets), "links"))
+    nodes = _across(large, nodes, sets, cards, pairs)
     label = (member.select("id", "rep").join(nodes.select(F.col("id").alias("rep"), "comp"), "rep", "left")
              .select("id", F.coalesce("comp", "rep").alias("label")))
     # the smallest id of all classes in the component (labels are representatives, the smallest of their class)
@@ -225,6 +253,34 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _across(large: DataFrame, nodes: DataFrame, sets: DataFrame, cards: DataFrame, tried: DataFrame) -> DataFrame:
+    """``nodes`` after comparing the members of large buckets that lie in different components."""
+    placed = large.join(nodes, "id")
+    split = (placed.groupBy("band", "h")
+             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"),
+                  F.max(F.struct("shares", "id", "comp")).alias("c"))
+             .where("lo <> hi").select("band", "h", "least_n", F.col("c.comp").alias("main")))
+    open_ = written(placed.join(split, ["band", "h"]).select("band", "h", "id", "n", "comp", "least_n", "main"), "open")
+    if open_.isEmpty():
+        return nodes
+    # r: how many of its shingles a document has in common with any open document
+    held = (sets.join(open_.select("id").distinct(), "id", "left_semi")
+            .select("id", F.explode(unpacked("shingles")).alias("s")).distinct())
+    lone = (held.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+            .groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    # overlap <= r, so similarity 0.8 needs 180 r >= 80 (n + the other's n)
+    able = (open_.join(lone, "id", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
+            .where("180 * r >= 80 * (n + least_n)").select("band", "h", "id", "n", "r", "comp", "main"))
+    able = written(able, "able")
+    left = able.where("comp <> main").toDF("band", "h", "a", "na", "ra", "pa", "main")
+    right = able.drop("main").toDF("band", "h", "b", "nb", "rb", "pb")
+    pairs = (left.join(right, ["band", "h"])
+             .where("pa <> pb and least(na, nb) * 100 >= greatest(na, nb) * 80"
+                    " and 180 * least(ra, rb) >= 80 * (na + nb)").select(*_pair()).distinct()
+             .join(tried, ["a", "b"], "left_anti"))
+    return merged(nodes, written(confirm(written(possible(pairs, cards), "pairs"), sets), "links"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one document of each group stays.
 

@@ -368,13 +368,32 @@ def decode_ids(vocab: Vocabulary, ids) -> str | None:
     return vocab.bytes[take].tobytes().decode("utf-8", "replace")
 
 
+def _small(it, rows: int = 500):
+    """Batches of at most ``rows`` rows: ids are handed on before the next are made."""
+    for keys, texts in it:
+        for lo in range(0, len(texts), rows):
+            yield list(keys.iloc[lo:lo + rows]), list(texts.iloc[lo:lo + rows])
+
+
 def encoder(vocab: Vocabulary, seed: int = SEED):
     """A column function (key, text) -> array of piece ids."""
     @F.pandas_udf("array<int>")
     def encode(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         arena = Arena(vocab)
-        for keys, texts in it:
-            yield pd.Series(encode_texts(arena, list(keys), list(texts), seed), dtype=object)
+        for keys, texts in _small(it):
+            yield pd.Series(encode_texts(arena, keys, texts, seed), dtype=object)
+    return encode
+
+
+def checked_encoder(vocab: Vocabulary, seed: int = SEED):
+    """A column function (key, text) -> (ids, lossless): encoded, decoded and compared in one task."""
+    @F.pandas_udf("ids array<int>, lossless boolean")
+    def encode(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        arena = Arena(vocab)
+        for keys, texts in _small(it):
+            ids = encode_texts(arena, keys, texts, seed)
+            same = [decode_ids(vocab, i) == t for i, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "lossless": same})
     return encode
 
 
@@ -395,10 +414,8 @@ def encoded(docs, vocab: Vocabulary | None = None, seed: int = SEED, id_col: str
                        encoder(vocab, seed)(F.col(id_col), F.col(text_col)).alias("ids"))
 
 
-def round_trip(docs, vocab: Vocabulary | None = None, seed: int = SEED):
-    """doc_id, n_tokens, ids, lossless: the ids decode to the text again."""
-    vocab = vocab or load()
-    both = encoded(docs, vocab, seed)
-    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids",
-                       decoder(vocab)(F.col("ids")).eqNullSafe(F.col("text")).alias("lossless"))
-
+def round_trip(docs, vocab: Vocabulary | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"):
+    """One row per document row: doc_id, n_tokens, ids, and whether the ids decode to the text again."""
+    encode = checked_encoder(vocab or load(), seed)
+    return (docs.select(F.col(id_col).alias("doc_id"), encode(F.col(id_col), F.col(text_col)).alias("x"))
+            .select("doc_id", F.coalesce(F.size("x.ids"), F.lit(0)).alias("n_tokens"), "x.ids", "x.lossless"))

@@ -90,17 +90,21 @@ _SPANS = "array<struct<start:int,kind:int,stop:int,ok:boolean>>"
 
 
 def _matches(text: Column) -> Column:
-    """All base matches (start, kind number, stop, ok); ``ok`` is false where the kind's check fails."""
+    """Base matches (start, kind number, stop, ok); ``ok`` is false where the Luhn sum or a range fails.
+
+    Matches with too few or too many digits are left out: they are just numbers.
+    """
     def of(kind: int, sign: str, pattern: str, valid=None) -> Column:
         spans = F.transform(_found(text, pattern), lambda s: F.struct(
             s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"),
             (valid(s["m"]) if valid else F.lit(True)).alias("ok")))
+        spans = F.filter(spans, lambda s: s["ok"].isNotNull())
         return F.when(text.rlike(sign), F.coalesce(spans, F.array().cast(_SPANS))).otherwise(F.array().cast(_SPANS))
     size = lambda m: F.length(_digits(m))
     return F.sort_array(F.concat(
         of(0, "@", _EMAIL), of(1, "[0-9]", _IP, _small_parts),
-        of(2, "[0-9]", _CARD, lambda m: F.when(size(m).between(14, 19), _luhn(m)).otherwise(F.lit(False))),
-        of(3, r"\+", _PHONE, lambda m: size(m).between(10, 15))))
+        of(2, "[0-9]", _CARD, lambda m: F.when(size(m).between(14, 19), _luhn(m))),
+        of(3, r"\+", _PHONE, lambda m: F.when(size(m).between(10, 15), F.lit(True)))))
 
 
 def _patterns(x: Column, i: Column) -> list[Column]:
