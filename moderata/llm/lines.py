@@ -16,14 +16,15 @@ differences of the band and slides down one row per column.
 
 Scale. Equal lines are one line to the join (one narrow row per occurrence is
 aggregated by a 128-bit hash). Signature rows hold two longs and a flag, never
-text; texts are fetched for candidates only. Keys that many different lines
+text, and are made distinct with map-side partial aggregation; texts are
+fetched for candidates only. Keys that many different lines
 share are found on a sample of the lines (the sample only chooses the way, not
 the result) and are refined instead of paired: the segment is cut out and the
 rest, which may hold tau edits as well, is partitioned again,
 ``REFINE_LEVELS`` times, so that lines must agree on almost all of their text
-to meet. No candidate is dropped and nothing is collected. The plan is one
-DataFrame: documents are shuffled by their key once, and that exchange serves
-the signatures, the candidates' texts and the rewriting.
+to meet. No candidate is dropped and nothing is collected. Narrow intermediate
+tables are written to the shared checkpoint folder, which keeps each plan
+small and cuts the lineage.
 
 Defined cases: a null text stays null with 0 lines; blank lines are always
 kept and not counted; null ids come last in the order; rows that repeat both id
@@ -36,6 +37,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 TAU = 1
 MIN_CHARS = 16
 SAMPLE = 32         # one line in 32 takes part in finding busy keys
@@ -110,16 +113,19 @@ def _entries(key: Column, rest: Column, size: Column, length: Column, gap: int,
     return out
 
 
-def _signatures(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
-    """(key, id) of each line's own segments, or of its probes."""
+def _signatures(lines: DataFrame, tau: int) -> DataFrame:
+    """Distinct (key, id, probe) of each line's own segments and of its probes; ``lines``: id, line."""
     size = F.char_length("line").cast("int")
     entries = []
-    for gap in range(tau + 1) if probe else [0]:
-        length = (size - gap).cast("int")
-        for e in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, False):
-            entries.append(F.when(length >= MIN_CHARS, e))
+    for probe in (False, True):
+        for gap in range(tau + 1) if probe else [0]:
+            length = (size - gap).cast("int")
+            for e in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, False):
+                entries.append(F.when((length >= MIN_CHARS) & e.isNotNull(), F.struct(
+                    e["key"].alias("key"), F.lit(probe).alias("probe"))))
     return (lines.where(size >= MIN_CHARS)
-            .select("id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.key", "id"))
+            .select("id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+            .select("e.key", "id", "e.probe").distinct())
 
 
 def _refined(rows: DataFrame, tau: int, probe: bool, levels: int = REFINE_LEVELS) -> DataFrame:
@@ -147,73 +153,61 @@ def _refined(rows: DataFrame, tau: int, probe: bool, levels: int = REFINE_LEVELS
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2 (the document's key and place in the order) and all columns in one cell.
-
-    The cell keeps the optimizer from pruning columns differently for each
-    use, so one exchange of the documents serves them all.
-    """
+    """k1, k2 (the document's key and place in the order), t (its text) and all columns in one cell."""
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2 ** 63 - 1)).alias("k1"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("k2"),
-        F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("cell"))
-
-
-def _cell(name: str) -> Column:
-    return F.element_at("cell", 1).getField(name)
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("k2"), F.col(f"`{text_col}`").alias("t"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("cell"))
 
 
 def _lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.transform(_lines_of(text), lambda x: F.trim(x, F.lit(_BLANK)))
+
+
+def _ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text"):
-    """The tables behind the dedup: keyed documents, first occurrences, links, drops."""
+    """The tables behind the dedup: keyed documents, occurrences, first occurrences, links."""
     keyed = _keyed(docs, id_col, text_col)
-    occ = (keyed.select("k1", "k2", F.posexplode(F.transform(_lines_of(_cell(text_col)), lambda x: F.trim(x, F.lit(_BLANK))))
-                        .alias("pos", "line"))
-           .where("line <> ''")
+    occ = (keyed.select("k1", "k2", F.posexplode(_trimmed(F.col("t"))).alias("pos", "line")).where("line <> ''")
            .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "k1", "k2", "pos"))
-    firsts = (occ.groupBy("id", "id2").agg(F.min(F.struct("k1", "k2", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
-              .select("id", "id2", "f.*", "n"))
-    # the lines' texts, once per different line, from the documents that hold them first
-    per_doc = firsts.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "id")).alias("own"))
-
-    def texts(of: DataFrame) -> DataFrame:
-        return (keyed.join(of, ["k1", "k2"])
-                .select(_lines_of(_cell(text_col)).alias("all"), F.explode("own").alias("o"))
-                .select(F.col("o.id").alias("id"), F.trim(F.get("all", F.col("o.pos")), F.lit(_BLANK)).alias("line")))
-
-    lines = texts(per_doc)
-    indexed, probes = _signatures(lines, tau, False), _signatures(lines, tau, True)
+    firsts = written(occ.groupBy("id", "id2").agg(F.min(F.struct("k1", "k2", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
+                     .select("id", "id2", "f.*", "n"), "firsts")
+    lines = keyed.select(F.explode(F.array_distinct(_trimmed(F.col("t")))).alias("line")).select(
+        F.xxhash64("line").alias("id"), "line")
+    marks = written(_signatures(lines, tau), "signatures")
     # keys that many different lines share, by a sample of lines
-    sampled = keyed.select(F.explode(F.array_distinct(F.transform(
-        _lines_of(_cell(text_col)), lambda x: F.trim(x, F.lit(_BLANK))))).alias("line")) \
-        .select(F.xxhash64("line").alias("id"), "line").where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    busy = (_signatures(sampled, tau, False).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-            .where(F.col("c") >= BUSY).select("key"))
-    marked_i = indexed.join(busy.withColumn("busy", F.lit(True)), "key", "left")
-    marked_p = probes.join(busy.withColumn("busy", F.lit(True)), "key", "left")
-    calm = (marked_i.where("busy is null").select("key", F.col("id").alias("a"))
-            .join(marked_p.where("busy is null").select("key", F.col("id").alias("b")), "key").select("a", "b"))
-    busy_i, busy_p = marked_i.where("busy").select("key", "id"), marked_p.where("busy").select("key", "id")
-    # the texts of lines in candidates
-    paired = calm.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    needed = (paired.select(F.explode(F.array("a", "b")).alias("id"))
-              .union(busy_i.select("id")).union(busy_p.select("id")).distinct())
-    own = (firsts.join(needed, "id").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "id")).alias("own")))
-    known = texts(own)
-    refined = (_refined(busy_i.join(known, "id"), tau, False).distinct().withColumnRenamed("id", "a")
-               .join(_refined(busy_p.join(known, "id"), tau, True).distinct().withColumnRenamed("id", "b"), "key")
-               .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = known.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = known.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    links = (paired.union(refined).distinct().join(left, "a").join(right, "b")
+    busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
+                   .groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
+    calm = marks.join(busy, "key", "left_anti")
+    paired = written(_ordered_pairs(
+        calm.where("not probe").select("key", F.col("id").alias("a"))
+        .join(calm.where("probe").select("key", F.col("id").alias("b")), "key").select("a", "b")), "pairs")
+    many = written(marks.join(busy, "key", "left_semi"), "many")
+    # the texts of lines in candidates, from the documents that hold them first
+    needed = paired.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    own = (firsts.join(needed, "id").groupBy("k1", "k2")
+           .agg(F.collect_list(F.struct("pos", "id")).alias("own")))  # lines of one document
+    known = written(keyed.select("k1", "k2", "t").join(own, ["k1", "k2"])
+                    .select(_trimmed(F.col("t")).alias("all"), F.explode("own").alias("o"))
+                    .select("o.id", F.get("all", F.col("o.pos")).alias("line")), "known")
+    refined = (_refined(many.where("not probe").join(known, "id"), tau, False).distinct().withColumnRenamed("id", "a")
+               .join(_refined(many.where("probe").join(known, "id"), tau, True).distinct().withColumnRenamed("id", "b"), "key"))
+    pairs = paired.union(written(_ordered_pairs(refined), "pairs")).distinct()
+    links = (pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+             .join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
              .where(within(F.col("x"), F.col("y"), tau)).select("a", "b").distinct())
-    return keyed, occ, firsts, links
+    return keyed, occ, firsts, written(links, "links")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2, cell (all columns) and per row: lines, drops (line numbers), n_exact, n_near, n_links."""
+    """t, cell (all columns) and marks: per dropped or linked line its number, links and why it goes."""
     keyed, occ, firsts, links = line_links(docs, tau, id_col, text_col)
     place = firsts.select("id", "k1", "k2", "pos")
     both = links.union(links.select("b", "a"))
@@ -228,6 +222,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_co
              .union(again.distinct().select("k1", "k2", F.struct("pos", F.lit(0).cast("long").alias("links"),
                                                      F.lit(True).alias("exact"), F.lit(False).alias("near")).alias("m")))
              .groupBy("k1", "k2").agg(F.collect_list("m").alias("marks")))
+    marks = written(marks, "marks")
     return keyed.join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast(
         "array<struct<pos:int,links:bigint,exact:boolean,near:boolean>>")))
 
@@ -241,10 +236,10 @@ def _kept_text(text: Column) -> Column:
 
 def report(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row per document row: lines, dropped lines, links, and the digest of the kept text."""
-    text = _cell("text")
+    text = F.col("t")
     count = F.size(F.filter(_lines_of(text), lambda x: F.trim(x, F.lit(_BLANK)) != ""))
     return dedup_lines(docs, tau).select(
-        _cell("doc_id").alias("doc_id"),
+        F.col("cell.doc_id").alias("doc_id"),
         F.when(text.isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
         F.size(F.filter("marks", lambda m: m["exact"])).cast("long").alias("n_exact"),
         F.size(F.filter("marks", lambda m: m["near"])).cast("long").alias("n_near"),
@@ -258,12 +253,12 @@ def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     ``n_chars``, where present, becomes the length of the kept text.
     """
     found = dedup_lines(docs, tau)
-    kept = found.withColumn("kept", _kept_text(_cell("text")))
+    kept = found.withColumn("kept", _kept_text(F.col("t")))
     had = F.size("marks") > 0
-    kept = kept.where(~had | _cell("text").isNull() | F.col("kept").rlike(r"[^\s]"))
+    kept = kept.where(~had | F.col("t").isNull() | F.col("kept").rlike(r"[^\s]"))
     out = []
     for c in docs.columns:
-        col = _cell(c)
+        col = F.col("cell").getField(c)
         if c == "text":
             col = F.col("kept")
         elif c == "n_chars":
