@@ -95,13 +95,16 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return start, base + (F.lit(i) >= long_from).cast("int")
 
 
-def _entries(key: Column, rest: Column, size: Column, length: Column, gap: int, tau: int, probe: bool, keep_rest: bool):
-    """Signature structs of a string: as indexed (gap 0) or as a probe of lines ``gap`` shorter."""
+def _entries(key: Column, rest: Column, size: Column, length: Column, gap: int, tau: int, probe: bool, keep_rest: bool,
+             skip_own: bool = True):
+    """Signatures of a string, as (condition, fields): as indexed (gap 0) or as a probe of lines ``gap`` shorter."""
     out = []
     for i in range(tau + 1):
         start, span = _segment(length, i, tau)
         moves = range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1) if probe else [0]
         for move in moves:
+            if probe and skip_own and not gap and not move:
+                continue  # the line's own segment: its index entry serves as probe
             at = start + F.lit(move)
             part = F.substring(rest, at + 1, span)
             cells = [F.xxhash64(key, F.lit(i), length, part).alias("key")]
@@ -109,20 +112,19 @@ def _entries(key: Column, rest: Column, size: Column, length: Column, gap: int,
                 cells += [F.concat(F.substring(rest, F.lit(1), at), F.substring(rest, at + span + 1, size)).alias("rest"),
                           (length - span).cast("int").alias("length"), F.lit(gap).alias("gap")]
             ok = (at >= 0) & (at + span <= size)
-            out.append(F.when(ok, F.struct(*cells)))
+            out.append((ok, cells))
     return out
 
 
 def _signatures(lines: DataFrame, tau: int) -> DataFrame:
-    """Distinct (key, id, probe) of each line's own segments and of its probes; ``lines``: id, line."""
-    size = F.char_length("line").cast("int")
+    """Distinct (key, id, probe) of each line's own segments and of its probes; ``lines``: id, line, size."""
+    size = F.col("size")
     entries = []
     for probe in (False, True):
         for gap in range(tau + 1) if probe else [0]:
             length = (size - gap).cast("int")
-            for e in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, False):
-                entries.append(F.when((length >= MIN_CHARS) & e.isNotNull(), F.struct(
-                    e["key"].alias("key"), F.lit(probe).alias("probe"))))
+            for ok, cells in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, False):
+                entries.append(F.when((length >= MIN_CHARS) & ok, F.struct(*cells, F.lit(probe).alias("probe"))))
     return (lines.where(size >= MIN_CHARS)
             .select("id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
             .select("e.key", "id", "e.probe").distinct())
@@ -131,22 +133,24 @@ def _signatures(lines: DataFrame, tau: int) -> DataFrame:
 def _refined(rows: DataFrame, tau: int, probe: bool, levels: int = REFINE_LEVELS) -> DataFrame:
     """(key, id) of busy keys' lines: what is left beside the shared segment is partitioned again.
 
-    ``rows``: key, id, line. The way to the shared segment is taken anew from the line.
+    ``rows``: key, id, line. The way to the shared segment is taken anew from
+    the line. Here probes hold the unmoved segments too: a line whose first
+    segment stands unmoved may have moved in the rest.
     """
     size = F.char_length("line").cast("int")
     first = []
     for gap in range(tau + 1) if probe else [0]:
         length = (size - gap).cast("int")
-        first += [F.when(length >= MIN_CHARS, e)
-                  for e in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, True)]
+        first += [F.when((length >= MIN_CHARS) & ok, F.struct(*cells))
+                  for ok, cells in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, True, False)]
     found = (rows.select("key", "id", F.explode(F.array_compact(F.array(*first))).alias("e"))
              .where("e.key = key").select("id", "e.key", "e.rest", "e.length", "e.gap"))
     for _ in range(levels):
         size = F.char_length("rest").cast("int")
         entries = []
         for gap in range(tau + 1) if probe else [0]:
-            for e in _entries(F.col("key"), F.col("rest"), size, F.col("length"), gap, tau, probe, True):
-                entries.append(F.when(F.col("gap") == gap, e))
+            for ok, cells in _entries(F.col("key"), F.col("rest"), size, F.col("length"), gap, tau, probe, True, False):
+                entries.append(F.when((F.col("gap") == gap) & ok, F.struct(*cells)))
         found = (found.select("id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
                  .select("id", "e.key", "e.rest", "e.length", "e.gap"))
     return found.select("key", "id")
@@ -168,8 +172,12 @@ def _trimmed(text: Column) -> Column:
     return F.transform(_lines_of(text), lambda x: F.trim(x, F.lit(_BLANK)))
 
 
-def _ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _met(marks: DataFrame) -> DataFrame:
+    """Pairs (a < b) of lines that meet under a key: two index entries, or an index entry and a probe."""
+    index = marks.where("not probe").select("key", F.col("id").alias("i"))
+    other = marks.select("key", F.col("id").alias("o"), "probe")
+    return (index.hint("shuffle_hash").join(other, "key").where("i < o or probe and i > o")
+            .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
 
 
 def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text"):
@@ -179,16 +187,16 @@ def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
            .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "k1", "k2", "pos"))
     firsts = written(occ.groupBy("id", "id2").agg(F.min(F.struct("k1", "k2", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
                      .select("id", "id2", "f.*", "n"), "firsts")
-    lines = keyed.select(F.explode(F.array_distinct(_trimmed(F.col("t")))).alias("line")).select(
-        F.xxhash64("line").alias("id"), "line")
+    # sizes travel with the lines: counting characters anew for every segment would cost most of the time
+    lines = keyed.select(F.explode(F.transform(F.array_distinct(_trimmed(F.col("t"))), lambda x: F.struct(
+        x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).select(
+        F.xxhash64("x.line").alias("id"), "x.line", "x.size")
     marks = written(_signatures(lines, tau), "signatures")
     # keys that many different lines share, by a sample of lines
     busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
                    .groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
     calm = marks.join(busy, "key", "left_anti")
-    paired = written(_ordered_pairs(
-        calm.where("not probe").select("key", F.col("id").alias("a"))
-        .join(calm.where("probe").select("key", F.col("id").alias("b")), "key").select("a", "b")), "pairs")
+    paired = written(_met(calm), "pairs")
     many = written(marks.join(busy, "key", "left_semi"), "many")
     # the texts of lines in candidates, from the documents that hold them first
     needed = paired.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
@@ -197,9 +205,9 @@ def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     known = written(keyed.select("k1", "k2", "t").join(own, ["k1", "k2"])
                     .select(_trimmed(F.col("t")).alias("all"), F.explode("own").alias("o"))
                     .select("o.id", F.get("all", F.col("o.pos")).alias("line")), "known")
-    refined = (_refined(many.where("not probe").join(known, "id"), tau, False).distinct().withColumnRenamed("id", "a")
-               .join(_refined(many.where("probe").join(known, "id"), tau, True).distinct().withColumnRenamed("id", "b"), "key"))
-    pairs = paired.union(written(_ordered_pairs(refined), "pairs")).distinct()
+    refined = (_refined(many.where("not probe").join(known, "id"), tau, False).withColumn("probe", F.lit(False))
+               .union(_refined(many.select("key", "id").distinct().join(known, "id"), tau, True).withColumn("probe", F.lit(True))))
+    pairs = paired.union(written(_met(written(refined.select("key", "id", "probe").distinct(), "refined")), "pairs")).distinct()
     links = (pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
              .join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
              .where(within(F.col("x"), F.col("y"), tau)).select("a", "b").distinct())
