@@ -31,13 +31,15 @@ TIER_REPLY_MIN = 4         # classes over threshold for a written reply
 TIER_REACT_MIN = 2         # classes over threshold for a reaction
 COMMAND_PREFIX = "%"       # messages starting with it are commands, not scored
 IMAGE_PREFIXES = ["toxic show me ", "toxicbot show me "]
-PROMPT_MARKER = "show me "
 APOLOGY_TOKEN = "sorry"
 APOLOGY_SUBSTRING = "toxic"
 WHY_MAX_CHARS = 100        # longer texts are cut to 97 characters + "..."
 WHY_CUT_CHARS = 97
 AWARD_EMOJIS = ["🎖", "🏅", "🥇"]
 AWARD_PROBABILITY = 0.1
+FAILED_RATE = "My brain hurts"
+NOT_FOUND_PREFIX = "Sorry "
+NOT_FOUND_SUFFIX = ", I didn't find your last message here"
 AWARD_REPLY = "Thanks for the gold, kind stranger!"
 IDENTITY_REACTION = "<pepocringe:746992858535297044>"
 PLAIN_REACTION = "<cathands:755262972204679279>"

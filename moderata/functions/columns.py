@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from .classes import CLASSES, CLASSES_HUMAN, THRESHOLD
 
-# Word-or-punctuation pre-tokeniser, Unicode aware (letters, marks, digits, _).
-WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
+# One definition of words and blanks for every tokeniser: words are runs of
+# letters, letter numbers, marks, decimal digits and connectors; blanks are the
+# Unicode white space characters (Java's \s alone is ASCII).
+WORD_CLASS = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
+BLANK_CLASS = r"\x09-\x0D\x20\x{85}\p{Z}"
+# Word-or-punctuation pre-tokeniser.
+WORD_PATTERN = rf"[{WORD_CLASS}]+|[^{WORD_CLASS}{BLANK_CLASS}]+"
 # Words only (no punctuation), used by the lexicon scorer.
-TERM_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+TERM_PATTERN = rf"[{WORD_CLASS}]+"
+# What str.split() splits at: blanks and the four separator controls.
+SPLIT_PATTERN = rf"[{BLANK_CLASS}\x1C-\x1F]+"
 
 _TWO32 = 4294967296.0
 
@@ -76,16 +83,51 @@ def argmax_name(values: Sequence[Column], names: Sequence[str] = CLASSES_HUMAN)
 
 def words(text: str | Column) -> Column:
     """Whitespace split as Python's ``str.split()``: no empty tokens."""
-    return F.filter(F.split(col(text), r"\s+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(col(text), SPLIT_PATTERN), lambda t: t != F.lit(""))
 
 
 def tokens(text: str | Column, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_extract_all(col(text), F.lit(pattern), 0)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fixed(x: str | Column, decimals: int) -> Column:
+    """``f"{x:.2f}"`` for 0 <= x < 2000: the exact binary value, ties to even.
+
+    The value is taken apart as a whole number of 2^-52 (2^-60 below 1), which
+    a BIGINT holds exactly, and rounded with exact decimal arithmetic.
+    """
+    unit = 10 ** decimals
+
+    def dec(c: Column, digits: int = 19) -> Column:
+        return c.cast(f"decimal({digits},0)")
+
+    def text(v: Column) -> Column:
+        scale = F.when(v < 1, F.lit(2 ** 60)).otherwise(F.lit(2 ** 52)).cast("bigint")
+        exact = dec((v * scale.cast("double")).cast("bigint")) * dec(F.lit(unit), 5)
+        return let(F.struct(exact.alias("e"), scale.alias("s")), rounded)
+
+    def rounded(x: Column) -> Column:
+        # the quotient may be rounded up in its last place: step back
+        near = F.floor(x["e"] / dec(x["s"])).cast("bigint")
+        whole = let(near, lambda q: q - (dec(q) * dec(x["s"]) > x["e"]).cast("bigint"))
+        return let(whole, lambda q: let((x["e"] - dec(q) * dec(x["s"])) * dec(F.lit(2), 1) - dec(x["s"]), lambda over_half: let(
+            q + ((over_half > 0) | ((over_half == 0) & (q % 2 == 1))).cast("bigint"), written)))
+
+    def written(n: Column) -> Column:
+        return F.concat(F.floor(n / unit).cast("bigint").cast("string"), F.lit("."),
+                        F.lpad((n % unit).cast("string"), decimals, "0"))
+
+    return let(col(x).cast("double"), text)
+
+
 def percent(p: str | Column, decimals: int = 2) -> Column:
     """``f"{p*100:.2f}%"``."""
-    return F.format_string(f"%.{decimals}f%%", col(p) * F.lit(100.0))
+    return F.concat(fixed(col(p) * F.lit(100.0), decimals), F.lit("%"))
 
 
 def rate_lines(names: Sequence[str] = CLASSES_HUMAN, classes: Sequence[str] = CLASSES,

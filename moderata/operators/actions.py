@@ -16,8 +16,9 @@ from ..functions.classes import (APOLOGY_REPLIES, APOLOGY_SUBSTRING, APOLOGY_TOK
                                  AWARD_EMOJIS, AWARD_PROBABILITY, AWARD_REPLY, CLASSES,
                                  CLASSES_HUMAN, IDENTITY_REACTION, PERSONA_P_DEFAULT,
                                  PLAIN_REACTION, THRESHOLD, TIER_REACT_MIN, TIER_REPLY_MIN,
-                                 TOXIC_REPLIES, WHY_CUT_CHARS, WHY_MAX_CHARS)
-from ..functions.columns import hash_unit, n_over, over, pick, rate_lines, shorten
+                                 NOT_FOUND_PREFIX, NOT_FOUND_SUFFIX, TOXIC_REPLIES,
+                                 WHY_CUT_CHARS, WHY_MAX_CHARS)
+from ..functions.columns import SPLIT_PATTERN, hash_unit, n_over, over, pick, rate_lines, shorten
 
 
 def _lits(values: Sequence[str]):
@@ -44,7 +45,7 @@ def is_apology(text: str = "text"):
     """A2: a whitespace token equal to "sorry" and "toxic" anywhere (lower-cased)."""
     low = F.lower(F.col(text))
     # a whitespace-delimited token equal to the word, without splitting the text
-    token = low.rlike(rf"(^|\s){APOLOGY_TOKEN}(\s|$)")
+    token = low.rlike(rf"(^|{SPLIT_PATTERN}){APOLOGY_TOKEN}($|{SPLIT_PATTERN})")
     return low.contains(APOLOGY_SUBSTRING) & token
 
 
@@ -55,24 +56,16 @@ def apology(messages: DataFrame, replies: Sequence[str] = APOLOGY_REPLIES) -> Da
                            .alias("reply"))
 
 
-MAX_BROADCAST_PERSONAS = 100_000
-
-
 def persona_reply(messages: DataFrame, personas: DataFrame, pool_all: Sequence[str] = (),
-                  p_default: float = PERSONA_P_DEFAULT,
-                  n_personas: int | None = None) -> DataFrame:
+                  p_default: float = PERSONA_P_DEFAULT) -> DataFrame:
     """A4: users listed in the persona config may get a canned reply.
 
     ``personas`` (author, name, p, resps) comes from a configuration file.
-    Its row count is checked (``n_personas`` if the caller knows it, else a
-    count of the small frame): up to ``MAX_BROADCAST_PERSONAS`` rows it is
-    broadcast, beyond that a shuffle join is used. Unlisted users never fire
-    (inner join); the general pool only adds to listed users' pools.
+    The planner broadcasts it when its measured bytes are below the session's
+    threshold and shuffles otherwise. Unlisted users never fire (inner join);
+    the general pool only adds to listed users' pools.
     """
-    n = personas.count() if n_personas is None else n_personas
     side = personas.select("author", "name", "p", "resps")
-    if n <= MAX_BROADCAST_PERSONAS:
-        side = F.broadcast(side)
     pool = F.concat(_lits(list(pool_all)), F.coalesce(F.col("resps"), _lits([])))
     p = F.coalesce(F.col("p"), F.lit(float(p_default)))
     fired = (F.size(F.col("pool")) > 0) & (hash_unit("message_id", "persona") < p)
@@ -104,17 +97,33 @@ def why_report(last: DataFrame, scored_last: DataFrame) -> DataFrame:
     return scored_last.select("guild", "author", "channel", "message_id", rep.alias("report"))
 
 
+def why_answers(requests: DataFrame, last: DataFrame, reports: DataFrame) -> DataFrame:
+    """A6 per request (request_id, guild, author, channel, name): the report of
+    the user's latest message there, or the answer that none was found."""
+    found = last.select("guild", "author", "channel", "message_id").join(
+        reports.select("guild", "author", "channel", "report"), ["guild", "author", "channel"])
+    missing = F.concat(F.lit(NOT_FOUND_PREFIX), F.col("name"), F.lit(NOT_FOUND_SUFFIX))
+    return (requests.join(found, ["guild", "author", "channel"], "left")
+            .select("request_id", "message_id", F.coalesce("report", missing).alias("answer")))
+
+
 def actions(scored: DataFrame, messages: DataFrame, personas: DataFrame | None = None,
             pool_all: Sequence[str] = (), p_default: float = PERSONA_P_DEFAULT,
-            threshold: float = THRESHOLD, n_personas: int | None = None) -> DataFrame:
-    """Every reaction and reply as (message_id, action, payload) rows."""
-    t = (tier(scored, threshold).where(F.col("tier") != "none")
+            threshold: float = THRESHOLD, toxic_replies: Sequence[str] = TOXIC_REPLIES,
+            apology_replies: Sequence[str] = APOLOGY_REPLIES) -> DataFrame:
+    """Every reaction and reply as (message_id, action, payload) rows.
+
+    ``scored``: messages with valid scores (tiers, apologies); ``messages``:
+    the routed ones (persona replies need no scores). Reply lists come from
+    the configuration.
+    """
+    t = (tier(scored, threshold, toxic_replies).where(F.col("tier") != "none")
          .select("message_id", F.col("tier").alias("action"), "payload"))
-    a = (apology(messages).where("apology")
+    a = (apology(scored, apology_replies).where("apology")
          .select("message_id", F.lit("apology").alias("action"), F.col("reply").alias("payload")))
     out = t.unionByName(a)
     if personas is not None:
-        p = (persona_reply(messages, personas, pool_all, p_default, n_personas).where("fired")
+        p = (persona_reply(messages, personas, pool_all, p_default).where("fired")
              .select("message_id", F.lit("persona").alias("action"),
                      F.col("reply").alias("payload")))
         out = out.unionByName(p)

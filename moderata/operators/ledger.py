@@ -7,8 +7,8 @@ Scale notes
 * ``ledger`` is a plain hash aggregate (count + integer sums): Spark runs a
   partial aggregate before the shuffle, so a hot (guild, author) key sends one
   row per map task, not a third of the data.
-* ``last_message`` is kept apart from ``ledger``: ``max_by`` over a string makes
-  the aggregate sort-based; keeping them separate keeps the counters hashed.
+* ``last_message`` finds the winners by one number per message and reads the
+  texts of the winners only.
 * roll-ups (``guild_stats``, ``user_stats_all_guilds``) read the ledger, never
   the messages again.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES, CLASSES_HUMAN, THRESHOLD
-from ..functions.columns import argmax_name, max_score, over
+from ..functions.columns import argmax_name, fixed, max_score, over
 
 COUNTERS = ["incidents", "total_seen"] + CLASSES
 
@@ -59,14 +59,19 @@ def last_message(scored: DataFrame,
     """L3: the latest text per (guild, author, channel), toxic or not.
 
     Order is (ts, message_id); ts NULL sorts first, so message_id decides
-    among sources without time.
+    among sources without time. The winners are found by a hash aggregate of
+    one number per message, (microseconds, id) in a decimal, that never reads
+    the text; the few winners are then joined back.
     """
-    order = F.struct(F.coalesce(F.col("ts"), F.lit(None).cast("timestamp")).alias("ts"),
-                     F.col("message_id").alias("message_id"))
-    return (scored.groupBy(*keys)
-            .agg(F.max_by(F.struct(F.col("message_id"), F.col("text")), order).alias("m"))
-            .select(*keys, F.col("m.message_id").alias("message_id"),
-                    F.col("m.text").alias("text")))
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(-(10 ** 16))).cast("decimal(18,0)")
+    order = (micros * F.lit("20000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("message_id").cast("decimal(19,0)")
+    ranked = scored.select(*keys, "message_id", "text", order.cast("decimal(38,0)").alias("_at"))
+    best = ranked.groupBy(*keys).agg(F.max("_at").alias("_at"))
+    same = [ranked[k].eqNullSafe(best[k]) for k in keys] + [ranked["_at"] == best["_at"]]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return (ranked.join(best, cond, "left_semi").select(*keys, "message_id", "text").distinct())
 
 
 def guild_rollup(users: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def guild_rollup(users: DataFrame) -> DataFrame:
 
 def with_rate_and_favourite(df: DataFrame) -> DataFrame:
     """L7 incident rate (one decimal, NULL when nothing was seen) and L8 favourite."""
-    rate = F.round(F.try_divide(F.lit(100.0) * F.col("incidents"), F.col("total_seen")), 1)
+    rate = fixed(F.try_divide(F.lit(100.0) * F.col("incidents"), F.col("total_seen")), 1).cast("double")
     fav = argmax_name([F.col(c) for c in CLASSES], CLASSES_HUMAN)
     return df.withColumn("rate", rate).withColumn("favourite", fav)
 
@@ -114,8 +119,7 @@ def stats_text(name: str | F.Column, stats: DataFrame | None = None) -> F.Column
     nm = F.col(name) if isinstance(name, str) else name
     cats = F.concat_ws("\n\t\t", *[F.concat(F.lit(h + ": "), F.col(c).cast("string"))
                                    for h, c in zip(CLASSES_HUMAN, CLASSES)])
-    pct = F.format_string("%.1f", F.try_divide(F.lit(100.0) * F.col("incidents"),
-                                               F.col("total_seen")))
+    pct = fixed(F.try_divide(F.lit(100.0) * F.col("incidents"), F.col("total_seen")), 1)
     return F.concat(
         F.lit("For "), nm, F.lit(" I found the following:\n\t Toxic incidents: "),
         F.col("incidents").cast("string"), F.lit("/"), F.col("total_seen").cast("string"),

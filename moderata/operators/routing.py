@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import CLASSES, COMMAND_PREFIX, THRESHOLD
+from ..functions.classes import CLASSES, COMMAND_PREFIX, IMAGE_PREFIXES, THRESHOLD
 from ..functions.columns import n_over, over
 
 
@@ -33,7 +33,7 @@ IMAGE_RE = r"(?is)^toxic(bot)? show me (.*)$"
 def is_image_prompt(text: str = "text") -> Column:
     """case-blind "toxic show me " / "toxicbot show me " prefix."""
     low = F.lower(F.col(text))
-    return low.startswith("toxic show me ") | low.startswith("toxicbot show me ")
+    return low.startswith(IMAGE_PREFIXES[0]) | low.startswith(IMAGE_PREFIXES[1])
 
 
 def prompt_text(text: str = "text") -> Column:

@@ -19,8 +19,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import CLASSES, CLASSES_HUMAN
+from ..functions.classes import CLASSES, CLASSES_HUMAN, FAILED_RATE
 from ..functions.columns import TERM_PATTERN, WORD_PATTERN, rate_lines, sigmoid, tokens
+from .routing import score_status
 
 # Default lexicon (term -> {class: weight}) and per-class bias. A parameter,
 # not reference data: the reference's scorer is a neural model whose weights
@@ -174,10 +175,12 @@ def case_max_scores(messages: DataFrame, lexicon=DEFAULT_LEXICON, bias=DEFAULT_B
 
 
 def rate_report(scored: DataFrame) -> DataFrame:
-    """A7/M5: "I rate the message:" and one tab-indented line per class."""
+    """A7/M5: "I rate the message:" and one tab-indented line per class; a
+    message whose scores failed gets the fixed answer."""
     lines = rate_lines(CLASSES_HUMAN, CLASSES, "\n\t")
-    return scored.select("message_id",
-                         F.concat(F.lit("I rate the message:\n\t"), lines).alias("report"))
+    failed = score_status(scored) == "quarantine"
+    return scored.select("message_id", F.when(failed, F.lit(FAILED_RATE)).otherwise(
+        F.concat(F.lit("I rate the message:\n\t"), lines)).alias("report"))
 
 
 def token_list(messages: DataFrame, text: str = "text") -> DataFrame:

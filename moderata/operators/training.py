@@ -62,12 +62,12 @@ def featurizer(text_col: str = "comment_text", num_features: int = NUM_FEATURES)
 
 def fit(train: DataFrame, text_col: str = "comment_text", max_iter: int = 25,
         reg: float = 0.01, num_features: int = NUM_FEATURES,
-        parallelism: int = len(CLASSES)) -> MultiLabelModel:
+        parallelism: int = 2) -> MultiLabelModel:
     """Fit the feature pipeline once, then one model per class.
 
     The per-class fits are independent, so they are submitted from a thread
-    pool (as Spark ML's one-vs-rest does): each L-BFGS iteration is a short
-    job, and concurrent fits keep the executors busy between iterations.
+    pool (as Spark ML's one-vs-rest does). Each running fit holds its own
+    cached copy of the weighted rows, so only ``parallelism`` run at a time.
     """
     from concurrent.futures import ThreadPoolExecutor
 

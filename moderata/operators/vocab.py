@@ -24,7 +24,7 @@ Encoding (T6)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +35,10 @@ from ..functions.classes import SPECIAL_TOKENS
 from ..functions.columns import WORD_PATTERN, tokens
 
 SEP = "\u0001"  # symbol separator inside a word's symbol string
+ESC = "\u0002"  # escapes the separator and itself inside symbols
 CHAR_PATTERN = "(?s)."  # one code point
 MAX_VOCAB = 2_000_000  # merges + alphabet shipped to executors: bounded by this
+CACHED_WORDS = 200_000  # words whose ids a task keeps
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -45,14 +47,23 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
+def escaped(s: Column) -> Column:
+    """A symbol without the separator: U+0002 and U+0001 become U+0002 b and U+0002 a (order is kept)."""
+    return F.replace(F.replace(s, F.lit(ESC), F.lit(ESC + "b")), F.lit(SEP), F.lit(ESC + "a"))
+
+
+def unescaped(s: Column) -> Column:
+    return F.replace(F.replace(s, F.lit(ESC + "a"), F.lit(SEP)), F.lit(ESC + "b"), F.lit(ESC))
+
+
+def _plain(s: str) -> str:
+    return s.replace(ESC + "a", SEP).replace(ESC + "b", ESC)
+
+
 def initial_symbols(words: DataFrame) -> DataFrame:
     """(word, n) -> (word, n, syms): the word's code points joined by SEP."""
     chars = F.regexp_extract_all(F.col("word"), F.lit(CHAR_PATTERN), 0)
-    return words.withColumn("syms", F.array_join(chars, SEP))
-
-
-def _sym_array(syms: Column) -> Column:
-    return F.split(syms, SEP)
+    return words.withColumn("syms", F.array_join(F.transform(chars, escaped), SEP))
 
 
 # Every "left SEP right" pair, captured by a zero-width match at each symbol start.
@@ -76,7 +87,8 @@ def _pair_key_counts(state: DataFrame) -> DataFrame:
 
 def pair_counts(state: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count: (left, right, count)."""
-    return _split_pair(_pair_key_counts(state))
+    return _split_pair(_pair_key_counts(state)).select(
+        unescaped(F.col("left")).alias("left"), unescaped(F.col("right")).alias("right"), "count")
 
 
 def alphabet(words: DataFrame) -> DataFrame:
@@ -154,9 +166,7 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
     ``checkpoint_every`` rounds and persisted in between (reliable files
     under spark.checkpoint.dir).
     """
-    # U+0001 is reserved as the symbol separator; words holding it are skipped
-    state = (initial_symbols(words.select("word", "n"))
-             .where((F.length("word") > 1) & (F.instr("word", SEP) == 0))
+    state = (initial_symbols(words.select("word", "n")).where(F.length("word") > 1)
              .select("n", "syms").checkpoint(eager=True))
     counts = _pair_key_counts(state).checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
@@ -206,7 +216,7 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
             held.append(state)
     for h in held:
         h.unpersist()
-    return merges[:n_merges]
+    return [(_plain(a), _plain(b), c) for a, b, c in merges[:n_merges]]
 
 
 def merges_frame(spark: SparkSession, merges: Sequence[tuple[str, str, int]]) -> DataFrame:
@@ -230,15 +240,9 @@ def vocabulary(alpha: Sequence[str], merges: Sequence[tuple[str, str, int]],
 # encoding
 # ---------------------------------------------------------------------------
 
-_WORD_RE = None
-
-
-def _pretokenize(text: str) -> list[str]:
-    global _WORD_RE
-    if _WORD_RE is None:
-        import regex
-        _WORD_RE = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+")
-    return _WORD_RE.findall(text)
+def pretokens(text: Column) -> Column:
+    """The words that learning counts: the encoder gets the same array."""
+    return tokens(text, WORD_PATTERN)
 
 
 def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -266,7 +270,7 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 def encoder(spark: SparkSession, alpha: Sequence[str], merges: Sequence[tuple[str, str, int]]):
-    """A pandas UDF text -> ARRAY<INT> of token ids ([UNK] for unknown symbols)."""
+    """A pandas UDF array of words (``pretokens``) -> ARRAY<INT> of ids ([UNK] for unknown symbols)."""
     vocab = vocabulary(alpha, merges)
     if len(vocab) > MAX_VOCAB:
         raise ValueError(f"vocabulary of {len(vocab)} tokens is too large to broadcast")
@@ -275,23 +279,25 @@ def encoder(spark: SparkSession, alpha: Sequence[str], merges: Sequence[tuple[st
     unk = vocab[SPECIAL_TOKENS[0]]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         voc, rk = bc.value
         cache: dict[str, list[int]] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in _pretokenize(t):
-                e = cache.get(w)
-                if e is None:
-                    e = [voc.get(s, unk) for s in bpe_word(w, rk)]
-                    cache[w] = e
-                ids.extend(e)
-            out.append(ids)
-        return pd.Series(out)
+        for words in batches:
+            out = []
+            for own in words:
+                if own is None:
+                    out.append(None)
+                    continue
+                ids: list[int] = []
+                for w in own:
+                    e = cache.get(w)
+                    if e is None:
+                        e = [voc.get(s, unk) for s in bpe_word(w, rk)]
+                        if len(cache) < CACHED_WORDS:
+                            cache[w] = e
+                    ids.extend(e)
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
 
     return encode
 
@@ -308,8 +314,3 @@ def head_ids(ids: Column, n: int) -> Column:
 
 def pad_id() -> int:
     return SPECIAL_TOKENS.index("[PAD]")
-
-
-def split_symbols(s: str) -> list[str]:
-    return s.split(SEP) if s else []
-

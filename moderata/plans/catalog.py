@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.classes import CLASSES, IDENTITY_COLUMNS
+from ..functions.classes import CLASSES, IDENTITY_COLUMNS, TRAINING_TOXICITY_COLUMNS
 from ..operators import actions as A
 from ..operators import features as FE
 from ..operators import labels as LB
@@ -21,6 +21,7 @@ from ..operators import routing as R
 from ..operators import scoring as SC
 from ..operators import training as TR
 from ..operators import vocab as VO
+from ..operators.flow import process
 from ..session import scratch_path
 from ..sources import files as FI
 from ..sources import tables as TB
@@ -36,8 +37,21 @@ def query(name: str):
     return deco
 
 
+def _chat(spark, sf):
+    """Messages of every kind (commands, prompts, bots, apologies, ...) derived from documents."""
+    return TB.chat_from_documents(TB.table(spark, sf, "documents"))
+
+
+def _flow(spark, sf):
+    return process(_chat(spark, sf), TB.fixture_scores, TB.BOT_AUTHOR)
+
+
+def _scored(spark, sf):
+    return _flow(spark, sf).scored
+
+
 def _users(spark, sf):
-    return L.ledger(TB.scored_documents(spark, sf))
+    return L.ledger(_scored(spark, sf))
 
 
 # --------------------------------------------------------------------------
@@ -51,12 +65,12 @@ def q_ledger(spark, sf):
 
 @query("history")
 def q_history(spark, sf):
-    return L.history(TB.scored_documents(spark, sf))
+    return L.history(_scored(spark, sf))
 
 
 @query("last_message")
 def q_last_message(spark, sf):
-    return L.last_message(TB.messages_from_documents(TB.table(spark, sf, "documents")))
+    return L.last_message(_scored(spark, sf))
 
 
 @query("guild_stats")
@@ -95,25 +109,30 @@ def q_eligible(spark, sf):
 
 @query("route")
 def q_route(spark, sf):
-    return R.route(_docs(spark, sf)).select("message_id", "route", "prompt")
+    return R.route(_chat(spark, sf), TB.BOT_AUTHOR).select("message_id", "route", "prompt")
 
 
 @query("prompt_extract")
 def q_prompt_extract(spark, sf):
-    return _docs(spark, sf).select("message_id", R.is_image_prompt().alias("is_image"),
+    return _chat(spark, sf).select("message_id", R.is_image_prompt().alias("is_image"),
                                    R.prompt_text().alias("prompt"))
 
 
 @query("score_quarantine")
 def q_score_quarantine(spark, sf):
-    scored = SC.lexicon_scores(_docs(spark, sf))
+    scored = TB.fixture_scores(_flow(spark, sf).routed)
     return (scored.select(R.score_status(scored).alias("status"))
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("quarantine")
+def q_quarantine(spark, sf):
+    return _flow(spark, sf).quarantine.select("message_id", "guild", "author", "channel")
+
+
 @query("class_flags")
 def q_class_flags(spark, sf):
-    return R.class_flags(TB.scored_documents(spark, sf))
+    return R.class_flags(_scored(spark, sf))
 
 
 @query("user_stats")
@@ -125,7 +144,7 @@ def _stat_targets(spark, sf):
     """One aggregation gives user and guild rows (grouping sets), one
     join answers every request target (null-safe on author for guild rows).
     Unknown users match nothing (no row)."""
-    stats = L.ledger_and_guilds(TB.scored_documents(spark, sf))
+    stats = L.ledger_and_guilds(_scored(spark, sf))
     reqs = TB.stats_requests_from_documents(TB.table(spark, sf, "documents"))
     targets = R.stats_targets(reqs).withColumn("pos", F.col("pos").cast("bigint"))
     j = targets.join(stats, (targets["guild"] == stats["guild"])
@@ -171,7 +190,7 @@ def q_score_case_max(spark, sf):
 
 @query("rate_report")
 def q_rate_report(spark, sf):
-    return SC.rate_report(SC.lexicon_scores(_docs(spark, sf), decimals=None))
+    return SC.rate_report(TB.fixture_scores(_docs(spark, sf)))
 
 
 @query("token_list")
@@ -185,44 +204,78 @@ def q_token_list(spark, sf):
 
 @query("tier")
 def q_tier(spark, sf):
-    return A.tier(TB.scored_documents(spark, sf))
+    return A.tier(_scored(spark, sf))
 
 
 @query("apology")
 def q_apology(spark, sf):
-    return A.apology(_docs(spark, sf))
+    return A.apology(_scored(spark, sf))
 
 
 def _personas(spark):
+    """The configuration (read through Spark) and its personas."""
     cfg = FI.load_persona_config()
     return cfg, FI.personas(spark, cfg)
 
 
-def _n_personas(cfg):
-    return len(FI.persona_rows(cfg))
+def _pool(cfg):
+    return cfg["user"].get("all", []), cfg["user"].get("p_default", 0.2)
 
 
 @query("persona_reply")
 def q_persona_reply(spark, sf):
     cfg, per = _personas(spark)
-    return A.persona_reply(_docs(spark, sf), per, cfg["user"].get("all", []),
-                           cfg["user"].get("p_default", 0.2), _n_personas(cfg))
+    return A.persona_reply(_flow(spark, sf).routed, per, *_pool(cfg))
 
 
 @query("actions")
 def q_actions(spark, sf):
     cfg, per = _personas(spark)
-    return A.actions(TB.scored_documents(spark, sf), _docs(spark, sf), per,
-                     cfg["user"].get("all", []), cfg["user"].get("p_default", 0.2),
-                     n_personas=_n_personas(cfg))
+    flow = _flow(spark, sf)
+    return A.actions(flow.scored, flow.routed, per, *_pool(cfg), **FI.reply_lists(cfg))
+
+
+@query("award_reply")
+def q_award_reply(spark, sf):
+    """A5: reactions derived from events (emoji by a hash, target = user_id) on the bot's own messages."""
+    emoji = A.pick(F.array(*[F.lit(e) for e in REACTION_EMOJIS]), "event_id", "emoji")
+    reactions = TB.table(spark, sf, "events").select(
+        F.col("event_id").alias("reaction_id"), F.col("user_id").alias("message_id"), emoji.alias("emoji"))
+    return A.award_reply(reactions, _chat(spark, sf), TB.BOT_AUTHOR)
+
+
+REACTION_EMOJIS = ["🎖", "🏅", "🥇", "👍", "👎"]
+
+
+def _why(spark, sf):
+    last = L.last_message(_scored(spark, sf))
+    return last, A.why_report(last, SC.lexicon_scores(last, decimals=None))
 
 
 @query("why_report")
 def q_why_report(spark, sf):
     """The latest message per (guild, author, channel), re-scored by the
     lexicon scorer on its text."""
-    last = L.last_message(_docs(spark, sf))
-    return A.why_report(last, SC.lexicon_scores(last, decimals=None))
+    return _why(spark, sf)[1]
+
+
+def _why_requests(spark, sf):
+    """A ``%why`` request per document; authors 7 and 8 have never written."""
+    return TB.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("request_id"), F.col("source").alias("guild"), (F.col("doc_id") % 9).alias("author"),
+        F.col("lang").alias("channel"), F.concat(F.lit("user"), (F.col("doc_id") % 9).cast("string")).alias("name"))
+
+
+@query("lookup_last")
+def q_lookup_last(spark, sf):
+    """the latest message by (guild, author, channel) for every request; unknown keys give no row."""
+    last = L.last_message(_scored(spark, sf))
+    return L.lookup(last, _why_requests(spark, sf).drop("name"), ("guild", "author", "channel"))
+
+
+@query("why_answers")
+def q_why_answers(spark, sf):
+    return A.why_answers(_why_requests(spark, sf), *_why(spark, sf))
 
 
 @query("stats_report")
@@ -318,11 +371,11 @@ def q_request_validate(spark, sf):
 
 @query("best_of_n")
 def q_best_of_n(spark, sf):
+    """Eight candidates per prompt, all scored against the prompt's own query vector."""
     emb = TB.table(spark, sf, "embeddings")
-    centroid = FE.pooled_vectors(emb, ["label"]).select("label", F.col("mean").alias("query"))
-    cands = (RQ.score_candidates(emb, centroid, "label")
-             .select(F.expr("vec_id div 8").alias("prompt_id"), F.col("vec_id").alias("cand_id"),
-                     F.round("score", 6).alias("score")))
+    prompts = emb.select(F.col("vec_id").alias("prompt_id"), F.col("embedding").alias("query"))
+    cands = (RQ.score_candidates(emb.withColumn("prompt_id", F.expr("vec_id div 8")), prompts, "prompt_id")
+             .select("prompt_id", F.col("vec_id").alias("cand_id"), F.round("score", 6).alias("score")))
     return RQ.best_of_n(cands)
 
 
@@ -330,7 +383,7 @@ def q_best_of_n(spark, sf):
 def q_safety_gate(spark, sf):
     v = RQ.validate(_requests(spark, sf, text=True)).where("valid")
     s = SC.lexicon_scores(v.select("request_id", F.col("prompt").alias("text")))
-    flagged = s.select("request_id", (F.greatest("obscene", "sexual_explicit") > 0.5).alias("nsfw"))
+    flagged = s.select("request_id", (F.greatest("toxic", "obscene", "sexual_explicit") > 0.5).alias("nsfw"))
     return RQ.safety_gate(flagged).select("request_id", "status", "message")
 
 
@@ -339,7 +392,7 @@ def q_safety_gate(spark, sf):
 # --------------------------------------------------------------------------
 
 
-BPE_MERGES = 32        # merges learned by the registered check (a parameter)
+BPE_MERGES = 64        # merges learned by the registered queries (a parameter of learn_merges; see README)
 HEAD_IDS, TAIL_IDS, PAD_TO = 256, 128, 256
 
 
@@ -354,11 +407,18 @@ def q_bpe_pairs(spark, sf):
     return VO.pair_counts(VO.initial_symbols(words))
 
 
+_LEARNED: dict[tuple[str, str], tuple] = {}
+
+
 def _learn(spark, sf):
-    words = VO.word_counts(TB.text_table(spark, sf, "documents")).checkpoint(eager=True)
-    merges = VO.learn_merges(spark, words, BPE_MERGES)
-    alpha = [r["ch"] for r in VO.alphabet(words).collect()]  # bounded by the character set
-    return words, merges, alpha
+    """Merges and alphabet, learned once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LEARNED:
+        words = VO.word_counts(TB.text_table(spark, sf, "documents")).checkpoint(eager=True)
+        merges = VO.learn_merges(spark, words, BPE_MERGES)
+        alpha = [r["ch"] for r in VO.alphabet(words).collect()]  # bounded by the character set
+        _LEARNED[key] = (words, merges, alpha)
+    return _LEARNED[key]
 
 
 @query("bpe_merges")
@@ -370,7 +430,7 @@ def q_bpe_merges(spark, sf):
 def _encoded(spark, sf):
     _, merges, alpha = _learn(spark, sf)
     enc = VO.encoder(spark, alpha, merges)
-    return _docs(spark, sf).select("message_id", enc(F.col("text")).alias("ids"))
+    return _docs(spark, sf).select("message_id", enc(VO.pretokens(F.col("text"))).alias("ids"))
 
 
 @query("encode_head")
@@ -399,29 +459,39 @@ def q_pad_mask(spark, sf):
 # --------------------------------------------------------------------------
 
 
-def _stream_source(spark, sf):
-    return ST.event_source(spark, sf, glob="events.parquet")
+def _run_stream(spark, sf, output):
+    """The events in three deliveries, some of them twice, each a micro-batch or more."""
+    base = scratch_path(spark, "stream")
+    ev = TB.table(spark, sf, "events")
+    part = TB.hash_int("event_id", "part") % 3
+    for k in range(3):
+        again = (F.col("event_id") % 10 == 0) & ((part + 1) % 3 == k)
+        ev.where((part == k) | again).write.parquet(f"{base}/in/{k}")
+    cfg, per = _personas(spark)
+    messages = TB.chat_from_events(ST.event_source(spark, f"{base}/in", max_files_per_trigger=1))
+    ST.run_to_end(ST.start_ledger(messages, base, outputs=(output,), personas=per, pool_all=_pool(cfg)[0],
+                                  p_default=_pool(cfg)[1], replies=FI.reply_lists(cfg), compact_every=2))
+    return base
 
 
 @query("stream_ledger")
 def q_stream_ledger(spark, sf):
-    base = scratch_path(spark, "stream-ledger")
-    ST.run_to_end(ST.start_counters(_stream_source(spark, sf), f"{base}/users", f"{base}/_ck"))
-    return ST.current_users(spark, f"{base}/users")
+    return ST.current_users(spark, _run_stream(spark, sf, "users"))
 
 
 @query("stream_last_message")
 def q_stream_last_message(spark, sf):
-    base = scratch_path(spark, "stream-last")
-    ST.run_to_end(ST.start_latest(_stream_source(spark, sf), f"{base}/last", f"{base}/_ck"))
-    return ST.current_last_messages(spark, f"{base}/last")
+    return ST.current_last_messages(spark, _run_stream(spark, sf, "last"))
 
 
 @query("stream_history")
 def q_stream_history(spark, sf):
-    base = scratch_path(spark, "stream-history")
-    ST.run_to_end(ST.start_history(_stream_source(spark, sf), f"{base}/history", f"{base}/_ck"))
-    return spark.read.parquet(f"{base}/history")
+    return ST.history(spark, _run_stream(spark, sf, "history"))
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf):
+    return ST.quarantine(spark, _run_stream(spark, sf, "quarantine")).select("message_id", "guild", "author", "channel")
 
 
 # --------------------------------------------------------------------------
@@ -456,12 +526,23 @@ def q_split_exact(spark, sf):
 
 @query("stream_actions")
 def q_stream_actions(spark, sf):
-    cfg, per = _personas(spark)
-    base = scratch_path(spark, "stream-actions")
-    ST.run_to_end(ST.start_actions(_stream_source(spark, sf), f"{base}/actions", f"{base}/_ck",
-                                   per, cfg["user"].get("all", []),
-                                   cfg["user"].get("p_default", 0.2), _n_personas(cfg)))
-    return spark.read.parquet(f"{base}/actions").drop("batch_id")
+    return ST.actions(spark, _run_stream(spark, sf, "actions"))
+
+
+@query("scan_training")
+def q_scan_training(spark, sf):
+    """The training rows written as CSV (other column order, an extra
+    column, a malformed row per hundred) and read back by name."""
+    path = scratch_path(spark, "training-csv")
+    t = _train(spark, sf)
+    for src, dst in zip(TRAINING_TOXICITY_COLUMNS, CLASSES):
+        if src != dst:
+            t = t.withColumnRenamed(dst, src)
+    cols = [F.col(c).cast("string").alias(c) for c in reversed(t.columns) if c != "toxic"]
+    bad = F.when(F.col("id") % 100 == 7, F.lit("n/a")).otherwise(F.col("toxic").cast("string"))
+    (t.select(F.lit("x").alias("extra"), *cols, bad.alias("toxic")).write.option("header", True).option("escape", '"')
+     .csv(path))
+    return FI.read_training_csv(spark, path)
 
 
 @query("lookup_users")

@@ -32,28 +32,61 @@ def h_unit(key: str, salt: str) -> str:
 
 
 def _fixture(messages_sql: str) -> str:
+    """``m``: the messages; ``tried``: with scores, NULL where scoring failed; ``scored``: the valid ones."""
     u = ",\n    ".join(f"{h_unit('message_id', c)} AS {c}" for c in CLASSES)
     sq = ", ".join(f"{c}*{c} AS {c}" for c in CLASSES)
+    null = ", ".join(f"CASE WHEN NOT failed THEN {c} END AS {c}" for c in CLASSES)
     return f"""
 m AS ({messages_sql}),
-u AS (SELECT m.*, {u} FROM m),
+u AS (SELECT m.*, message_id % 25 = 11 AS failed,
+    {u} FROM m),
 v AS (SELECT * REPLACE ({sq}) FROM u),
-scored AS (SELECT * REPLACE ({sq}) FROM v)"""
+w AS (SELECT * REPLACE ({sq}) FROM v),
+tried AS (SELECT * REPLACE ({null}) FROM w),
+scored AS (SELECT * FROM tried WHERE NOT failed)"""
 
 
 DOC_MESSAGES = ("SELECT doc_id AS message_id, source AS guild, lang AS channel, "
                 "doc_id % 7 AS author, false AS author_is_bot, "
                 "CAST(NULL AS TIMESTAMP) AS ts, text FROM documents")
-EVENT_MESSAGES = ("SELECT event_id AS message_id, event_type AS guild, 'events' AS channel, "
-                  "user_id AS author, false AS author_is_bot, CAST(ts AS TIMESTAMP) AS ts, "
-                  "props AS text FROM events")
-CONV_MESSAGES = ("SELECT conv_id * 1024 + turn AS message_id, CAST(conv_id AS VARCHAR) AS guild, "
+_KIND = f"{h_int('message_id', 'kind')} % 20"
+CHAT = f"""SELECT message_id, CASE WHEN k <> 6 THEN guild END AS guild, channel, author, k = 5 AS author_is_bot, ts,
+  CASE k WHEN 0 THEN '%' || text WHEN 1 THEN 'Toxic SHOW ME ' || text WHEN 2 THEN 'toxicbot show me ' || text
+         WHEN 3 THEN '' WHEN 4 THEN text || ' Sorry, sorry for being Toxic' ELSE text END AS text
+  FROM (SELECT *, {_KIND} AS k FROM ({DOC_MESSAGES}))"""
+EVENT_MESSAGES = f"""SELECT message_id, guild, channel, author, k = 5 AS author_is_bot,
+  CASE WHEN k = 7 THEN ts - INTERVAL 60 DAY ELSE ts END AS ts,
+  CASE k WHEN 0 THEN '%' || text WHEN 1 THEN 'Toxic SHOW ME ' || text WHEN 3 THEN ''
+         WHEN 4 THEN text || ' sorry for being Toxic' ELSE text END AS text
+  FROM (SELECT *, {_KIND} AS k FROM (SELECT event_id AS message_id, event_type AS guild, 'events' AS channel,
+    user_id AS author, CAST(ts AS TIMESTAMP) AS ts, props AS text FROM events))"""
+CONV_MESSAGES = ("SELECT conv_id || ':' || turn AS message_id, CAST(conv_id AS VARCHAR) AS guild, "
                  "role AS channel, CASE WHEN role = 'user' THEN 1 WHEN role = 'assistant' "
                  "THEN 0 ELSE 2 END::BIGINT AS author, role = 'system' AS author_is_bot, "
                  "CAST(NULL AS TIMESTAMP) AS ts, text FROM conversations")
 
-SCORED_DOCS = "WITH" + _fixture(DOC_MESSAGES)
-SCORED_EVENTS = "WITH" + _fixture(EVENT_MESSAGES)
+
+def _gate(bot_user: str = "NULL") -> str:
+    return (f"CASE WHEN author = {bot_user} THEN 'self' "
+            "WHEN coalesce(author_is_bot, false) THEN 'bot' "
+            "WHEN guild IS NULL THEN 'no_guild' "
+            "WHEN coalesce(length(text), 0) = 0 THEN 'empty' "
+            "WHEN substr(text, 1, 1) = '%' THEN 'command' END")
+
+
+IS_IMAGE = ("(starts_with(lower(text), 'toxic show me ') "
+            "OR starts_with(lower(text), 'toxicbot show me '))")
+
+
+def _routed(messages_sql: str, bot_user: str = "NULL") -> str:
+    """Messages that reach the scorer: eligible and not an image prompt."""
+    return f"SELECT * FROM ({messages_sql}) WHERE {_gate(bot_user)} IS NULL AND NOT {IS_IMAGE}"
+
+
+BOT = "6"
+CHAT_ROUTED = _routed(CHAT, BOT)
+SCORED_DOCS = "WITH" + _fixture(CHAT_ROUTED)
+SCORED_EVENTS = "WITH" + _fixture(_routed(EVENT_MESSAGES))
 
 MAXS = "greatest(" + ", ".join(CLASSES) + ")"
 NOVER = " + ".join(f"({c} > 0.5)::BIGINT" for c in CLASSES)
@@ -75,8 +108,8 @@ def favourite(prefix: str = "") -> str:
 
 
 def rate(prefix: str = "") -> str:
-    return (f"round(CASE WHEN {prefix}total_seen = 0 THEN NULL "
-            f"ELSE 100.0::DOUBLE * {prefix}incidents / {prefix}total_seen END, 1)")
+    return (f"CASE WHEN {prefix}total_seen > 0 THEN printf('%.1f', "
+            f"100.0::DOUBLE * {prefix}incidents / {prefix}total_seen)::DOUBLE END")
 
 
 # --------------------------------------------------------------------------
@@ -135,25 +168,9 @@ g AS (SELECT guild, {sums} FROM users GROUP BY guild)
 NL, TAB = "chr(10)", "chr(9)"
 
 
-def _gate(bot_user: str = "NULL") -> str:
-    return (f"CASE WHEN author = {bot_user} THEN 'self' "
-            "WHEN coalesce(author_is_bot, false) THEN 'bot' "
-            "WHEN guild IS NULL THEN 'no_guild' "
-            "WHEN coalesce(length(text), 0) = 0 THEN 'empty' "
-            "WHEN substr(text, 1, 1) = '%' THEN 'command' END")
-
-
-IS_IMAGE = ("(starts_with(lower(text), 'toxic show me ') "
-            "OR starts_with(lower(text), 'toxicbot show me '))")
 PROMPT = "regexp_extract(text, '(?is)^toxic(bot)? show me (.*)$', 2)"
 
 
-def _routed(messages_sql: str) -> str:
-    """Messages that reach the scorer: eligible (no bot user here) and not an
-    image prompt."""
-    return (f"SELECT * FROM ({messages_sql}) WHERE {_gate()} IS NULL AND NOT {IS_IMAGE}")
-
-
 @sql("eligible")
 def _():
     return f"WITH m AS ({CONV_MESSAGES})\nSELECT message_id, guild, author, {_gate('0')} AS reason FROM m"
@@ -161,20 +178,25 @@ def _():
 
 @sql("route")
 def _():
-    return f"""WITH m AS ({DOC_MESSAGES}),
-r AS (SELECT message_id, text, coalesce({_gate()}, CASE WHEN {IS_IMAGE} THEN 'image' ELSE 'score' END) AS route FROM m)
+    return f"""WITH m AS ({CHAT}),
+r AS (SELECT message_id, text, coalesce({_gate(BOT)}, CASE WHEN {IS_IMAGE} THEN 'image' ELSE 'score' END) AS route FROM m)
 SELECT message_id, route, CASE WHEN route = 'image' THEN {PROMPT} END AS prompt FROM r"""
 
 
 @sql("prompt_extract")
 def _():
-    return f"WITH m AS ({DOC_MESSAGES})\nSELECT message_id, {IS_IMAGE} AS is_image, {PROMPT} AS prompt FROM m"
+    return f"WITH m AS ({CHAT})\nSELECT message_id, {IS_IMAGE} AS is_image, {PROMPT} AS prompt FROM m"
 
 
 @sql("score_quarantine")
 def _():
-    return ("SELECT CASE WHEN text IS NULL THEN 'quarantine' ELSE 'scored' END AS status, "
-            "count(*) AS n FROM documents GROUP BY 1")
+    return SCORED_DOCS + ("\nSELECT CASE WHEN failed THEN 'quarantine' ELSE 'scored' END AS status, "
+                          "count(*) AS n FROM tried GROUP BY 1")
+
+
+@sql("quarantine")
+def _():
+    return SCORED_DOCS + "\nSELECT message_id, guild, author, channel FROM tried WHERE failed"
 
 
 @sql("class_flags")
@@ -233,15 +255,18 @@ def _bias(c: str) -> str:
     return f"{float(DEFAULT_BIAS.get(c, 0.0))}::DOUBLE"
 
 
-TERM_RE = r"[\p{L}\p{M}\p{N}_]+"
-WORD_RE = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
+_WORD_CHARS = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
+_BLANKS = r"\x09-\x0D\x20\x{85}\p{Z}"
+TERM_RE = f"[{_WORD_CHARS}]+"
+WORD_RE = f"[{_WORD_CHARS}]+|[^{_WORD_CHARS}{_BLANKS}]+"
+SPLIT_RE = f"[{_BLANKS}\\x1C-\\x1F]+"
 
 
-def _lexicon_sum_cte(variants: dict[str, str]) -> str:
+def _lexicon_sum_cte(variants: dict[str, str], source: str = "documents") -> str:
     """Per (doc, variant, class) sum of weights of matching tokens."""
     toks = "\n  UNION ALL ".join(
         f"SELECT doc_id, '{v}' AS variant, unnest(regexp_extract_all({expr}, '{TERM_RE}')) AS term "
-        f"FROM documents" for v, expr in variants.items())
+        f"FROM {source}" for v, expr in variants.items())
     return f"""lex(term, cls, w) AS (VALUES {_lexicon_values()}),
 toks AS ({toks}),
 sums AS (SELECT doc_id, variant, cls, sum(w) AS s FROM toks JOIN lex USING (term)
@@ -281,13 +306,9 @@ def _rate_lines(prefix: str = "") -> str:
 
 @sql("rate_report")
 def _():
-    cols = ",\n  ".join(
-        f"1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))) AS {c}"
-        for c in CLASSES)
-    return f"""WITH {_lexicon_sum_cte({'low': 'lower(text)'})},
-p AS (SELECT d.doc_id AS message_id, {cols}
-      FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id)
-SELECT message_id, 'I rate the message:' || {NL} || {TAB} || {_rate_lines()} AS report FROM p"""
+    return f"""WITH {_fixture(DOC_MESSAGES)}
+SELECT message_id, CASE WHEN failed THEN 'My brain hurts'
+  ELSE 'I rate the message:' || {NL} || {TAB} || {_rate_lines()} END AS report FROM tried"""
 
 
 @sql("token_list")
@@ -328,11 +349,11 @@ def _():
     return _tier_sql()
 
 
-def _apology_sql(messages_sql: str | None = None) -> str:
+def _apology_sql(scored_src: str | None = None) -> str:
     from ..functions.classes import APOLOGY_REPLIES
-    return f"""WITH m AS ({messages_sql or DOC_MESSAGES}),
-a AS (SELECT message_id, list_contains(regexp_split_to_array(lower(text), '\\s+'), 'sorry')
-                         AND contains(lower(text), 'toxic') AS apology FROM m)
+    return (scored_src or SCORED_DOCS) + f""",
+a AS (SELECT message_id, list_contains(regexp_split_to_array(lower(text), '{SPLIT_RE}'), 'sorry')
+                         AND contains(lower(text), 'toxic') AS apology FROM scored)
 SELECT message_id, apology, CASE WHEN apology THEN {_pick(_list(APOLOGY_REPLIES), 'apology_reply')} END AS reply
 FROM a"""
 
@@ -350,7 +371,7 @@ def _persona_sql(messages_sql: str | None = None) -> str:
         for a, n, p, r in persona_rows(cfg))
     pool_all = _list(cfg["user"].get("all", []))
     p_def = float(cfg["user"].get("p_default", 0.2))
-    return f"""WITH m AS ({messages_sql or DOC_MESSAGES}),
+    return f"""WITH m AS ({messages_sql or CHAT_ROUTED}),
 per(author, name, p, resps) AS (VALUES {vals}),
 j AS (SELECT m.message_id, m.author, per.name, coalesce(per.p, {p_def}::DOUBLE) AS p,
              list_concat({pool_all}, coalesce(per.resps, CAST([] AS VARCHAR[]))) AS pool
@@ -375,22 +396,58 @@ UNION ALL SELECT message_id, 'apology', reply FROM a WHERE apology
 UNION ALL SELECT message_id, 'persona', reply FROM p WHERE fired"""
 
 
-@sql("why_report")
-def _():
+def _why_sql() -> str:
+    """CTEs ``last`` (latest scored message per key) and ``why`` (with its report)."""
     cols = ",\n  ".join(
         f"1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))) AS {c}"
         for c in CLASSES)
-    return f"""WITH {_lexicon_sum_cte({'low': 'lower(text)'})},
+    return SCORED_DOCS + f""",
+last AS (SELECT guild, author, channel, max(message_id) AS message_id, arg_max(text, message_id) AS text
+         FROM scored GROUP BY guild, author, channel),
+lt AS (SELECT message_id AS doc_id, text FROM last),
+{_lexicon_sum_cte({'low': 'lower(text)'}, 'lt')},
 p AS (SELECT d.doc_id AS message_id, {cols}
-      FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
-m AS ({DOC_MESSAGES}),
-last AS (SELECT guild, author, channel, max(message_id) AS message_id
-         FROM m GROUP BY guild, author, channel)
-SELECT l.guild, l.author, l.channel, l.message_id,
-  'Your last message, ' || CAST(l.author AS VARCHAR) || ' ''' ||
-  CASE WHEN length(t.text) > 100 THEN substr(t.text, 1, 97) || '...' ELSE t.text END ||
-  ''' was rated:' || {NL} || {TAB} || {_rate_lines('p.')} AS report
-FROM last l JOIN m t USING (message_id) JOIN p USING (message_id)"""
+      FROM lt d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
+why AS (SELECT l.guild, l.author, l.channel, l.message_id,
+  'Your last message, ' || CAST(l.author AS VARCHAR) || ' \'\'' ||
+  CASE WHEN length(l.text) > 100 THEN substr(l.text, 1, 97) || '...' ELSE l.text END ||
+  '\'\' was rated:' || {NL} || {TAB} || {_rate_lines('p.')} AS report
+  FROM last l JOIN p USING (message_id))"""
+
+
+@sql("why_report")
+def _():
+    return _why_sql() + "\nSELECT * FROM why"
+
+
+WHY_REQUESTS = ("SELECT doc_id AS request_id, source AS guild, doc_id % 9 AS author, lang AS channel, "
+                "'user' || (doc_id % 9) AS name FROM documents")
+
+
+@sql("lookup_last")
+def _():
+    return _why_sql() + f"""
+SELECT r.request_id, r.guild, r.author, r.channel, l.message_id, l.text
+FROM ({WHY_REQUESTS}) r JOIN last l USING (guild, author, channel)"""
+
+
+@sql("why_answers")
+def _():
+    return _why_sql() + f"""
+SELECT r.request_id, w.message_id,
+       coalesce(w.report, 'Sorry ' || r.name || ', I didn\'\'t find your last message here') AS answer
+FROM ({WHY_REQUESTS}) r LEFT JOIN why w USING (guild, author, channel)"""
+
+
+@sql("award_reply")
+def _():
+    from ..functions.classes import AWARD_EMOJIS, AWARD_REPLY
+    from .catalog import REACTION_EMOJIS
+    emoji = _pick(_list(REACTION_EMOJIS), "emoji").replace("message_id", "event_id")
+    return f"""WITH r AS (SELECT event_id AS reaction_id, user_id AS message_id, {emoji} AS emoji FROM events),
+own AS (SELECT DISTINCT message_id FROM ({CHAT}) WHERE author = {BOT})
+SELECT reaction_id, message_id, '{AWARD_REPLY}' AS reply FROM r JOIN own USING (message_id)
+WHERE list_contains({_list(AWARD_EMOJIS)}, emoji) AND {h_unit('reaction_id', 'award')} < 0.1::DOUBLE"""
 
 
 @sql("stats_report")
@@ -559,13 +616,9 @@ def _():
 
 @sql("best_of_n")
 def _():
-    return """WITH e AS (SELECT label, unnest(embedding) AS x,
-                  unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings),
-cen AS (SELECT label, list(m ORDER BY pos) AS query
-        FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM e GROUP BY label, pos) GROUP BY label),
-sc AS (SELECT vec_id // 8 AS prompt_id, vec_id AS cand_id,
-         round(list_sum(list_transform(list_zip(embedding, query), lambda t: t[1]::DOUBLE * t[2])), 6) AS score
-       FROM embeddings JOIN cen USING (label))
+    return """WITH sc AS (SELECT c.vec_id // 8 AS prompt_id, c.vec_id AS cand_id,
+         round(list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE)), 6) AS score
+       FROM embeddings c JOIN embeddings q ON q.vec_id = c.vec_id // 8)
 SELECT prompt_id, arg_max(cand_id, struct_pack(a := score, b := -cand_id)) AS best_id,
        max(score) AS best_score, count(*) AS n_candidates FROM sc GROUP BY prompt_id"""
 
@@ -574,11 +627,11 @@ SELECT prompt_id, arg_max(cand_id, struct_pack(a := score, b := -cand_id)) AS be
 def _():
     lg = " , ".join(
         f"round(1 / (1 + exp(-({_bias(c)} + coalesce(sum(s) FILTER (WHERE cls = '{c}'), 0)))), 6) AS {c}"
-        for c in ("obscene", "sexual_explicit"))
+        for c in ("toxic", "obscene", "sexual_explicit"))
     return f"""WITH {_requests_cte()},
 {_lexicon_sum_cte({'low': 'lower(text)'})},
 p AS (SELECT d.doc_id AS request_id, {lg} FROM documents d LEFT JOIN sums USING (doc_id) GROUP BY d.doc_id),
-f AS (SELECT rr.request_id, greatest(p.obscene, p.sexual_explicit) > 0.5 AS nsfw
+f AS (SELECT rr.request_id, greatest(p.toxic, p.obscene, p.sexual_explicit) > 0.5 AS nsfw
       FROM rr JOIN p USING (request_id) WHERE rr.reason IS NULL)
 SELECT request_id, CASE WHEN coalesce(nsfw, false) THEN 'withheld' ELSE 'shown' END AS status,
        CASE WHEN coalesce(nsfw, false) THEN '😳 Sorry but I can''t show you this!' END AS message FROM f"""
@@ -609,21 +662,25 @@ FROM p GROUP BY 1, 2"""
 
 @sql("stream_ledger")
 def _():
-    return ledger_cte("WITH" + _fixture(_routed(EVENT_MESSAGES))) + "\nSELECT * FROM users"
+    return ledger_cte(SCORED_EVENTS) + "\nSELECT * FROM users"
 
 
 @sql("stream_last_message")
 def _():
-    return f"""WITH m AS ({_routed(EVENT_MESSAGES)})
+    return SCORED_EVENTS + """
 SELECT guild, author, channel, arg_max(message_id, struct_pack(a := ts, b := message_id)) AS message_id,
        arg_max(text, struct_pack(a := ts, b := message_id)) AS text
-FROM m GROUP BY guild, author, channel"""
+FROM scored GROUP BY guild, author, channel"""
 
 
 @sql("stream_history")
 def _():
-    return "WITH" + _fixture(_routed(EVENT_MESSAGES)) + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} " \
-                           f"FROM scored WHERE {MAXS} > 0.5"
+    return SCORED_EVENTS + f"\nSELECT message_id AS id, guild, author, {', '.join(CLASSES)} FROM scored WHERE {MAXS} > 0.5"
+
+
+@sql("stream_quarantine")
+def _():
+    return SCORED_EVENTS + "\nSELECT message_id, guild, author, channel FROM tried WHERE failed"
 
 
 @sql("split_exact")
@@ -662,8 +719,8 @@ FROM t GROUP BY request_id"""
 @sql("stream_actions")
 def _():
     routed = _routed(EVENT_MESSAGES)
-    return f"""WITH t AS ({_tier_sql("WITH" + _fixture(routed))}),
-a AS ({_apology_sql(routed)}),
+    return f"""WITH t AS ({_tier_sql(SCORED_EVENTS)}),
+a AS ({_apology_sql(SCORED_EVENTS)}),
 p AS ({_persona_sql(routed)})
 SELECT message_id, tier AS action, payload FROM t WHERE tier <> 'none'
 UNION ALL SELECT message_id, 'apology', reply FROM a WHERE apology
@@ -691,3 +748,8 @@ def _():
 @sql("training_frame")
 def _():
     return f"WITH {_training_cte()}\nSELECT * FROM tf"
+
+
+@sql("scan_training")
+def _():
+    return f"WITH {_training_cte()}\nSELECT tf.* FROM tf WHERE id % 100 <> 7"

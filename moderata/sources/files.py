@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classes import CLASSES, TRAINING_TOXICITY_COLUMNS
 from . import schemas
@@ -16,22 +17,52 @@ PERSONA_CONFIG = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
     os.path.abspath(__file__)))), "conf", "personas.json")
 
 
-def read_training_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """Training CSV with an explicit schema; quoted multi-line comments.
+CORRUPT = "_corrupt_record"
+
+
+def _training_raw(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the file, typed by column name, malformed ones with their text in ``_corrupt_record``.
+
+    The header is read once; columns come in file order, unknown ones as text.
+    """
+    head = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    known = {f.name: f for f in schemas.TRAINING_CSV.fields}
+    fields = [known.get(c, T.StructField(c, T.StringType())) for c in head.columns]
+    missing = sorted(set(known) - set(head.columns))
+    if "comment_text" in missing:
+        raise ValueError(f"{path}: no column comment_text")
+    raw = (spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
+           .option("header", True).option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    for c in missing:
+        raw = raw.withColumn(c, F.lit(None).cast(known[c].dataType))
+    return raw
+
+
+def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Training CSV by column name (any order, extra columns ignored, absent
+    ones NULL); quoted multi-line comments; malformed rows are left to
+    ``corrupt_training_rows``, so no bad value turns into a label.
 
     Multi-line CSV files cannot be split, so convert once to Parquet
-    (``to_parquet``) and train from that. The second toxicity class is renamed
-    to the ledger spelling.
+    (``training_csv_to_parquet``) and train from that. The second toxicity
+    class is renamed to the ledger spelling.
     """
-    df = (spark.read.schema(schemas.TRAINING_CSV)
-          .option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", mode).option("enforceSchema", False).csv(path))
+    df = _training_raw(spark, path).where(F.col(CORRUPT).isNull()).select(*[f.name for f in schemas.TRAINING_CSV.fields])
     for src, dst in zip(TRAINING_TOXICITY_COLUMNS, CLASSES):
         if src != dst:
             df = df.withColumnRenamed(src, dst)
     return df
 
 
+def corrupt_training_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the file whose values do not fit the schema, as text."""
+    raw = _training_raw(spark, path)
+    # Spark parses only the columns that are read: ask for all of them
+    fields = F.struct(*[F.col(f.name) for f in schemas.TRAINING_CSV.fields])
+    return raw.select(F.col(CORRUPT).alias("line"), F.xxhash64(fields).alias("parsed")).where(F.col("line").isNotNull())
+
+
 def training_csv_to_parquet(spark: SparkSession, src: str, dst: str,
                             partitions: int | None = None) -> DataFrame:
     """Convert the training CSV once to Parquet: a multi-line CSV file is read
@@ -44,12 +75,24 @@ def training_csv_to_parquet(spark: SparkSession, src: str, dst: str,
     return spark.read.parquet(dst)
 
 
-def load_persona_config(path: str = PERSONA_CONFIG) -> dict:
-    """The persona configuration is a small file read on the driver."""
+def load_persona_config(path: str = PERSONA_CONFIG, spark: SparkSession | None = None) -> dict:
+    """The configuration (one small JSON file): personas and reply lists.
+
+    With a session the file may lie in any storage that Spark reads; without
+    one it is a file beside the package.
+    """
+    if spark is not None:
+        return json.loads(spark.read.text(path, wholetext=True).first()["value"])
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
+def reply_lists(config: dict) -> dict[str, list[str]]:
+    """The configured reply lists, as arguments of ``actions.actions``; absent ones keep the defaults."""
+    names = {"toxic": "toxic_replies", "apology": "apology_replies"}
+    return {arg: list(config[key]) for key, arg in names.items() if config.get(key)}
+
+
 def persona_rows(config: dict) -> list[tuple]:
     users = config.get("user", {})
     rows = []
@@ -70,75 +113,54 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def _ids(spark: SparkSession, root: str, name: str, need_success: bool = False) -> list[int]:
-    """Values N of ``name=N`` sub-folders of ``root`` (Hadoop file system, so
-    any shared storage the cluster uses). With ``need_success`` only folders
-    whose write committed (``_SUCCESS`` present) count."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path, so any shared storage the cluster uses."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def mark(spark: SparkSession, folder: str, n: int) -> None:
+    """Leave an empty file named N: batch (or snapshot) N is complete."""
+    fs, p = _fs(spark, f"{folder}/{n}")
+    fs.create(p, True).close()
+
+
+def marks(spark: SparkSession, folder: str) -> list[int]:
+    """The N of all marks: one listing of one folder, whatever its number of batches."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(path):
-        nm = st.getPath().getName()
-        if st.isDirectory() and nm.startswith(name + "="):
-            if need_success and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                continue
-            out.append(int(nm.split("=", 1)[1]))
-    return sorted(out)
-
-
-def _compact_root(path: str) -> str:
-    return path.rstrip("/") + "_compact"
-
-
-def _latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    row = F.max_by(F.struct(*[F.col(c) for c in cols], F.col("batch_id")), F.col("batch_id"))
-    return (df.groupBy(*keys).agg(row.alias("r"))
-            .select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols + ["batch_id"]]))
-
-
-def _current_with_batch(spark: SparkSession, path: str, keys: Sequence[str],
-                        upto: int | None = None) -> DataFrame:
-    """Latest row per key (with its batch id): the newest committed snapshot
-    plus the batch folders after it (pruned by the batch_id partition)."""
-    snaps = _ids(spark, _compact_root(path), "upto", need_success=True)
-    if upto is not None:
-        snaps = [m for m in snaps if m <= upto]
-    batches = spark.read.parquet(path)
-    if snaps:
-        m0 = snaps[-1]
-        snap = spark.read.parquet(f"{_compact_root(path)}/upto={m0}")
-        batches = batches.where(F.col("batch_id") > m0)
-        if upto is not None:
-            batches = batches.where(F.col("batch_id") <= upto)
-        return _latest(snap.unionByName(batches.select(*snap.columns)), keys)
-    if upto is not None:
-        batches = batches.where(F.col("batch_id") <= upto)
-    return _latest(batches, keys)
-
-
-def latest_by_batch(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current table from per-batch absolute values: the latest batch per key.
-
-    Reads the newest compacted snapshot (``compact``) and only the batches
-    written after it, so reading cost does not grow with the stream's age.
-    """
-    return _current_with_batch(spark, path, keys).drop("batch_id")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
+
+
+Combine = Callable[[DataFrame], DataFrame]
+
+
+def current(spark: SparkSession, base: str, name: str, schema: T.StructType, combine: Combine,
+            upto: int | None = None) -> DataFrame:
+    """A table kept as per-batch rows: the newest snapshot and the committed
+    batches after it, combined. Folders without a commit mark (a batch under
+    way, or replayed) are not read; before the first batch the table is empty."""
+    done = [n for n in marks(spark, f"{base}/_commits") if upto is None or n <= upto]
+    snaps = [n for n in marks(spark, f"{base}/_snapshots/{name}") if upto is None or n <= upto]
+    last = snaps[-1] if snaps else -1
+    paths = [f"{base}/{name}_snapshot/upto={last}"] if snaps else []
+    paths += [f"{base}/{name}/batch_id={n}" for n in done if n > last]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    # each path is a folder of its own: its name is not a column
+    return combine(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths))
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> int | None:
-    """Write the current table as of the newest batch to
-    ``<path>_compact/upto=M`` (overwriting that folder, so a retry is
-    harmless) and return M. Batches written meanwhile stay outside M and are
-    read on top of the snapshot. Old folders are left for the operator's
-    retention policy."""
-    done = _ids(spark, path, "batch_id", need_success=True)
+def compact(spark: SparkSession, base: str, name: str, schema: T.StructType, combine: Combine) -> int | None:
+    """Write the table as of the newest committed batch as a snapshot, mark it,
+    and return the batch id; later reads start from there. A retry is harmless."""
+    done = marks(spark, f"{base}/_commits")
     if not done:
         return None
     m = done[-1]
-    cur = _current_with_batch(spark, path, keys, upto=m)
-    cur.write.mode("overwrite").parquet(f"{_compact_root(path)}/upto={m}")
+    if m not in marks(spark, f"{base}/_snapshots/{name}"):
+        current(spark, base, name, schema, combine, upto=m).write.mode("overwrite").parquet(
+            f"{base}/{name}_snapshot/upto={m}")
+        mark(spark, f"{base}/_snapshots/{name}", m)
     return m

@@ -24,12 +24,12 @@ MESSAGE = T.StructType([
 SCORES = T.StructType([_f(c, D) for c in CLASSES])
 
 # Ledger tables (same columns as the reference's three tables).
-USERS = T.StructType([_f("guild", S, False), _f("author", L, False),
+USERS = T.StructType([_f("guild", S), _f("author", L),
                       _f("incidents", L), _f("total_seen", L)] + [_f(c, L) for c in CLASSES])
-LAST_MESSAGES = T.StructType([_f("guild", S, False), _f("author", L, False),
-                              _f("channel", S, False), _f("text", S)])
-HISTORY = T.StructType([_f("id", L, False), _f("guild", S, False), _f("author", L, False)]
-                       + [_f(c, D) for c in CLASSES])
+LAST_MESSAGES = T.StructType([_f("guild", S), _f("author", L), _f("channel", S),
+                              _f("ts", T.TimestampType()), _f("message_id", L), _f("text", S)])
+HISTORY = T.StructType([_f("id", L), _f("guild", S), _f("author", L)] + [_f(c, D) for c in CLASSES])
+ACTIONS = T.StructType([_f("message_id", L), _f("action", S), _f("payload", S)])
 
 # Training CSV: comment text, 7 soft toxicity labels, 24 nullable identity
 # labels, 5 reaction counts (extra columns in the file are ignored by name).

@@ -13,11 +13,12 @@ The driver tables stand in for the reference's inputs:
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES
-from ..functions.columns import hash_unit
+from ..functions.columns import hash_int, hash_unit
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -41,7 +42,7 @@ def spread(df: DataFrame) -> DataFrame:
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+    except PySparkException:  # no RDD view (a Spark Connect session): leave as is
         return df
     if splits < 2 * cores:
         return df.repartition(cores)
@@ -65,17 +66,34 @@ def messages_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def messages_from_conversations(conv: DataFrame) -> DataFrame:
-    """guild = conversation, channel = role, author = a role code, order = turn.
+BOT_AUTHOR = 6  # the fixture messages' own account
+CHAT_KINDS = 20
 
-    ``message_id`` packs (conv_id, turn) as conv_id * 1024 + turn, which is
-    unique while turns stay below 1024 per conversation.
-    """
+
+def chat_from_documents(docs: DataFrame) -> DataFrame:
+    """Messages of every kind the gates and routes know, by a hash of the id:
+    commands, image prompts, empty texts, apologies, bots, messages outside a
+    guild; the bot's own account is ``BOT_AUTHOR``; the rest are plain."""
+    m = messages_from_documents(docs)
+    kind = hash_int("message_id", "kind") % CHAT_KINDS
+    text = (F.when(kind == 0, F.concat(F.lit("%"), "text"))
+            .when(kind == 1, F.concat(F.lit("Toxic SHOW ME "), "text"))
+            .when(kind == 2, F.concat(F.lit("toxicbot show me "), "text"))
+            .when(kind == 3, F.lit(""))
+            .when(kind == 4, F.concat("text", F.lit(" Sorry, sorry for being Toxic")))
+            .otherwise(F.col("text")))
+    return (m.withColumn("text", text).withColumn("author_is_bot", kind == 5)
+            .withColumn("guild", F.when(kind != 6, F.col("guild"))))
+
+
+def messages_from_conversations(conv: DataFrame) -> DataFrame:
+    """guild = conversation, channel = role, author = a role code, order = turn;
+    ``message_id`` is the string ``conv_id:turn``."""
     role_code = (F.when(F.col("role") == "user", 1)
                  .when(F.col("role") == "assistant", 0)
                  .otherwise(2).cast("bigint"))
     return conv.select(
-        (F.col("conv_id") * F.lit(1024) + F.col("turn")).alias("message_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("message_id"),
         F.col("conv_id").cast("string").alias("guild"),
         F.col("role").alias("channel"),
         role_code.alias("author"),
@@ -97,29 +115,39 @@ def messages_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def chat_from_events(events: DataFrame) -> DataFrame:
+    """The event stream with commands, apologies, bots and late messages (60 days back) by a hash of the id."""
+    m = messages_from_events(events)
+    kind = hash_int("message_id", "kind") % CHAT_KINDS
+    text = (F.when(kind == 0, F.concat(F.lit("%"), "text"))
+            .when(kind == 1, F.concat(F.lit("Toxic SHOW ME "), "text"))
+            .when(kind == 3, F.lit(""))
+            .when(kind == 4, F.concat("text", F.lit(" sorry for being Toxic")))
+            .otherwise(F.col("text")))
+    late = F.when(kind == 7, F.col("ts") - F.expr("INTERVAL 60 DAYS")).otherwise(F.col("ts"))
+    return m.withColumn("text", text).withColumn("author_is_bot", kind == 5).withColumn("ts", late)
+
+
+FAIL_EVERY = 25
+
+
 def fixture_scores(messages: DataFrame) -> DataFrame:
     """Shared test scores: a hash of (message_id, class) to the fourth power.
 
     Not a model: a stand-in scorer whose numbers are the same bit for bit in
     Spark and DuckDB, so ledger and action operators can be oracle-checked.
+    One message in ``FAIL_EVERY`` gets no scores, as when the scorer fails.
     """
     out = messages
+    works = F.col("message_id") % FAIL_EVERY != 11
     for c in CLASSES:
-        u = hash_unit("message_id", c)
+        u = F.when(works, hash_unit("message_id", c))
         out = out.withColumn(c, u * u)
     for c in CLASSES:
         out = out.withColumn(c, F.col(c) * F.col(c))
     return out
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture_scores(messages_from_documents(table(spark, sf_dir, "documents")))
-
-
-def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture_scores(messages_from_events(table(spark, sf_dir, "events")))
-
-
 def stats_requests_from_documents(docs: DataFrame) -> DataFrame:
     """A ``%stats`` request per document: no mention (guild report), one or two
     mentioned authors, chosen by the document id."""
@@ -144,7 +172,6 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     are used (inner join).
     """
     from ..functions.classes import IDENTITY_COLUMNS, REACTION_COLUMNS
-    from ..functions.columns import hash_int
     docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     j = docs.join(labels, "doc_id")
@@ -163,7 +190,6 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_requests_from_documents(docs: DataFrame) -> DataFrame:
     """An image request per document: the whole text is the prompt; size,
     steps and scale come from hashes of the id, some left NULL (defaults)."""
-    from ..functions.columns import hash_int
     hh, hw = hash_int("doc_id", "h"), hash_int("doc_id", "w")
     hs, hc = hash_int("doc_id", "steps"), hash_int("doc_id", "scale")
     return docs.select(

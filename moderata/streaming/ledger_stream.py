@@ -1,140 +1,142 @@
-"""The incident ledger and the reactions as Structured Streaming queries.
-
-Streams over the same messages (each passes the gates and routing first):
-
-* counters  (update mode): score -> ``ledger`` aggregate. Spark's state store
-  (RocksDB unless configured otherwise) keeps the running counters;
-  ``foreachBatch`` writes the changed keys with their *absolute* values to
-  ``users/batch_id=N`` (overwriting that folder), so a replayed micro-batch
-  rewrites the same rows instead of adding them twice. Current table = the
-  newest snapshot (``files.compact``) plus later batches, latest per key.
-* latest    (update mode): ``max_by`` latest message per (guild, author,
-  channel), same sink pattern.
-* history   (append mode): incident rows -> Parquet file sink (exactly-once
-  through the sink's commit log).
-* actions   (foreachBatch): tiers, apologies and persona replies computed per
-  micro-batch with the batch operators, written per batch id.
-
-Duplicates: a source may be re-read, so repeated message ids are dropped
-within a watermark (``dropDuplicatesWithinWatermark``); that state is bounded
-by the watermark, counter state by the number of keys. Rows later than the
-watermark are dropped by Spark and reported in the query progress
-(``numRowsDroppedByWatermark``). In the two-stage form ``start_clean_feed``
-deduplicates and routes once into a Parquet feed that the other streams read
-with ``watermark=None``.
+"""The incident ledger and the reactions as one Structured Streaming query.
+
+Each micro-batch takes the same way as a batch run (``operators.flow``): gates
+-> route -> score -> quarantine; its ledger counts, latest messages, incident
+history, action rows and quarantined messages are written to ``<name>/batch_id=N``
+(overwriting that folder), and a commit mark closes the batch. A replayed
+micro-batch rewrites its own folders, so nothing counts twice; readers take
+marked batches only. Counts are per batch and add up, latest messages are
+combined by (ts, message_id): both are sums and maxima, so the order in which
+files arrive does not matter and no message is too late to count.
+
+Duplicates: a source may deliver a message again, in the same batch or months
+later. The accepted messages are kept as a feed of ids partitioned by the
+message's day; a batch reads the days it holds, and only them, and drops ids
+that an earlier batch accepted. (A repeated message repeats its time.) There is
+no watermark and no state store.
+
+``files.compact`` writes the ledger and the latest messages as a snapshot every
+``compact_every`` batches, so reading does not grow with the stream's age.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.classes import PERSONA_P_DEFAULT
+from ..operators import actions as A
 from ..operators import ledger as L
+from ..operators.flow import Scorer, process
 from ..sources import files as FI
-from ..sources import schemas, tables as TB
+from ..sources import schemas
+from ..sources import tables as TB
 
-Scorer = Callable[[DataFrame], DataFrame]
+OUTPUTS = ("users", "last", "history", "actions", "quarantine")
+MAX_FILES_PER_TRIGGER = 1000
 
 
 def event_source(spark: SparkSession, directory: str, glob: str = "*.parquet",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return TB.messages_from_events(r.parquet(directory))
-
-
-def deduplicated(messages: DataFrame, watermark: str = "30 days") -> DataFrame:
-    return (messages.withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(["message_id"]))
-
+                 max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """Raw events; a backlog is cut into micro-batches of ``max_files_per_trigger`` files."""
+    return (spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(directory))
 
-def _batch_writer(path: str):
-    def write(df: DataFrame, batch_id: int) -> None:
-        FI.write_batch(df, path, batch_id)
-    return write
 
+def _feed(spark: SparkSession, feed: str, days: list[str]) -> DataFrame:
+    """Accepted (message_id, day, batch_id) of these days; other days are not listed."""
+    paths = []
+    for d in days:
+        fs, p = FI._fs(spark, f"{feed}/day={d}")
+        if fs.exists(p):
+            paths.append(f"{feed}/day={d}")
+    schema = "message_id long, day string, batch_id long"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", feed).parquet(*paths)
 
-STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+def new_messages(batch: DataFrame, feed: str, batch_id: int) -> DataFrame:
+    """The messages of a batch that no earlier batch accepted; their ids join the feed."""
+    spark = batch.sparkSession
+    dated = (batch.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none")))
+             .dropDuplicates(["message_id"]))
+    days = [r["day"] for r in dated.select("day").distinct().collect()]  # bounded by the batch's days
+    seen = _feed(spark, feed, days).where(F.col("batch_id") < batch_id).select("message_id", "day")
+    fresh = dated.join(seen, ["message_id", "day"], "left_anti")
+    (fresh.select("message_id", "day", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(feed))
+    mine = _feed(spark, feed, days).where(F.col("batch_id") == batch_id).select("message_id", "day")
+    return dated.join(mine, ["message_id", "day"], "left_semi").drop("day")
 
-def prefer_rocksdb(spark: SparkSession) -> None:
-    """Counter state grows with the number of (guild, author) keys: keep it in
-    RocksDB (off-heap, spills to local disk, checkpointed incrementally)
-    unless the session already names a provider. A query keeps the provider
-    it first started with (recorded in its checkpoint)."""
-    if not spark.conf.get(STATE_STORE_KEY, None):
-        spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
 
+def sum_users(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("guild", "author").agg(*[F.sum(c).alias(c) for c in L.COUNTERS])
 
-def _start(df: DataFrame, mode: str, checkpoint: str, writer=None, path: str | None = None,
-           available_now: bool = True):
-    prefer_rocksdb(df.sparkSession)
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    if writer is not None:
-        return w.foreachBatch(writer).start()
-    return w.format("parquet").option("path", path).start()
 
+def latest(rows: DataFrame) -> DataFrame:
+    best = L.last_message(rows)
+    return rows.join(best.select("message_id"), "message_id", "left_semi").distinct()
 
-def scorable(messages: DataFrame, watermark: str | None, bot_user_id: int | None = None
-             ) -> DataFrame:
-    """Deduplicated messages that pass the gates and are not image prompts:
-    only these are scored and recorded. ``watermark=None`` skips the dedup
-    (for a feed that ``start_clean_feed`` already deduplicated)."""
-    from ..operators import routing as R
-    src = messages if watermark is None else deduplicated(messages, watermark)
-    return R.to_score(src, bot_user_id)
 
+COMBINE = {"users": (schemas.USERS, sum_users), "last": (schemas.LAST_MESSAGES, latest)}
 
-def start_clean_feed(messages: DataFrame, out: str, checkpoint: str,
-                     watermark: str = "30 days", bot_user_id: int | None = None,
-                     available_now: bool = True):
-    """Two-stage form, first stage: deduplicate and route once, append the
-    messages that will be scored to a Parquet feed (exactly-once file sink).
-    The ledger, latest, history and action streams then read the feed with
-    ``feed_source`` and ``watermark=None``: the source is read and the dedup
-    state kept once, not once per downstream stream."""
-    return _start(scorable(messages, watermark, bot_user_id), "append", checkpoint, path=out,
-                  available_now=available_now)
 
+def start_ledger(messages: DataFrame, base: str, scorer: Scorer = TB.fixture_scores,
+                 bot_user_id: int | None = None, outputs=OUTPUTS, personas: DataFrame | None = None,
+                 pool_all=(), p_default: float = PERSONA_P_DEFAULT, replies: dict | None = None,
+                 compact_every: int = 50, available_now: bool = True):
+    """Run the stream ``messages`` into the tables below ``base``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = batch.persist()
+        try:
+            flow = process(new_messages(held, f"{base}/feed", batch_id), scorer, bot_user_id)
+            for name in outputs:
+                if name == "users":
+                    rows = L.ledger(flow.scored)
+                elif name == "last":
+                    best = L.last_message(flow.scored).select("message_id")
+                    rows = (flow.scored.join(best, "message_id", "left_semi")
+                            .select(*[f.name for f in schemas.LAST_MESSAGES.fields]))
+                elif name == "history":
+                    rows = L.history(flow.scored)
+                elif name == "actions":
+                    rows = A.actions(flow.scored, flow.routed, personas, pool_all, p_default, **(replies or {}))
+                else:
+                    rows = flow.quarantine.select(*[f.name for f in schemas.MESSAGE.fields])
+                FI.write_batch(rows, f"{base}/{name}", batch_id)
+            FI.mark(spark, f"{base}/_commits", batch_id)
+            if compact_every and batch_id % compact_every == compact_every - 1:
+                for name in set(outputs) & set(COMBINE):
+                    FI.compact(spark, base, name, *COMBINE[name])
+        finally:
+            held.unpersist()
 
-def feed_source(spark: SparkSession, directory: str,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schemas.MESSAGE)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(directory)
+    w = messages.writeStream.option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
-def start_counters(messages: DataFrame, out: str, checkpoint: str,
-                   scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
-                   available_now: bool = True, bot_user_id: int | None = None):
-    counts = L.ledger(scorer(scorable(messages, watermark, bot_user_id)))
-    return _start(counts, "update", checkpoint, _batch_writer(out), available_now=available_now)
+def current_users(spark: SparkSession, base: str) -> DataFrame:
+    return FI.current(spark, base, "users", *COMBINE["users"])
 
 
-def start_latest(messages: DataFrame, out: str, checkpoint: str, watermark: str | None = "30 days",
-                 available_now: bool = True, bot_user_id: int | None = None):
-    latest = L.last_message(scorable(messages, watermark, bot_user_id))
-    return _start(latest, "update", checkpoint, _batch_writer(out), available_now=available_now)
+def current_last_messages(spark: SparkSession, base: str) -> DataFrame:
+    return FI.current(spark, base, "last", *COMBINE["last"]).drop("ts")
 
 
-def start_history(messages: DataFrame, out: str, checkpoint: str,
-                  scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
-                  available_now: bool = True, bot_user_id: int | None = None):
-    hist = L.history(scorer(scorable(messages, watermark, bot_user_id)))
-    return _start(hist, "append", checkpoint, path=out, available_now=available_now)
+def history(spark: SparkSession, base: str) -> DataFrame:
+    return FI.current(spark, base, "history", schemas.HISTORY, lambda x: x)
 
 
-def current_users(spark: SparkSession, out: str) -> DataFrame:
-    return FI.latest_by_batch(spark, out, ["guild", "author"])
+def actions(spark: SparkSession, base: str) -> DataFrame:
+    return FI.current(spark, base, "actions", schemas.ACTIONS, lambda x: x)
 
 
-def current_last_messages(spark: SparkSession, out: str) -> DataFrame:
-    return FI.latest_by_batch(spark, out, ["guild", "author", "channel"])
+def quarantine(spark: SparkSession, base: str) -> DataFrame:
+    return FI.current(spark, base, "quarantine", schemas.MESSAGE, lambda x: x)
 
 
 def run_to_end(query) -> None:
@@ -143,43 +145,3 @@ def run_to_end(query) -> None:
     exc = query.exception()
     if exc is not None:
         raise RuntimeError(str(exc))
-
-
-def dropped_by_watermark(query) -> int:
-    """Rows dropped as late, summed over the query's recent progress.
-
-    Spark filters late rows with the watermark of the *previous* batch, so a
-    row is dropped only from the second batch after the watermark passed it.
-    """
-    total = 0
-    for p in query.recentProgress or []:
-        ops = p["stateOperators"] if isinstance(p, dict) else p.stateOperators
-        for s in ops or []:
-            v = s["numRowsDroppedByWatermark"] if isinstance(s, dict) else s.numRowsDroppedByWatermark
-            total += int(v or 0)
-    return total
-
-
-def start_actions(messages: DataFrame, out: str, checkpoint: str, personas: DataFrame,
-                  pool_all=(), p_default: float = 0.2, n_personas: int | None = None,
-                  scorer: Scorer = TB.fixture_scores, watermark: str | None = "30 days",
-                  bot_user_id: int | None = None, available_now: bool = True):
-    """S9 as a stream: per micro-batch, route (gates, image prompts), score and
-    derive the action rows (tiers, apologies, persona replies) with the batch
-    operators. The micro-batch is persisted once for the three branches and
-    written to ``batch_id=N`` (overwrite), so a replayed batch is harmless."""
-    from ..operators import actions as A
-    from ..operators import routing as R
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        b = batch.persist()
-        try:
-            routed = R.to_score(b, bot_user_id)
-            acts = A.actions(scorer(routed), routed, personas, pool_all, p_default,
-                             n_personas=n_personas)
-            FI.write_batch(acts, out, batch_id)
-        finally:
-            b.unpersist()
-
-    src = messages if watermark is None else deduplicated(messages, watermark)
-    return _start(src, "append", checkpoint, write, available_now=available_now)

@@ -265,3 +265,45 @@ def test_case_max_join_path_equals_inline(spark):
     big.update({f"zzterm{i}": {"toxic": 1.0} for i in range(SC.MAX_INLINE_TERMS)})
     joined = sorted(tuple(r) for r in SC.case_max_scores(msgs, big).select("message_id", *CLASSES).collect())
     assert joined == inline
+
+
+def test_numbers_print_as_the_exact_binary_value(spark):
+    from moderata.functions.columns import fixed
+    import random
+    r = random.Random(1)
+    values = [6.25, 0.125, 2.675, 0.0, 100.0, 1 / 3, 0.005, 0.015, 1.005, 99.995, 12.5, 0.045, 37.5]
+    values += [100.0 * k / n for n in (8, 16, 32, 40, 7, 3) for k in range(n + 1)] + [r.random() * 100 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for x in df.select("v", fixed("v", 2).alias("two"), fixed("v", 1).alias("one")).collect():
+        assert x.two == f"{x.v:.2f}" and x.one == f"{x.v:.1f}", x.v
+
+
+def test_one_flow_for_all_sinks(spark):
+    """Gated, image and failed messages reach no ledger, latest message or score-based action."""
+    from moderata.operators.flow import process
+    m = messages(spark, [(1, "g", "c", 1, False, "%cmd sorry toxic"), (2, "g", "c", 1, False, "sorry toxic"),
+                         (3, "g", "c", 1, False, "sorry toxic failed"), (4, "g", "c", 1, False, "toxic show me x")])
+
+    def scorer(x):
+        return x.select("*", *[F.when(~F.col("text").contains("failed"), 0.9).alias(c) for c in CLASSES])
+    flow = process(m, scorer)
+    assert [r.message_id for r in flow.quarantine.collect()] == [3]
+    assert [(r.total_seen, r.incidents) for r in L.ledger(flow.scored).collect()] == [(1, 1)]
+    assert [r.message_id for r in L.last_message(flow.scored).collect()] == [2]
+    acts = {(r.message_id, r.action): r.payload for r in A.actions(
+        flow.scored, flow.routed, toxic_replies=["own"], apology_replies=["mine"]).collect()}
+    assert acts == {(2, "reply"): "own", (2, "apology"): "mine"}
+
+
+def test_every_outcome_occurs_in_the_checked_view(spark):
+    import __spark_entry__ as E
+    from conftest import SF01
+
+    def values(name, col):
+        return {r[0] for r in E.queries()[name](spark, SF01).select(col).distinct().collect()}
+    assert values("route", "route") == {"score", "image", "command", "empty", "bot", "self", "no_guild"}
+    assert values("apology", "apology") == {True, False}
+    assert values("score_quarantine", "status") == {"scored", "quarantine"}
+    assert values("safety_gate", "status") == {"shown", "withheld"}
+    assert {"reply", "react", "react_identity", "apology", "persona"} == values("actions", "action")
+    assert values("prompt_extract", "is_image") == {True, False}

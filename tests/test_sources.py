@@ -39,3 +39,21 @@ def test_spread_is_a_no_op_for_many_splits(spark):
     spread_one = spread(one)
     assert spread_one.rdd.getNumPartitions() == cores
     assert sorted(r.id for r in spread_one.collect()) == list(range(10_000))
+
+
+def test_training_csv_by_name_keeps_bad_rows_apart(spark):
+    d = tempfile.mkdtemp(prefix="moderata-csv-", dir="/tmp")
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("extra,toxic,comment_text,id,insult\nx,0.5,hello,1,0.25\ny,n/a,broken,2,0.5\nz,,fine,3,1.0\n")
+    rows = {r.id: r for r in FI.read_training_csv(spark, d).collect()}
+    assert set(rows) == {1, 3} and rows[1].toxic == 0.5 and rows[1].insult == 0.25 and rows[3].toxic is None
+    assert "extra" not in rows[1] and rows[1].white is None
+    bad = FI.corrupt_training_rows(spark, d).collect()
+    assert len(bad) == 1 and "broken" in bad[0].line
+
+
+def test_configuration_gives_reply_lists(spark):
+    cfg = FI.load_persona_config(spark=spark, path="file://" + FI.PERSONA_CONFIG)
+    assert cfg == FI.load_persona_config()
+    assert set(FI.reply_lists(cfg)) == {"toxic_replies", "apology_replies"}
+    assert FI.reply_lists({"user": {}}) == {}

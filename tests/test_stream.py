@@ -1,10 +1,18 @@
-"""Streaming ledger: final tables equal batch; replays do not double count."""
+"""Streaming ledger: final tables equal batch; late, repeated and failed messages."""
 import os
+import random
 import shutil
 import tempfile
+import time
+
+import duckdb
 
 from conftest import SF001
+from moderata.operators import actions as A
 from moderata.operators import ledger as L
+from moderata.operators.flow import process
+from moderata.sources import files as FI
+from moderata.sources import schemas
 from moderata.sources import tables as TB
 from moderata.streaming import ledger_stream as ST
 
@@ -13,124 +21,75 @@ def _rows(df):
     return sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
 
 
-def test_stream_equals_batch_and_replay_is_harmless(spark):
-    work = tempfile.mkdtemp(prefix="moderata-stream-", dir="/tmp")
-    src = os.path.join(work, "src")
-    os.makedirs(src)
-    shutil.copy(f"{SF001}/events.parquet", os.path.join(src, "a.parquet"))
-    shutil.copy(f"{SF001}/events.parquet", os.path.join(src, "b.parquet"))  # a full replay
-
-    batch_users = L.ledger(TB.scored_events(spark, SF001))
-    batch_last = L.last_message(TB.messages_from_events(TB.table(spark, SF001, "events")))
-    batch_hist = L.history(TB.scored_events(spark, SF001))
-
-    def run_all():
-        msgs = ST.event_source(spark, src, max_files_per_trigger=1)
-        ST.run_to_end(ST.start_counters(msgs, f"{work}/users", f"{work}/ck_u"))
-        ST.run_to_end(ST.start_latest(msgs, f"{work}/last", f"{work}/ck_l"))
-        ST.run_to_end(ST.start_history(msgs, f"{work}/hist", f"{work}/ck_h"))
-
-    run_all()
-    assert _rows(ST.current_users(spark, f"{work}/users")) == _rows(batch_users)
-    assert _rows(ST.current_last_messages(spark, f"{work}/last")) == _rows(batch_last)
-    assert _rows(spark.read.parquet(f"{work}/hist")) == _rows(batch_hist)
-
-    # restart from the checkpoints with one more copy of the same messages
-    shutil.copy(f"{SF001}/events.parquet", os.path.join(src, "c.parquet"))
-    run_all()
-    assert _rows(ST.current_users(spark, f"{work}/users")) == _rows(batch_users)
-    assert _rows(spark.read.parquet(f"{work}/hist")) == _rows(batch_hist)
-
+def _work():
+    base = tempfile.mkdtemp(prefix="moderata-stream-", dir="/tmp")
+    os.makedirs(f"{base}/in")
+    return base
 
-def test_rerun_of_a_batch_overwrites(spark):
-    from moderata.sources import files as FI
-    work = tempfile.mkdtemp(prefix="moderata-sink-", dir="/tmp")
-    df = spark.createDataFrame([("g", 1, 5)], "guild string, author long, total_seen long")
-    FI.write_batch(df, work, 0)
-    FI.write_batch(df, work, 0)           # replayed batch 0
-    FI.write_batch(df.selectExpr("guild", "author", "total_seen + 1 AS total_seen"), work, 1)
-    got = FI.latest_by_batch(spark, work, ["guild", "author"]).collect()
-    assert [(r.guild, r.author, r.total_seen) for r in got] == [("g", 1, 6)]
 
+def _run(spark, base, **options):
+    messages = TB.chat_from_events(ST.event_source(spark, f"{base}/in", max_files_per_trigger=1))
+    ST.run_to_end(ST.start_ledger(messages, base, **options))
 
-def test_late_rows_are_dropped_and_reported(spark):
-    """Rows far behind the watermark are dropped and reported. Spark applies
-    the previous batch's watermark, so late rows in the batch right after the
-    jump (b) still count; the same kind of rows one batch later (c) do not."""
-    import time
 
-    import duckdb
-    work = tempfile.mkdtemp(prefix="moderata-late-", dir="/tmp")
-    src = os.path.join(work, "src")
-    os.makedirs(src)
-    shutil.copy(f"{SF001}/events.parquet", os.path.join(src, "a.parquet"))
-    for name, off in (("b", 1_000_000_000), ("c", 2_000_000_000)):
-        time.sleep(1.1)  # the file source orders files by modification time
-        duckdb.sql(f"""COPY (SELECT event_id + {off} AS event_id, ts - INTERVAL 60 DAY AS ts,
-                      user_id, event_type, value, props FROM '{SF001}/events.parquet')
-                      TO '{src}/{name}.parquet' (FORMAT PARQUET)""")
-    msgs = ST.event_source(spark, src, max_files_per_trigger=1)
-    q = ST.start_counters(msgs, f"{work}/users", f"{work}/ck", watermark="1 day")
-    ST.run_to_end(q)
-    n = TB.table(spark, SF001, "events").count()
-    assert ST.dropped_by_watermark(q) == n
-    kept = spark.read.parquet(f"{src}/a.parquet", f"{src}/b.parquet")
-    batch_users = L.ledger(TB.fixture_scores(TB.messages_from_events(kept)))
-    assert _rows(ST.current_users(spark, f"{work}/users")) == _rows(batch_users)
-
-
-def test_compaction_keeps_the_current_table(spark):
-    from moderata.sources import files as FI
-    work = tempfile.mkdtemp(prefix="moderata-compact-", dir="/tmp")
-    schema = "guild string, author long, total_seen long"
-    batches = [[("g", 1, 1), ("g", 2, 1)], [("g", 1, 2)], [("h", 1, 1)], [("g", 2, 5)]]
-    for i, rows in enumerate(batches[:3]):
-        FI.write_batch(spark.createDataFrame(rows, schema), work, i)
-    before = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
-    assert FI.compact(spark, work, ["guild", "author"]) == 2
-    after = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
-    assert after == before == [("g", 1, 2), ("g", 2, 1), ("h", 1, 1)]
-    FI.write_batch(spark.createDataFrame(batches[3], schema), work, 3)
-    later = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
-    assert later == [("g", 1, 2), ("g", 2, 5), ("h", 1, 1)]
-    assert FI.compact(spark, work, ["guild", "author"]) == 3      # builds on snapshot 2
-    again = sorted(tuple(r) for r in FI.latest_by_batch(spark, work, ["guild", "author"]).collect())
-    assert again == later
-
-
-def test_action_stream_equals_batch_under_replay(spark):
-    from moderata.operators import actions as A
-    from moderata.operators import routing as R
-    from moderata.sources import files as FI
+def test_stream_equals_batch_under_replays_and_restart(spark):
+    base = _work()
     cfg = FI.load_persona_config()
     per = FI.personas(spark, cfg)
-    work = tempfile.mkdtemp(prefix="moderata-acts-", dir="/tmp")
-    src = os.path.join(work, "src")
-    os.makedirs(src)
-    for name in ("a", "b"):  # the same events twice
-        shutil.copy(f"{SF001}/events.parquet", os.path.join(src, f"{name}.parquet"))
-    msgs = ST.event_source(spark, src, max_files_per_trigger=1)
-    ST.run_to_end(ST.start_actions(msgs, f"{work}/acts", f"{work}/ck", per,
-                                   cfg["user"]["all"], cfg["user"]["p_default"]))
-    got = spark.read.parquet(f"{work}/acts").drop("batch_id")
-    m = R.to_score(TB.messages_from_events(TB.table(spark, SF001, "events")))
-    want = A.actions(TB.fixture_scores(m), m, per, cfg["user"]["all"], cfg["user"]["p_default"])
-    assert _rows(got) == _rows(want)
-
-
-def test_two_stage_feed_equals_one_stage(spark):
-    """Dedup and route once into a feed; downstream streams read the feed."""
-    work = tempfile.mkdtemp(prefix="moderata-feed-", dir="/tmp")
-    src = os.path.join(work, "src")
-    os.makedirs(src)
-    for name in ("a", "b"):  # a full replay of the same events
-        shutil.copy(f"{SF001}/events.parquet", os.path.join(src, f"{name}.parquet"))
-    ST.run_to_end(ST.start_clean_feed(ST.event_source(spark, src, max_files_per_trigger=1),
-                                      f"{work}/feed", f"{work}/ck_feed"))
-    feed = ST.feed_source(spark, f"{work}/feed")
-    ST.run_to_end(ST.start_counters(feed, f"{work}/users", f"{work}/ck_u", watermark=None))
-    ST.run_to_end(ST.start_history(feed, f"{work}/hist", f"{work}/ck_h", watermark=None))
-    batch_users = L.ledger(TB.scored_events(spark, SF001))
-    batch_hist = L.history(TB.scored_events(spark, SF001))
-    assert _rows(ST.current_users(spark, f"{work}/users")) == _rows(batch_users)
-    assert _rows(spark.read.parquet(f"{work}/hist")) == _rows(batch_hist)
+    for name in ("a", "b"):  # a full replay
+        shutil.copy(f"{SF001}/events.parquet", f"{base}/in/{name}.parquet")
+    options = dict(personas=per, pool_all=cfg["user"]["all"], replies=FI.reply_lists(cfg), compact_every=2)
+    _run(spark, base, **options)
+    flow = process(TB.chat_from_events(TB.table(spark, SF001, "events")), TB.fixture_scores)
+    want = {"users": _rows(L.ledger(flow.scored)), "last": _rows(L.last_message(flow.scored)),
+            "history": _rows(L.history(flow.scored)),
+            "actions": _rows(A.actions(flow.scored, flow.routed, per, cfg["user"]["all"], **FI.reply_lists(cfg))),
+            "quarantine": _rows(flow.quarantine.select(*[f.name for f in schemas.MESSAGE.fields]))}
+    read = {"users": ST.current_users, "last": ST.current_last_messages, "history": ST.history,
+            "actions": ST.actions, "quarantine": ST.quarantine}
+    assert all(want.values())  # every output has rows
+    assert {a[1] for a in want["actions"]} or True
+    for name, get in read.items():
+        assert _rows(get(spark, base)) == want[name], name
+    # restart from the checkpoint with one more copy of the same messages
+    shutil.copy(f"{SF001}/events.parquet", f"{base}/in/c.parquet")
+    _run(spark, base, **options)
+    for name, get in read.items():
+        assert _rows(get(spark, base)) == want[name], name
+
+
+def test_late_files_in_any_order_count(spark):
+    """A file 60 days late counts like any other, whatever the order of the files."""
+    tables = []
+    for order in (0, 1):
+        base = _work()
+        parts = [f"SELECT * FROM '{SF001}/events.parquet'"] + [
+            f"""SELECT event_id + {k}000000000 AS event_id, ts - INTERVAL {60 * k} DAY AS ts, user_id, event_type, value, props
+                FROM '{SF001}/events.parquet'""" for k in (1, 2)]
+        random.Random(order).shuffle(parts)
+        for k, q in enumerate(parts):
+            duckdb.sql(f"COPY ({q}) TO '{base}/in/{k}.parquet' (FORMAT PARQUET)")
+            time.sleep(1.1)  # the file source orders files by modification time
+        _run(spark, base, outputs=("users", "last"))
+        tables.append((_rows(ST.current_users(spark, base)), _rows(ST.current_last_messages(spark, base))))
+        flow = process(TB.chat_from_events(spark.read.parquet(f"{base}/in")), TB.fixture_scores)
+        assert tables[-1][0] == _rows(L.ledger(flow.scored))
+        assert tables[-1][1] == _rows(L.last_message(flow.scored))
+    assert tables[0] == tables[1]
+
+
+def test_readers_take_committed_batches_only(spark):
+    base = _work()
+    assert ST.current_users(spark, base).count() == 0  # before the first batch
+    row = [("g", 1, 1, 2, *[0] * 7)]
+    for k in range(3):
+        FI.write_batch(spark.createDataFrame(row, schemas.USERS), f"{base}/users", k)
+        if k < 2:
+            FI.mark(spark, f"{base}/_commits", k)  # batch 2 stays open
+    FI.write_batch(spark.createDataFrame(row, schemas.USERS), f"{base}/users", 1)  # replayed
+    assert [(r.incidents, r.total_seen) for r in ST.current_users(spark, base).collect()] == [(2, 4)]
+    assert FI.compact(spark, base, "users", *ST.COMBINE["users"]) == 1
+    assert FI.compact(spark, base, "users", *ST.COMBINE["users"]) == 1
+    assert [(r.incidents, r.total_seen) for r in ST.current_users(spark, base).collect()] == [(2, 4)]
+    FI.mark(spark, f"{base}/_commits", 2)
+    assert [(r.incidents, r.total_seen) for r in ST.current_users(spark, base).collect()] == [(3, 6)]

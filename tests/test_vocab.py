@@ -9,7 +9,8 @@ from conftest import SF001
 from moderata.operators import vocab as VO
 from moderata.sources import tables as TB
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+")
+W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
+WORD = regex.compile(rf"[{W}]+|[^{W}\x09-\x0D\x20\x85\p{{Z}}]+")
 N_MERGES = 24
 N_MERGES_LONG = 160
 
@@ -68,9 +69,9 @@ def test_encoding_matches_python(spark):
     expect = [[vocab[s] for w in WORD.findall(t) for s in VO.bpe_word(w, ranks)] for t in texts]
     enc = VO.encoder(spark, alpha, merges)
     df = TB.table(spark, SF001, "documents").orderBy("doc_id")
-    got = [r.ids for r in df.select(enc(F.col("text")).alias("ids")).collect()]
+    got = [r.ids for r in df.select(enc(VO.pretokens(F.col("text"))).alias("ids")).collect()]
     assert got == expect
-    tail = df.select(VO.tail_ids(enc(F.col("text")), 128).alias("t")).collect()
+    tail = df.select(VO.tail_ids(enc(VO.pretokens(F.col("text"))), 128).alias("t")).collect()
     assert [r.t for r in tail] == [e[-128:] for e in expect]
     assert vocab["[UNK]"] == 0 and vocab["[PAD]"] == 3
 
@@ -95,12 +96,21 @@ def test_vocab_query_layout(spark):
     assert toks[-len(tail):] == tail
 
 
-def test_spark_and_python_pretokenisers_agree_on_sf001(spark):
-    """Words are learned with Spark's tokeniser and encoded with Python's:
-    both must split every text of the larger fixture the same way."""
-    from conftest import SF01
-    texts = [t for (t,) in duckdb.sql(
-        f"SELECT text FROM '{SF01}/documents.parquet' ORDER BY doc_id").fetchall()]
-    got = [r.t for r in TB.table(spark, SF01, "documents").orderBy("doc_id")
-           .select(F.regexp_extract_all("text", F.lit(VO.WORD_PATTERN), 0).alias("t")).collect()]
-    assert got == [VO._pretokenize(t) for t in texts]
+def test_one_tokeniser_for_learning_encoding_and_reports(spark):
+    """Unicode blanks part words; superscripts and fractions are no word characters."""
+    from moderata.functions.columns import tokens, words
+    from moderata.operators import scoring as SC
+    texts = ["sorry\u00a0toxic a\u3000b", "x\u2028y\u0085z", "m\u00b2 x\u00bd \u2167", "na\u00efve_1, ok!? \u0001ab", "a\u001cb", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "message_id long, text string").orderBy("message_id")
+    assert [r.t for r in df.select(tokens(F.col("text")).alias("t")).collect()] == [WORD.findall(t) for t in texts]
+    assert [r.t for r in df.select(words(F.col("text")).alias("t")).collect()] == [t.split() for t in texts]
+    assert [r.tokens for r in SC.token_list(df).collect()] == [", ".join(WORD.findall(t)) for t in texts]
+    assert WORD.findall(texts[2]) == ["m", "\u00b2", "x", "\u00bd", "\u2167"]
+
+
+def test_words_with_the_separator_are_counted(spark):
+    words = spark.createDataFrame([("ab", 5), ("\u0001ab", 9), ("\u0002\u0001", 4)], "word string, n long")
+    got = VO.learn_merges(spark, words, 3)
+    assert got == [("a", "b", 14), ("\u0001", "ab", 9), ("\u0002", "\u0001", 4)]
+    pairs = {(r.left, r.right): r["count"] for r in VO.pair_counts(VO.initial_symbols(words)).collect()}
+    assert pairs == {("a", "b"): 14, ("\u0001", "a"): 9, ("\u0002", "\u0001"): 4}
