@@ -160,6 +160,16 @@ def unpacked(sets: pd.Series) -> pd.Series:
     return pd.Series([np.frombuffer(x, np.int64) for x in sets], dtype=object)
 
 
+FOLDED = 64
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def folded(cards: pd.Series) -> pd.Series:
+    """Cards folded to 64 counts, which a join condition can compare (null: no bound)."""
+    return pd.Series([np.frombuffer(c, np.uint8).reshape(FOLDED, -1).sum(axis=1).astype(np.int32) if c else None
+                      for c in cards], dtype=object)
+
+
 def possible(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and cards allow a similarity of 0.8."""
     left = cards.select(F.col("id").alias("a"), F.col("card").alias("ca"), F.col("n").alias("na"))
@@ -271,12 +281,16 @@ def _across(large: DataFrame, nodes: DataFrame, sets: DataFrame, cards: DataFram
     # overlap <= r, so similarity 0.8 needs 180 r >= 80 (n + the other's n)
     able = (open_.join(lone, "id", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
             .where("180 * r >= 80 * (n + least_n)").select("band", "h", "id", "n", "r", "comp", "main"))
-    able = written(able, "able")
-    left = able.where("comp <> main").toDF("band", "h", "a", "na", "ra", "pa", "main")
-    right = able.drop("main").toDF("band", "h", "b", "nb", "rb", "pb")
-    pairs = (left.join(right, ["band", "h"])
-             .where("pa <> pb and least(na, nb) * 100 >= greatest(na, nb) * 80"
-                    " and 180 * least(ra, rb) >= 80 * (na + nb)").select(*_pair()).distinct()
+    slots = cards.join(able.select("id").distinct(), "id", "left_semi").select("id", folded("card").alias("slots"))
+    able = written(able.join(slots, "id").select("band", "h", "id", "n", "r", "comp", "slots", "main"), "able")
+    left = able.where("comp <> main").toDF("band", "h", "a", "na", "ra", "pa", "ka", "main")
+    right = able.drop("main").toDF("band", "h", "b", "nb", "rb", "pb", "kb")
+    # all bounds are part of the join: a pair that cannot be similar is never made
+    fits = ("pa <> pb and least(na, nb) * 100 >= greatest(na, nb) * 80 and 180 * least(ra, rb) >= 80 * (na + nb)"
+            " and coalesce(180 * aggregate(zip_with(ka, kb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+            " >= 80 * (na + nb), true)")
+    same = [left[c] == right[c] for c in ("band", "h")]
+    pairs = (left.join(right, [*same, F.expr(fits)]).select(*_pair()).distinct()
              .join(tried, ["a", "b"], "left_anti"))
     return merged(nodes, written(confirm(written(possible(pairs, cards), "pairs"), sets), "links"))
 
