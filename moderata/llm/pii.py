@@ -161,6 +161,10 @@ def _names(spans: Column) -> Column:
         ":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def found(docs: DataFrame) -> DataFrame:
     """One row per document row: counts of base spans, their digest, and all spans."""
     told = written(described(docs), "spans").withColumn("base", F.transform(
@@ -169,7 +173,7 @@ def found(docs: DataFrame) -> DataFrame:
         "start", F.lit(4).alias("kind"), "stop")).alias("more")))
     every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     return (told.drop("tokens", "matches").join(more, "k", "left").select(
-        "doc_id", *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(4)],
+        "doc_id", *[_count(i).alias(f"n_{KINDS[i]}") for i in range(4)],
         F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(every).alias("spans")))
 
 

@@ -20,7 +20,7 @@ def odd_docs(spark):
         (6, prose(2, 40_000), "en", "src2", "z"), (7, "x" * 60_000, None, "src2", "z"),
         (8, base + " " + prose(3, 5), "fr", "src3", "z"), (None, prose(4, 50), "en", "src0", "z"),
         (9, "one line\none line\nanother line of some length\nanother line of some lengthy", "en", None, "z"),
-        (10, "\U0001d518 ▁ 日本 +1 (456) 555-2186 4111111111111111 a@b.cd 1.2.3.4", "es", "src4", "z"),
+        (10, "\U0001d518 ▁ 日本 +1 (456) 555-2186 and 4111111111111111 and a@b.cd 1.2.3.4", "es", "src4", "z"),
         (11, "two words", "es", "src4", "z"), (12, "two words", "es", "src4", "z"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id string")

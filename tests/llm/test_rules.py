@@ -103,7 +103,7 @@ def test_nearest_equal_brute_force(spark, shard_rows, block_rows):
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(700)]
     rows += [(700 + i, rows[5][1]) for i in range(150)]  # one very common vector: ties
-    rows += [(900, None), (1000, [0.0] * 6), (1100, [1.0, None, 0, 0, 0, 0]), (1200, [float("nan")] * 6), (None, [1.0] * 6), (1300, [])]
+    rows += [(900, None), (1000, [0.0] * 6), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1200, [float("nan")] * 6), (None, [1.0] * 6), (1300, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
     for x in vptree.nearest(table, shard_rows=shard_rows, block_rows=block_rows).orderBy("query_id", "rank").collect():
