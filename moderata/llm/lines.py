@@ -322,3 +322,32 @@ def brute_force(rows: list[tuple[int, str | None]], tau: int = TAU) -> dict[int,
                 kept.append(raw)
         out[i] = (n, exact, near, links, "\n".join(kept))
     return out
+
+
+def oracle_sql() -> str:
+    """``report`` for one edit in DuckDB SQL: lines that share half their characters, then ``levenshtein``."""
+    return rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+  unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+f AS (SELECT line, min((doc_id, pos)) AS f, length(line) AS n FROM t WHERE line <> '' GROUP BY line),
+c AS (SELECT a.line AS a, b.line AS b, a.f AS fa, b.f AS fb FROM f a JOIN f b
+    ON b.n = a.n AND substr(a.line, 1, a.n // 2) = substr(b.line, 1, b.n // 2) WHERE a.n >= {MIN_CHARS} AND a.line < b.line
+  UNION SELECT a.line, b.line, a.f, b.f FROM f a JOIN f b
+    ON b.n = a.n AND substr(a.line, a.n // 2 + 1) = substr(b.line, b.n // 2 + 1) WHERE a.n >= {MIN_CHARS} AND a.line < b.line
+  UNION SELECT a.line, b.line, a.f, b.f FROM f a JOIN f b
+    ON b.n = a.n + 1 AND substr(a.line, 1, a.n // 2) = substr(b.line, 1, (b.n - 1) // 2) WHERE a.n >= {MIN_CHARS}
+  UNION SELECT a.line, b.line, a.f, b.f FROM f a JOIN f b
+    ON b.n = a.n + 1 AND substr(a.line, a.n // 2 + 1) = substr(b.line, (b.n - 1) // 2 + 2) WHERE a.n >= {MIN_CHARS}),
+k AS (SELECT * FROM c WHERE levenshtein(a, b) <= {TAU}),
+both_ways AS (SELECT a AS line, fa AS f, fb AS g FROM k UNION ALL SELECT b, fb, fa FROM k),
+near AS (SELECT line, count(*) AS links, bool_or(g < f) AS near FROM both_ways GROUP BY line),
+m AS (SELECT t.*, line <> '' AND (doc_id, pos) <> f.f AS exact, CASE WHEN (doc_id, pos) = f.f THEN links ELSE 0 END AS links,
+    (doc_id, pos) = f.f AND COALESCE(near, false) AS near
+  FROM t LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
+d AS (SELECT doc_id, count_if(line <> '') AS n_lines, count_if(exact) AS n_exact, count_if(near) AS n_near,
+    COALESCE(sum(links), 0) AS n_links,
+    COALESCE(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT COALESCE(exact, false) AND NOT COALESCE(near, false)), '') AS kept
+  FROM m GROUP BY doc_id)
+SELECT doc_id, COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_exact, 0)::BIGINT AS n_exact,
+  COALESCE(n_near, 0)::BIGINT AS n_near, COALESCE(n_links, 0)::BIGINT AS n_links,
+  CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)"""

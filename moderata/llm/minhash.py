@@ -327,3 +327,20 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]
                 root[max(a, b)] = min(a, b)
     return {i: (len(own[i]), find(i)) for i in ids}
 
+
+
+def oracle_sql() -> str:
+    """All pairs that share a shingle, exact sets, and components by reachability, in DuckDB SQL."""
+    return r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, GREATEST(2, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_sets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_sets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(id, m) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.m),
+comp AS (SELECT id, min(m) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, LEAST(d.doc_id, COALESCE(component_id, d.doc_id)) AS component_id,
+  d.doc_id = LEAST(d.doc_id, COALESCE(component_id, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id"""

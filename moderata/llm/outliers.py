@@ -178,7 +178,7 @@ def judged(docs: DataFrame) -> DataFrame:
     middle = _quantile_rows(_binned(rows, model), ["g"], "bin", {"mid": 0.5})
     scale = written(model.join(middle, "g").withColumn(
         "scale", F.greatest(F.lit(1.0), F.expm1((F.col("mid") + 0.5) / BIN) / MEDIAN)).drop("mid"), "model")
-    return (told.join(scale, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    return (told.join(scale, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance() / F.col("scale"), 6)))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept")))
 
@@ -230,3 +230,57 @@ def brute_force(rows: list[tuple]) -> dict:
         for (i, _), d in zip(members, d2):
             out[i][6], out[i][7] = bool(d <= LIMIT), float(d)
     return out
+
+
+def oracle_sql() -> str:
+    """``judged`` in DuckDB SQL: plain sorts for the quantiles, windows of words as rows."""
+    f, pairs = range(FEATURES), [(i, j) for i in range(FEATURES) for j in range(i + 1)]
+    w = r"[^\x20\x09-\x0D]+"
+
+    def share(c: str) -> str:
+        return f"ln(1 + 100.0::DOUBLE * {c} / greatest(n_words, 1))"
+    vector = ["ln(1 + n_words)", "ln(1 + word_chars::DOUBLE / greatest(n_words, 1))", share("n_symbols"), "ln(1 + n_dup_lines)",
+              share("n_repeat_words"), "ln(1 + 100.0::DOUBLE * n_upper / greatest(word_chars, 1))"]
+    ctes = [f"""d AS (SELECT doc_id, (lang, source) AS g, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '{w}') AS ws,
+  row_number() OVER () AS row FROM documents)""",
+            """win AS (SELECT row, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT row, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 7))""",
+            """hit AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS p FROM
+  (SELECT *, count(*) OVER (PARTITION BY row, k) AS c FROM win) WHERE c > 1) GROUP BY row)""",
+            f"""b AS (SELECT d.row, doc_id, g, len(ws) AS n_words, length(t) - length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS blanks,
+  length(t) - blanks AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{w}')) AS ls, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  COALESCE(hit.n, 0) AS n_repeat_words, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
+  len(ws) < 20 OR 100 * COALESCE(hit.n, 0) > 30 * len(ws) AS base_failed FROM d LEFT JOIN hit ON hit.row = d.row)""",
+            "r AS (SELECT row, g, " + ", ".join(f"floor({v} * {UNIT} + 0.5)::BIGINT AS x{i}" for i, v in enumerate(vector))
+            + " FROM b WHERE NOT base_failed)"]
+
+    def at(c: str, q: float) -> str:
+        return f"list_sort(list({c}))[ceil(count(*) * {q}::DOUBLE)::BIGINT]"
+    cells = [f"{at(f'x{i}', 0.5)} / {float(UNIT)}::DOUBLE AS u{i}" for i in f]
+    cells += [f"1.0::DOUBLE / greatest(({at(f'x{i}', 0.75)} - {at(f'x{i}', 0.25)}) / {UNIT * 1.349}::DOUBLE, {TOLERANCE[i]}::DOUBLE) AS m{i}_{i}"
+              if i == j else f"0.0::DOUBLE AS m{i}_{j}" for i, j in pairs]
+    ctes.append(f"model0 AS (SELECT g, {', '.join(cells)} FROM r GROUP BY g)")
+    z = [" + ".join(f"m{i}_{j} * (x{j} / {float(UNIT)}::DOUBLE - u{j})" for j in range(i + 1)) for i in f]
+    d2 = " + ".join(f"pow({x}, 2)" for x in z)
+    for step in range(STEPS + 1):
+        ctes.append(f"far{step} AS (SELECT r.*, {d2} AS d2, floor(ln(1 + d2) * {BIN}) AS bin FROM r JOIN model{step} USING (g))")
+        q, name = (SHARE, "cut") if step < STEPS else (0.5, "mid")
+        ctes.append(f"{name}{step} AS (SELECT g, {at('bin', q)} AS {name} FROM far{step} GROUP BY g)")
+        if step == STEPS:
+            break
+        sums = [f"sum(x{i}) / count(*) / {float(UNIT)}::DOUBLE AS u{i}" for i in f]
+        sums += [f"sum(x{i} * x{j}) / count(*) / {float(UNIT) ** 2}::DOUBLE - u{i} * u{j} AS c{i}_{j}" for i, j in pairs]
+        ctes.append(f"est{step} AS (SELECT g, {', '.join(sums)} FROM far{step} JOIN cut{step} USING (g) WHERE bin <= cut GROUP BY g)")
+        chol = []
+        for i, j in pairs:
+            less = "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+            chol.append(f"sqrt(greatest(c{i}_{i}, 0) + {TOLERANCE[i] ** 2}::DOUBLE{less}) AS l{i}_{i}" if i == j
+                        else f"(c{i}_{j}{less}) / l{j}_{j} AS l{i}_{j}")
+        inv = [f"1.0::DOUBLE / l{i}_{i} AS m{i}_{i}" if i == j else
+               f"(0.0{''.join(f' - l{i}_{k} * m{k}_{j}' for k in range(j, i))}) / l{i}_{i} AS m{i}_{j}" for i, j in pairs]
+        ctes.append(f"model{step + 1} AS (SELECT *, {', '.join(chol)}, {', '.join(inv)} FROM est{step})")
+    ctes.append(f"e AS (SELECT row, round(d2 / greatest(1.0::DOUBLE, (exp((mid + 0.5) / {BIN}) - 1) / {MEDIAN}::DOUBLE), 6) AS distance "
+                f"FROM far{STEPS} JOIN mid{STEPS} USING (g))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance,
+  NOT base_failed AND COALESCE(distance <= {LIMIT}, true) AS kept FROM b LEFT JOIN e ON e.row = b.row"""
