@@ -180,6 +180,12 @@ def _met(marks: DataFrame) -> DataFrame:
             .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
 
 
+def _letters(line: Column) -> Column:
+    """How often some frequent letters stand in a line: what lies far apart here needs no edit distance."""
+    size = F.char_length(line)
+    return F.array(*[(size - F.char_length(F.translate(line, c, ""))).cast("int") for c in "etaoinsrhldu "])
+
+
 def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text"):
     """The tables behind the dedup: keyed documents, occurrences, first occurrences, links."""
     keyed = _keyed(docs, id_col, text_col)
@@ -208,9 +214,12 @@ def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     refined = (_refined(many.where("not probe").join(known, "id"), tau, False).withColumn("probe", F.lit(False))
                .union(_refined(many.select("key", "id").distinct().join(known, "id"), tau, True).withColumn("probe", F.lit(True))))
     pairs = paired.union(written(_met(written(refined.select("key", "id", "probe").distinct(), "refined")), "pairs")).distinct()
-    links = (pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-             .join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-             .where(within(F.col("x"), F.col("y"), tau)).select("a", "b").distinct())
+    told = known.select("id", "line", _letters(F.col("line")).alias("letters"))
+    apart = F.aggregate(F.zip_with("lx", "ly", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    near = (pairs.join(told.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("letters").alias("lx")), "a")
+            .join(told.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("letters").alias("ly")), "b")
+            .where(apart <= 2 * tau))  # an edit changes at most two counts by one
+    links = (near.where(within(F.col("x"), F.col("y"), tau)).select("a", "b").distinct())
     return keyed, occ, firsts, written(links, "links")
 
 
