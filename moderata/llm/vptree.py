@@ -77,9 +77,11 @@ class Tree:
             step = max(1, 200_000 // max(1, len(rows)))
             for lo in range(0, len(active), step):
                 q = active[lo:lo + step]
-                a = np.repeat(queries[q], len(rows), axis=0)
-                b = np.tile(self.x[rows], (len(q), 1))
-                d = distances(a, b).reshape(len(q), len(rows))
+                d = np.zeros((len(q), len(rows)))
+                for j in range(queries.shape[1]):  # summed in order, as ``distances`` does
+                    diff = queries[q, j][:, None] - self.x[rows, j][None, :]
+                    d += diff * diff
+                np.sqrt(d, out=d)
                 d[query_ids[q][:, None] == ids[rows][None, :]] = np.inf
                 all_d = np.concatenate([best[q], d], axis=1)
                 all_i = np.concatenate([best_id[q], np.broadcast_to(ids[rows], (len(q), len(rows)))], axis=1)
