@@ -101,12 +101,12 @@ class Tree:
 
             def below(lo, hi):  # smallest distance that a row of the half can have
                 return np.maximum(0, np.maximum(lo - d, d - hi))
-            first_near = below(near_lo, near_hi) <= below(far_lo, far_hi)
-            for inside in (True, False):  # each query takes its more promising half first
-                go_near, go_far = first_near == inside, first_near != inside
-                for mask, (lo, hi), child in ((go_near, (near_lo, near_hi), near), (go_far, (far_lo, far_hi), far)):
-                    tau = best[active, k - 1]
-                    visit(child, active[mask & (below(lo, hi) * factor <= tau * slack)])
+            halves = [(near_lo, near_hi, near), (far_lo, far_hi, far)]
+            # the half that is more promising for most queries first: the block stays whole
+            if (below(near_lo, near_hi) <= below(far_lo, far_hi)).mean() < 0.5:
+                halves.reverse()
+            for lo, hi, child in halves:
+                visit(child, active[below(lo, hi) * factor <= best[active, k - 1] * slack])
         if len(self.x):
             visit(self.root, np.arange(n))
         return best, best_id
