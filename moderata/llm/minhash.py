@@ -1,10 +1,11 @@
 """Near-duplicate documents by circulant MinHash (operator 8).
 
-Shingles are the distinct runs of four words of the whole lower-cased text. A
-fixed permutation ``sigma`` scatters a shingle over the circle of 2^64 places;
-a second permutation ``pi`` ranks the places. Coordinate k of the signature is
-the smallest rank after turning the circle by k steps, so two permutations
-give all coordinates (C-MinHash). ``ROWS`` consecutive coordinates form a band;
+Shingles are the distinct runs of ``words`` words of the whole lower-cased text
+(four for op8_minhash, five for the pipeline stage). A fixed permutation
+``sigma`` scatters a shingle over the circle of 2^64 places; a second
+permutation ``pi`` ranks the places. Coordinate k of the signature is the
+smallest rank after turning the circle by k steps, so two permutations give all
+coordinates (C-MinHash). ``ROWS`` consecutive coordinates form a band;
 documents that agree on a band are candidates. With 40 bands of 5 a pair at
 similarity 0.8 is missed with probability (1 - 0.8^5)^40 < 2e-7.
 
@@ -23,7 +24,7 @@ bound. No link is lost, no candidate is dropped, and a large group of near
 copies emits about one pair per member.
 
 Defined cases: a null or empty text, or one without words, has an empty set
-(n_shingles 0), is linked with nothing and is kept; fewer than four words form
+(n_shingles 0), is linked with nothing and is kept; fewer than ``words`` words form
 one shingle; null ids take no part in links and are kept; rows that repeat an
 id are one document (their texts' sets must agree for equal results; the
 largest set counts); ties go to the smallest id.
@@ -41,7 +42,8 @@ from pyspark.sql import types as T
 
 from .common import WHITE, hashed_words, mix64, word_table, written
 
-WORDS = 4
+WORDS = 4            # op8_minhash, by its contract
+PIPELINE_WORDS = 5   # stages on word shingles without a contract
 BANDS, ROWS = 40, 5
 SMALL = 8
 SLOTS = 256
@@ -49,7 +51,7 @@ _WORD = word_table(WHITE)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Distinct hashes of the runs of ``n`` words (the whole sequence if shorter)."""
     if len(words) == 0:
         return words
@@ -100,13 +102,13 @@ def _small(it, rows: int = 1000):
             yield texts.iloc[lo:lo + rows]
 
 
-def _per_text(texts, **fill):
+def _per_text(texts, n_words: int, **fill):
     """Columns n, d1, d2 of each text's set, and more functions of the set for texts with words."""
     n = len(texts)
     size, d1, d2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     more = {c: [None] * n for c in fill}
     for k, words in hashed_words(texts, _WORD):
-        own = shingles(words)
+        own = shingles(words, n_words)
         size[k] = len(own)
         d1[k] = own.sum(dtype=np.uint64).view(np.int64)
         d2[k] = mix64(own).sum(dtype=np.uint64).view(np.int64)
@@ -115,18 +117,20 @@ def _per_text(texts, **fill):
     return pd.DataFrame({"n": size, "d1": d1, "d2": d2, **{c: pd.Series(v, dtype=object) for c, v in more.items()}})
 
 
-@F.pandas_udf(_told(("bands", T.ArrayType(T.LongType())), ("card", T.BinaryType())))
-def sketched(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def sketched(n_words: int):
     """Size, digest, band hashes and card of each text's set."""
-    for texts in _small(it):
-        yield _per_text(texts, bands=lambda own: bands_of(signature(own, BANDS * ROWS)), card=card)
+    def sketch(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _small(it):
+            yield _per_text(texts, n_words, bands=lambda own: bands_of(signature(own, BANDS * ROWS)), card=card)
+    return F.pandas_udf(sketch, _told(("bands", T.ArrayType(T.LongType())), ("card", T.BinaryType())))
 
 
-@F.pandas_udf(_told(("shingles", T.BinaryType())))
-def full_sets(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def full_sets(n_words: int):
     """Size, digest and the sorted set itself."""
-    for texts in _small(it):
-        yield _per_text(texts, shingles=lambda own: own.tobytes())
+    def full(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _small(it):
+            yield _per_text(texts, n_words, shingles=lambda own: own.tobytes())
+    return F.pandas_udf(full, _told(("shingles", T.BinaryType())))
 
 
 @F.pandas_udf(T.LongType())
@@ -217,10 +221,10 @@ def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
                    .select("id", F.coalesce("r", "comp").alias("comp")), "nodes")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    told = written(rows.select("id", sketched("t").alias("x")).select("id", "x.*"), "sketches")
+    told = written(rows.select("id", sketched(words)("t").alias("x")).select("id", "x.*"), "sketches")
     known = told.where("id is not null and n > 0")
     own = known.groupBy("id").agg(F.max(F.struct("n", "d1", "d2")).alias("k")).select("id", "k.*")
     # documents with the same set are one class, named by their smallest id
@@ -250,7 +254,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     # only documents in question are read as full sets
     sets = written(rows.join(reps.join(busy, "id", "left_semi"), "id")
-                   .select("id", *key, full_sets("t").alias("x"))
+                   .select("id", *key, full_sets(words)("t").alias("x"))
                    .where("x.n = n and x.d1 = d1 and x.d2 = d2").select("id", "n", "x.shingles"), "sets")
     nodes = merged(sets.select("id", F.col("id").alias("comp")).distinct(), written(confirm(pairs, sets), "links"))
     nodes = _across(large, nodes, sets, cards, pairs)
@@ -295,23 +299,23 @@ def _across(large: DataFrame, nodes: DataFrame, sets: DataFrame, cards: DataFram
     return merged(nodes, written(confirm(written(possible(pairs, cards), "pairs"), sets), "links"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = PIPELINE_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one document of each group stays.
 
     Rows without an id stay; of rows that repeat an id, one stays.
     """
-    drop = groups(docs).where(~F.col("kept")).select("doc_id").distinct()
+    drop = groups(docs, words=words).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS) -> dict[int, tuple[int, int]]:
     """Plain all-pairs version for tests: id -> (n_shingles, component_id)."""
     import re
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     own = {}
     for i, text in rows:
         w = re.findall("[^\x20\x09-\x0D]+", (text or "").translate(fold))
-        own[i] = {tuple(w[k:k + WORDS]) for k in range(max(1, len(w) - WORDS + 1))} if w else set()
+        own[i] = {tuple(w[k:k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
     root = {i: i for i in own}
 
     def find(x):

@@ -14,7 +14,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(table(spark, sf_dir, "documents"))
+    return minhash.groups(table(spark, sf_dir, "documents"), words=minhash.WORDS)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

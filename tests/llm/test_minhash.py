@@ -62,3 +62,15 @@ def test_odd_rows_and_columns(odd_docs, no_docs):
     assert told[3].n_shingles == told[4].n_shingles == told[5].n_shingles == 0
     assert told[7].n_shingles == 1 and told[2].component_id == 1 and told[None].kept
     assert minhash.groups(no_docs).count() == 0
+
+
+def test_stage_equals_five_word_brute_force(spark):
+    """The pipeline stage keeps what five-word sets keep, also where four-word sets would drop it."""
+    import corpus_pipeline
+    words = [f"w{k}" for k in range(60)]
+    pair = [(i, " ".join(words[:at] + [f"z{i}"] + words[at + 1:])) for i, at in ((1000, 59), (1001, 30))]
+    rows = variants() + pair
+    four, five = minhash.brute_force(rows), minhash.brute_force(rows, 5)
+    assert {i for i, (_, c) in four.items() if i == c} != {i for i, (_, c) in five.items() if i == c}
+    out = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted(i for i, (_, c) in five.items() if i == c)
