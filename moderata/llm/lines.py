@@ -3,7 +3,10 @@
 A line (between line feeds, trimmed of ASCII white space) is dropped where an
 earlier line equals it or lies within ``tau`` edits of it. "Earlier" follows
 (doc_id, text hash, line number). Near matches are looked for between lines of
-``MIN_CHARS`` characters or more; shorter lines are compared exactly.
+``MIN_CHARS`` characters or more; shorter lines are compared exactly. ``tau``
+None stands for ``BANDS``: the number of edits grows with the length of the
+shorter line. op1_line_dedup takes one edit, as its SQL does; the pipeline's
+stage takes the bands.
 
 The join follows the pigeonhole principle: a line of l characters is cut into
 tau + 1 segments, and a line within tau edits holds one of them unchanged. So
@@ -14,6 +17,14 @@ prefix and the suffix of each length). Candidates are verified by a banded
 bit-parallel edit distance: a word of 2 tau + 1 bits holds the vertical
 differences of the band and slides down one row per column.
 
+With bands, a line's segments have one size and fixed places per length class
+(``CLASSES``), so a probe does not depend on the other line's length: (i, move)
+with max(-i, i - tau) <= move <= i. Some segment i is whole and has exactly i
+edits before it, hence moves at most i, and at most tau - i after it.
+Refined keys of more than ``FEW`` lines are first compared with the line that
+shares most busy keys; two lines linked to it are not compared with each other
+if one of them comes after it (the later one's fate and their class are known).
+
 Scale. Equal lines are one line to the join (one narrow row per occurrence is
 aggregated by a 128-bit hash). Signature rows hold two longs and a flag, never
 text, and are made distinct with map-side partial aggregation; texts are
@@ -44,6 +55,11 @@ MIN_CHARS = 16
 SAMPLE = 32         # one line in 32 takes part in finding busy keys
 BUSY = 8            # sampled lines that make a key busy (about 256 lines)
 REFINE_LEVELS = 3
+#: (length of the shorter line from which it holds, edits), and the starts of the length classes
+BANDS = ((16, 1), (32, 2), (64, 4), (100, 7))
+CLASSES = (16, 24, 32, 48, 64, 80, 100, 144, 208, 304, 448, 672, 1024, 2048, 4096)
+BAND_LEVELS = {1: 3, 2: 2, 4: 1, 7: 1}   # refinements of busy keys by edits
+FEW = 16            # lines of a refined key that are paired at once
 _BLANK = " \t\u000b\f\r"
 
 
@@ -186,7 +202,129 @@ def _letters(line: Column) -> Column:
     return F.array(*[(size - F.char_length(F.translate(line, c, ""))).cast("int") for c in "etaoinsrhldu "])
 
 
-def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text"):
+def _edits(size: Column) -> Column:
+    """The edits that ``BANDS`` allow for a shorter line of ``size`` characters."""
+    out = F.lit(0)
+    for low, tau in BANDS:
+        out = F.when(size >= low, F.lit(tau)).otherwise(out)
+    return out
+
+
+def _cuts(key: Column, rest: Column, low: Column, tau: Column, probe: bool, own: bool, keep_rest: bool) -> Column:
+    """Signatures of a string in the length class from ``low`` on: its segments, or its probes (``own``: unmoved ones too)."""
+    span = F.floor(low / (tau + 1)).cast("int")
+    places = F.lit(None)
+    for t in sorted({t for _, t in BANDS}):
+        moves = [(i, m) for i in range(t + 1) for m in (range(max(-i, i - t), i + 1) if probe else [0])]
+        moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in moves if own or m or not probe])
+        places = F.when(tau == t, moves) if t == BANDS[0][1] else places.when(tau == t, moves)
+
+    def cut(place):
+        at = place["i"] * span + place["m"]
+        cells = [F.xxhash64(key, place["i"], F.substring(rest, at + 1, span)).alias("key"), F.lit(probe).alias("probe")]
+        if keep_rest:
+            cells.append(F.concat(F.substring(rest, F.lit(1), at), F.substring(rest, at + span + 1, F.char_length(rest))).alias("rest"))
+        return F.struct(*cells)
+    return F.transform(places, cut)
+
+
+def _classed(size: Column) -> Column:
+    """(low, tau, own) of the length classes that a line is indexed in (own) or only probes."""
+    out = []
+    for low, high in zip(CLASSES, (*CLASSES[1:], 2 ** 31 - 100)):
+        tau = max(t for start, t in BANDS if start <= low)
+        out.append(F.when((size >= low) & (size < high + tau), F.struct(
+            F.lit(low).alias("low"), F.lit(tau).alias("tau"), (size < high).alias("own"))))
+    return F.array_compact(F.array(*out))
+
+
+def _band_signatures(lines: DataFrame) -> DataFrame:
+    """Distinct (key, id, size, probe) of each line's segments and probes; ``lines``: id, line, size."""
+    cells = [F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau")]
+    marks = F.when(F.col("c.own"), F.concat(_cuts(*cells, False, True, False), _cuts(*cells, True, False, False))).otherwise(
+        _cuts(*cells, True, True, False))
+    return (lines.select("id", "line", "size", F.explode(_classed(F.col("size"))).alias("c"))
+            .select("id", "size", F.explode(marks).alias("e")).select("e.key", "id", "size", "e.probe").distinct())
+
+
+def _band_refined(rows: DataFrame, probe: bool) -> DataFrame:
+    """(key, id, size, probe) of busy keys' lines, the text beside the shared segment cut again; ``rows``: key, id, size, line."""
+    cells = [F.col("key"), F.col("rest"), F.col("low"), F.col("tau")]
+    found = (rows.withColumn("c", F.explode(_classed(F.col("size")))).where("c.own" if not probe else "true")
+             .select("id", "size", "key", "c.low", "c.tau", F.explode(_cuts(
+                 F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau"), probe, True, True)).alias("e"))
+             .where("e.key = key").select("id", "size", "key", "e.rest", "low", "tau"))
+    less = F.col("low") - F.floor(F.col("low") / (F.col("tau") + 1)).cast("int")
+    for level in range(max(BAND_LEVELS.values())):
+        go = F.lit(False)
+        for t, levels in BAND_LEVELS.items():
+            go = go | ((F.col("tau") == t) & F.lit(levels > level))
+        found = found.withColumn("low", F.when(go, less).otherwise(F.col("low")))
+        same = F.array(F.struct("key", F.lit(probe).alias("probe"), "rest"))
+        found = (found.select("id", "size", "low", "tau", F.explode(F.when(go, _cuts(*cells, probe, True, True)).otherwise(same))
+                              .alias("e")).select("id", "size", "e.key", "e.rest", "low", "tau"))
+    return found.select("key", "id", "size", F.lit(probe).alias("probe"))
+
+
+def _band_met(marks: DataFrame, *more: str, unless: str = "false") -> DataFrame:
+    """Pairs (a < b) of lines that meet under a key and whose sizes allow it."""
+    index = marks.where("not probe").select("key", F.col("id").alias("i"), F.col("size").alias("si"), *[F.col(c).alias(c + "_i") for c in more])
+    other = marks.select("key", F.col("id").alias("o"), F.col("size").alias("so"), "probe", *[F.col(c).alias(c + "_o") for c in more])
+    fits = F.expr("i < o or probe and i > o") & (F.abs(F.col("si") - F.col("so")) <= _edits(F.least("si", "so"))) & ~F.expr(unless)
+    return (index.hint("shuffle_hash").join(other, "key").where(fits)
+            .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
+
+
+def _band_near(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """The pairs (a, b) within the edits of their band; ``told``: id, line, size, letters."""
+    names = ("id", "line", "size", "letters")
+    left, right = (told.select(*[F.col(c).alias(side if c == "id" else c + side) for c in names]) for side in "ab")
+    tau = _edits(F.least("sizea", "sizeb"))
+    apart = F.aggregate(F.zip_with("lettersa", "lettersb", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    near = pairs.join(left, "a").join(right, "b").where(apart <= 2 * tau).withColumn("tau", tau)
+    test = F.lit(False)
+    for t in sorted({t for _, t in BANDS}):
+        test = F.when(F.col("tau") == t, within(F.col("linea"), F.col("lineb"), t)).otherwise(test)
+    return near.where(test).select("a", "b").distinct()
+
+
+def _band_links(keyed: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links (a, b) that tell for every line whether an earlier one is near, and its class (not all links of large groups)."""
+    marks = written(_band_signatures(lines), "signatures")
+    busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
+                   .groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
+    paired = written(_band_met(marks.join(busy, "key", "left_anti")), "pairs")
+    many = written(marks.join(busy, "key", "left_semi"), "many")
+    needed = paired.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    own = (firsts.join(needed, "id").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "id")).alias("own")))
+    known = (keyed.select("k1", "k2", "t").join(own, ["k1", "k2"])
+             .select("k1", "k2", _trimmed(F.col("t")).alias("all"), F.explode("own").alias("o"))
+             .select("o.id", F.get("all", F.col("o.pos")).alias("line"), F.struct("k1", "k2", "o.pos").alias("place")))
+    # rows that repeat id and text hold the same lines at the same places
+    known = written(known.dropDuplicates(["id"]).withColumn("size", F.char_length("line").cast("int"))
+                    .withColumn("letters", _letters(F.col("line"))), "known")
+    texts = known.select("id", "line")
+    refined = written(_band_refined(many.where("not probe").join(texts, "id"), False).union(
+        _band_refined(many.select("key", "id", "size").distinct().join(texts, "id"), True)).distinct(), "refined")
+    large = refined.groupBy("key").agg(F.countDistinct("id").alias("c")).where(F.col("c") > FEW).select("key")
+    shares = many.groupBy("id").agg(F.countDistinct("key").alias("shares"))
+    hot = written(refined.join(large, "key", "left_semi").join(shares, "id").join(known.select("id", "place"), "id"), "hot")
+    centre = hot.groupBy("key").agg(F.max(F.struct("shares", "id", "place")).alias("c")).select(
+        "key", F.col("c.id").alias("centre"), F.col("c.place").alias("at"))
+    star = (hot.select("key", "id").distinct().join(centre, "key").where("id <> centre")
+            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
+    pairs = written(paired.union(_band_met(refined.join(large, "key", "left_anti"))).union(star).distinct(), "pairs")
+    links = written(_band_near(pairs, known), "links")
+    both = links.union(links.select("b", "a")).toDF("centre", "id").withColumn("tied", F.lit(True))
+    rest = written(hot.join(centre, "key").join(both, ["centre", "id"], "left").select(
+        "key", "id", "size", "probe", (F.coalesce("tied", F.lit(False)) | (F.col("id") == F.col("centre"))).alias("tied"),
+        (F.col("at") < F.col("place")).alias("later")), "rest")
+    more = (_band_met(rest, "tied", "later", unless="tied_i and tied_o and (later_i or later_o)")
+            .join(pairs, ["a", "b"], "left_anti"))
+    return links.union(_band_near(written(more, "pairs"), known))
+
+
+def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text"):
     """The tables behind the dedup: keyed documents, occurrences, first occurrences, links."""
     keyed = _keyed(docs, id_col, text_col)
     occ = (keyed.select("k1", "k2", F.posexplode(_trimmed(F.col("t"))).alias("pos", "line")).where("line <> ''")
@@ -197,6 +335,8 @@ def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     lines = keyed.select(F.explode(F.transform(F.array_distinct(_trimmed(F.col("t"))), lambda x: F.struct(
         x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).select(
         F.xxhash64("x.line").alias("id"), "x.line", "x.size")
+    if tau is None:
+        return keyed, occ, firsts, written(_band_links(keyed, firsts, lines), "links")
     marks = written(_signatures(lines, tau), "signatures")
     # keys that many different lines share, by a sample of lines
     busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
@@ -223,7 +363,7 @@ def line_links(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     return keyed, occ, firsts, written(links, "links")
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """t, cell (all columns) and marks: per dropped or linked line its number, links and why it goes."""
     keyed, occ, firsts, links = line_links(docs, tau, id_col, text_col)
     place = firsts.select("id", "k1", "k2", "pos")
@@ -264,7 +404,7 @@ def report(docs: DataFrame, tau: int = TAU) -> DataFrame:
         F.sha2(_kept_text(text), 256).alias("kept_sha256"))
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
+def drop_lines(docs: DataFrame, tau: int | None = None) -> DataFrame:
     """The rows of ``docs`` with their kept lines; rows that lose their last line go.
 
     ``n_chars``, where present, becomes the length of the kept text.
@@ -284,15 +424,20 @@ def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return kept.select(*out)
 
 
-def brute_force(rows: list[tuple[int, str | None]], tau: int = TAU) -> dict[int, tuple]:
+def brute_force(rows: list[tuple[int, str | None]], tau: int | None = None) -> dict[int, tuple]:
     """Plain version for tests: id -> (n_lines, n_exact, n_near, n_links, kept text); ids must differ."""
-    def distance(a, b):
+    def distance(a, b, most):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             last, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+            if min(row) > most:
+                break
+        return min(row) if min(row) > most else row[-1]
+
+    def edits(a, b):
+        return tau if tau is not None else max(t for low, t in BANDS if low <= min(len(a), len(b)))
     order = sorted((i, t) for i, t in rows if t is not None)
     first, texts = {}, []
     for i, t in order:
@@ -305,9 +450,10 @@ def brute_force(rows: list[tuple[int, str | None]], tau: int = TAU) -> dict[int,
     by_length = {}
     for t in texts:
         if len(t) >= MIN_CHARS:
-            for n in range(len(t) - tau, len(t) + tau + 1):
+            reach = BANDS[-1][1] if tau is None else tau
+            for n in range(len(t) - reach, len(t) + reach + 1):
                 for u in by_length.get(n, []):
-                    if distance(t, u) <= tau:
+                    if distance(t, u, edits(t, u)) <= edits(t, u):
                         linked[t].append(u)
                         linked[u].append(t)
             by_length.setdefault(len(t), []).append(t)

@@ -71,3 +71,28 @@ def test_odd_rows_and_columns(odd_docs, no_docs):
     assert 12 not in by and by[11][0].text == "two words" and None in by
     assert by[1][0].k1 == "k1" and by[1][0].cell == "cell"
     assert lines.drop_lines(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("busy", [False, True])
+def test_bands_equal_brute_force(spark, monkeypatch, busy):
+    """Edits grow with length: lines with a word replaced go, also where every key is refined and large."""
+    if busy:
+        for name, value in (("BUSY", 1), ("SAMPLE", 1), ("FEW", 2)):
+            monkeypatch.setattr(lines, name, value)
+    r = random.Random(8)
+    words = ["the", "erble", "and", "ones", "of", "that", "moruf", "salin", "ta", "vo", "quenda"]
+    base = [" ".join(r.choice(words) for _ in range(n)) for n in (4, 6, 7, 10, 14, 20, 22, 28, 31, 45, 70)]
+    rows = []
+    for i in range(36):
+        told = []
+        for _ in range(r.randint(1, 5)):
+            w = r.choice(base).split(" ")
+            for _ in range(r.choice([0, 1, 1, 2])):
+                w[r.randrange(len(w))] = r.choice(words)
+            told.append(edited(r, " ".join(w), r.choice([0, 0, 1, 3, 5]), "ab "))
+        rows.append((i, "\n".join(told)))
+    rows += [(50, "a" * 40 + " that erble " + "b" * 60), (51, "a" * 40 + " the erble " + "b" * 60)]
+    plain = lines.brute_force(rows)
+    got = {x.doc_id: x.text for x in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t for i, (n, e, near, _, t) in plain.items() if not (e + near) or t.strip()}
+    assert 51 not in got and sum(x[2] for x in plain.values()) > sum(x[2] for x in lines.brute_force(rows, 1).values()) + 10
