@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .minhash import merged
 
 TAU = 1
 MIN_CHARS = 16
@@ -404,6 +405,30 @@ def report(docs: DataFrame, tau: int = TAU) -> DataFrame:
         F.sha2(_kept_text(text), 256).alias("kept_sha256"))
 
 
+def classes(docs: DataFrame, tau: int | None = TAU) -> DataFrame:
+    """One row per document row: its lines (not blank) with their classes, repeated lines included.
+
+    A class is a component of the links; its id is the document and the line
+    number (from 0) of its earliest line. ``class_links`` counts the links of
+    the class between different lines (with bands, those that were needed).
+    """
+    keyed, occ, firsts, links = line_links(docs, tau)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = merged(ends.select("id", F.col("id").alias("comp")), links)
+    first = firsts.join(nodes, "id").groupBy("comp").agg(F.min(F.struct("k1", "k2", "pos")).alias("c"))
+    count = links.join(nodes, links["a"] == nodes["id"]).groupBy("comp").agg(F.count(F.lit(1)).alias("class_links"))
+    linked = nodes.join(first, "comp").join(count, "comp").select("id", "c", "class_links")
+    of_line = written(firsts.join(linked, "id", "left").select(
+        "id", "id2", F.coalesce("c", F.struct("k1", "k2", "pos")).alias("c"),
+        F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links")), "classes")
+    cell = F.struct(F.col("pos").alias("line"), F.nullif("c.k1", F.lit(2 ** 63 - 1)).alias("class_doc_id"),
+                    F.col("c.pos").alias("class_line"), "class_links")
+    told = (occ.distinct().join(of_line, ["id", "id2"]).select("k1", "k2", cell.alias("x"))
+            .groupBy("k1", "k2").agg(F.sort_array(F.collect_list("x")).alias("lines")))
+    return keyed.join(told, ["k1", "k2"], "left").select(
+        F.col("cell.doc_id").alias("doc_id"), F.coalesce("lines", F.array().cast(told.schema["lines"].dataType)).alias("lines"))
+
+
 def drop_lines(docs: DataFrame, tau: int | None = None) -> DataFrame:
     """The rows of ``docs`` with their kept lines; rows that lose their last line go.
 

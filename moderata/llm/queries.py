@@ -25,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op1_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_license_scan, op3_quality, op4_quality_rules, op5_language_id, op6_pii, op7_vptree,
-    op8_minhash, op9_mixing, op10_sentencepiece)}
+    op8_minhash, op9_mixing, op10_sentencepiece, op1_line_classes)}
 LLM_SQL: dict[str, str] = {"op1_line_dedup": lines.oracle_sql(), "op8_minhash": minhash.oracle_sql(), "op4_quality_rules": outliers.oracle_sql(), "op7_vptree": vptree.oracle_sql(), "op9_mixing": mixing.oracle_sql()}

@@ -96,3 +96,13 @@ def test_bands_equal_brute_force(spark, monkeypatch, busy):
     got = {x.doc_id: x.text for x in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: t for i, (n, e, near, _, t) in plain.items() if not (e + near) or t.strip()}
     assert 51 not in got and sum(x[2] for x in plain.values()) > sum(x[2] for x in lines.brute_force(rows, 1).values()) + 10
+
+
+def test_classes_tie_repeats_and_near_lines(spark):
+    """Copies of a linked line have its class and link count; a chain of links is one class."""
+    x = "a line of some length here"
+    rows = [(1, "short\n" + x), (2, x + "s\n\nshort"), (3, x), (4, x + "st\nanother line, quite apart"), (5, None), (6, x)]
+    got = {r.doc_id: [tuple(v) for v in r.lines]
+           for r in lines.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(0, 1, 0, 0), (1, 1, 1, 2)], 2: [(0, 1, 1, 2), (2, 1, 0, 0)], 3: [(0, 1, 1, 2)],
+                   4: [(0, 1, 1, 2), (1, 4, 1, 0)], 5: [], 6: [(0, 1, 1, 2)]}
