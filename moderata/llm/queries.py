@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, lines, minhash, mixing, outliers, pieces, pii, quality, vptree
+from . import (
+    collisions, langid, licenses, lines, minhash, mixing, outliers, periods, pieces, pii, quality, spelling, vptree)
 from .common import table
 
 
@@ -54,7 +55,23 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (periods.runs_per_document(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+                    "n_words", "n_dropped"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.groups(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_license_scan, op3_quality, op4_quality_rules, op5_language_id, op6_pii, op7_vptree,
-    op8_minhash, op9_mixing, op10_sentencepiece, op1_line_classes)}
-LLM_SQL: dict[str, str] = {"op1_line_dedup": lines.oracle_sql(), "op8_minhash": minhash.oracle_sql(), "op4_quality_rules": outliers.oracle_sql(), "op7_vptree": vptree.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
+    op8_minhash, op9_mixing, op10_sentencepiece, op11_spelling_variants, op12_periodic_runs, op13_embedding_near_dedup,
+    op1_line_classes)}
+LLM_SQL: dict[str, str] = {"op1_line_dedup": lines.oracle_sql(), "op8_minhash": minhash.oracle_sql(), "op4_quality_rules": outliers.oracle_sql(), "op7_vptree": vptree.oracle_sql(), "op9_mixing": mixing.oracle_sql(),
+                            "op13_embedding_near_dedup": collisions.oracle_sql()}
