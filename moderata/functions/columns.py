@@ -1,13 +1,13 @@
 """Column-level helpers built only from Spark's built-in functions.
 
-Everything here returns a ``Column`` so it stays inside whole-stage codegen.
+Everything here but ``once`` returns a ``Column`` and stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classes import CLASSES, CLASSES_HUMAN, THRESHOLD
@@ -95,6 +95,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with columns added (or replaced) whose expressions are evaluated once a row.
+
+    They pass a one-row generator. A plain projection would be repeated in every
+    filter and aggregate that Catalyst moves below it.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
+
+
 def fixed(x: str | Column, decimals: int) -> Column:
     """``f"{x:.2f}"`` for 0 <= x < 2000: the exact binary value, ties to even.
 

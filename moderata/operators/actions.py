@@ -19,6 +19,7 @@ from ..functions.classes import (APOLOGY_REPLIES, APOLOGY_SUBSTRING, APOLOGY_TOK
                                  NOT_FOUND_PREFIX, NOT_FOUND_SUFFIX, TOXIC_REPLIES,
                                  WHY_CUT_CHARS, WHY_MAX_CHARS)
 from ..functions.columns import SPLIT_PATTERN, hash_unit, n_over, over, pick, rate_lines, shorten
+from .routing import score_status
 
 
 def _lits(values: Sequence[str]):
@@ -29,16 +30,20 @@ def tier(scored: DataFrame, threshold: float = THRESHOLD,
          replies: Sequence[str] = TOXIC_REPLIES) -> DataFrame:
     """A1: reply (>= 4 classes), identity reaction (>= 2 with identity attack),
     reaction (>= 2), else none. First match wins."""
+    kind, payload = tier_columns(threshold, replies)
+    return scored.select("message_id", n_over(CLASSES, threshold).alias("n_flags"), kind.alias("tier"),
+                         payload.alias("payload"))
+
+
+def tier_columns(threshold: float = THRESHOLD, replies: Sequence[str] = TOXIC_REPLIES):
+    """The tier of a scored message and what is sent for it."""
     n = n_over(CLASSES, threshold)
-    t = (F.when(n >= TIER_REPLY_MIN, "reply")
-         .when((n >= TIER_REACT_MIN) & over("identity_attack", threshold), "react_identity")
-         .when(n >= TIER_REACT_MIN, "react")
-         .otherwise("none"))
-    payload = (F.when(F.col("tier") == "reply", pick(_lits(replies), "message_id", "toxic_reply"))
-               .when(F.col("tier") == "react_identity", F.lit(IDENTITY_REACTION))
-               .when(F.col("tier") == "react", F.lit(PLAIN_REACTION)))
-    return (scored.select("message_id", n.alias("n_flags"), t.alias("tier"))
-            .withColumn("payload", payload))
+    reply, react = n >= TIER_REPLY_MIN, n >= TIER_REACT_MIN
+    identity = over("identity_attack", threshold)
+    kind = (F.when(reply, "reply").when(react & identity, "react_identity").when(react, "react").otherwise("none"))
+    payload = (F.when(reply, pick(_lits(replies), "message_id", "toxic_reply"))
+               .when(react & identity, F.lit(IDENTITY_REACTION)).when(react, F.lit(PLAIN_REACTION)))
+    return kind, payload
 
 
 def is_apology(text: str = "text"):
@@ -65,16 +70,18 @@ def persona_reply(messages: DataFrame, personas: DataFrame, pool_all: Sequence[s
     threshold and shuffles otherwise. Unlisted users never fire (inner join);
     the general pool only adds to listed users' pools.
     """
-    side = personas.select("author", "name", "p", "resps")
+    fired, reply = persona_columns(pool_all, p_default)
+    return (messages.select("message_id", "author")
+            .join(personas.select("author", "name", "p", "resps"), "author")
+            .select("message_id", "author", "name", fired.alias("fired"), reply.alias("reply")))
+
+
+def persona_columns(pool_all: Sequence[str] = (), p_default: float = PERSONA_P_DEFAULT):
+    """Whether a message joined with its author's persona gets a reply, and which."""
     pool = F.concat(_lits(list(pool_all)), F.coalesce(F.col("resps"), _lits([])))
     p = F.coalesce(F.col("p"), F.lit(float(p_default)))
-    fired = (F.size(F.col("pool")) > 0) & (hash_unit("message_id", "persona") < p)
-    return (messages.select("message_id", "author")
-            .join(side, "author")
-            .withColumn("pool", pool)
-            .select("message_id", "author", "name", fired.alias("fired"),
-                    F.when(fired, pick(F.col("pool"), "message_id", "persona_pick"))
-                    .alias("reply")))
+    fired = (F.size(pool) > 0) & (hash_unit("message_id", "persona") < p)
+    return fired, F.when(fired, pick(pool, "message_id", "persona_pick"))
 
 
 def award_reply(reactions: DataFrame, messages: DataFrame, bot_user_id: int) -> DataFrame:
@@ -128,3 +135,26 @@ def actions(scored: DataFrame, messages: DataFrame, personas: DataFrame | None =
                      F.col("reply").alias("payload")))
         out = out.unionByName(p)
     return out
+
+
+def action_rows(judged: DataFrame, personas: DataFrame | None = None, pool_all: Sequence[str] = (),
+                p_default: float = PERSONA_P_DEFAULT, threshold: float = THRESHOLD,
+                toxic_replies: Sequence[str] = TOXIC_REPLIES,
+                apology_replies: Sequence[str] = APOLOGY_REPLIES) -> DataFrame:
+    """S9 in one pass over ``judged`` (``flow.process``): the rows of ``actions``.
+
+    A stream is read once this way; tiers and apologies need valid scores,
+    persona replies do not.
+    """
+    valid = score_status(judged) == "scored"
+    kind, payload = tier_columns(threshold, toxic_replies)
+    acted = [F.when(valid & (kind != "none"), F.struct(kind.alias("action"), payload.alias("payload"))),
+             F.when(valid & is_apology(), F.struct(F.lit("apology").alias("action"),
+                                                   pick(_lits(apology_replies), "message_id", "apology_reply").alias("payload")))]
+    if personas is not None:
+        listed = personas.select("author", "p", "resps", F.lit(True).alias("listed"))
+        judged = judged.join(listed, "author", "left")
+        fired, reply = persona_columns(pool_all, p_default)
+        acted.append(F.when(F.col("listed") & fired, F.struct(F.lit("persona").alias("action"), reply.alias("payload"))))
+    return (judged.select("message_id", F.explode(F.filter(F.array(*acted), lambda a: a.isNotNull())).alias("a"))
+            .select("message_id", "a.action", "a.payload"))

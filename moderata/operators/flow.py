@@ -21,8 +21,10 @@ class Flow(NamedTuple):
     routed: DataFrame      # passed the gates, not an image prompt
     scored: DataFrame      # with seven valid scores
     quarantine: DataFrame  # scores missing or not a number
+    judged: DataFrame      # scored and quarantined together, told apart by ``routing.score_status``
 
 
 def process(messages: DataFrame, scorer: Scorer, bot_user_id: int | None = None) -> Flow:
     routed = R.to_score(messages, bot_user_id)
-    return Flow(routed, *R.split_quarantine(scorer(routed)))
+    judged = scorer(routed)
+    return Flow(routed, *R.split_quarantine(judged), judged)

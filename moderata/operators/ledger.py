@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.classes import CLASSES, CLASSES_HUMAN, THRESHOLD
 from ..functions.columns import argmax_name, fixed, max_score, over
 
+ID_ROOM = 2 * 10 ** 19  # more than twice the largest message id
 COUNTERS = ["incidents", "total_seen"] + CLASSES
 
 
@@ -61,17 +62,25 @@ def last_message(scored: DataFrame,
     Order is (ts, message_id); ts NULL sorts first, so message_id decides
     among sources without time. The winners are found by a hash aggregate of
     one number per message, (microseconds, id) in a decimal, that never reads
-    the text; the few winners are then joined back.
+    the text. Their ids, taken from that number, then select the texts: the
+    winners are broadcast if they are few, and otherwise a runtime filter of
+    their ids keeps the other texts out of the shuffle.
     """
     micros = F.coalesce(F.unix_micros("ts"), F.lit(-(10 ** 16))).cast("decimal(18,0)")
-    order = (micros * F.lit("20000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("message_id").cast("decimal(19,0)")
-    ranked = scored.select(*keys, "message_id", "text", order.cast("decimal(38,0)").alias("_at"))
-    best = ranked.groupBy(*keys).agg(F.max("_at").alias("_at"))
-    same = [ranked[k].eqNullSafe(best[k]) for k in keys] + [ranked["_at"] == best["_at"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (ranked.join(best, cond, "left_semi").select(*keys, "message_id", "text").distinct())
+    room = F.lit(str(ID_ROOM)).cast("decimal(20,0)")
+    order = (micros * room).cast("decimal(38,0)") + F.col("message_id").cast("decimal(19,0)")
+    best = (scored.select(*keys, order.cast("decimal(38,0)").alias("_at"))
+            .groupBy(*keys).agg(F.max("_at").alias("_at")))
+    # |id| < ID_ROOM / 2, so the shifted quotient is never near a whole number
+    whole = F.floor((F.col("_at") + F.lit(str(ID_ROOM // 2)).cast("decimal(20,0)")) / room).cast("decimal(18,0)")
+    winners = best.select(*[F.col(k).alias(f"_{k}") for k in keys],
+                          (F.col("_at") - (whole * room).cast("decimal(38,0)")).cast("long").alias("message_id"))
+    same = None
+    for k in keys:  # an id may occur in several places
+        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = one if same is None else same & one
+    return (scored.select(*keys, "message_id", "text").join(winners, "message_id").where(same)
+            .select(*keys, "message_id", "text").distinct())
 
 
 def guild_rollup(users: DataFrame) -> DataFrame:

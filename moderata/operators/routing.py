@@ -23,7 +23,7 @@ def gate_reason(bot_user_id: int | None = None, prefix: str = COMMAND_PREFIX,
     return (F.when(is_self, "self")
             .when(is_bot, "bot")
             .when(F.col("guild").isNull(), "no_guild")
-            .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty")
+            .when(F.coalesce(F.col("text"), F.lit("")) == "", "empty")
             .when(F.substring("text", 1, 1) == F.lit(prefix), "command"))
 
 
@@ -32,7 +32,8 @@ IMAGE_RE = r"(?is)^toxic(bot)? show me (.*)$"
 
 def is_image_prompt(text: str = "text") -> Column:
     """case-blind "toxic show me " / "toxicbot show me " prefix."""
-    low = F.lower(F.col(text))
+    # the prefixes are ASCII, so the first characters decide
+    low = F.lower(F.substring(F.col(text), 1, max(len(p) for p in IMAGE_PREFIXES)))
     return low.startswith(IMAGE_PREFIXES[0]) | low.startswith(IMAGE_PREFIXES[1])
 
 

@@ -469,8 +469,8 @@ def _run_stream(spark, sf, output):
         ev.where((part == k) | again).write.parquet(f"{base}/in/{k}")
     cfg, per = _personas(spark)
     messages = TB.chat_from_events(ST.event_source(spark, f"{base}/in", max_files_per_trigger=1))
-    ST.run_to_end(ST.start_ledger(messages, base, outputs=(output,), personas=per, pool_all=_pool(cfg)[0],
-                                  p_default=_pool(cfg)[1], replies=FI.reply_lists(cfg), compact_every=2))
+    ST.run_to_end(ST.start(messages, base, output, personas=per, pool_all=_pool(cfg)[0],
+                           p_default=_pool(cfg)[1], replies=FI.reply_lists(cfg)))
     return base
 
 
@@ -486,12 +486,12 @@ def q_stream_last_message(spark, sf):
 
 @query("stream_history")
 def q_stream_history(spark, sf):
-    return ST.history(spark, _run_stream(spark, sf, "history"))
+    return ST.appended(spark, _run_stream(spark, sf, "history"), "history")
 
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf):
-    return ST.quarantine(spark, _run_stream(spark, sf, "quarantine")).select("message_id", "guild", "author", "channel")
+    return ST.appended(spark, _run_stream(spark, sf, "quarantine"), "quarantine").select("message_id", "guild", "author", "channel")
 
 
 # --------------------------------------------------------------------------
@@ -526,7 +526,7 @@ def q_split_exact(spark, sf):
 
 @query("stream_actions")
 def q_stream_actions(spark, sf):
-    return ST.actions(spark, _run_stream(spark, sf, "actions"))
+    return ST.appended(spark, _run_stream(spark, sf, "actions"), "actions")
 
 
 @query("scan_training")

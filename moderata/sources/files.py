@@ -1,10 +1,9 @@
-"""File sources and sinks: training CSV, persona JSON, batch-partitioned Parquet."""
+"""File sources: training CSV, persona JSON."""
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,62 +104,3 @@ def persona_rows(config: dict) -> list[tuple]:
 
 def personas(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(persona_rows(config), schemas.PERSONA)
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent sink: each batch overwrites its own ``batch_id=N`` folder,
-    so a replayed micro-batch replaces, never doubles, its output."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-
-
-def _fs(spark: SparkSession, path: str):
-    """Hadoop file system and path, so any shared storage the cluster uses."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def mark(spark: SparkSession, folder: str, n: int) -> None:
-    """Leave an empty file named N: batch (or snapshot) N is complete."""
-    fs, p = _fs(spark, f"{folder}/{n}")
-    fs.create(p, True).close()
-
-
-def marks(spark: SparkSession, folder: str) -> list[int]:
-    """The N of all marks: one listing of one folder, whatever its number of batches."""
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
-        return []
-    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
-
-
-Combine = Callable[[DataFrame], DataFrame]
-
-
-def current(spark: SparkSession, base: str, name: str, schema: T.StructType, combine: Combine,
-            upto: int | None = None) -> DataFrame:
-    """A table kept as per-batch rows: the newest snapshot and the committed
-    batches after it, combined. Folders without a commit mark (a batch under
-    way, or replayed) are not read; before the first batch the table is empty."""
-    done = [n for n in marks(spark, f"{base}/_commits") if upto is None or n <= upto]
-    snaps = [n for n in marks(spark, f"{base}/_snapshots/{name}") if upto is None or n <= upto]
-    last = snaps[-1] if snaps else -1
-    paths = [f"{base}/{name}_snapshot/upto={last}"] if snaps else []
-    paths += [f"{base}/{name}/batch_id={n}" for n in done if n > last]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    # each path is a folder of its own: its name is not a column
-    return combine(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths))
-
-
-def compact(spark: SparkSession, base: str, name: str, schema: T.StructType, combine: Combine) -> int | None:
-    """Write the table as of the newest committed batch as a snapshot, mark it,
-    and return the batch id; later reads start from there. A retry is harmless."""
-    done = marks(spark, f"{base}/_commits")
-    if not done:
-        return None
-    m = done[-1]
-    if m not in marks(spark, f"{base}/_snapshots/{name}"):
-        current(spark, base, name, schema, combine, upto=m).write.mode("overwrite").parquet(
-            f"{base}/{name}_snapshot/upto={m}")
-        mark(spark, f"{base}/_snapshots/{name}", m)
-    return m

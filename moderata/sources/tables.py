@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES
-from ..functions.columns import hash_int, hash_unit
+from ..functions.columns import hash_int, hash_unit, let, once
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -74,8 +74,8 @@ def chat_from_documents(docs: DataFrame) -> DataFrame:
     """Messages of every kind the gates and routes know, by a hash of the id:
     commands, image prompts, empty texts, apologies, bots, messages outside a
     guild; the bot's own account is ``BOT_AUTHOR``; the rest are plain."""
-    m = messages_from_documents(docs)
-    kind = hash_int("message_id", "kind") % CHAT_KINDS
+    m = once(messages_from_documents(docs), {"kind": hash_int("message_id", "kind") % CHAT_KINDS})
+    kind = F.col("kind")
     text = (F.when(kind == 0, F.concat(F.lit("%"), "text"))
             .when(kind == 1, F.concat(F.lit("Toxic SHOW ME "), "text"))
             .when(kind == 2, F.concat(F.lit("toxicbot show me "), "text"))
@@ -83,7 +83,7 @@ def chat_from_documents(docs: DataFrame) -> DataFrame:
             .when(kind == 4, F.concat("text", F.lit(" Sorry, sorry for being Toxic")))
             .otherwise(F.col("text")))
     return (m.withColumn("text", text).withColumn("author_is_bot", kind == 5)
-            .withColumn("guild", F.when(kind != 6, F.col("guild"))))
+            .withColumn("guild", F.when(kind != 6, F.col("guild"))).drop("kind"))
 
 
 def messages_from_conversations(conv: DataFrame) -> DataFrame:
@@ -117,15 +117,15 @@ def messages_from_events(events: DataFrame) -> DataFrame:
 
 def chat_from_events(events: DataFrame) -> DataFrame:
     """The event stream with commands, apologies, bots and late messages (60 days back) by a hash of the id."""
-    m = messages_from_events(events)
-    kind = hash_int("message_id", "kind") % CHAT_KINDS
+    m = once(messages_from_events(events), {"kind": hash_int("message_id", "kind") % CHAT_KINDS})
+    kind = F.col("kind")
     text = (F.when(kind == 0, F.concat(F.lit("%"), "text"))
             .when(kind == 1, F.concat(F.lit("Toxic SHOW ME "), "text"))
             .when(kind == 3, F.lit(""))
             .when(kind == 4, F.concat("text", F.lit(" sorry for being Toxic")))
             .otherwise(F.col("text")))
     late = F.when(kind == 7, F.col("ts") - F.expr("INTERVAL 60 DAYS")).otherwise(F.col("ts"))
-    return m.withColumn("text", text).withColumn("author_is_bot", kind == 5).withColumn("ts", late)
+    return m.withColumn("text", text).withColumn("author_is_bot", kind == 5).withColumn("ts", late).drop("kind")
 
 
 FAIL_EVERY = 25
@@ -138,14 +138,11 @@ def fixture_scores(messages: DataFrame) -> DataFrame:
     Spark and DuckDB, so ledger and action operators can be oracle-checked.
     One message in ``FAIL_EVERY`` gets no scores, as when the scorer fails.
     """
-    out = messages
     works = F.col("message_id") % FAIL_EVERY != 11
-    for c in CLASSES:
-        u = F.when(works, hash_unit("message_id", c))
-        out = out.withColumn(c, u * u)
-    for c in CLASSES:
-        out = out.withColumn(c, F.col(c) * F.col(c))
-    return out
+
+    def squared(x):
+        return let(x, lambda v: v * v)
+    return once(messages, {c: F.when(works, squared(squared(hash_unit("message_id", c)))) for c in CLASSES})
 
 
 def stats_requests_from_documents(docs: DataFrame) -> DataFrame:

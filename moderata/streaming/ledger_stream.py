@@ -1,39 +1,50 @@
-"""The incident ledger and the reactions as one Structured Streaming query.
-
-Each micro-batch takes the same way as a batch run (``operators.flow``): gates
--> route -> score -> quarantine; its ledger counts, latest messages, incident
-history, action rows and quarantined messages are written to ``<name>/batch_id=N``
-(overwriting that folder), and a commit mark closes the batch. A replayed
-micro-batch rewrites its own folders, so nothing counts twice; readers take
-marked batches only. Counts are per batch and add up, latest messages are
-combined by (ts, message_id): both are sums and maxima, so the order in which
-files arrive does not matter and no message is too late to count.
-
-Duplicates: a source may deliver a message again, in the same batch or months
-later. The accepted messages are kept as a feed of ids partitioned by the
-message's day; a batch reads the days it holds, and only them, and drops ids
-that an earlier batch accepted. (A repeated message repeats its time.) There is
-no watermark and no state store.
-
-``files.compact`` writes the ledger and the latest messages as a snapshot every
-``compact_every`` batches, so reading does not grow with the stream's age.
+"""The incident ledger and the reactions as Structured Streaming queries.
+
+Each output is one query over the same messages: repeated messages are dropped,
+the others take the way of a batch run (``operators.flow``): gates -> route ->
+score -> quarantine. What a table is made of decides where it is kept:
+
+* ``users``: counters per (guild, author), a streaming aggregation in update
+  mode. The state store is the table; ``current_users`` reads it.
+* ``last``: the latest message per (guild, author, channel), one value per key
+  with ``transformWithState``; ``current_last_messages`` reads that state.
+* ``history``, ``actions``, ``quarantine``: rows that are only ever added, by
+  Spark's file sink, whose log says which files count.
+
+Restarts, replays and half-written batches are Spark's own business: state and
+file log move by whole micro-batches. Sums and maxima do not depend on the order
+of messages, and there is no watermark: no message is too late to count.
+
+Seen ids: by default every message id is remembered (``dropDuplicates``). With
+``seen_ttl_ms`` an id is forgotten that long after its first arrival, which bounds
+the state by the traffic of that time. State lies in RocksDB, on the executors'
+disks and in the checkpoint folder, not in their memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.classes import PERSONA_P_DEFAULT
 from ..operators import actions as A
 from ..operators import ledger as L
-from ..operators.flow import Scorer, process
-from ..sources import files as FI
+from ..operators.flow import Flow, Scorer, process
 from ..sources import schemas
 from ..sources import tables as TB
 
 OUTPUTS = ("users", "last", "history", "actions", "quarantine")
 MAX_FILES_PER_TRIGGER = 1000
+SEEN_BUCKETS = 4096
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def event_source(spark: SparkSession, directory: str, glob: str = "*.parquet",
@@ -44,104 +55,141 @@ def event_source(spark: SparkSession, directory: str, glob: str = "*.parquet",
             .parquet(directory))
 
 
-def _feed(spark: SparkSession, feed: str, days: list[str]) -> DataFrame:
-    """Accepted (message_id, day, batch_id) of these days; other days are not listed."""
-    paths = []
-    for d in days:
-        fs, p = FI._fs(spark, f"{feed}/day={d}")
-        if fs.exists(p):
-            paths.append(f"{feed}/day={d}")
-    schema = "message_id long, day string, batch_id long"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", feed).parquet(*paths)
-
-
-def new_messages(batch: DataFrame, feed: str, batch_id: int) -> DataFrame:
-    """The messages of a batch that no earlier batch accepted; their ids join the feed."""
-    spark = batch.sparkSession
-    dated = (batch.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none")))
-             .dropDuplicates(["message_id"]))
-    days = [r["day"] for r in dated.select("day").distinct().collect()]  # bounded by the batch's days
-    seen = _feed(spark, feed, days).where(F.col("batch_id") < batch_id).select("message_id", "day")
-    fresh = dated.join(seen, ["message_id", "day"], "left_anti")
-    (fresh.select("message_id", "day", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(feed))
-    mine = _feed(spark, feed, days).where(F.col("batch_id") == batch_id).select("message_id", "day")
-    return dated.join(mine, ["message_id", "day"], "left_semi").drop("day")
-
-
-def sum_users(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("guild", "author").agg(*[F.sum(c).alias(c) for c in L.COUNTERS])
-
-
-def latest(rows: DataFrame) -> DataFrame:
-    best = L.last_message(rows)
-    return rows.join(best.select("message_id"), "message_id", "left_semi").distinct()
-
-
-COMBINE = {"users": (schemas.USERS, sum_users), "last": (schemas.LAST_MESSAGES, latest)}
-
-
-def start_ledger(messages: DataFrame, base: str, scorer: Scorer = TB.fixture_scores,
-                 bot_user_id: int | None = None, outputs=OUTPUTS, personas: DataFrame | None = None,
-                 pool_all=(), p_default: float = PERSONA_P_DEFAULT, replies: dict | None = None,
-                 compact_every: int = 50, available_now: bool = True):
-    """Run the stream ``messages`` into the tables below ``base``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = batch.persist()
-        try:
-            flow = process(new_messages(held, f"{base}/feed", batch_id), scorer, bot_user_id)
-            for name in outputs:
-                if name == "users":
-                    rows = L.ledger(flow.scored)
-                elif name == "last":
-                    best = L.last_message(flow.scored).select("message_id")
-                    rows = (flow.scored.join(best, "message_id", "left_semi")
-                            .select(*[f.name for f in schemas.LAST_MESSAGES.fields]))
-                elif name == "history":
-                    rows = L.history(flow.scored)
-                elif name == "actions":
-                    rows = A.actions(flow.scored, flow.routed, personas, pool_all, p_default, **(replies or {}))
-                else:
-                    rows = flow.quarantine.select(*[f.name for f in schemas.MESSAGE.fields])
-                FI.write_batch(rows, f"{base}/{name}", batch_id)
-            FI.mark(spark, f"{base}/_commits", batch_id)
-            if compact_every and batch_id % compact_every == compact_every - 1:
-                for name in set(outputs) & set(COMBINE):
-                    FI.compact(spark, base, name, *COMBINE[name])
-        finally:
-            held.unpersist()
-
-    w = messages.writeStream.option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(write)
+class Unseen(StatefulProcessor):
+    """Passes on the first row of each message id; ids are forgotten after ``ttl_ms``."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "message_id long", "first boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        for row in rows:
+            if not self.seen.containsKey((row["message_id"],)):
+                self.seen.updateValue((row["message_id"],), (True,))
+                yield row
+
+    def close(self) -> None:
+        pass
+
+
+class Latest(StatefulProcessor):
+    """The newest message of a key by (at, message_id); changed keys are passed on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "at long, message_id long, text string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        best = self.latest.get()
+        held = tuple(best[:2]) if best is not None else None
+        newest = max(rows, key=lambda r: (r["at"], r["message_id"]))
+        if held is None or (newest["at"], newest["message_id"]) > held:
+            self.latest.update((newest["at"], newest["message_id"], newest["text"]))
+            yield Row(guild=key[0], author=key[1], channel=key[2], message_id=newest["message_id"], text=newest["text"])
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(messages: DataFrame, seen_ttl_ms: int | None = None) -> DataFrame:
+    """Each message once: for ever, or within ``seen_ttl_ms`` of its first arrival.
+
+    With a time to live, ids share ``SEEN_BUCKETS`` keys, so a micro-batch calls
+    the processor once a bucket, not once a message.
+    """
+    if seen_ttl_ms is None:
+        return messages.dropDuplicates(["message_id"])
+    dealt = messages.withColumn("_bucket", F.pmod(F.xxhash64("message_id"), F.lit(SEEN_BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithState(
+        Unseen(seen_ttl_ms), dealt.schema, "Update", "ProcessingTime").drop("_bucket")
+
+
+def latest_messages(scored: DataFrame) -> DataFrame:
+    """The latest message per key as stream state (input: a stream of scored messages)."""
+    at = F.coalesce(F.unix_micros("ts"), F.lit(-(10 ** 16)))  # no time: before any time
+    return (scored.select("guild", "author", "channel", at.alias("at"), "message_id", "text")
+            .groupBy("guild", "author", "channel")
+            .transformWithState(Latest(), "guild string, author long, channel string, message_id long, text string",
+                                "Update", "None"))
+
+
+def _rows(name: str, flow: Flow, personas, pool_all, p_default, replies) -> DataFrame:
+    if name == "users":
+        return L.ledger(flow.scored)
+    if name == "last":
+        return latest_messages(flow.scored)
+    if name == "history":
+        return L.history(flow.scored)
+    if name == "actions":
+        return A.action_rows(flow.judged, personas, pool_all, p_default, **(replies or {}))
+    return flow.quarantine.select(*[f.name for f in schemas.MESSAGE.fields])
+
+
+def start(messages: DataFrame, base: str, name: str, scorer: Scorer = TB.fixture_scores,
+          bot_user_id: int | None = None, personas: DataFrame | None = None, pool_all=(),
+          p_default: float = PERSONA_P_DEFAULT, replies: dict | None = None,
+          seen_ttl_ms: int | None = None, available_now: bool = True,
+          changes: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start the query of one output below ``base``.
+
+    ``changes(rows, batch_id)`` receives the changed rows of ``users`` and ``last``
+    after each micro-batch (at least once), for example to upsert them elsewhere.
+    """
+    spark = messages.sparkSession
+    if spark.conf.get(PROVIDER, "") != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+        spark.conf.set(CHANGELOG, "true")
+    if seen_ttl_ms is not None:  # a time to live asks for batches without data for ever, so none would be the last
+        spark.conf.set(NO_DATA_BATCHES, "false")
+    rows = _rows(name, process(unseen(messages, seen_ttl_ms), scorer, bot_user_id), personas, pool_all, p_default, replies)
+    w = rows.writeStream.option("checkpointLocation", f"{base}/{name}/checkpoint")
+    if name in ("users", "last"):
+        w = w.outputMode("update")
+        w = w.foreachBatch(changes) if changes else w.format("noop")
+    else:
+        w = w.outputMode("append").format("parquet").option("path", f"{base}/{name}/rows")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def current_users(spark: SparkSession, base: str) -> DataFrame:
-    return FI.current(spark, base, "users", *COMBINE["users"])
+def start_all(messages: DataFrame, base: str, outputs=OUTPUTS, **options) -> dict[str, StreamingQuery]:
+    return {name: start(messages, base, name, **options) for name in outputs}
 
 
-def current_last_messages(spark: SparkSession, base: str) -> DataFrame:
-    return FI.current(spark, base, "last", *COMBINE["last"]).drop("ts")
-
+def run_to_end(queries: StreamingQuery | dict[str, StreamingQuery]) -> None:
+    """Wait for ``availableNow`` queries and surface their failures."""
+    for q in queries.values() if isinstance(queries, dict) else [queries]:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
 
-def history(spark: SparkSession, base: str) -> DataFrame:
-    return FI.current(spark, base, "history", schemas.HISTORY, lambda x: x)
 
+def _state(spark: SparkSession, base: str, name: str, schema: str, **options) -> DataFrame:
+    """Keys and values of a query's state after its last complete micro-batch."""
+    reader = spark.read.format("statestore")
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    state = reader.load(f"{base}/{name}/checkpoint")
+    return state.select("key.*", F.col("value").cast(schema).alias("value")).select("*", "value.*").drop("value")
 
-def actions(spark: SparkSession, base: str) -> DataFrame:
-    return FI.current(spark, base, "actions", schemas.ACTIONS, lambda x: x)
 
-
-def quarantine(spark: SparkSession, base: str) -> DataFrame:
-    return FI.current(spark, base, "quarantine", schemas.MESSAGE, lambda x: x)
+def current_users(spark: SparkSession, base: str) -> DataFrame:
+    counters = ", ".join(f"`{c}`: bigint" for c in L.COUNTERS)
+    return _state(spark, base, "users", f"struct<{counters}>")
 
 
-def run_to_end(query) -> None:
-    """Wait for an ``availableNow`` query and surface its failure."""
-    query.awaitTermination()
-    exc = query.exception()
-    if exc is not None:
-        raise RuntimeError(str(exc))
+def current_last_messages(spark: SparkSession, base: str) -> DataFrame:
+    return (_state(spark, base, "last", "struct<at: bigint, message_id: bigint, text: string>", stateVarName="latest")
+            .drop("at"))
+
+
+def appended(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of ``history``, ``actions`` or ``quarantine`` that complete micro-batches added."""
+    schema = {"history": schemas.HISTORY, "actions": schemas.ACTIONS, "quarantine": schemas.MESSAGE}[name]
+    try:
+        return spark.read.schema(schema).parquet(f"{base}/{name}/rows")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
