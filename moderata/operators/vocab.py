@@ -24,6 +24,8 @@ Encoding (T6)
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -39,6 +41,8 @@ ESC = "\u0002"  # escapes the separator and itself inside symbols
 CHAR_PATTERN = "(?s)."  # one code point
 MAX_VOCAB = 2_000_000  # merges + alphabet shipped to executors: bounded by this
 CACHED_WORDS = 200_000  # words whose ids a task keeps
+BAND_WORDS = 50_000  # places of the pairs that one round of learning handles together
+RANKED = 4_096  # top of the pair ranking that a round looks at
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -146,64 +150,191 @@ def _accept_batch(ranked: list, candidates: int, complete: bool) -> list[tuple[s
     return taken
 
 
+class _Band:
+    """Sequential BPE over the words that hold a pair of the band, all pairs of at least ``least``.
+
+    Every pair that it merges occurs in these words only, so its counts are those
+    of the whole corpus: a pair of the band has all its words here, and a new pair
+    arises where a merge took place. Pairs below ``least`` are counted in part and
+    never taken.
+    """
+
+    def __init__(self, rows, least: int, whole: bool = False):
+        self.least, self.rows, self.whole = least, rows, whole
+        self.words = [r["syms"].split(SEP) for r in rows]
+        self.n = [int(r["n"]) for r in rows]
+        self.count: Counter = Counter()
+        self.places: dict[tuple[str, str], set[int]] = {}
+        self.delta: Counter = Counter()      # change of a pair's count since the start
+        self.delta_rows: Counter = Counter()  # change of its number of places
+        self.changed: set[int] = set()
+        for k, w in enumerate(self.words):
+            for p in zip(w, w[1:]):
+                self.count[p] += self.n[k]
+                self.places.setdefault(p, set()).add(k)
+        self.heap = [(-c, *p) for p, c in self.count.items() if c >= least]
+        heapq.heapify(self.heap)
+
+    def _shift(self, word: list[str], k: int, sign: int) -> None:
+        for p in zip(word, word[1:]):
+            self.count[p] += sign * self.n[k]
+            self.delta[p] += sign * self.n[k]
+            self.delta_rows[p] += sign
+
+    def take(self, most: int, known: set[str]) -> list[tuple[str, str, int]]:
+        """Up to ``most`` merges.
+
+        A token that exists already may stand in words outside the band too. Its new
+        pairs count at most ``least`` - 1 there; the band ends before a pair that
+        one of them could precede.
+        """
+        taken: list[tuple[str, str, int]] = []
+        risk = 0
+        while self.heap and len(taken) < most:
+            c, a, b = heapq.heappop(self.heap)
+            now = self.count[a, b]
+            if now < self.least:
+                continue
+            if now != -c:  # an old entry: it comes again with its present count
+                heapq.heappush(self.heap, (-now, a, b))
+                continue
+            if now <= risk:
+                break
+            taken.append((a, b, now))
+            fresh: set[tuple[str, str]] = set()
+            for k in sorted(self.places.get((a, b), ())):
+                old = self.words[k]
+                new = _merged(old, a, b)
+                if len(new) == len(old):
+                    continue
+                self._shift(old, k, -1)
+                self._shift(new, k, 1)
+                self.words[k] = new
+                self.changed.add(k)
+                for p in zip(new, new[1:]):
+                    self.places.setdefault(p, set()).add(k)
+                    if a + b in p:
+                        fresh.add(p)
+            for p in fresh:
+                if self.count[p] >= self.least:
+                    heapq.heappush(self.heap, (-self.count[p], *p))
+            if a + b in known and not self.whole:
+                risk = max([risk] + [self.count[p] + self.least - 1 for p in fresh])
+            known.add(a + b)
+        return taken
+
+
+def _merged(word: list[str], a: str, b: str) -> list[str]:
+    out, i = [], 0
+    while i < len(word):
+        if i + 1 < len(word) and word[i] == a and word[i + 1] == b:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(word[i])
+            i += 1
+    return out
+
+
+def _pair_rows(words: DataFrame, weight: Column, one: int) -> DataFrame:
+    return _pairs(words, weight).select("p", F.col("n").alias("count"), F.lit(one).cast("long").alias("rows"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("p").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows")).where("count > 0")
+
+
+def _band_of(ranked: list, complete: bool, min_count: int, band_words: int) -> tuple[int, int]:
+    """The number of leading pairs of the ranking that make a band, and its least count.
+
+    A band holds every pair of its least count or more, and at most ``band_words`` places.
+    """
+    places = 0
+    for k, x in enumerate(ranked):
+        places += int(x["rows"])
+        if places > band_words:
+            least = int(x["count"]) + 1
+            return sum(int(y["count"]) >= least for y in ranked), least
+    if complete:
+        return len(ranked), max(min_count, 1)
+    least = int(ranked[-1]["count"]) + 1
+    return sum(int(y["count"]) >= least for y in ranked), least
+
+
 def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
                  min_count: int = 1, checkpoint_every: int = 8,
-                 candidates: int = 64) -> list[tuple[str, str, int]]:
+                 candidates: int = 64, band_words: int = BAND_WORDS) -> list[tuple[str, str, int]]:
     """T5: learn up to ``n_merges`` merges from (word, n). Returns the merges in
-    rank order as (left, right, count); only this bounded list reaches the driver.
-
-    Exact sequential BPE (count desc, then left, right ascending), with two
-    savings that do not change the result:
-    * pair counts are kept up to date incrementally: a merge only changes the
-      words holding the merged pair, so each round explodes just those words
-      (old pairs with weight -n, new pairs with +n) and folds the delta in;
-    * one round may take several merges: of the ``candidates`` best pairs, the
-      longest prefix that sequential BPE would take in the same order
-      (``_accept_batch``), decided from one top-k collect of the ranking.
-      ``candidates`` only sets how far a round looks ahead; pairs not taken
-      are considered again next round.
+    rank order as (left, right, count); only this bounded list is kept on the driver.
+
+    Exact sequential BPE (count desc, then left, right ascending). Every pair has
+    its count and its number of places (distinct words, repeats counted), both
+    kept up to date by differences: a merge only changes the words holding the
+    merged pair. A round takes one of two ways, with the same result:
+
+    * Frequent pairs lie in more words than one process should hold. Of the
+      ``candidates`` best pairs a round takes the longest prefix that sequential
+      BPE would take in the same order (``_accept_batch``), and Spark rewrites the words.
+    * As soon as the best pairs lie in at most ``band_words`` places, the words of
+      as many of them as fit are the work of a round: all merges down to the band's least
+      count are found among these words (``_Band``), a hundred or more a round.
+      At most ``band_words`` words reach the driver at a time, whatever the corpus.
+
     Pair counts are checkpointed every round, the words every
     ``checkpoint_every`` rounds and persisted in between (reliable files
     under spark.checkpoint.dir).
     """
     state = (initial_symbols(words.select("word", "n")).where(F.length("word") > 1)
-             .select("n", "syms").checkpoint(eager=True))
-    counts = _pair_key_counts(state).checkpoint(eager=True)
+             .select("word", "n", "syms").checkpoint(eager=True))
+    counts = _summed(_pair_rows(state, F.col("n"), 1)).checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
+    known: set[str] = set()
+    whole = state.count() <= band_words  # so few words are one band
     held: list[DataFrame] = []  # persisted word states since the last checkpoint
     r = 0
     while len(merges) < n_merges:
-        look = max(4 * candidates, 256)
-        ranked = (_split_pair(counts).where(F.col("count") >= min_count)
+        ranked = (counts.select(F.substring_index("p", SEP, 1).alias("left"), F.substring_index("p", SEP, -1).alias("right"),
+                                "p", "count", "rows").where(F.col("count") >= min_count)
                   .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc())
-                  .limit(look).collect())
+                  .limit(RANKED).collect())
         if not ranked:
             break
-        batch = _accept_batch(ranked, min(candidates, n_merges - len(merges)),
-                              complete=len(ranked) < look)
-        merges.extend(batch)
-        hit, merged = None, F.col("syms")
-        for a, b, _ in batch:
-            h = (F.instr("syms", a + SEP + b) > 0) & F.col("syms").rlike(_pair_pattern(a, b))
-            hit = h if hit is None else (hit | h)
-            merged = apply_merge(merged, a, b)
-        old = state.where(hit)
-        new = old.withColumn("syms", merged)
-        delta = _pairs(old, -F.col("n")).unionByName(_pairs(new, F.col("n")))
-        counts = (counts.select("p", F.col("count").alias("n")).unionByName(delta)
-                  .groupBy("p").agg(F.sum("n").alias("count"))
-                  .where(F.col("count") > 0))
-        state = state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
-        r += 1
-        # The pair counts (one row per distinct adjacent pair, small next to
-        # the words) are checkpointed every round: each round's plan refers to
-        # the previous round's, and cached plans carry their history in their
-        # descriptions, which would otherwise double round after round.
-        counts = counts.checkpoint(eager=True)
+        complete = len(ranked) < RANKED
+        width, least = (len(ranked), max(min_count, 1)) if whole else _band_of(ranked, complete, min_count, band_words)
+        if width:
+            mine = [x["p"] for x in ranked[:width]]
+            hit = F.exists(F.regexp_extract_all("syms", F.lit(PAIR_PATTERN), 1), lambda p: p.isin(mine))
+            band = _Band((state if whole else state.where(hit)).collect(), least, whole)
+            merges += band.take(n_merges - len(merges), known)
+            # at most band_words rows, back to the words they came from
+            changed = [(band.rows[k]["word"], SEP.join(band.words[k])) for k in sorted(band.changed)]
+            shifts = [(SEP.join(p), c, band.delta_rows[p]) for p, c in band.delta.items() if c or band.delta_rows[p]]
+            new = spark.createDataFrame(pd.DataFrame(changed, columns=["word", "new"]), "word string, new string")
+            delta = spark.createDataFrame(pd.DataFrame(shifts, columns=["p", "count", "rows"]), "p string, count long, rows long")
+            state = (state.join(F.broadcast(new), "word", "left")
+                     .select("word", "n", F.coalesce("new", "syms").alias("syms")))
+        else:
+            batch = _accept_batch(ranked, min(candidates, n_merges - len(merges)), complete)
+            merges += batch
+            known |= {a + b for a, b, _ in batch}
+            hit, merged = None, F.col("syms")
+            for a, b, _ in batch:
+                h = (F.instr("syms", a + SEP + b) > 0) & F.col("syms").rlike(_pair_pattern(a, b))
+                hit = h if hit is None else (hit | h)
+                merged = apply_merge(merged, a, b)
+            old = state.where(hit)
+            delta = _pair_rows(old, -F.col("n"), -1).unionByName(
+                _pair_rows(old.withColumn("syms", merged), F.col("n"), 1))
+            state = state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
+        # each round's plan refers to the previous round's, and cached plans carry
+        # their history in their descriptions: the counts (one row per distinct
+        # pair, small next to the words) cut it every round
+        counts = _summed(counts.unionByName(delta)).checkpoint(eager=True)
         # building the counts read the previous words in full, so that copy is
         # cached now; older copies are no longer needed
         while len(held) > 1:
             held.pop(0).unpersist()
+        r += 1
         if r % checkpoint_every == 0:
             # words left with one symbol can never merge again: drop them where
             # the plan is cut anyway

@@ -392,7 +392,7 @@ def q_safety_gate(spark, sf):
 # --------------------------------------------------------------------------
 
 
-BPE_MERGES = 64        # merges learned by the registered queries (a parameter of learn_merges; see README)
+BPE_MERGES = 10_000    # merges learned by the registered queries, as many as the vocabulary of the own model
 HEAD_IDS, TAIL_IDS, PAD_TO = 256, 128, 256
 
 

@@ -81,10 +81,28 @@ def test_batched_rounds_equal_sequential_bpe(spark):
     _, expected = py_bpe(py_texts(), N_MERGES_LONG)
     words = VO.word_counts(TB.table(spark, SF001, "documents"))
     assert VO.learn_merges(spark, words, N_MERGES_LONG) == expected
-    one_by_one = VO.learn_merges(spark, words, 40, candidates=1)
+    one_by_one = VO.learn_merges(spark, words, 40, candidates=1, band_words=0)
     assert one_by_one == expected[:40]
 
 
+def test_bands_of_words_equal_sequential_bpe(spark):
+    """Both ways of a round, mixed and alone, down to the rarest pairs: the merges stay the same."""
+    _, expected = py_bpe(py_texts(), 100)
+    words = VO.word_counts(TB.table(spark, SF001, "documents")).checkpoint()
+    for band_words, merges in ((0, 12), (2_500, 60), (8_000, 100)):
+        assert VO.learn_merges(spark, words, merges, band_words=band_words) == expected[:merges], band_words
+
+
+def test_a_token_made_twice_ends_a_band(spark):
+    """(a, bc) and (ab, c) both make abc: pairs with abc then lie outside the band's words too."""
+    words = spark.createDataFrame([("abcx", 50), ("abx", 70), ("bcy", 90), ("abcy", 9), ("zabc", 30)], "word string, n long")
+    plain = [(r.word, r.n) for r in words.collect()]
+    want = VO._Band([{"word": w, "n": n, "syms": VO.SEP.join(w)} for w, n in plain], 1, whole=True)
+    merges = want.take(12, set())
+    for band_words in (0, 3, 6, 100):
+        assert VO.learn_merges(spark, words, 12, band_words=band_words) == merges[:12], band_words
+
+
 def test_vocab_query_layout(spark):
     import __spark_entry__ as E
     rows = E.queries()["bpe_vocab"](spark, SF001).orderBy("id").collect()
