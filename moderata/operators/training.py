@@ -1,4 +1,9 @@
-"""Multi-label classifier training and scoring with Spark ML.
+"""Multi-label classifier training and scoring.
+
+Two models. ``fit`` / ``MultiLabelModel``: one Spark ML model per class (below).
+``train_epochs`` / ``JointModel``: the reference's joint objective, classes plus
+masked identity targets, by full gradients that the tasks add up, saved every epoch;
+``batch_scorer`` scores messages from a saved model.
 
 Re-aim of the reference's transformer fine-tuning: a distributed linear model
 per class (binary relevance) on hashed TF-IDF features. Soft labels are kept
@@ -10,16 +15,21 @@ Spark ML; features are computed once and cached for the seven fits.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.classes import CLASSES
+from ..functions.classes import CLASSES, IDENTITY_COLUMNS
 from ..functions.columns import TERM_PATTERN
 from . import labels as LB
 
@@ -51,6 +61,17 @@ class MultiLabelModel:
             out = out.withColumn(c, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"logit_{c}"))))
         return out.drop("features")
 
+    def save(self, folder: str) -> None:
+        """Spark ML's own persistence, in any storage that Spark writes."""
+        self.features.write().overwrite().save(f"{folder}/features")
+        for c, m in self.models.items():
+            m.write().overwrite().save(f"{folder}/models/{c}")
+
+    @staticmethod
+    def load(folder: str, text_col: str = "comment_text") -> MultiLabelModel:
+        models = {c: LogisticRegressionModel.load(f"{folder}/models/{c}") for c in CLASSES}
+        return MultiLabelModel(PipelineModel.load(f"{folder}/features"), models, text_col)
+
 
 def featurizer(text_col: str = "comment_text", num_features: int = NUM_FEATURES):
     tok = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=TERM_PATTERN,
@@ -104,3 +125,207 @@ def evaluate(model: MultiLabelModel, holdout: DataFrame, id_col: str = "id") ->
     wide = scored.select(*[(F.col(f"y_{c}") > 0.5).cast("int").alias(f"y_{c}") for c in CLASSES],
                          *[(F.col(f"logit_{c}") > 0).cast("int").alias(f"p_{c}") for c in CLASSES])
     return LB.eval_metrics(wide, CLASSES)
+
+
+# ---------------------------------------------------------------------------
+# joint training: seven classes and the masked identity targets, one objective
+# ---------------------------------------------------------------------------
+
+JOINT_FEATURES = 1 << 13  # with 31 outputs: 2 MB of gradient a task
+LEARNING_RATE, MOMENTS = 0.05, (0.9, 0.999)
+
+
+@dataclass
+class JointModel:
+    """One linear layer with an output per class and identity group, and its training state.
+
+    ``weights`` holds a row per output, the bias last; ``moments`` are the
+    optimiser's running means, so training goes on where it stopped.
+    """
+    weights: np.ndarray
+    outputs: list[str]
+    epoch: int = 0
+    moments: tuple[np.ndarray, np.ndarray] | None = None
+    history: list[dict] = field(default_factory=list)
+
+    @property
+    def num_features(self) -> int:
+        return self.weights.shape[1] - 1
+
+
+def joint_outputs() -> list[str]:
+    return [*CLASSES, *IDENTITY_COLUMNS]
+
+
+def new_model(outputs: Sequence[str] | None = None, num_features: int = JOINT_FEATURES) -> JointModel:
+    outputs = list(outputs or joint_outputs())
+    shape = (len(outputs), num_features + 1)
+    return JointModel(np.zeros(shape), outputs, 0, (np.zeros(shape), np.zeros(shape)))
+
+
+def hashed_terms(text: str | Column = "text", num_features: int = JOINT_FEATURES) -> Column:
+    """Places of a text's distinct terms, as written, among the features (none for a NULL text)."""
+    text = F.coalesce(F.col(text), F.lit("")) if isinstance(text, str) else text
+    terms = F.regexp_extract_all(text, F.lit(TERM_PATTERN), 0)
+    return F.transform(F.array_distinct(terms), lambda w: F.pmod(F.xxhash64(w), F.lit(num_features)).cast("int"))
+
+
+def _logits(weights: np.ndarray, rows: Sequence[np.ndarray]) -> np.ndarray:
+    """Logits of rows of feature places: the places' mean direction, scaled by root of their number, and the bias."""
+    sizes = np.array([len(r) for r in rows])
+    out = np.repeat(weights[:, -1][None, :], len(rows), axis=0)
+    used = np.flatnonzero(sizes)
+    if len(used):
+        flat = np.concatenate([rows[k] for k in used])
+        starts = np.cumsum(sizes[used]) - sizes[used]
+        out[used] += np.add.reduceat(weights.T[flat], starts, axis=0) / np.sqrt(sizes[used])[:, None]
+    return out
+
+
+def loss_and_gradient(weights: np.ndarray, rows: Sequence[np.ndarray], targets: np.ndarray):
+    """Sums of the masked soft-target cross entropy per output and of its gradient.
+
+    A target that is NaN is masked: it adds neither loss nor gradient.
+    """
+    z = _logits(weights, rows)
+    known = ~np.isnan(targets)
+    y = np.where(known, targets, 0.0)
+    loss = np.where(known, np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z))), 0.0)
+    error = np.where(known, 1 / (1 + np.exp(-z)) - y, 0.0)
+    gradient = np.zeros_like(weights)
+    gradient[:, -1] = error.sum(axis=0)
+    sizes = np.array([len(r) for r in rows])
+    used = np.flatnonzero(sizes)
+    if len(used):
+        flat = np.concatenate([rows[k] for k in used])
+        spread = np.repeat(error[used] / np.sqrt(sizes[used])[:, None], sizes[used], axis=0)
+        np.add.at(gradient.T, flat, spread)
+    return loss.sum(axis=0), known.sum(axis=0), gradient
+
+
+def _examples(df: DataFrame, model: JointModel, text_col: str) -> DataFrame:
+    targets = F.array(*[F.col(c).cast("double") for c in model.outputs])
+    return df.select(hashed_terms(text_col, model.num_features).alias("x"), targets.alias("y"))
+
+
+def _step(examples: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, known targets and gradient over all examples, added up on the way (a tree of tasks)."""
+    spark = examples.sparkSession
+    sent = spark.sparkContext.broadcast(weights)  # outputs x features: bounded by the model
+    shape = weights.shape
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, known, gradient = np.zeros(shape[0]), np.zeros(shape[0]), np.zeros(shape)
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo:lo + 256]
+                y = np.array([[np.nan if v is None else v for v in row] for row in part["y"]], float).reshape(-1, shape[0])
+                a, k, g = loss_and_gradient(sent.value, [np.asarray(r, int) for r in part["x"]], y)
+                loss, known, gradient = loss + a, known + k, gradient + g
+        yield pd.DataFrame({"s": [np.concatenate([loss, known, gradient.ravel()]).tobytes()]})
+    sums = examples.mapInPandas(partial, "s binary").rdd.map(lambda r: np.frombuffer(r["s"]))
+    total = sums.treeReduce(lambda a, b: a + b, depth=3)
+    sent.unpersist()
+    return total[:shape[0]], total[shape[0]:2 * shape[0]], total[2 * shape[0]:].reshape(shape)
+
+
+def joint_loss(model: JointModel, df: DataFrame, text_col: str = "comment_text") -> dict[str, float]:
+    """Mean loss of the classes, of the identity groups and of all known targets."""
+    loss, known, _ = _step(_examples(df, model, text_col), model.weights)
+    own = np.array([c in CLASSES for c in model.outputs])
+
+    def mean(which):
+        return float(loss[which].sum() / max(known[which].sum(), 1))
+    return {"classes": mean(own), "identity": mean(~own), "sum": mean(own) + mean(~own)}
+
+
+def train_epochs(model: JointModel, train: DataFrame, epochs: int, folder: str | None = None,
+                 holdout: DataFrame | None = None, steps: int = 4, text_col: str = "comment_text") -> JointModel:
+    """Train up to ``epochs`` epochs in all; each ends with an evaluation and, with ``folder``, a saved model.
+
+    The objective is the mean loss of the classes plus the mean loss of the known
+    identity targets. An epoch takes ``steps`` gradients over all examples: sums over
+    the tasks, so the result does not depend on how the rows are dealt (but for rounding).
+    """
+    examples = _examples(train, model, text_col).persist()
+    own = np.array([c in CLASSES for c in model.outputs])
+    try:
+        while model.epoch < epochs:
+            mean, square = model.moments
+            weights = model.weights
+            for k in range(steps):
+                loss, known, gradient = _step(examples, weights)
+                share = np.where(own, max(known[own].sum(), 1), max(known[~own].sum(), 1))
+                gradient = gradient / share[:, None]
+                t = model.epoch * steps + k + 1
+                mean = MOMENTS[0] * mean + (1 - MOMENTS[0]) * gradient
+                square = MOMENTS[1] * square + (1 - MOMENTS[1]) * gradient**2
+                weights = weights - LEARNING_RATE * (mean / (1 - MOMENTS[0]**t)) / (
+                    np.sqrt(square / (1 - MOMENTS[1]**t)) + 1e-8)
+            told = {"epoch": model.epoch + 1, "train_loss": float((loss / share).sum())}
+            model = JointModel(weights, model.outputs, model.epoch + 1, (mean, square), [*model.history, told])
+            if holdout is not None:
+                told.update({f"holdout_{k}": v for k, v in joint_loss(model, holdout, text_col).items()})
+            if folder:
+                save_joint(train.sparkSession, model, folder)
+    finally:
+        examples.unpersist()
+    return model
+
+
+def save_joint(spark: SparkSession, model: JointModel, folder: str) -> None:
+    """One Parquet row a saved epoch, in any storage that Spark writes."""
+    mean, square = model.moments
+    row = [(model.epoch, json.dumps(model.outputs), json.dumps(model.history), model.num_features,
+            model.weights.tobytes(), mean.tobytes(), square.tobytes())]
+    schema = "epoch int, outputs string, history string, num_features int, weights binary, mean binary, square binary"
+    spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/epoch={model.epoch}")
+
+
+def load_joint(spark: SparkSession, folder: str, epoch: int | None = None) -> JointModel:
+    """The saved model of an epoch (the last one by default): scoring and training go on from it."""
+    saved = spark.read.parquet(folder)
+    if epoch is not None:
+        saved = saved.where(F.col("epoch") == epoch)
+    r = saved.orderBy(F.desc("epoch")).first()
+    outputs = json.loads(r["outputs"])
+    shape = (len(outputs), r["num_features"] + 1)
+    weights, mean, square = (np.frombuffer(r[c]).reshape(shape).copy() for c in ("weights", "mean", "square"))
+    return JointModel(weights, outputs, r["epoch"], (mean, square), json.loads(r["history"]))
+
+
+# ---------------------------------------------------------------------------
+# batch scoring from a saved model
+# ---------------------------------------------------------------------------
+
+def batch_scorer(spark: SparkSession, folder: str, epoch: int | None = None, text_col: str = "text",
+                 case_variants: bool = True):
+    """A scorer for ``flow.process``: the saved model, sent once and read once a worker.
+
+    Each text is scored as it is, in lower and in upper case (with ``case_variants``) in
+    one batch, and the largest logit of each class counts. A NULL text gets NULL scores.
+    """
+    model = load_joint(spark, folder, epoch)
+    sent = spark.sparkContext.broadcast(model.weights[[model.outputs.index(c) for c in CLASSES]])
+    variants = [F.col(text_col)] + ([F.lower(F.col(text_col)), F.upper(F.col(text_col))] if case_variants else [])
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in CLASSES]))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights = sent.value
+        for texts in batches:
+            out = np.full((len(texts), len(CLASSES)), np.nan)
+            for lo in range(0, len(texts), 256):
+                part = texts.iloc[lo:lo + 256]
+                at = [k for k, v in enumerate(part) if v is not None]
+                rows = [np.asarray(x, int) for k in at for x in part.iloc[k]]
+                if rows:
+                    z = _logits(weights, rows).reshape(len(at), -1, len(CLASSES)).max(axis=1)
+                    out[lo + np.array(at)] = 1 / (1 + np.exp(-z))
+            yield pd.DataFrame(out, columns=CLASSES)  # NaN arrives as NULL
+
+    def score(messages: DataFrame) -> DataFrame:
+        features = F.when(F.col(text_col).isNotNull(), F.array(*[hashed_terms(v, model.num_features) for v in variants]))
+        kept = [c for c in messages.columns if c not in CLASSES]
+        return messages.select(*kept, scored(features).alias("_s")).select(*kept, "_s.*")
+    return score
+

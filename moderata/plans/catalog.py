@@ -499,21 +499,62 @@ def q_stream_quarantine(spark, sf):
 # --------------------------------------------------------------------------
 
 
+_SAVED: dict[tuple, str] = {}  # folders of models that this session has saved
+
+
+def _saved(spark, sf, name, make):
+    """The folder of a model, made and saved by the first query of the session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SAVED:
+        folder = scratch_path(spark, name)
+        make(folder)
+        _SAVED[key] = folder
+    return _SAVED[key]
+
+
+def _split(spark, sf, part):
+    return LB.split_hash(_train(spark, sf)).where(F.col("split") == part)
+
+
 def _fit(spark, sf):
-    t = LB.split_hash(_train(spark, sf))
-    model = TR.fit(t.where(F.col("split") == "train"))
-    return model, t.where(F.col("split") == "holdout")
+    def make(folder):
+        TR.fit(_split(spark, sf, "train")).save(folder)
+    return TR.MultiLabelModel.load(_saved(spark, sf, "model", make))
 
 
 @query("train_eval")
 def q_train_eval(spark, sf):
-    model, holdout = _fit(spark, sf)
-    return TR.evaluate(model, holdout)
+    return TR.evaluate(_fit(spark, sf), _split(spark, sf, "holdout"))
+
+
+JOINT_EPOCHS = 3
+
+
+def _joint(spark, sf):
+    def make(folder):
+        TR.train_epochs(TR.new_model(), _split(spark, sf, "train"), JOINT_EPOCHS, folder, _split(spark, sf, "holdout"))
+    return _saved(spark, sf, "joint", make)
+
+
+@query("train_joint")
+def q_train_joint(spark, sf):
+    """Losses of every epoch of the joint model, classes and masked identity targets."""
+    rows = TR.load_joint(spark, _joint(spark, sf)).history
+    return spark.createDataFrame(
+        [(r["epoch"], r["train_loss"], r["holdout_classes"], r["holdout_identity"], r["holdout_sum"]) for r in rows],
+        "epoch int, train_loss double, holdout_classes double, holdout_identity double, holdout_sum double")
+
+
+@query("score_joint")
+def q_score_joint(spark, sf):
+    """M1/M2/M7: every message scored by the saved joint model, three case variants in a batch."""
+    out = TR.batch_scorer(spark, _joint(spark, sf))(_docs(spark, sf).select("message_id", "text"))
+    return out.select("message_id", *[F.round(c, 6).alias(c) for c in CLASSES])
 
 
 @query("score_learned")
 def q_score_learned(spark, sf):
-    model, _ = _fit(spark, sf)
+    model = _fit(spark, sf)
     out = model.transform(_docs(spark, sf).select("message_id", "text"), text_col="text",
                           keep=("message_id",))
     return out.select("message_id", *[F.round(c, 6).alias(c) for c in CLASSES])

@@ -1,4 +1,8 @@
 """Training: held-out metrics use the hold-out's own labels as truth."""
+import tempfile
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -23,3 +27,78 @@ def test_train_eval_truth_is_holdout_labels(spark):
     lo_hi = out.select(*[F.min(c).alias(f"lo_{c}") for c in CLASSES],
                        *[F.max(c).alias(f"hi_{c}") for c in CLASSES]).collect()[0]
     assert all(0.0 <= lo_hi[f"lo_{c}"] and lo_hi[f"hi_{c}"] <= 1.0 for c in CLASSES)
+
+
+# ---------------------------------------------------------------- joint training
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    t = TB.training_frame(spark, SF01)
+    return t.withColumn("comment_text", F.when(F.col("id") % 50 != 3, F.col("comment_text"))).persist()
+
+
+def test_gradient_equals_differences():
+    r = np.random.default_rng(5)
+    weights = r.standard_normal((4, 9)) * 0.3
+    rows = [r.choice(8, k, replace=False) for k in (0, 1, 3, 8)]
+    targets = r.random((4, 4))
+    targets[r.random((4, 4)) < 0.4] = np.nan
+    loss, known, gradient = TR.loss_and_gradient(weights, rows, targets)
+    assert known.tolist() == (~np.isnan(targets)).sum(axis=0).tolist()
+    for at in np.ndindex(weights.shape):
+        up, down = weights.copy(), weights.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        slope = (TR.loss_and_gradient(up, rows, targets)[0].sum() - TR.loss_and_gradient(down, rows, targets)[0].sum()) / 2e-5
+        assert abs(slope - gradient[at]) < 1e-6
+
+
+def test_joint_loss_equals_bce_and_masked_bce(spark, frame):
+    """The objective is the library's own losses on the fitted model's logits; training lowers it."""
+    fresh = TR.new_model(num_features=256)
+    model = TR.train_epochs(fresh, frame, 2, steps=3)
+    names = TR.joint_outputs()
+    rows = frame.select("id", TR.hashed_terms("comment_text", 256).alias("x"), *names).collect()
+    z = TR._logits(model.weights, [np.asarray(r["x"], int) for r in rows])
+    wide = spark.createDataFrame([(*[r[c] for c in names], *map(float, v)) for r, v in zip(rows, z)],
+                                 ", ".join([f"{c} double" for c in names] + [f"logit_{c} double" for c in names]))
+    groups = [c for c in names if c not in CLASSES]
+    parts = {"classes": LB.bce_loss(wide, CLASSES), "identity": LB.bce_loss(wide, groups)}
+    told = TR.joint_loss(model, frame)
+    for name, table in parts.items():
+        assert abs(table.where("class = 'all'").first()["loss"] - told[name]) < 1e-5
+    assert told["sum"] == told["classes"] + told["identity"] < TR.joint_loss(fresh, frame)["sum"]
+
+
+def test_stopped_training_resumes_to_the_same_model(spark, frame):
+    folder = tempfile.mkdtemp(prefix="moderata-joint-", dir="/tmp")
+    start = TR.new_model(num_features=128)
+    straight = TR.train_epochs(start, frame, 2, steps=2)
+    TR.train_epochs(start, frame, 1, folder, frame, steps=2)
+    resumed = TR.train_epochs(TR.load_joint(spark, folder), frame, 2, folder, frame, steps=2)
+    assert np.allclose(straight.weights, resumed.weights, atol=1e-9)
+    saved = TR.load_joint(spark, folder)
+    assert saved.epoch == 2 and [h["epoch"] for h in saved.history] == [1, 2]
+    assert (saved.weights == resumed.weights).all()
+    assert TR.load_joint(spark, folder, 1).epoch == 1
+    # the batch scorer: largest logit of three case variants, NULL for a NULL text
+    texts = [(1, "Some Toxic WORDS here"), (2, ""), (3, None)]
+    out = {r.message_id: r for r in TR.batch_scorer(spark, folder)(
+        spark.createDataFrame(texts, "message_id long, text string")).collect()}
+    seven = saved.weights[:7]
+    for i, text in texts[:2]:
+        variants = spark.createDataFrame([(v,) for v in (text, text.lower(), text.upper())], "text string")
+        x = [np.asarray(r["x"], int) for r in variants.select(TR.hashed_terms("text", 128).alias("x")).collect()]
+        want = 1 / (1 + np.exp(-TR._logits(seven, x).max(axis=0)))
+        assert np.allclose([out[i][c] for c in CLASSES], want)
+    assert all(out[3][c] is None for c in CLASSES)
+
+
+def test_saved_ml_model_scores_alike(spark, frame):
+    folder = tempfile.mkdtemp(prefix="moderata-ml-", dir="/tmp")
+    known = frame.where("comment_text is not null")
+    model = TR.fit(known, max_iter=2, num_features=64)
+    model.save(folder)
+    few = known.select("id", "comment_text")
+    a, b = (m.transform(few, keep=("id",)).orderBy("id").collect() for m in (model, TR.MultiLabelModel.load(folder)))
+    assert a == b
