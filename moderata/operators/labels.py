@@ -150,6 +150,45 @@ def round_up(n: Column, multiple: int) -> Column:
     return ((n + multiple - 1) / multiple).cast("int") * multiple
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
+    """``df`` with exact row numbers from 0 in the order of the columns ``order`` (which tell rows apart).
+
+    Rows are dealt by range and sorted where they lie; a row's number is its place there
+    plus the sizes of the ranges before. Only one count a range reaches the driver: no
+    task sees all rows, as a window without a partition would.
+    """
+    place = F.monotonically_increasing_id()  # task number in the upper bits, place in the lower 33
+    local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place).checkpoint(eager=True)
+    sizes = (local.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy("part").collect())
+    if not sizes:
+        return local.withColumn(name, F.col("_at")).drop("_at")
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_part long, _first long")  # a row a range
+    return (local.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(first), "_part")
+            .withColumn(name, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_first"))
+
+
+def pad_batches(df: DataFrame, ids: str, key: str, batch_size: int, pad_id: int, multiple: int = 8) -> DataFrame:
+    """Batches of rows of like length, each padded to its longest row, rounded up to ``multiple``.
+
+    Rows are numbered by (length, ``key``), so batches are full and little is padded. Adds
+    batch, pad_to, input_ids and attention_mask; NULL ids are an empty row.
+    """
+    own = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    rows = row_numbers(df.withColumn(ids, own).withColumn("_n", F.size(own)), ["_n", key])
+    rows = rows.withColumn("batch", F.floor(F.col("row") / batch_size).cast("long"))
+    longest = rows.groupBy("batch").agg(round_up(F.max("_n"), multiple).alias("pad_to"))
+    out = rows.join(longest, "batch")
+    more = F.col("pad_to") - F.col("_n")
+    return (out.withColumn("input_ids", F.concat(ids, F.array_repeat(F.lit(pad_id), more)))
+            .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), more)))
+            .drop("_n", "row"))
+
+
 def split_exact(df: DataFrame, id_col: str = "id", fraction_den: int = 10,
                 salt: str = "split") -> DataFrame:
     """T4 (exact form): a hold-out of exactly n // fraction_den rows, the rows

@@ -454,6 +454,20 @@ def q_pad_mask(spark, sf):
     return e.select("message_id", padded.alias("input_ids"), mask.alias("attention_mask"))
 
 
+TRAIN_BATCH = 32
+
+
+@query("pad_batch")
+def q_pad_batch(spark, sf):
+    """Batches padded to their longest text; ids here are the last code points, which SQL can number too."""
+    m = _docs(spark, sf).select("message_id", "text")
+    points = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), 0), lambda c: F.ascii(c))
+    b = LB.pad_batches(m.select("message_id", VO.tail_ids(points, TAIL_IDS).alias("ids")), "ids", "message_id",
+                       TRAIN_BATCH, VO.pad_id())
+    return b.select("message_id", "batch", "pad_to", F.size("input_ids").alias("n_input"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_known"))
+
+
 # --------------------------------------------------------------------------
 # streaming (run to completion with availableNow, then read the sink)
 # --------------------------------------------------------------------------

@@ -386,6 +386,15 @@ def _():
     return _persona_sql()
 
 
+@sql("pad_batch")
+def _():
+    return """WITH r AS (SELECT doc_id AS message_id, LEAST(COALESCE(length(text), 0), 128) AS n,
+  row_number() OVER (ORDER BY LEAST(COALESCE(length(text), 0), 128), doc_id) - 1 AS place FROM documents),
+b AS (SELECT *, place // 32 AS batch FROM r)
+SELECT message_id, batch, (((max(n) OVER (PARTITION BY batch) + 7) // 8) * 8)::INTEGER AS pad_to,
+  (((max(n) OVER (PARTITION BY batch) + 7) // 8) * 8)::INTEGER AS n_input, n::INTEGER AS n_known FROM b"""
+
+
 @sql("actions")
 def _():
     return f"""WITH t AS ({_tier_sql()}),

@@ -102,3 +102,20 @@ def test_saved_ml_model_scores_alike(spark, frame):
     few = known.select("id", "comment_text")
     a, b = (m.transform(few, keep=("id",)).orderBy("id").collect() for m in (model, TR.MultiLabelModel.load(folder)))
     assert a == b
+
+
+# ---------------------------------------------------------------- padded batches
+
+def test_batches_are_full_and_padded_to_their_longest_row(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, list(range(int(n)))) for i, n in enumerate(r.integers(0, 90, 501))] + [(900, None)]
+    df = spark.createDataFrame(rows, "key long, ids array<int>").repartition(9)
+    out = LB.pad_batches(df, "ids", "key", 50, 3).collect()
+    assert len(out) == 502
+    order = sorted(((len(ids or []), key) for key, ids in rows))
+    place = {key: k // 50 for k, (_, key) in enumerate(order)}
+    for x in out:
+        longest = max(n for n, key in order if place[key] == x.batch)
+        assert x.batch == place[x.key] and x.pad_to == -(-longest // 8) * 8 == len(x.input_ids) == len(x.attention_mask)
+        assert x.input_ids == x.ids + [3] * (x.pad_to - len(x.ids)) and sum(x.attention_mask) == len(x.ids)
+    assert LB.pad_batches(df.where("false"), "ids", "key", 50, 3).count() == 0
