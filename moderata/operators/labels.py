@@ -9,9 +9,9 @@ histograms instead of a global window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES, IDENTITY_COLUMNS, THRESHOLD
@@ -102,6 +102,27 @@ def eval_metrics(wide: DataFrame, classes: Sequence[str], truth: str = "y_{}",
     Input is wide (one row per example, 0/1 columns per class); everything
     comes from one global aggregate: no shuffle by example or class.
     """
+    return _metric_rows(wide.agg(*_metric_counts(classes, truth, pred)), classes, decimals)
+
+
+def observed_metrics(wide: DataFrame, classes: Sequence[str], truth: str = "y_{}", pred: str = "p_{}",
+                     decimals: int = 6) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """T11 on the way: ``wide`` with its metrics counted while an action passes over it.
+
+    Returns the observed rows and a function that gives the table of ``eval_metrics``
+    after the first action on them (training, writing scores), without a job of its own.
+    """
+    seen = Observation()
+    counted = wide.observe(seen, *_metric_counts(classes, truth, pred))
+
+    def metrics() -> DataFrame:
+        told = seen.get
+        schema = ", ".join(f"{k} {'double' if k == 'subset' else 'long'}" for k in told)
+        return _metric_rows(wide.sparkSession.createDataFrame([tuple(told.values())], schema), classes, decimals)
+    return counted, metrics
+
+
+def _metric_counts(classes: Sequence[str], truth: str, pred: str) -> list[Column]:
     aggs = []
     for c in classes:
         t, p = F.col(truth.format(c)) == 1, F.col(pred.format(c)) == 1
@@ -111,9 +132,10 @@ def eval_metrics(wide: DataFrame, classes: Sequence[str], truth: str = "y_{}",
     for c in classes:
         ok = F.col(truth.format(c)) == F.col(pred.format(c))
         all_ok = ok if all_ok is None else (all_ok & ok)
-    aggs.append(F.avg(all_ok.cast("double")).alias("subset"))
-    one = wide.agg(*aggs)
+    return [*aggs, F.avg(all_ok.cast("double")).alias("subset")]
+
 
+def _metric_rows(one: DataFrame, classes: Sequence[str], decimals: int) -> DataFrame:
     def m(c):
         tp, fp, fn, tn = (F.col(f"{k}_{c}") for k in ("tp", "fp", "fn", "tn"))
         return {"tp": tp, "fp": fp, "fn": fn, "tn": tn,

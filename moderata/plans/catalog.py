@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import CLASSES, IDENTITY_COLUMNS, TRAINING_TOXICITY_COLUMNS
+from ..functions.columns import display_name
 from ..operators import actions as A
 from ..operators import features as FE
 from ..operators import labels as LB
@@ -125,6 +126,25 @@ def q_score_quarantine(spark, sf):
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("score_replies")
+def q_score_replies(spark, sf):
+    """F4 on JSON replies keyed by class name: cut off, without a class, or absent ones go to quarantine."""
+    scored = TB.fixture_scores(_flow(spark, sf).routed)
+    reply, kind = SC.scores_to_json(scored), F.col("message_id") % 10
+    sent = (F.when(kind == 4, F.substring(reply, 1, 40)).when(kind == 5, F.regexp_replace(reply, r',"[^"]*":[^,]*\}$', "}"))
+            .when(kind != 6, reply))
+    read = SC.scores_from_json(scored.select("message_id", sent.alias("scores_json")))
+    status = R.score_status(read)
+    return read.select("message_id", status.alias("status"), F.when(status == "scored", F.round("insult", 6)).alias("insult"))
+
+
+@query("display_name")
+def q_display_name(spark, sf):
+    """Name and four-digit discriminator."""
+    four = F.lpad((F.col("message_id") % 10_000).cast("string"), 4, "0")
+    return _docs(spark, sf).select("message_id", display_name("guild", four).alias("name"))
+
+
 @query("quarantine")
 def q_quarantine(spark, sf):
     return _flow(spark, sf).quarantine.select("message_id", "guild", "author", "channel")

@@ -194,6 +194,18 @@ def _():
                           "count(*) AS n FROM tried GROUP BY 1")
 
 
+@sql("score_replies")
+def _():
+    return SCORED_DOCS + """
+SELECT message_id, CASE WHEN failed OR message_id % 10 IN (4, 5, 6) THEN 'quarantine' ELSE 'scored' END AS status,
+  CASE WHEN NOT (failed OR message_id % 10 IN (4, 5, 6)) THEN round(insult, 6) END AS insult FROM tried"""
+
+
+@sql("display_name")
+def _():
+    return "SELECT doc_id AS message_id, concat_ws('#', source, lpad((doc_id % 10000)::VARCHAR, 4, '0')) AS name FROM documents"
+
+
 @sql("quarantine")
 def _():
     return SCORED_DOCS + "\nSELECT message_id, guild, author, channel FROM tried WHERE failed"

@@ -119,3 +119,13 @@ def test_batches_are_full_and_padded_to_their_longest_row(spark):
         assert x.batch == place[x.key] and x.pad_to == -(-longest // 8) * 8 == len(x.input_ids) == len(x.attention_mask)
         assert x.input_ids == x.ids + [3] * (x.pad_to - len(x.ids)) and sum(x.attention_mask) == len(x.ids)
     assert LB.pad_batches(df.where("false"), "ids", "key", 50, 3).count() == 0
+
+
+def test_observed_metrics_equal_eval_metrics(spark):
+    r = np.random.default_rng(6)
+    rows = [tuple(int(v) for v in r.integers(0, 2, 6)) for _ in range(300)]
+    names = [f"{k}_{c}" for c in CLASSES[:3] for k in "yp"]
+    wide = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).repartition(5)
+    counted, metrics = LB.observed_metrics(wide, CLASSES[:3])
+    counted.write.format("noop").mode("overwrite").save()
+    assert metrics().collect() == LB.eval_metrics(wide, CLASSES[:3]).collect()
