@@ -74,4 +74,5 @@ LLM_QUERIES = {f.__name__: f for f in (
     op8_minhash, op9_mixing, op10_sentencepiece, op11_spelling_variants, op12_periodic_runs, op13_embedding_near_dedup,
     op1_line_classes)}
 LLM_SQL: dict[str, str] = {"op1_line_dedup": lines.oracle_sql(), "op8_minhash": minhash.oracle_sql(), "op4_quality_rules": outliers.oracle_sql(), "op7_vptree": vptree.oracle_sql(), "op9_mixing": mixing.oracle_sql(),
+                            "op11_spelling_variants": spelling.oracle_sql(),
                             "op13_embedding_near_dedup": collisions.oracle_sql()}

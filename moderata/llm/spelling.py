@@ -184,6 +184,31 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return grouped(written(word_counts(docs, id_col, text_col), "words"))
 
 
+def oracle_sql() -> str:
+    """The counts, near words, forms and roots in DuckDB SQL; the CRC is computed bit by bit (reflected 0xEDB88320)."""
+    return rf"""WITH RECURSIVE runs AS (SELECT COALESCE(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hexed AS (SELECT run, hex(id || ':' || run) AS x FROM runs WHERE length(run) >= {MIN_LENGTH}),
+bits AS (SELECT run, list_transform(range(0, 4 * len(x)), lambda i:
+  (('0x' || x[2 * (i // 8) + 1:2 * (i // 8) + 2])::BIGINT >> (i % 8)) & 1) AS b FROM hexed),
+crc AS (SELECT run, xor(list_reduce([4294967295::BIGINT] || b, lambda c, v:
+  xor(c >> 1, CASE WHEN xor(c & 1, v) = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) AS h FROM bits),
+made AS (SELECT CASE WHEN h % {LOSE_ONE_IN} = 0 THEN run[:(h % length(run))::INTEGER] || run[(h % length(run))::INTEGER + 2:] ELSE run END AS word FROM crc),
+words AS (SELECT word, count(*) AS n FROM made WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING count(*) >= {MIN_COUNT}),
+less AS (SELECT word, i, word[:(i - 1)::INTEGER] || word[(i + 1)::INTEGER:] AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT less.word AS a, words.word AS b FROM less JOIN words ON words.word = less.d),
+near AS (SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT a, b FROM shorter UNION SELECT b, a FROM shorter),
+ranked AS (SELECT a, b, w.n AS bn, count(*) OVER (PARTITION BY a) AS n_near,
+  row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS place FROM near JOIN words w ON w.word = b),
+told AS (SELECT word, n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= {FORM_FACTOR} * n THEN b END AS form,
+  CASE WHEN bn >= {FORM_FACTOR} * n THEN bn END AS form_n FROM words LEFT JOIN ranked ON a = word AND place = 1),
+path(word, last) AS (SELECT word, form FROM told WHERE form IS NOT NULL
+  UNION ALL SELECT path.word, told.form FROM path JOIN told ON told.word = path.last WHERE told.form IS NOT NULL),
+ends AS (SELECT path.word, path.last FROM path JOIN told ON told.word = path.last WHERE told.form IS NULL)
+SELECT word, form, COALESCE(ends.last, word) AS root, n, n_near, form_n FROM told LEFT JOIN ends USING (word)"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[str, tuple]:
     """Plain version for tests: word -> (form, root, n, n_near, form_n)."""
     import re
