@@ -18,10 +18,12 @@ without a look at their sets. Buckets of up to ``SMALL`` classes give their few
 pairs. Larger buckets are never expanded into all pairs: every member is
 compared with the bucket's centre (the member that shares most buckets), and
 confirmed links merge components. Only members outside the centre's component
-are then compared with the others, and only where the shingles that they have
-in common with any open document (``r``) allow a similarity of 0.8, again an exact
-bound. No link is lost, no candidate is dropped, and a large group of near
-copies emits about one pair per member.
+are then compared with the others, each pair in the first band that it shares only,
+and only where the shingles that they have in common with any open document
+(``r``) and their cards allow a similarity of 0.8, again exact bounds. No link is
+lost and no candidate is dropped. A large group of near copies that the centre
+links emits about one pair per member; a large bucket of k members outside the
+centre's component still compares k times its size, less what the bounds refuse.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 (n_shingles 0), is linked with nothing and is kept; fewer than ``words`` words form
@@ -239,7 +241,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     buckets = written(placed.join(shared, ["band", "h"]), "buckets")
     shares = buckets.groupBy("id").agg(F.sum("size").alias("shares"))
     cards = written(known.join(shares, "id").join(reps, ["id", *key], "left_semi")
-                    .select("id", "n", "card", "shares").dropDuplicates(["id"]), "cards")
+                    .select("id", "n", "card", "bands", "shares").dropDuplicates(["id"]), "cards")
     small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
     sized = "least(na, nb) * 100 >= greatest(na, nb) * 80"
     few = (small.select("band", "h", F.col("id").alias("a"), F.col("n").alias("na"))
@@ -285,14 +287,16 @@ def _across(large: DataFrame, nodes: DataFrame, sets: DataFrame, cards: DataFram
     # overlap <= r, so similarity 0.8 needs 180 r >= 80 (n + the other's n)
     able = (open_.join(lone, "id", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
             .where("180 * r >= 80 * (n + least_n)").select("band", "h", "id", "n", "r", "comp", "main"))
-    slots = cards.join(able.select("id").distinct(), "id", "left_semi").select("id", folded("card").alias("slots"))
-    able = written(able.join(slots, "id").select("band", "h", "id", "n", "r", "comp", "slots", "main"), "able")
-    left = able.where("comp <> main").toDF("band", "h", "a", "na", "ra", "pa", "ka", "main")
-    right = able.drop("main").toDF("band", "h", "b", "nb", "rb", "pb", "kb")
-    # all bounds are part of the join: a pair that cannot be similar is never made
-    fits = ("pa <> pb and least(na, nb) * 100 >= greatest(na, nb) * 80 and 180 * least(ra, rb) >= 80 * (na + nb)"
+    slots = cards.join(able.select("id").distinct(), "id", "left_semi").select("id", folded("card").alias("slots"), "bands")
+    able = written(able.join(slots, "id").select("band", "h", "id", "n", "r", "comp", "slots", "bands", "main"), "able")
+    left = able.where("comp <> main").toDF("band", "h", "a", "na", "ra", "pa", "ka", "ha", "main")
+    right = able.withColumn("place", F.col("band") + 1).toDF("band", "h", "b", "nb", "rb", "pb", "kb", "hb", "mb", "place").withColumn("other", F.expr("pb <> mb")).drop("mb")
+    # all bounds are part of the join: a pair that cannot be similar is never made, nor one that
+    # meets in an earlier band (there it is made, was tried already, or has one component)
+    fits = ("pa <> pb and (a < b or not other) and least(na, nb) * 100 >= greatest(na, nb) * 80 and 180 * least(ra, rb) >= 80 * (na + nb)"
             " and coalesce(180 * aggregate(zip_with(ka, kb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-            " >= 80 * (na + nb), true)")
+            " >= 80 * (na + nb), true)"
+            " and array_position(zip_with(ha, hb, (x, y) -> x = y), true) = place")
     same = [left[c] == right[c] for c in ("band", "h")]
     pairs = (left.join(right, [*same, F.expr(fits)]).select(*_pair()).distinct()
              .join(tried, ["a", "b"], "left_anti"))
