@@ -180,7 +180,7 @@ def judged(docs: DataFrame) -> DataFrame:
         "scale", F.greatest(F.lit(1.0), F.expm1((F.col("mid") + 0.5) / BIN) / MEDIAN)).drop("mid"), "model")
     return (told.join(scale, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance() / F.col("scale"), 6)))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept")))
+                    (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept"), "distance"))
 
 
 def brute_force(rows: list[tuple]) -> dict:

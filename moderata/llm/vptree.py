@@ -17,8 +17,8 @@ shard, and no group exceeds ``SHARD_ROWS`` + ``BLOCK_ROWS`` vectors. Equal
 vectors cost no more than others: a split is by rank, not by radius.
 
 Defined cases: null, empty or zero vectors and vectors with null, NaN or infinite
-components take no part, nor do null ids or vectors of another size than most
-of the table (the most frequent size, ties to the larger); rows that repeat an
+components take no part, nor do null ids; a query is answered among the vectors of
+its own size; a distance beyond the largest double is infinite and ranks last; rows that repeat an
 id are separate candidates, never for a query of the same id, and one query;
 fewer candidates than k are all returned; without queries the result is empty.
 """
@@ -37,6 +37,7 @@ FACTOR = 1.0
 LEAF = 48
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 4_000
+NO_ID = np.iinfo(np.int64).max  # a place without a candidate
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ class Tree:
         """(distance, id) of the k nearest rows of each query, without rows of the query's own id."""
         n = len(queries)
         best = np.full((n, k), np.inf)
-        best_id = np.full((n, k), np.iinfo(np.int64).max)
+        best_id = np.full((n, k), NO_ID)
         slack = 1 + 1e-9  # a bound must not prune by a rounding error
 
         def offer(active, rows):
@@ -82,9 +83,10 @@ class Tree:
                     diff = queries[q, j][:, None] - self.x[rows, j][None, :]
                     d += diff * diff
                 np.sqrt(d, out=d)
-                d[query_ids[q][:, None] == ids[rows][None, :]] = np.inf
+                own = query_ids[q][:, None] == ids[rows][None, :]
+                d[own] = np.inf
                 all_d = np.concatenate([best[q], d], axis=1)
-                all_i = np.concatenate([best_id[q], np.broadcast_to(ids[rows], (len(q), len(rows)))], axis=1)
+                all_i = np.concatenate([best_id[q], np.where(own, NO_ID, ids[rows][None, :])], axis=1)
                 order = np.lexsort((all_i, all_d), axis=1)[:, :k]
                 best[q] = np.take_along_axis(all_d, order, 1)
                 best_id[q] = np.take_along_axis(all_i, order, 1)
@@ -106,7 +108,8 @@ class Tree:
             if (below(near_lo, near_hi) <= below(far_lo, far_hi)).mean() < 0.5:
                 halves.reverse()
             for lo, hi, child in halves:
-                visit(child, active[below(lo, hi) * factor <= best[active, k - 1] * slack])
+                # written so that bounds between infinite distances, which say nothing, do not prune
+                visit(child, active[~(below(lo, hi) * factor > best[active, k - 1] * slack)])
         if len(self.x):
             visit(self.root, np.arange(n))
         return best, best_id
@@ -124,18 +127,19 @@ def nearest(table: DataFrame, k: int = K, factor: float = FACTOR, step: int = QU
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by ``step``."""
     rows = _usable(table, id_col, vec_col)
     told = (rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"),
-                                                  F.count_if(F.col("id") % step == 0).alias("q"))
-            .orderBy(F.desc("n"), F.desc("d")).first())
-    if told is None or not told["q"]:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == told["d"])
-    shards, blocks = -(-told["n"] // shard_rows), -(-told["q"] // block_rows)
+                                                  F.count_if(F.col("id") % step == 0).alias("q")).where("q > 0"))
+    # shards and blocks of each size; a query is answered among the vectors of its own size
+    told = told.select("d", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"),
+                       F.ceil(F.col("q") / block_rows).cast("int").alias("blocks"))
+    rows = rows.withColumn("d", F.size("v")).join(F.broadcast(told), "d")  # a row a size
     # hash dealing: a shard's size varies little around the mean; copies of an id are dealt apart
-    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
-    data = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shard = F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int")
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    data = (rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(*[F.col(c).alias(c) for c in ("d", "shard", "block", "id", "v")]))
     ask = (rows.where(F.col("id") % step == 0).withColumn("block", block)
-           .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+           .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+           .select(*[F.col(c).alias(c) for c in ("d", "shard", "block", "id", "v")]))
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -148,10 +152,10 @@ def nearest(table: DataFrame, k: int = K, factor: float = FACTOR, step: int = QU
         x, ids = np.stack(held["v"].to_list()).astype(float), held["id"].to_numpy()
         queries, query_ids = np.stack(asked["v"].to_list()).astype(float), asked["id"].to_numpy()
         d, found = Tree(x).search(queries, query_ids, ids, k, factor)
-        q, c = np.nonzero(np.isfinite(d))
+        q, c = np.nonzero(found != NO_ID)
         return pd.DataFrame({"query_id": query_ids[q], "vec_id": found[q, c], "score": d[q, c]})
 
-    answers = (ask.groupBy("shard", "block").cogroup(data.groupBy("shard", "block"))
+    answers = (ask.groupBy("d", "shard", "block").cogroup(data.groupBy("d", "shard", "block"))
                .applyInPandas(search, "query_id long, vec_id long, score double"))
     # k rows per query and shard
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -124,3 +124,14 @@ def test_no_queries_or_vectors(spark):
     assert vptree.nearest(table).count() == 0 and vptree.nearest(table.where("false")).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert [tuple(x)[:3] for x in vptree.nearest(few).collect()] == [(0, 1, 2)]
+
+
+def test_nearest_within_every_size(spark):
+    """Vectors of several sizes, repeated ids, clashing columns, distances beyond the largest double."""
+    rows = [(0, [1.0, 2.0, 3.0]), (100, [1.0, 2.0]), (1, [1.0, 2.0, 4.0]), (2, [1.0, 2.5]), (3, [2.0, 2.0]), (4, [0.5, 1.0]),
+            (4, [0.5, 1.5]), (200, [1e200, 1e200, 0.0, 0.0]), (5, [-1e308, -1e308, 1.0, 0.0])]
+    table = spark.createDataFrame([(*r, 7, 7) for r in rows], "vec_id long, embedding array<double>, shard int, d int")
+    got = {}
+    for x in vptree.nearest(table, shard_rows=2, block_rows=1).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == {0: [1], 100: [2, 4, 3, 4], 200: [5]}
