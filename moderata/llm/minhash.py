@@ -306,10 +306,17 @@ def _across(large: DataFrame, nodes: DataFrame, sets: DataFrame, cards: DataFram
 def keep_first(docs: DataFrame, words: int = PIPELINE_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one document of each group stays.
 
-    Rows without an id stay; of rows that repeat an id, one stays.
+    Rows without an id stay; of rows that repeat id and text, one stays; rows of one id
+    with differing texts share the id's fate.
     """
     drop = groups(docs, words=words).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(drop, "doc_id", "left_anti")
+    # ids that come more than once: only their rows are compared as a whole
+    again = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+             .where("_n > 1").select("doc_id"))
+    once = kept.join(again, "doc_id", "left_anti")
+    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(first).select(*docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS) -> dict[int, tuple[int, int]]:

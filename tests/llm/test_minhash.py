@@ -74,3 +74,26 @@ def test_stage_equals_five_word_brute_force(spark):
     assert {i for i, (_, c) in four.items() if i == c} != {i for i, (_, c) in five.items() if i == c}
     out = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(x.doc_id for x in out.collect()) == sorted(i for i, (_, c) in five.items() if i == c)
+
+
+def test_large_buckets_of_many_components(spark):
+    """260 relatives of one text, around the threshold: one bucket holds linked and unlinked ones."""
+    r = random.Random(12)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in r.sample(range(160), r.choice([1, 2, 4, 6, 7, 8, 9, 12])):
+            words[at] = f"x{i}_{at}" if r.random() < 0.5 else f"y{at % 7}"
+        rows.append((i, " ".join(words)))
+    plain = minhash.brute_force(rows)
+    assert 20 < len({c for _, c in plain.values()}) < 240
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain
+
+
+def test_repeated_rows_leave_one(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (3, "other words", "a"), (3, "other words", "b"), (5, text, "a"), (None, "x", "a"), (None, "x", "a")]
+    out = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, again string"))
+    assert sorted((x.doc_id for x in out.collect()), key=str) == [1, 3, None, None]
