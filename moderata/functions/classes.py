@@ -70,5 +70,8 @@ APOLOGY_REPLIES = [
 ]
 PERSONA_P_DEFAULT = 0.2
 
+# The reply to a request whose image was flagged (fixed value).
+SAFETY_MESSAGE = "😳 Sorry but I can't show you this!"
+
 # BPE special tokens, in id order ([UNK] is id 0).
 SPECIAL_TOKENS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]

@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import IMAGE_DEFAULTS, IMAGE_MAX_PIXELS, IMAGE_MAX_STEPS
+from ..functions.classes import IMAGE_DEFAULTS, IMAGE_MAX_PIXELS, IMAGE_MAX_STEPS, SAFETY_MESSAGE
 from .features import dot
 
-SAFETY_MESSAGE = "😳 Sorry but I can't show you this!"
-
 
 def with_defaults(req: DataFrame) -> DataFrame:
     """Fill missing request fields with the defaults."""
