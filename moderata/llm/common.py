@@ -12,17 +12,24 @@ from ..sources.tables import table  # noqa: F401  (re-exported for the operators
 WHITE = b" \t\n\x0b\x0c\r"
 PIECE = 1 << 18   # bytes of one text handled at a time
 SLAB = 1 << 19    # bytes of several texts handled in one numpy pass
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts the lineage: losing an executor later costs a re-read, not a re-run,
-    and the planner sees the measured size of the table.
+    and the planner sees the measured size of the table. The job's shuffle files
+    go when the table is complete.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

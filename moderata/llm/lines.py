@@ -5,37 +5,36 @@ earlier line equals it or lies within ``tau`` edits of it. "Earlier" follows
 (doc_id, text hash, line number). Near matches are looked for between lines of
 ``MIN_CHARS`` characters or more; shorter lines are compared exactly. ``tau``
 None stands for ``BANDS``: the number of edits grows with the length of the
-shorter line. op1_line_dedup takes one edit, as its SQL does; the pipeline's
-stage takes the bands.
-
-The join follows the pigeonhole principle: a line of l characters is cut into
-tau + 1 segments, and a line within tau edits holds one of them unchanged. So
-each text puts its segments into an index keyed by (length, segment number,
-segment), and probes the indexes of lengths l - tau .. l with the substrings
-that the segment can have moved to (multi-match-aware windows: for tau = 1 the
-prefix and the suffix of each length). Candidates are verified by a banded
-bit-parallel edit distance: a word of 2 tau + 1 bits holds the vertical
-differences of the band and slides down one row per column.
-
-With bands, a line's segments have one size and fixed places per length class
-(``CLASSES``), so a probe does not depend on the other line's length: (i, move)
-with max(-i, i - tau) <= move <= i. Some segment i is whole and has exactly i
-edits before it, hence moves at most i, and at most tau - i after it.
+shorter line; a number holds for lines of any length. op1_line_dedup takes one
+edit, as its SQL does; the pipeline's stage takes the bands.
+
+The join follows the pigeonhole principle: a line is cut into tau + 1 segments,
+and a line within tau edits holds one of them unchanged. The segments have one
+size and fixed places per length class (``CLASSES``); each line puts them into
+an index keyed by (class, segment number, segment), and probes the indexes of
+its own and, if it is at most tau longer, the next lower class with the
+substrings that a segment can have moved to: (i, move) with
+max(-i, i - tau) <= move <= i. Some segment i is whole and has exactly i edits
+before it, hence moves at most i, and at most tau - i after it. Candidates are
+verified by a banded bit-parallel edit distance: a word of 2 tau + 1 bits holds
+the vertical differences of the band and slides down one row per column.
+
+Keys that many different lines share are found on a sample of the lines (the
+sample only chooses the way, not the result) and are refined instead of paired:
+the segment is cut out and the rest, which may hold tau edits as well, is
+partitioned again, so that lines must agree on more of their text to meet.
 Refined keys of more than ``FEW`` lines are first compared with the line that
 shares most busy keys; two lines linked to it are not compared with each other
 if one of them comes after it (the later one's fate and their class are known).
 
-Scale. Equal lines are one line to the join (one narrow row per occurrence is
-aggregated by a 128-bit hash). Signature rows hold two longs and a flag, never
-text, and are made distinct with map-side partial aggregation; texts are
-fetched for candidates only. Keys that many different lines
-share are found on a sample of the lines (the sample only chooses the way, not
-the result) and are refined instead of paired: the segment is cut out and the
-rest, which may hold tau edits as well, is partitioned again,
-``REFINE_LEVELS`` times, so that lines must agree on almost all of their text
-to meet. No candidate is dropped and nothing is collected. Narrow intermediate
-tables are written to the shared checkpoint folder, which keeps each plan
-small and cuts the lineage.
+Scale. Equal lines are one line to the join: its text is fetched once, and one
+narrow row per occurrence is aggregated by a 128-bit hash (the join itself knows
+a line by 64 bits). Signature rows hold two longs, a size and a flag, never
+text. They are made from the distinct lines inside the job that joins them, a
+part of the segment numbers at a time (``PARTS`` jobs), and never stored; their
+shuffle files go when a job ends. No candidate is dropped and nothing is
+collected. Narrow intermediate tables are written to the shared checkpoint
+folder, which keeps each plan small and cuts the lineage.
 
 Defined cases: a null text stays null with 0 lines; blank lines are always
 kept and not counted; null ids come last in the order; rows that repeat both id
@@ -55,11 +54,11 @@ TAU = 1
 MIN_CHARS = 16
 SAMPLE = 32         # one line in 32 takes part in finding busy keys
 BUSY = 8            # sampled lines that make a key busy (about 256 lines)
-REFINE_LEVELS = 3
 #: (length of the shorter line from which it holds, edits), and the starts of the length classes
 BANDS = ((16, 1), (32, 2), (64, 4), (100, 7))
 CLASSES = (16, 24, 32, 48, 64, 80, 100, 144, 208, 304, 448, 672, 1024, 2048, 4096)
-BAND_LEVELS = {1: 3, 2: 2, 4: 1, 7: 1}   # refinements of busy keys by edits
+LEVELS = {1: 3, 2: 2}   # refinements of busy keys by edits; one beyond
+PARTS = 4           # jobs that the signatures are dealt over, by segment number
 FEW = 16            # lines of a refined key that are paired at once
 _BLANK = " \t\u000b\f\r"
 
@@ -104,75 +103,6 @@ def within(pattern: Column, text: Column, tau: int) -> Column:
     return F.when(F.abs(shift) > tau, F.lit(False)).otherwise(distance <= tau)
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of a line of ``length`` characters, cut evenly."""
-    base, over = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
-    long_from = F.lit(tau + 1) - over  # the last ``over`` segments are one longer
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - long_from)
-    return start, base + (F.lit(i) >= long_from).cast("int")
-
-
-def _entries(key: Column, rest: Column, size: Column, length: Column, gap: int, tau: int, probe: bool, keep_rest: bool,
-             skip_own: bool = True):
-    """Signatures of a string, as (condition, fields): as indexed (gap 0) or as a probe of lines ``gap`` shorter."""
-    out = []
-    for i in range(tau + 1):
-        start, span = _segment(length, i, tau)
-        moves = range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1) if probe else [0]
-        for move in moves:
-            if probe and skip_own and not gap and not move:
-                continue  # the line's own segment: its index entry serves as probe
-            at = start + F.lit(move)
-            part = F.substring(rest, at + 1, span)
-            cells = [F.xxhash64(key, F.lit(i), length, part).alias("key")]
-            if keep_rest:
-                cells += [F.concat(F.substring(rest, F.lit(1), at), F.substring(rest, at + span + 1, size)).alias("rest"),
-                          (length - span).cast("int").alias("length"), F.lit(gap).alias("gap")]
-            ok = (at >= 0) & (at + span <= size)
-            out.append((ok, cells))
-    return out
-
-
-def _signatures(lines: DataFrame, tau: int) -> DataFrame:
-    """Distinct (key, id, probe) of each line's own segments and of its probes; ``lines``: id, line, size."""
-    size = F.col("size")
-    entries = []
-    for probe in (False, True):
-        for gap in range(tau + 1) if probe else [0]:
-            length = (size - gap).cast("int")
-            for ok, cells in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, False):
-                entries.append(F.when((length >= MIN_CHARS) & ok, F.struct(*cells, F.lit(probe).alias("probe"))))
-    return (lines.where(size >= MIN_CHARS)
-            .select("id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-            .select("e.key", "id", "e.probe").distinct())
-
-
-def _refined(rows: DataFrame, tau: int, probe: bool, levels: int = REFINE_LEVELS) -> DataFrame:
-    """(key, id) of busy keys' lines: what is left beside the shared segment is partitioned again.
-
-    ``rows``: key, id, line. The way to the shared segment is taken anew from
-    the line. Here probes hold the unmoved segments too: a line whose first
-    segment stands unmoved may have moved in the rest.
-    """
-    size = F.char_length("line").cast("int")
-    first = []
-    for gap in range(tau + 1) if probe else [0]:
-        length = (size - gap).cast("int")
-        first += [F.when((length >= MIN_CHARS) & ok, F.struct(*cells))
-                  for ok, cells in _entries(F.lit(0), F.col("line"), size, length, gap, tau, probe, True, False)]
-    found = (rows.select("key", "id", F.explode(F.array_compact(F.array(*first))).alias("e"))
-             .where("e.key = key").select("id", "e.key", "e.rest", "e.length", "e.gap"))
-    for _ in range(levels):
-        size = F.char_length("rest").cast("int")
-        entries = []
-        for gap in range(tau + 1) if probe else [0]:
-            for ok, cells in _entries(F.col("key"), F.col("rest"), size, F.col("length"), gap, tau, probe, True, False):
-                entries.append(F.when((F.col("gap") == gap) & ok, F.struct(*cells)))
-        found = (found.select("id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-                 .select("id", "e.key", "e.rest", "e.length", "e.gap"))
-    return found.select("key", "id")
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k1, k2 (the document's key and place in the order), t (its text) and all columns in one cell."""
     return docs.select(
@@ -189,36 +119,35 @@ def _trimmed(text: Column) -> Column:
     return F.transform(_lines_of(text), lambda x: F.trim(x, F.lit(_BLANK)))
 
 
-def _met(marks: DataFrame) -> DataFrame:
-    """Pairs (a < b) of lines that meet under a key: two index entries, or an index entry and a probe."""
-    index = marks.where("not probe").select("key", F.col("id").alias("i"))
-    other = marks.select("key", F.col("id").alias("o"), "probe")
-    return (index.hint("shuffle_hash").join(other, "key").where("i < o or probe and i > o")
-            .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
-
-
 def _letters(line: Column) -> Column:
     """How often some frequent letters stand in a line: what lies far apart here needs no edit distance."""
     size = F.char_length(line)
     return F.array(*[(size - F.char_length(F.translate(line, c, ""))).cast("int") for c in "etaoinsrhldu "])
 
 
-def _edits(size: Column) -> Column:
-    """The edits that ``BANDS`` allow for a shorter line of ``size`` characters."""
+def _bands(tau: int | None) -> tuple:
+    return BANDS if tau is None else ((MIN_CHARS, tau),)
+
+
+def _edits(size: Column, bands: tuple) -> Column:
+    """The edits that ``bands`` allow for a shorter line of ``size`` characters."""
     out = F.lit(0)
-    for low, tau in BANDS:
+    for low, tau in bands:
         out = F.when(size >= low, F.lit(tau)).otherwise(out)
     return out
 
 
-def _cuts(key: Column, rest: Column, low: Column, tau: Column, probe: bool, own: bool, keep_rest: bool) -> Column:
+def _cuts(bands: tuple, key: Column, rest: Column, low: Column, tau: Column, probe: bool, own: bool, keep_rest: bool,
+          part: int | None = None) -> Column:
     """Signatures of a string in the length class from ``low`` on: its segments, or its probes (``own``: unmoved ones too)."""
     span = F.floor(low / (tau + 1)).cast("int")
     places = F.lit(None)
-    for t in sorted({t for _, t in BANDS}):
-        moves = [(i, m) for i in range(t + 1) for m in (range(max(-i, i - t), i + 1) if probe else [0])]
-        moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in moves if own or m or not probe])
-        places = F.when(tau == t, moves) if t == BANDS[0][1] else places.when(tau == t, moves)
+    for t in sorted({t for _, t in bands}):
+        moves = [(i, m) for i in range(t + 1) if part is None or i % PARTS == part
+                 for m in (range(max(-i, i - t), i + 1) if probe else [0])]
+        moves = [F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in moves if own or m or not probe]
+        moves = (F.array(*moves) if moves else F.array()).cast("array<struct<i:int,m:int>>")
+        places = F.when(tau == t, moves) if t == bands[0][1] else places.when(tau == t, moves)
 
     def cut(place):
         at = place["i"] * span + place["m"]
@@ -229,37 +158,45 @@ def _cuts(key: Column, rest: Column, low: Column, tau: Column, probe: bool, own:
     return F.transform(places, cut)
 
 
-def _classed(size: Column) -> Column:
+def _classed(size: Column, bands: tuple) -> Column:
     """(low, tau, own) of the length classes that a line is indexed in (own) or only probes."""
     out = []
     for low, high in zip(CLASSES, (*CLASSES[1:], 2 ** 31 - 100)):
-        tau = max(t for start, t in BANDS if start <= low)
+        tau = max(t for start, t in bands if start <= low)
         out.append(F.when((size >= low) & (size < high + tau), F.struct(
             F.lit(low).alias("low"), F.lit(tau).alias("tau"), (size < high).alias("own"))))
     return F.array_compact(F.array(*out))
 
 
-def _band_signatures(lines: DataFrame) -> DataFrame:
-    """Distinct (key, id, size, probe) of each line's segments and probes; ``lines``: id, line, size."""
-    cells = [F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau")]
-    marks = F.when(F.col("c.own"), F.concat(_cuts(*cells, False, True, False), _cuts(*cells, True, False, False))).otherwise(
-        _cuts(*cells, True, True, False))
-    return (lines.select("id", "line", "size", F.explode(_classed(F.col("size"))).alias("c"))
-            .select("id", "size", F.explode(marks).alias("e")).select("e.key", "id", "size", "e.probe").distinct())
+def _index(lines: DataFrame, bands: tuple, part: int | None = None) -> DataFrame:
+    """(key, id, size, probe) of each line's own segments; ``lines``: id, line, size, one row a line."""
+    marks = _cuts(bands, F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau"), False, True, False, part)
+    return (lines.select("id", "line", "size", F.explode(_classed(F.col("size"), bands)).alias("c")).where("c.own")
+            .select("id", "size", F.explode(marks).alias("e")).select("e.key", "id", "size", "e.probe"))
 
 
-def _band_refined(rows: DataFrame, probe: bool) -> DataFrame:
+def _signatures(lines: DataFrame, bands: tuple, part: int | None = None) -> DataFrame:
+    """(key, id, size, probe) of each line's segments and probes; a line's own segment serves as its unmoved probe."""
+    cells = [bands, F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau")]
+    marks = F.when(F.col("c.own"), F.concat(_cuts(*cells, False, True, False, part), _cuts(*cells, True, False, False, part))
+                   ).otherwise(_cuts(*cells, True, True, False, part))
+    return (lines.select("id", "line", "size", F.explode(_classed(F.col("size"), bands)).alias("c"))
+            .select("id", "size", F.explode(marks).alias("e")).select("e.key", "id", "size", "e.probe"))
+
+
+def _refined(rows: DataFrame, bands: tuple, probe: bool) -> DataFrame:
     """(key, id, size, probe) of busy keys' lines, the text beside the shared segment cut again; ``rows``: key, id, size, line."""
-    cells = [F.col("key"), F.col("rest"), F.col("low"), F.col("tau")]
-    found = (rows.withColumn("c", F.explode(_classed(F.col("size")))).where("c.own" if not probe else "true")
+    cells = [bands, F.col("key"), F.col("rest"), F.col("low"), F.col("tau")]
+    found = (rows.withColumn("c", F.explode(_classed(F.col("size"), bands))).where("c.own" if not probe else "true")
              .select("id", "size", "key", "c.low", "c.tau", F.explode(_cuts(
-                 F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau"), probe, True, True)).alias("e"))
+                 bands, F.col("c.low"), F.col("line"), F.col("c.low"), F.col("c.tau"), probe, True, True)).alias("e"))
              .where("e.key = key").select("id", "size", "key", "e.rest", "low", "tau"))
     less = F.col("low") - F.floor(F.col("low") / (F.col("tau") + 1)).cast("int")
-    for level in range(max(BAND_LEVELS.values())):
+    levels = {t: LEVELS.get(t, 1) for _, t in bands}
+    for level in range(max(levels.values())):
         go = F.lit(False)
-        for t, levels in BAND_LEVELS.items():
-            go = go | ((F.col("tau") == t) & F.lit(levels > level))
+        for t, most in levels.items():
+            go = go | ((F.col("tau") == t) & F.lit(most > level))
         found = found.withColumn("low", F.when(go, less).otherwise(F.col("low")))
         same = F.array(F.struct("key", F.lit(probe).alias("probe"), "rest"))
         found = (found.select("id", "size", "low", "tau", F.explode(F.when(go, _cuts(*cells, probe, True, True)).otherwise(same))
@@ -267,62 +204,62 @@ def _band_refined(rows: DataFrame, probe: bool) -> DataFrame:
     return found.select("key", "id", "size", F.lit(probe).alias("probe"))
 
 
-def _band_met(marks: DataFrame, *more: str, unless: str = "false") -> DataFrame:
+def _met(index: DataFrame, marks: DataFrame, bands: tuple, *more: str, unless: str = "false") -> DataFrame:
     """Pairs (a < b) of lines that meet under a key and whose sizes allow it."""
-    index = marks.where("not probe").select("key", F.col("id").alias("i"), F.col("size").alias("si"), *[F.col(c).alias(c + "_i") for c in more])
+    index = index.select("key", F.col("id").alias("i"), F.col("size").alias("si"), *[F.col(c).alias(c + "_i") for c in more])
     other = marks.select("key", F.col("id").alias("o"), F.col("size").alias("so"), "probe", *[F.col(c).alias(c + "_o") for c in more])
-    fits = F.expr("i < o or probe and i > o") & (F.abs(F.col("si") - F.col("so")) <= _edits(F.least("si", "so"))) & ~F.expr(unless)
+    fits = F.expr("i < o or probe and i > o") & (F.abs(F.col("si") - F.col("so")) <= _edits(F.least("si", "so"), bands)) & ~F.expr(unless)
     return (index.hint("shuffle_hash").join(other, "key").where(fits)
             .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
 
 
-def _band_near(pairs: DataFrame, told: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, told: DataFrame, bands: tuple) -> DataFrame:
     """The pairs (a, b) within the edits of their band; ``told``: id, line, size, letters."""
     names = ("id", "line", "size", "letters")
     left, right = (told.select(*[F.col(c).alias(side if c == "id" else c + side) for c in names]) for side in "ab")
-    tau = _edits(F.least("sizea", "sizeb"))
+    tau = _edits(F.least("sizea", "sizeb"), bands)
     apart = F.aggregate(F.zip_with("lettersa", "lettersb", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    # an edit changes at most two counts by one
     near = pairs.join(left, "a").join(right, "b").where(apart <= 2 * tau).withColumn("tau", tau)
     test = F.lit(False)
-    for t in sorted({t for _, t in BANDS}):
+    for t in sorted({t for _, t in bands}):
         test = F.when(F.col("tau") == t, within(F.col("linea"), F.col("lineb"), t)).otherwise(test)
     return near.where(test).select("a", "b").distinct()
 
 
-def _band_links(keyed: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:
+def _links(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
     """Links (a, b) that tell for every line whether an earlier one is near, and its class (not all links of large groups)."""
-    marks = written(_band_signatures(lines), "signatures")
-    busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
-                   .groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
-    paired = written(_band_met(marks.join(busy, "key", "left_anti")), "pairs")
-    many = written(marks.join(busy, "key", "left_semi"), "many")
-    needed = paired.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
-    own = (firsts.join(needed, "id").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "id")).alias("own")))
-    known = (keyed.select("k1", "k2", "t").join(own, ["k1", "k2"])
-             .select("k1", "k2", _trimmed(F.col("t")).alias("all"), F.explode("own").alias("o"))
-             .select("o.id", F.get("all", F.col("o.pos")).alias("line"), F.struct("k1", "k2", "o.pos").alias("place")))
-    # rows that repeat id and text hold the same lines at the same places
-    known = written(known.dropDuplicates(["id"]).withColumn("size", F.char_length("line").cast("int"))
-                    .withColumn("letters", _letters(F.col("line"))), "known")
+    sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    busy = written(_index(sample, bands).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
+    found = None
+    for part in range(min(PARTS, max(t for _, t in bands) + 1)):
+        calm = [marks.join(busy, "key", "left_anti") for marks in (_index(lines, bands, part), _signatures(lines, bands, part))]
+        met = written(_met(*calm, bands), "pairs")
+        found = met if found is None else found.union(met)
+    many = written(_signatures(lines, bands).join(busy, "key", "left_semi"), "many")
+    needed = found.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    known = written(lines.join(needed, "id", "left_semi").withColumn("letters", _letters(F.col("line"))), "known")
     texts = known.select("id", "line")
-    refined = written(_band_refined(many.where("not probe").join(texts, "id"), False).union(
-        _band_refined(many.select("key", "id", "size").distinct().join(texts, "id"), True)).distinct(), "refined")
+    refined = written(_refined(many.where("not probe").join(texts, "id"), bands, False).union(
+        _refined(many.select("key", "id", "size").distinct().join(texts, "id"), bands, True)).distinct(), "refined")
     large = refined.groupBy("key").agg(F.countDistinct("id").alias("c")).where(F.col("c") > FEW).select("key")
     shares = many.groupBy("id").agg(F.countDistinct("key").alias("shares"))
-    hot = written(refined.join(large, "key", "left_semi").join(shares, "id").join(known.select("id", "place"), "id"), "hot")
+    place = firsts.groupBy("id").agg(F.min(F.struct("k1", "k2", "pos")).alias("place"))
+    hot = written(refined.join(large, "key", "left_semi").join(shares, "id").join(place, "id"), "hot")
     centre = hot.groupBy("key").agg(F.max(F.struct("shares", "id", "place")).alias("c")).select(
         "key", F.col("c.id").alias("centre"), F.col("c.place").alias("at"))
     star = (hot.select("key", "id").distinct().join(centre, "key").where("id <> centre")
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
-    pairs = written(paired.union(_band_met(refined.join(large, "key", "left_anti"))).union(star).distinct(), "pairs")
-    links = written(_band_near(pairs, known), "links")
+    small = refined.join(large, "key", "left_anti")
+    pairs = written(found.union(_met(small.where("not probe"), small, bands)).union(star).distinct(), "pairs")
+    links = written(_near(pairs, known, bands), "links")
     both = links.union(links.select("b", "a")).toDF("centre", "id").withColumn("tied", F.lit(True))
     rest = written(hot.join(centre, "key").join(both, ["centre", "id"], "left").select(
         "key", "id", "size", "probe", (F.coalesce("tied", F.lit(False)) | (F.col("id") == F.col("centre"))).alias("tied"),
         (F.col("at") < F.col("place")).alias("later")), "rest")
-    more = (_band_met(rest, "tied", "later", unless="tied_i and tied_o and (later_i or later_o)")
+    more = (_met(rest.where("not probe"), rest, bands, "tied", "later", unless="tied_i and tied_o and (later_i or later_o)")
             .join(pairs, ["a", "b"], "left_anti"))
-    return links.union(_band_near(written(more, "pairs"), known))
+    return links.union(_near(written(more, "pairs"), known, bands))
 
 
 def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text"):
@@ -334,55 +271,29 @@ def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", t
                      .select("id", "id2", "f.*", "n"), "firsts")
     # sizes travel with the lines: counting characters anew for every segment would cost most of the time
     lines = keyed.select(F.explode(F.transform(F.array_distinct(_trimmed(F.col("t"))), lambda x: F.struct(
-        x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).select(
+        x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).where(F.col("x.size") >= MIN_CHARS).select(
         F.xxhash64("x.line").alias("id"), "x.line", "x.size")
-    if tau is None:
-        return keyed, occ, firsts, written(_band_links(keyed, firsts, lines), "links")
-    marks = written(_signatures(lines, tau), "signatures")
-    # keys that many different lines share, by a sample of lines
-    busy = written(marks.where(~F.col("probe") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
-                   .groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
-    calm = marks.join(busy, "key", "left_anti")
-    paired = written(_met(calm), "pairs")
-    many = written(marks.join(busy, "key", "left_semi"), "many")
-    # the texts of lines in candidates, from the documents that hold them first
-    needed = paired.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
-    own = (firsts.join(needed, "id").groupBy("k1", "k2")
-           .agg(F.collect_list(F.struct("pos", "id")).alias("own")))  # lines of one document
-    known = written(keyed.select("k1", "k2", "t").join(own, ["k1", "k2"])
-                    .select(_trimmed(F.col("t")).alias("all"), F.explode("own").alias("o"))
-                    .select("o.id", F.get("all", F.col("o.pos")).alias("line")), "known")
-    refined = (_refined(many.where("not probe").join(known, "id"), tau, False).withColumn("probe", F.lit(False))
-               .union(_refined(many.select("key", "id").distinct().join(known, "id"), tau, True).withColumn("probe", F.lit(True))))
-    pairs = paired.union(written(_met(written(refined.select("key", "id", "probe").distinct(), "refined")), "pairs")).distinct()
-    told = known.select("id", "line", _letters(F.col("line")).alias("letters"))
-    apart = F.aggregate(F.zip_with("lx", "ly", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    near = (pairs.join(told.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("letters").alias("lx")), "a")
-            .join(told.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("letters").alias("ly")), "b")
-            .where(apart <= 2 * tau))  # an edit changes at most two counts by one
-    links = (near.where(within(F.col("x"), F.col("y"), tau)).select("a", "b").distinct())
-    return keyed, occ, firsts, written(links, "links")
+    lines = written(lines.dropDuplicates(["id"]), "lines")
+    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau)), "links")
 
 
 def dedup_lines(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """t, cell (all columns) and marks: per dropped or linked line its number, links and why it goes."""
+    """t, cell (all columns) and marks: per dropped line its number and why it goes."""
     keyed, occ, firsts, links = line_links(docs, tau, id_col, text_col)
     place = firsts.select("id", "k1", "k2", "pos")
     both = links.union(links.select("b", "a"))
     near = (both.join(place.toDF("a", "k1", "k2", "pos"), "a").join(place.toDF("b", "j1", "j2", "jpos"), "b")
             .groupBy("k1", "k2", "pos")
-            .agg(F.count(F.lit(1)).alias("links"),
-                 F.max(F.struct(F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("jpos").alias("pos"))
-                       < F.struct("k1", "k2", "pos")).alias("near")))
+            .agg(F.max(F.struct(F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("jpos").alias("pos"))
+                       < F.struct("k1", "k2", "pos")).alias("near")).where("near"))
     again = (occ.join(firsts.where("n > 1").select("id", "id2", F.struct("k1", "k2", "pos").alias("f")), ["id", "id2"])
              .where(F.struct("k1", "k2", "pos") != F.col("f")).select("k1", "k2", "pos"))
-    marks = (near.select("k1", "k2", F.struct("pos", "links", F.lit(False).alias("exact"), "near").alias("m"))
-             .union(again.distinct().select("k1", "k2", F.struct("pos", F.lit(0).cast("long").alias("links"),
-                                                     F.lit(True).alias("exact"), F.lit(False).alias("near")).alias("m")))
+    marks = (near.select("k1", "k2", F.struct("pos", F.lit(False).alias("exact"), "near").alias("m"))
+             .union(again.distinct().select("k1", "k2", F.struct("pos", F.lit(True).alias("exact"), F.lit(False).alias("near")).alias("m")))
              .groupBy("k1", "k2").agg(F.collect_list("m").alias("marks")))
     marks = written(marks, "marks")
     return keyed.join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast(
-        "array<struct<pos:int,links:bigint,exact:boolean,near:boolean>>")))
+        "array<struct<pos:int,exact:boolean,near:boolean>>")))
 
 
 def _kept_text(text: Column) -> Column:
@@ -393,7 +304,7 @@ def _kept_text(text: Column) -> Column:
 
 
 def report(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """One row per document row: lines, dropped lines, links, and the digest of the kept text."""
+    """One row per document row: lines, dropped lines, and the digest of the kept text."""
     text = F.col("t")
     count = F.size(F.filter(_lines_of(text), lambda x: F.trim(x, F.lit(_BLANK)) != ""))
     return dedup_lines(docs, tau).select(
@@ -401,7 +312,6 @@ def report(docs: DataFrame, tau: int = TAU) -> DataFrame:
         F.when(text.isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
         F.size(F.filter("marks", lambda m: m["exact"])).cast("long").alias("n_exact"),
         F.size(F.filter("marks", lambda m: m["near"])).cast("long").alias("n_near"),
-        F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + m["links"]).alias("n_links"),
         F.sha2(_kept_text(text), 256).alias("kept_sha256"))
 
 
@@ -410,7 +320,11 @@ def classes(docs: DataFrame, tau: int | None = TAU) -> DataFrame:
 
     A class is a component of the links; its id is the document and the line
     number (from 0) of its earliest line. ``class_links`` counts the links of
-    the class between different lines (with bands, those that were needed).
+    the class between different lines that were needed to find it; a large group
+    has no row for each of its pairs. Defined cases: a null id stays null; a text
+    without a line, or null, gets an empty list; rows that repeat id and text get
+    the same lines; an empty table gives an empty table; of the other columns,
+    whatever their names, none is returned.
     """
     keyed, occ, firsts, links = line_links(docs, tau)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -449,8 +363,8 @@ def drop_lines(docs: DataFrame, tau: int | None = None) -> DataFrame:
     return kept.select(*out)
 
 
-def brute_force(rows: list[tuple[int, str | None]], tau: int | None = None) -> dict[int, tuple]:
-    """Plain version for tests: id -> (n_lines, n_exact, n_near, n_links, kept text); ids must differ."""
+def _plain_links(rows: list[tuple[int, str | None]], tau: int | None) -> tuple[dict, dict]:
+    """Plain version for tests: each line's first place and its near lines."""
     def distance(a, b, most):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -462,48 +376,59 @@ def brute_force(rows: list[tuple[int, str | None]], tau: int | None = None) -> d
         return min(row) if min(row) > most else row[-1]
 
     def edits(a, b):
-        return tau if tau is not None else max(t for low, t in BANDS if low <= min(len(a), len(b)))
-    order = sorted((i, t) for i, t in rows if t is not None)
-    first, texts = {}, []
-    for i, t in order:
+        return max(t for low, t in _bands(tau) if low <= min(len(a), len(b)))
+    first = {}
+    for i, t in sorted((i, t) for i, t in rows if t is not None):
         for k, line in enumerate(t.split("\n")):
-            line = line.strip(_BLANK)
-            if line and line not in first:
-                first[line] = (i, k)
-                texts.append(line)
-    linked = {t: [] for t in texts}
-    by_length = {}
-    for t in texts:
+            if line.strip(_BLANK):
+                first.setdefault(line.strip(_BLANK), (i, k))
+    linked, by_length = {t: [] for t in first}, {}
+    for t in first:
         if len(t) >= MIN_CHARS:
-            reach = BANDS[-1][1] if tau is None else tau
+            reach = _bands(tau)[-1][1]
             for n in range(len(t) - reach, len(t) + reach + 1):
                 for u in by_length.get(n, []):
                     if distance(t, u, edits(t, u)) <= edits(t, u):
                         linked[t].append(u)
                         linked[u].append(t)
             by_length.setdefault(len(t), []).append(t)
-    out = {i: (0, 0, 0, 0, None) for i, t in rows if t is None}
-    for i, t in order:
-        n = exact = near = links = 0
+    return first, linked
+
+
+def brute_force(rows: list[tuple[int, str | None]], tau: int | None = None) -> dict[int, tuple]:
+    """Plain version for tests: id -> (n_lines, n_exact, n_near, kept text); ids must differ."""
+    first, linked = _plain_links(rows, tau)
+    out = {}
+    for i, t in rows:
+        n = exact = near = 0
         kept = []
-        for k, raw in enumerate(t.split("\n")):
+        for k, raw in enumerate([] if t is None else t.split("\n")):
             line = raw.strip(_BLANK)
-            if not line:
-                kept.append(raw)
-                continue
-            n += 1
-            if first[line] != (i, k):
+            n += bool(line)
+            if line and first[line] != (i, k):
                 exact += 1
-                continue
-            links += len(linked[line])
-            if any(first[u] < (i, k) for u in linked[line]):
+            elif line and any(first[u] < (i, k) for u in linked[line]):
                 near += 1
             else:
                 kept.append(raw)
-        out[i] = (n, exact, near, links, "\n".join(kept))
+        out[i] = (n, exact, near, None if t is None else "\n".join(kept))
     return out
 
 
+def brute_classes(rows: list[tuple[int, str | None]], tau: int | None = None) -> dict[int, list]:
+    """Plain version for tests: id -> (line number, class document, class line) of each line; ids must differ."""
+    first, linked = _plain_links(rows, tau)
+    of = {}
+    for line in sorted(first, key=first.get):
+        todo = [] if line in of else [line]
+        while todo:
+            x = todo.pop()
+            if x not in of:
+                of[x] = first[line]
+                todo += linked[x]
+    return {i: [(k, *of[x.strip(_BLANK)]) for k, x in enumerate((t or "").split("\n")) if x.strip(_BLANK)] for i, t in rows}
+
+
 def oracle_sql() -> str:
     """``report`` for one edit in DuckDB SQL: lines that share half their characters, then ``levenshtein``."""
     return rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
@@ -520,14 +445,13 @@ c AS (SELECT a.line AS a, b.line AS b, a.f AS fa, b.f AS fb FROM f a JOIN f b
     ON b.n = a.n + 1 AND substr(a.line, a.n // 2 + 1) = substr(b.line, (b.n - 1) // 2 + 2) WHERE a.n >= {MIN_CHARS}),
 k AS (SELECT * FROM c WHERE levenshtein(a, b) <= {TAU}),
 both_ways AS (SELECT a AS line, fa AS f, fb AS g FROM k UNION ALL SELECT b, fb, fa FROM k),
-near AS (SELECT line, count(*) AS links, bool_or(g < f) AS near FROM both_ways GROUP BY line),
-m AS (SELECT t.*, line <> '' AND (doc_id, pos) <> f.f AS exact, CASE WHEN (doc_id, pos) = f.f THEN links ELSE 0 END AS links,
+near AS (SELECT line, bool_or(g < f) AS near FROM both_ways GROUP BY line),
+m AS (SELECT t.*, line <> '' AND (doc_id, pos) <> f.f AS exact,
     (doc_id, pos) = f.f AND COALESCE(near, false) AS near
   FROM t LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
 d AS (SELECT doc_id, count_if(line <> '') AS n_lines, count_if(exact) AS n_exact, count_if(near) AS n_near,
-    COALESCE(sum(links), 0) AS n_links,
     COALESCE(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT COALESCE(exact, false) AND NOT COALESCE(near, false)), '') AS kept
   FROM m GROUP BY doc_id)
 SELECT doc_id, COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_exact, 0)::BIGINT AS n_exact,
-  COALESCE(n_near, 0)::BIGINT AS n_near, COALESCE(n_links, 0)::BIGINT AS n_links,
+  COALESCE(n_near, 0)::BIGINT AS n_near,
   CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)"""

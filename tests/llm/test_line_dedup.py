@@ -52,9 +52,9 @@ def test_dedup_equals_brute_force(spark, monkeypatch, tau, busy):
     rows = [(i, "\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3]), "abc") for _ in range(r.randint(0, 6))))
             for i in range(50)]
     got = {x.doc_id: x for x in lines.report(spark.createDataFrame(rows, "doc_id long, text string"), tau).collect()}
-    for i, (n, exact, near, links, kept) in lines.brute_force(rows, tau).items():
+    for i, (n, exact, near, kept) in lines.brute_force(rows, tau).items():
         x = got[i]
-        assert (x.n_lines, x.n_exact, x.n_near, x.n_links) == (n, exact, near, links)
+        assert (x.n_lines, x.n_exact, x.n_near) == (n, exact, near)
         assert x.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
@@ -94,10 +94,36 @@ def test_bands_equal_brute_force(spark, monkeypatch, busy):
     rows += [(50, "a" * 40 + " that erble " + "b" * 60), (51, "a" * 40 + " the erble " + "b" * 60)]
     plain = lines.brute_force(rows)
     got = {x.doc_id: x.text for x in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: t for i, (n, e, near, _, t) in plain.items() if not (e + near) or t.strip()}
+    assert got == {i: t for i, (n, e, near, t) in plain.items() if not (e + near) or t.strip()}
+    told = {x.doc_id: [tuple(v)[:3] for v in x.lines]
+            for x in lines.classes(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    assert told == lines.brute_classes(rows)
     assert 51 not in got and sum(x[2] for x in plain.values()) > sum(x[2] for x in lines.brute_force(rows, 1).values()) + 10
 
 
+def test_classes_of_odd_rows_and_columns(odd_docs, no_docs):
+    out = lines.classes(odd_docs)
+    assert out.columns == ["doc_id", "lines"]
+    rows = out.collect()
+    assert len(rows) == odd_docs.count() and {None} <= {x.doc_id for x in rows}
+    by = {x.doc_id: [tuple(v)[:3] for v in x.lines] for x in rows}
+    assert by[3] == by[4] == by[5] == [] and by[1] and by[2][0][1] == 1
+    assert lines.classes(no_docs).count() == 0
+
+
+def test_large_group_of_near_lines_needs_few_pairs(spark, monkeypatch):
+    """Lines one edit from a common one meet its centre, not each other."""
+    for name, value in (("BUSY", 2), ("SAMPLE", 1)):
+        monkeypatch.setattr(lines, name, value)
+    base = "the committee met on tuesday and heard the report of the treasurer on the harbour"
+    rows = [(i, base[:k] + "#" + base[k + 1:]) for i, k in enumerate(range(0, len(base)), 1)] + [(0, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.line_links(docs, None)[3].count() < 12 * len(rows)
+    assert {x.doc_id for x in lines.drop_lines(docs).collect()} == {0}
+    told = {x.doc_id: [tuple(v)[:3] for v in x.lines] for x in lines.classes(docs, None).collect()}
+    assert told == lines.brute_classes(rows)
+
+
 def test_classes_tie_repeats_and_near_lines(spark):
     """Copies of a linked line have its class and link count; a chain of links is one class."""
     x = "a line of some length here"
