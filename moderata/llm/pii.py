@@ -1,16 +1,18 @@
 """Personal data by bootstrapped contextual extraction (operator 6), DataFrame functions only.
 
 Base detectors find e-mail addresses, IP addresses, card numbers and phone
-numbers. They seed the method: every token that looks like an identifier
-(``MIN_TOKEN`` characters or more, three digits or more) is an instance; the
-word before it, the word after it and its own letter prefix are its lexical
-patterns. The graph of patterns and instances is scored in rounds: a pattern's
-confidence is the smoothed mean score of its instances, weighted by how often
-they occur in it; an instance's score is the mean confidence of its patterns;
-seeds keep the score 1, and tokens in a base match that failed its check (a
-number range, the Luhn sum) keep the score 0. Other instances are found by two
-or more confident patterns and a score of ``ACCEPT``; their occurrences become
-spans of kind ``id``.
+numbers. Every valid base match is a seed of the method, whatever its length
+and digits; its lexical patterns are the word before it, the word after it and
+the 2 to 24 characters before its first digit. Candidates for unseen
+identifiers are runs of blank-separated tokens that hold a digit each (one
+token or several, without punctuation around), with the same patterns. The graph of patterns
+and instances is scored in rounds: a pattern's confidence is the smoothed mean
+score of its instances, weighted by how often they occur in it; an instance's
+score is the mean confidence of its patterns; seeds keep the score 1, and
+candidates that touch a base match that failed its check (a number range, the
+Luhn sum) keep the score 0. Other instances are found by two or more confident
+patterns and a score of ``ACCEPT``; their occurrences become spans of kind
+``id``. An identifier without a digit is no candidate.
 
 Scale. Texts are read once; the result is one narrow row per document with its
 spans and candidates. The graph is kept as counted (pattern, instance) edges, so
@@ -21,8 +23,10 @@ only where a run starts.
 
 Defined cases: null texts count as empty; rows that repeat both id and text are
 one occurrence set and get the same spans; a match that fails its check
-(number range, Luhn, digit count) is dropped and not retried; the empty list
-of spans is the empty string; other columns do not matter.
+(number range, Luhn, digit count) is dropped and not retried; a candidate that
+touches a valid base match is left to it; the neighbouring words of a match are looked for up to the
+next match of its kind (of a candidate: the next candidate); the empty list of
+spans is the empty string; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,12 +38,10 @@ from .common import written
 from .lines import let
 
 KINDS = ["email", "ip", "card", "phone", "id"]
-MIN_TOKEN = 8
 ROUNDS = 3
 SMOOTHING = 2.0
 CONFIDENT = 0.5
 ACCEPT = 0.6
-NEAR = 120  # characters looked at for the neighbouring word
 
 _LOCAL = "A-Za-z0-9._%+-"
 # leftmost matches start where a run starts, or where the last match ended
@@ -48,7 +50,9 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _W = r"\x20\x09-\x0D"
-_TOKEN = rf"(?<![^{_W}])(?=[^{_W}]{{{MIN_TOKEN}}})(?=(?:[^{_W}0-9]*+[0-9]){{3}})[^{_W}]++"
+_HELD = rf"[^{_W}0-9]*+[0-9][^{_W}]*+"  # the rest of a token that holds a digit
+_RUN = rf"(?<![^{_W}]){_HELD}(?:[\x20\x09]++{_HELD})*+"
+_N = r"\p{L}\p{N}"
 
 
 def _found(text: Column, pattern: str, extra=None) -> Column:
@@ -86,20 +90,24 @@ def _small_parts(m: Column) -> Column:
     return F.forall(bare, lambda x: F.when(F.length(x) <= 3, x.cast("int") <= 255).otherwise(F.lit(False)))
 
 
-_SPANS = "array<struct<start:int,kind:int,stop:int,ok:boolean>>"
+_MATCH = "array<struct<start:int,kind:int,stop:int,ok:boolean,inst:bigint,patterns:array<string>>>"
 
 
 def _matches(text: Column) -> Column:
-    """Base matches (start, kind number, stop, ok); ``ok`` is false where the Luhn sum or a range fails.
+    """Base matches (start, kind number, stop, ok, instance, patterns); ``ok`` is false where the Luhn sum or a range fails.
 
     Matches with too few or too many digits are left out: they are just numbers.
     """
     def of(kind: int, sign: str, pattern: str, valid=None) -> Column:
-        spans = F.transform(_found(text, pattern), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"),
-            (valid(s["m"]) if valid else F.lit(True)).alias("ok")))
+        def told(x, i):
+            m = F.get(x["m"], i)
+            return [let(valid(m) if valid else F.lit(True), lambda ok: F.struct(
+                ok.alias("ok"), F.when(ok, F.xxhash64(m)).alias("inst"), F.when(ok, _patterns(x, i, m)).alias("patterns"))).alias("e")]
+        spans = F.transform(_found(text, pattern, told), lambda s: F.struct(
+            s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["e"]["ok"].alias("ok"),
+            s["e"]["inst"].alias("inst"), s["e"]["patterns"].alias("patterns")))
         spans = F.filter(spans, lambda s: s["ok"].isNotNull())
-        return F.when(text.rlike(sign), F.coalesce(spans, F.array().cast(_SPANS))).otherwise(F.array().cast(_SPANS))
+        return F.when(text.rlike(sign), F.coalesce(spans, F.array().cast(_MATCH))).otherwise(F.array().cast(_MATCH))
     size = lambda m: F.length(_digits(m))
     return F.sort_array(F.concat(
         of(0, "@", _EMAIL), of(1, "[0-9]", _IP, _small_parts),
@@ -107,38 +115,58 @@ def _matches(text: Column) -> Column:
         of(3, r"\+", _PHONE, lambda m: F.when(size(m).between(10, 15), F.lit(True)))))
 
 
-def _patterns(x: Column, i: Column) -> list[Column]:
-    """Lexical patterns of a token: the words beside it and its letters before the first digit."""
-    left = F.lower(F.regexp_extract(F.right(F.get(x["p"], i), F.lit(NEAR)), rf"([^{_W}]++)[{_W}]*+$", 1))
-    right = F.lower(F.regexp_extract(F.left(F.get(x["p"], i + 1), F.lit(NEAR)), rf"^[{_W}]*+([^{_W}]++)", 1))
-    prefix = F.regexp_extract(F.get(x["m"], i), "^([^0-9]{2,24})", 1)
-    parts = [F.when(left != "", F.concat(F.lit("L "), left)), F.when(right != "", F.concat(F.lit("R "), right)),
-             F.when(prefix != "", F.concat(F.lit("P "), prefix))]
-    return [F.array_compact(F.array(*parts)).alias("patterns")]
+def _patterns(x: Column, i: Column, m: Column) -> Column:
+    """Lexical patterns of a match: the words beside it and what stands before its first digit."""
+    left = F.lower(F.regexp_extract(F.get(x["p"], i), rf"(?<![{_N}])([{_N}]++)[^{_N}]*+$", 1))
+    right = F.lower(F.regexp_extract(F.get(x["p"], i + 1), rf"^[^{_N}]*+([{_N}]++)", 1))
+    prefix = F.regexp_extract(m, "^([^0-9]{2,24}+)[0-9]", 1)
+    return F.array_compact(F.array(
+        F.when(left != "", F.concat(F.lit("L "), left)), F.when(right != "", F.concat(F.lit("R "), right)),
+        F.when(prefix != "", F.concat(F.lit("P "), prefix))))
+
+
+def _candidates(text: Column) -> Column:
+    """Runs of tokens with digits (start, stop, inst, patterns), the punctuation around them left out."""
+    def told(x, i):
+        m = F.get(x["m"], i)
+        lead = F.char_length(F.regexp_extract(m, rf"^[^{_N}]*+", 0))
+        tail = F.char_length(F.regexp_extract(m, rf"(?<=[{_N}])[^{_N}]*+$", 0))
+        core = let(lead, lambda n: F.substring(m, n + 1, F.char_length(m) - n - tail))
+        return [lead.alias("lead"), tail.alias("tail"), let(core, lambda c: F.struct(
+            F.xxhash64(c).alias("inst"), _patterns(x, i, c).alias("patterns"))).alias("e")]
+    return F.transform(_found(text, _RUN, told), lambda s: F.struct(
+        (s["start"] + s["lead"]).alias("start"), (s["stop"] - s["tail"]).alias("stop"),
+        s["e"]["inst"].alias("inst"), s["e"]["patterns"].alias("patterns")))
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k (the row's key), base matches and candidate tokens of each whole text."""
+    """doc_id, k (the row's key), base matches and candidates of each whole text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    tokens = F.when(F.col("t").rlike("[0-9]"), _found(F.col("t"), _TOKEN, _patterns))
+    tokens = F.when(F.col("t").rlike("[0-9]"), _candidates(F.col("t")))
     return rows.select("doc_id", F.xxhash64("doc_id", "t").alias("k"), _matches(F.col("t")).alias("matches"),
                        tokens.alias("tokens"))
 
 
 def discovered(told: DataFrame) -> DataFrame:
-    """k, start, stop of the tokens that the pattern graph accepts."""
-    def touches(ok: Column) -> Column:
-        return F.exists("matches", lambda b: (b["start"] < F.col("x.stop")) & (b["stop"] > F.col("x.start")) & (b["ok"] == ok))
-    token = written(told.where("tokens is not null").dropDuplicates(["k"])
-                    .select("k", "matches", F.explode("tokens").alias("x"))
-                    .select("k", "x.start", "x.stop", F.xxhash64("x.m").alias("inst"), "x.patterns",
-                            touches(F.lit(True)).alias("seed"), touches(F.lit(False)).alias("failed")), "tokens")
+    """k, start, stop of the candidates that the pattern graph accepts."""
+    def touches(x: Column, ok: bool) -> Column:
+        return F.exists("matches", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"]) & (b["ok"] == F.lit(ok)))
+
+    def instance(x: Column, seed: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["inst"].alias("inst"),
+                        x["patterns"].alias("patterns"), seed.alias("seed"))
+    seeds = F.transform(F.filter("matches", lambda x: x["ok"]), lambda x: instance(x, F.lit(1)))
+    free = F.transform(F.filter("tokens", lambda x: ~touches(x, True)), lambda x: instance(
+        x, F.when(touches(x, False), -1).otherwise(0)))
+    both = F.when(F.col("tokens").isNull(), seeds).otherwise(F.concat(seeds, free))
+    token = written(told.where("tokens is not null or size(matches) > 0").dropDuplicates(["k"])
+                    .select("k", F.explode(both).alias("x")).select("k", "x.*"), "tokens")
     every = written(token.select("inst", "seed", F.explode(F.array_distinct("patterns")).alias("p"))
                     .groupBy("inst", F.xxhash64("p").alias("p"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
+                    .agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed") == 1).alias("seed")), "edges")
     induced = every.where("seed").select("p").distinct()
     edges = written(every.join(induced, "p", "left_semi").select("inst", "p", "n"), "edges")
-    state = written(token.groupBy("inst").agg(F.max(F.when(F.col("seed"), 1).when(F.col("failed"), -1).otherwise(0)).alias("seed"))
+    state = written(token.groupBy("inst").agg(F.when(F.max("seed") == 1, 1).otherwise(F.min("seed")).alias("seed"))
                     .withColumn("s", F.greatest("seed", F.lit(0)).cast("double")).withColumn("sure", F.lit(0).cast("long")), "state")
     for _ in range(ROUNDS):
         patterns = (edges.join(state.select("inst", "s"), "inst").groupBy("p")
@@ -152,7 +180,7 @@ def discovered(told: DataFrame) -> DataFrame:
             .otherwise(F.coalesce("m", F.lit(0.0))).alias("s"),
             F.coalesce("c", F.lit(0).cast("long")).alias("sure")), "state")
     good = state.where((F.col("seed") == 0) & (F.col("s") >= ACCEPT) & (F.col("sure") >= 2)).select("inst")
-    return token.where("not seed and not failed").join(good, "inst", "left_semi").select("k", "start", "stop")
+    return token.where("seed = 0").join(good, "inst", "left_semi").select("k", "start", "stop")
 
 
 def _names(spans: Column) -> Column:
@@ -166,7 +194,7 @@ def _count(kind: int) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """One row per document row: counts of base spans, their digest, and all spans."""
+    """One row per document row: counts of base spans, their digest, all spans and their number."""
     told = written(described(docs), "spans").withColumn("base", F.transform(
         F.filter("matches", lambda s: s["ok"]), lambda s: F.struct(s["start"], s["kind"], s["stop"])))
     more = (discovered(told).groupBy("k").agg(F.collect_list(F.struct(  # spans of one document
@@ -174,7 +202,7 @@ def found(docs: DataFrame) -> DataFrame:
     every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     return (told.drop("tokens", "matches").join(more, "k", "left").select(
         "doc_id", *[_count(i).alias(f"n_{KINDS[i]}") for i in range(4)],
-        F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(every).alias("spans")))
+        F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(every).alias("spans"), F.size(every).cast("long").alias("n_spans")))
 
 
 def brute_base(text: str | None) -> list[tuple[int, int, int]]:
@@ -197,3 +225,63 @@ def brute_base(text: str | None) -> list[tuple[int, int, int]]:
             if low <= len(d) <= high and (kind == 3 or luhn(d)):
                 out.append((m.start(), kind, m.end()))
     return sorted(out)
+
+
+def brute_spans(rows: list[tuple[int, str | None]]) -> dict[int, str]:
+    """Plain version of the whole method for tests: id -> spans; ids must differ."""
+    import regex as re
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def fixed(x):
+        return int(Decimal(x * 2 ** 20).quantize(Decimal(1), ROUND_HALF_UP))
+
+    def patterns(found, t, k, m):
+        low = found[k - 1].end() if k else 0
+        high = found[k + 1].start() if k + 1 < len(found) else len(t)
+        left = re.findall(r"[\p{L}\p{N}]+", t[low:found[k].start()])[-1:]
+        right = re.findall(r"[\p{L}\p{N}]+", t[found[k].end():high])[:1]
+        prefix = re.findall(r"^[^0-9]{2,24}(?=[0-9])", m)
+        return {sign + x for sign, xs in (("L ", [x.lower() for x in left]), ("R ", [x.lower() for x in right]), ("P ", prefix)) for x in xs}
+    rules = [(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(?:\.[0-9]+){3}"),
+             (2, r"[0-9](?:[\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")]
+    token = r"[^\s0-9]*[0-9]\S*"
+    seen, seed = [], {}  # occurrences: (id, start, stop, text, patterns, seed)
+    for i, t in rows:
+        t = t or ""
+        valid, failed = brute_base(t), []
+        for kind, rule in rules:
+            found = list(re.finditer(rule, t))
+            for k, m in enumerate(found):
+                n = len(re.sub("[^0-9]", "", m.group()))
+                if (m.start(), kind, m.end()) in valid:
+                    seen.append((i, m.start(), m.end(), m.group(), patterns(found, t, k, m.group()), 1))
+                elif kind == 1 or kind == 2 and 14 <= n <= 19:
+                    failed.append((m.start(), m.end()))
+        found = list(re.finditer(rf"(?<!\S){token}(?:[ \t]+{token})*", t))
+        for k, m in enumerate(found):
+            core = re.search(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", m.group(), re.S)
+            a, b = m.start() + core.start(), m.start() + core.end()
+            if not any(x < b and a < y for x, _, y in valid):
+                sign = -1 if any(x < b and a < y for x, y in failed) else 0
+                seen.append((i, a, b, core.group(), patterns(found, t, k, core.group()), sign))
+    edges = {}
+    for _, _, _, x, ps, sign in seen:
+        seed[x] = 1 if 1 in (sign, seed.get(x)) else min(sign, seed.get(x, 0))
+        for p in ps:
+            edges[p, x] = edges.get((p, x), 0) + 1
+    induced = {p for _, _, _, _, ps, sign in seen if sign == 1 for p in ps}
+    edges = {e: n for e, n in edges.items() if e[0] in induced}
+    score, sure = {x: float(max(v, 0)) for x, v in seed.items()}, {}
+    for _ in range(ROUNDS):
+        total, count, mean, sure = {}, {}, {}, {}
+        for (p, x), n in edges.items():
+            total[p] = total.get(p, 0) + fixed(score[x]) * n
+            count[p] = count.get(p, 0) + n
+        for p, x in edges:
+            conf = total[p] / 2.0 ** 20 / (count[p] + SMOOTHING)
+            mean.setdefault(x, []).append(fixed(conf))
+            sure[x] = sure.get(x, 0) + (conf >= CONFIDENT)
+        score = {x: float(max(v, 0)) if v else sum(mean[x]) / len(mean[x]) / 2.0 ** 20 if x in mean else 0.0 for x, v in seed.items()}
+    good = {x for x, v in seed.items() if v == 0 and score[x] >= ACCEPT and sure.get(x, 0) >= 2}
+    return {i: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(brute_base(t) + [
+        (a, 4, b) for j, a, b, x, _, sign in seen if j == i and sign == 0 and x in good])) for i, t in rows}

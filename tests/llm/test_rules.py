@@ -79,6 +79,32 @@ def test_patterns_of_seeds_discover_unseen_identifiers(spark):
     assert all(got[k].startswith("email:15:") and "id:" not in got[k] for k in range(60))
 
 
+def test_every_base_match_is_a_seed(spark):
+    """E-mails without a digit, spaced cards and phones, short addresses; short and spaced identifiers in their places."""
+    rows = [(k, f"write to {'abcdefghij'[k % 10]}{'klmnop'[k // 10]}.smith@example.com, before noon") for k in range(60)]
+    rows += [(100 + k, f"write to kx{k}-uvw, before noon") for k in range(5)]
+    rows += [(200 + k, f"dial +49 30 12345{k:02d} or wait") for k in range(9)] + [(220, "dial 0800 12 34 or wait")]
+    rows += [(300, "pay with 4111 1111 1111 1111 today"), (301, "host 1.2.3.4 is up")]
+    got = {x.doc_id: (x.spans, x.n_spans) for x in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + k] == ("id:9:16", 1) for k in range(5))
+    assert got[220] == ("id:5:15", 1) and got[301] == ("ip:5:12", 1) and got[300][0] == "card:9:28"
+    assert {k: x for k, (x, _) in got.items()} == pii.brute_spans(rows)
+
+
+def test_pattern_graph_equals_plain_version(spark):
+    r = random.Random(5)
+    slot = ["call", "id", "see", "to", "mail:", "Ref", "(no.", "\n"]
+    what = ["a.b@c.de", "x1@y.org", "10.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (456) 555-2186", "A-12", "b7,",
+            "12 34 5", "--9--", "77", "word", "KX-55.", "ab_3;c", "é7è", "1\t2", "..", "7/7"]
+    rich = lambda: r.choice(["", "mail " + r.choice(["a.b@c.de"] * 5 + what) + r.choice([" now", "; now", " (today)"])])
+    texts = [" ".join([r.choice(slot if n % 2 else what) for n in range(r.randrange(1, 9))] + [rich()]) for _ in range(250)] + [None, "", "7" * 30_000,
+             "-" * 30_000 + "7" + "-" * 30_000, "x" * 60_000 + " 1"]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.spans for x in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = pii.brute_spans(rows)
+    assert got == plain and any("id:" in x for x in plain.values())
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     rows = pii.found(odd_docs).collect()
     assert len(rows) == odd_docs.count()
