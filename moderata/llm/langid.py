@@ -10,11 +10,17 @@ is the one whose tree codes the whole text in the fewest bits.
 ASCII letters are folded and digits merged; bytes unknown to all trees are one
 symbol. All code lengths are computed once per (context, byte), so scoring is
 one table look-up per byte for all languages at once. Contexts of three bytes
-seen fewer than ``MIN_SEEN`` times in the sample are left to the two-byte ones.
+seen fewer than ``MIN_SEEN`` times in the sample are left to the two-byte ones;
+of the others each language brings its own ``max_contexts`` most frequent ones
+(ties: the smaller code), whatever the other languages hold, and all languages
+are coded in all contexts brought. The tables take at most
+(symbols^2 + languages x max_contexts) x symbols x languages x 4 bytes.
 
 Learning reads a bounded sample: per language the ``MAX_DOCS`` documents with
-the smallest hash of the id, of at most ``MAX_CHARS`` characters, outside the
-held-out fold (crc32 mod 4 = 2). Scoring reads every byte of every text.
+the smallest hash of the id outside the held-out fold (crc32 mod 4 = 2). Texts
+of more than ``MAX_CHARS`` characters teach too: by as many passages of
+``PASSAGE`` characters as fit in that bound, taken from anywhere in the text by
+a hash of the id and the passage's number. Scoring reads every byte of every text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 null languages teach nothing; ties go to the first language by name; the score
@@ -28,15 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_bucket, joined, slabs
 
 MAX_DOCS = 300
 MAX_CHARS = 20_000
+PASSAGE = 1_000
 MIN_SEEN = 12
-MAX_CONTEXTS = 12_000
+MAX_CONTEXTS = 12_000   # per language
 
 
 def _fold() -> np.ndarray:
@@ -50,21 +57,30 @@ def _fold() -> np.ndarray:
 _FOLD = _fold()
 
 
+def _bounded() -> Column:
+    """A text of at most ``MAX_CHARS`` characters, or so much of a longer one in hashed passages, in their order."""
+    numbers = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PASSAGE).cast("int"))
+    ranked = F.sort_array(F.transform(numbers, lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i"))))
+    chosen = F.sort_array(F.transform(F.slice(ranked, 1, MAX_CHARS // PASSAGE), lambda x: x["i"]))
+    passages = F.transform(chosen, lambda i: F.substring(F.col("text"), i * PASSAGE + 1, F.lit(PASSAGE)))
+    return F.when(F.char_length("text") <= MAX_CHARS, F.col("text")).otherwise(F.array_join(passages, " "))
+
+
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
     """(language, text) of the learning sample; at most max_docs per language."""
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-                     & (id_bucket(F.col("doc_id"), 4) != 2) & (F.char_length("text") <= MAX_CHARS))
+                     & (id_bucket(F.col("doc_id"), 4) != 2))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "k")
     # ranked on narrow rows; Spark keeps max_docs rows per language and task before the shuffle
     best = (own.select("lang", "doc_id", F.xxhash64("text").alias("k"))
             .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
             .select("lang", "doc_id", "k").distinct())
     rows = (own.select("lang", "doc_id", "text", F.xxhash64("text").alias("k"))
-            .join(best, ["lang", "doc_id", "k"], "left_semi").select("lang", "doc_id", "text").distinct().collect())
+            .join(best, ["lang", "doc_id", "k"], "left_semi").select("lang", "doc_id", _bounded().alias("text")).distinct().collect())
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
-def learn(rows: list[tuple[str, str]]) -> dict | None:
+def learn(rows: list[tuple[str, str]], max_contexts: int = MAX_CONTEXTS) -> dict | None:
     """Frozen code lengths: table[context row, byte, language] in bits."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
@@ -87,11 +103,15 @@ def learn(rows: list[tuple[str, str]]) -> dict | None:
                 counts += np.bincount(codes, minlength=len(counts))
             quads.append(s[:-3] * size ** 3 + b3)
         grams[lang] = (*got, np.concatenate(quads))
-    seen = np.zeros(size ** 3, dtype=np.int64)
-    for lang in langs:
-        seen += np.bincount(grams[lang][3] // size, minlength=size ** 3)
-    deep = np.argsort(-seen, kind="stable")[:MAX_CONTEXTS]
-    deep = np.sort(deep[seen[deep] >= MIN_SEEN])
+    own = [np.unique(grams[lang][3] // size, return_counts=True) for lang in langs]
+    codes, group = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
+    seen = np.bincount(group, weights=np.concatenate([n for _, n in own]), minlength=len(codes))
+    frequent = codes[seen >= MIN_SEEN]
+    deep = np.zeros(0, dtype=np.int64)
+    for c, n in own:
+        held = np.isin(c, frequent)
+        c, n = c[held], n[held]
+        deep = np.union1d(deep, c[np.argsort(-n, kind="stable")[:max_contexts]])
     row = np.tile(np.arange(size * size, dtype=np.int32), size)  # context (b1 b2 b3) -> row of (b2 b3)
     row[deep] = size * size + np.arange(len(deep), dtype=np.int32)
     table = np.zeros((size * size + len(deep), size, len(langs)), dtype=np.float32)
@@ -172,18 +192,23 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
     return learn(sample(docs, max_docs))
 
 
-def brute_force_bits(rows: list[tuple[str, str]], text: str, lang: str) -> float:
-    """Plain recursive code length for tests (no pruned contexts): every byte after three spaces."""
+def brute_force_bits(rows: list[tuple[str, str]], text: str, lang: str, max_contexts: int = MAX_CONTEXTS) -> float:
+    """Plain recursive code length for tests: every byte after three spaces."""
     from collections import Counter
     from math import log2
 
     def symbols(t):
         return [int(x) for x in _FOLD[np.frombuffer(t.encode(), np.uint8)]]
     known = {s for _, t in rows for s in symbols(t)} | {32}
-    deep = Counter()
-    for _, t in rows:
+    seen = {name: Counter() for name, _ in rows}
+    for name, t in rows:
         s = [32] * 3 + symbols(t)
-        deep.update(tuple(s[k - 3:k]) for k in range(3, len(s)))
+        seen[name].update(tuple(s[k - 3:k]) for k in range(3, len(s)))
+    every = sum(seen.values(), Counter())
+    deep = set()
+    for counts in seen.values():
+        held = sorted((-n, c) for c, n in counts.items() if every[c] >= MIN_SEEN)
+        deep |= {c for _, c in held[:max_contexts]}
     trees = [Counter() for _ in range(4)]
     for own, t in rows:
         if own == lang:
@@ -194,7 +219,7 @@ def brute_force_bits(rows: list[tuple[str, str]], text: str, lang: str) -> float
 
     def probability(context, x):
         own = {b: c for (ctx, b), c in trees[len(context)].items() if ctx == context}
-        if len(context) == 3 and deep[context] < MIN_SEEN:
+        if len(context) == 3 and context not in deep:
             own = {}
         below = probability(context[1:], x) if context else 1 / 256
         if not own:

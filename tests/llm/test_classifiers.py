@@ -62,6 +62,29 @@ def test_code_lengths_equal_plain_ppm():
         assert np.allclose(got[0], plain, rtol=1e-5) and np.allclose(got[2], got[0])
 
 
+@pytest.mark.parametrize("most", [0, 1, 4, 30])
+def test_contexts_are_bounded_per_language(most):
+    """A language of few texts keeps its own contexts beside one of many."""
+    rows = [("a", prose(k, 200)) for k in range(6)] + [("b", "zig zag zoo zen " * 12)]
+    model = langid.learn(rows, most)
+    assert len(model["table"]) <= model["size"] ** 2 + 2 * most
+    for text in ("river stone", "zig zag zoo", prose(9, 20)):
+        got = langid.bits(model, [text])[0]
+        assert np.allclose(got, [langid.brute_force_bits(rows, text, lang, most) for lang in model["langs"]], rtol=1e-5)
+
+
+def test_long_texts_teach(spark):
+    """A language found only in texts beyond the bound is learned, from passages of the whole text, within the bound."""
+    rows = [(k, prose(k, 300), "a") for k in range(20)]
+    rows += [(100 + k, "zig zag zoo zen " * 3000 + "quux quip " * 3000, "b") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = dict(langid.sample(docs.where("lang = 'b'")))
+    assert langid.MAX_CHARS <= len(got["b"]) + langid.PASSAGE <= langid.MAX_CHARS + 2 * langid.PASSAGE
+    assert "zig" in got["b"] and "quux" in got["b"]
+    told = langid.identified(spark.createDataFrame([(1, "zoo zen zig quip"), (2, "river of stone")], "doc_id long, text string"), langid.fit(docs))
+    assert {x.doc_id: x.lang_pred for x in told.collect()} == {1: "b", 2: "a"}
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.fit(odd_docs)
     rows = {x.doc_id: x for x in langid.identified(odd_docs, model).collect()}
