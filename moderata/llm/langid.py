@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, joined, slabs
+from .common import id_bucket, joined, slabs, written
 
 MAX_DOCS = 300
 MAX_CHARS = 20_000
@@ -72,9 +72,10 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
                      & (id_bucket(F.col("doc_id"), 4) != 2))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "k")
     # ranked on narrow rows; Spark keeps max_docs rows per language and task before the shuffle
-    best = (own.select("lang", "doc_id", F.xxhash64("text").alias("k"))
-            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
-            .select("lang", "doc_id", "k").distinct())
+    # written first, so that the join knows its size: at most max_docs narrow rows a language
+    best = written(own.select("lang", "doc_id", F.xxhash64("text").alias("k"))
+                   .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
+                   .select("lang", "doc_id", "k").distinct(), "sample")
     rows = (own.select("lang", "doc_id", "text", F.xxhash64("text").alias("k"))
             .join(best, ["lang", "doc_id", "k"], "left_semi").select("lang", "doc_id", _bounded().alias("text")).distinct().collect())
     return sorted((r["lang"], r["text"]) for r in rows)
