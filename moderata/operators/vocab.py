@@ -3,18 +3,17 @@
 Learning (T5)
   1. one pass over the corpus: pre-tokenise (words or punctuation runs) and
      ``groupBy(word).count()`` -- a hash aggregate with partial aggregation;
-  2. every later step works on the *distinct* words with their counts. The
-     adjacent-pair counts are built once and then updated incrementally: a
-     merge changes only the words holding the merged pair, so a round
-     explodes just those (old pairs -n, new pairs +n). Each round collects
-     only the top of the pair ranking (count desc, then left, right; a
-     ``limit``, no global sort) and takes every merge that sequential BPE
-     provably takes next (see ``_accept_batch``) -- the result equals one
-     merge at a time. Words are rewritten with one narrow ``regexp_replace``
-     per merge.
-  Pair counts are checkpointed every round and the words every few rounds
-  (files under the session's ``spark.checkpoint.dir``), so a lost executor
-  recomputes at most a few rounds and plans stay small.
+  2. every later step works on the *distinct* words with their counts. A round
+     counts the adjacent pairs, collects the top of their ranking (count desc,
+     then left, right; a ``limit``, no global sort), cuts every word where a
+     pair is rarer than the round's least count and groups equal pieces: a
+     merge of the round can only happen inside a piece, and there are few
+     different pieces, however many words. All merges down to the least count
+     are found among them (``_Band``) -- the result equals one merge at a time.
+     The words are then rewritten with the round's merges, one narrow pass.
+  The words are checkpointed every few rounds (files under the session's
+  ``spark.checkpoint.dir``), so a lost executor recomputes at most a few rounds
+  and plans stay small.
 
 Encoding (T6)
   The learned merges are bounded by the vocabulary size parameter, so they
@@ -41,8 +40,8 @@ ESC = "\u0002"  # escapes the separator and itself inside symbols
 CHAR_PATTERN = "(?s)."  # one code point
 MAX_VOCAB = 2_000_000  # merges + alphabet shipped to executors: bounded by this
 CACHED_WORDS = 200_000  # words whose ids a task keeps
-BAND_WORDS = 50_000  # places of the pairs that one round of learning handles together
-RANKED = 4_096  # top of the pair ranking that a round looks at
+BAND_WORDS = 100_000  # different pieces of words that one round of learning handles together
+RANKED = 16_384  # top of the pair ranking that a round looks at
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -114,91 +113,95 @@ def apply_merge(syms: Column, left: str, right: str) -> Column:
     return F.regexp_replace(syms, F.lit(pat), F.lit("$1" + _replacement_literal(left + right)))
 
 
-def _pair_pattern(left: str, right: str) -> str:
-    return f"(^|{SEP}){_regex_literal(left)}{SEP}{_regex_literal(right)}(?={SEP}|$)"
-
-
-def _accept_batch(ranked: list, candidates: int, complete: bool) -> list[tuple[str, str, int]]:
-    """The longest prefix of the ranked pairs that sequential BPE would merge
-    in this order: each next pair shares no symbol with the pairs taken before
-    it (so its count is unchanged) and its count is strictly above a bound on
-    every pair those merges can create. A merge of (a, b) creates only (x, ab)
-    and (ab, y), counted at most min(count(a, b), max(count of any pair ending
-    in a, count of any pair starting with b)).
-
-    ``ranked`` is the top of the pair ranking (count desc, left, right). The
-    first pair ending in a (starting with b) in it has the largest such count;
-    if none is listed, the last listed count bounds it (or 0 when ``complete``,
-    i.e. every pair is listed).
-    """
-    floor = 0 if complete else int(ranked[-1]["count"])
-    ends: dict[str, int] = {}
-    starts: dict[str, int] = {}
-    for x in ranked:
-        ends.setdefault(x["right"], int(x["count"]))
-        starts.setdefault(x["left"], int(x["count"]))
-    taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    bound = -1
-    for x in ranked[:candidates]:
-        a, b, c = x["left"], x["right"], int(x["count"])
-        if taken and (a in used or b in used or c <= bound):
-            break
-        taken.append((a, b, c))
-        used |= {a, b}
-        bound = max(bound, min(c, max(ends.get(a, floor), starts.get(b, floor))))
-    return taken
+def _merged(word: list[str], a: str, b: str) -> list[str]:
+    out, i = [], 0
+    while i < len(word):
+        if i + 1 < len(word) and word[i] == a and word[i + 1] == b:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(word[i])
+            i += 1
+    return out
 
 
 class _Band:
-    """Sequential BPE over the words that hold a pair of the band, all pairs of at least ``least``.
+    """Sequential BPE over the pieces of words that hold pairs of ``least`` or more, the band.
 
-    Every pair that it merges occurs in these words only, so its counts are those
-    of the whole corpus: a pair of the band has all its words here, and a new pair
-    arises where a merge took place. Pairs below ``least`` are counted in part and
-    never taken.
+    Words are cut at pairs outside the band. A token of a merge has a first and a last
+    symbol among those that the words held at the start; a pair of tokens stands where
+    the last symbol of the one met the first of the other, and counts no more than these
+    two did. So a pair of at least ``least`` has all its places inside the pieces.
+
+    The exception is a token that is made in two ways, from other outer symbols: a pair
+    with it may stand inside pieces here and at a cut there. ``outside`` (counts of pairs
+    outside the band, any other: ``floor``) bounds what the cuts hide; the heap ranks such
+    a pair by its largest possible count, and the band ends where one comes first.
     """
 
-    def __init__(self, rows, least: int, whole: bool = False):
-        self.least, self.rows, self.whole = least, rows, whole
+    def __init__(self, rows, least: int, whole: bool = False, band=frozenset(), outside=None, floor: int = 0):
+        self.least, self.whole, self.band, self.floor = least, whole, band, floor
+        self.outside = outside or {}
         self.words = [r["syms"].split(SEP) for r in rows]
         self.n = [int(r["n"]) for r in rows]
         self.count: Counter = Counter()
         self.places: dict[tuple[str, str], set[int]] = {}
-        self.delta: Counter = Counter()      # change of a pair's count since the start
-        self.delta_rows: Counter = Counter()  # change of its number of places
-        self.changed: set[int] = set()
         for k, w in enumerate(self.words):
             for p in zip(w, w[1:]):
                 self.count[p] += self.n[k]
                 self.places.setdefault(p, set()).add(k)
         self.heap = [(-c, *p) for p, c in self.count.items() if c >= least]
         heapq.heapify(self.heap)
-
-    def _shift(self, word: list[str], k: int, sign: int) -> None:
-        for p in zip(word, word[1:]):
-            self.count[p] += sign * self.n[k]
-            self.delta[p] += sign * self.n[k]
-            self.delta_rows[p] += sign
+        self.first: dict[str, set[str]] = {}  # outer symbols of the tokens made here
+        self.last: dict[str, set[str]] = {}
+        self.unclear: set[str] = set()        # tokens with more than one first or last symbol
+        self.most_after: Counter = Counter()  # largest count outside the band by left and by right symbol
+        self.most_before: Counter = Counter()
+        for (a, b), c in self.outside.items():
+            self.most_after[a] = max(self.most_after[a], c)
+            self.most_before[b] = max(self.most_before[b], c)
+
+    def _hidden(self, x: str, y: str) -> int:
+        """A bound on the places of (x, y) at cuts; 0 if all or none of its places are inside."""
+        if x not in self.unclear and y not in self.unclear:
+            return 0
+        return sum(self.outside.get((u, v), self.floor) for u in self.last.get(x, {x}) for v in self.first.get(y, {y})
+                   if (u, v) not in self.band)
+
+    def _bound(self, p: tuple[str, str]) -> int:
+        return self.count[p] + self._hidden(*p)
+
+    def _made(self, a: str, b: str, known: set[str]) -> int:
+        """Note the token of a merge; returns a bound on the pairs with it that stand at cuts only."""
+        t = a + b
+        own = {t} if t in known and t not in self.first else set()
+        old = (self.first.get(t, own), self.last.get(t, own))
+        self.first[t] = old[0] | self.first.get(a, {a})
+        self.last[t] = old[1] | self.last.get(b, {b})
+        known.add(t)
+        if self.whole or (len(self.first[t]) == 1 and len(self.last[t]) == 1):
+            return 0
+        self.unclear.add(t)
+        for p, c in self.count.items():  # pairs with it rank by their bounds from now on
+            if c > 0 and t in p and self._bound(p) >= self.least:
+                heapq.heappush(self.heap, (-self._bound(p), *p))
+        ways = max(len(x) for e in (self.first, self.last) for x in e.values())  # of the other token
+        return ways * max(sum(max(self.most_before[v], self.floor) for v in self.first[t]),
+                          sum(max(self.most_after[u], self.floor) for u in self.last[t]))
 
     def take(self, most: int, known: set[str]) -> list[tuple[str, str, int]]:
-        """Up to ``most`` merges.
-
-        A token that exists already may stand in words outside the band too. Its new
-        pairs count at most ``least`` - 1 there; the band ends before a pair that
-        one of them could precede.
-        """
+        """Up to ``most`` merges."""
         taken: list[tuple[str, str, int]] = []
         risk = 0
         while self.heap and len(taken) < most:
             c, a, b = heapq.heappop(self.heap)
-            now = self.count[a, b]
+            now = self._bound((a, b))
             if now < self.least:
                 continue
             if now != -c:  # an old entry: it comes again with its present count
                 heapq.heappush(self.heap, (-now, a, b))
                 continue
-            if now <= risk:
+            if now <= risk or self._hidden(a, b):
                 break
             taken.append((a, b, now))
             fresh: set[tuple[str, str]] = set()
@@ -207,58 +210,79 @@ class _Band:
                 new = _merged(old, a, b)
                 if len(new) == len(old):
                     continue
-                self._shift(old, k, -1)
-                self._shift(new, k, 1)
-                self.words[k] = new
-                self.changed.add(k)
+                for p in zip(old, old[1:]):
+                    self.count[p] -= self.n[k]
                 for p in zip(new, new[1:]):
+                    self.count[p] += self.n[k]
                     self.places.setdefault(p, set()).add(k)
                     if a + b in p:
                         fresh.add(p)
+                self.words[k] = new
+            risk = max(risk, self._made(a, b, known))
             for p in fresh:
-                if self.count[p] >= self.least:
-                    heapq.heappush(self.heap, (-self.count[p], *p))
-            if a + b in known and not self.whole:
-                risk = max([risk] + [self.count[p] + self.least - 1 for p in fresh])
-            known.add(a + b)
+                if self._bound(p) >= self.least:
+                    heapq.heappush(self.heap, (-self._bound(p), *p))
         return taken
 
 
-def _merged(word: list[str], a: str, b: str) -> list[str]:
-    out, i = [], 0
-    while i < len(word):
-        if i + 1 < len(word) and word[i] == a and word[i + 1] == b:
-            out.append(a + b)
-            i += 2
-        else:
-            out.append(word[i])
-            i += 1
-    return out
+def _ranked(state: DataFrame, min_count: int) -> list:
+    """The top of the pair ranking: p, count."""
+    return (_pair_key_counts(state).select(
+        "p", "count", F.substring_index("p", SEP, 1).alias("left"), F.substring_index("p", SEP, -1).alias("right"))
+        .where(F.col("count") >= min_count)
+        .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc()).limit(RANKED).collect())
 
 
-def _pair_rows(words: DataFrame, weight: Column, one: int) -> DataFrame:
-    return _pairs(words, weight).select("p", F.col("n").alias("count"), F.lit(one).cast("long").alias("rows"))
+def _pieces(spark: SparkSession, state: DataFrame, band: set[tuple[str, str]]) -> DataFrame:
+    """(syms, n): the words cut at pairs outside the band, equal pieces of two symbols or more added up."""
+    sent = spark.sparkContext.broadcast(band)  # at most RANKED pairs
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        inside = sent.value
+        for words in batches:
+            out = []
+            for word in words:
+                syms = word.split(SEP)
+                found, start = [], 0
+                for i in range(1, len(syms) + 1):
+                    if i == len(syms) or (syms[i - 1], syms[i]) not in inside:
+                        if i - start > 1:
+                            found.append(SEP.join(syms[start:i]))
+                        start = i
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+    return (state.select(cut("syms").alias("e"), "n").select(F.explode("e").alias("syms"), "n")
+            .groupBy("syms").agg(F.sum("n").alias("n")))
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("p").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows")).where("count > 0")
+
+def _replayed(syms: list[str], steps: dict[tuple[str, str], list[int]]) -> list[str]:
+    """The merges of a round on one word, in their order (``steps``: the places of each pair in it)."""
+    at = 0
+    while len(syms) > 1:
+        best = None
+        for p in zip(syms, syms[1:]):
+            for step in steps.get(p, ()):
+                if step >= at and (best is None or step < best[0]):
+                    best = (step, p)
+        if best is None:
+            break
+        syms, at = _merged(syms, *best[1]), best[0] + 1
+    return syms
 
 
-def _band_of(ranked: list, complete: bool, min_count: int, band_words: int) -> tuple[int, int]:
-    """The number of leading pairs of the ranking that make a band, and its least count.
+def _rewritten(spark: SparkSession, state: DataFrame, taken: list[tuple[str, str, int]]) -> DataFrame:
+    """The words after a round's merges; words of one symbol can never merge again and go."""
+    steps: dict[tuple[str, str], list[int]] = {}
+    for i, (a, b, _) in enumerate(taken):
+        steps.setdefault((a, b), []).append(i)
+    sent = spark.sparkContext.broadcast(steps)
 
-    A band holds every pair of its least count or more, and at most ``band_words`` places.
-    """
-    places = 0
-    for k, x in enumerate(ranked):
-        places += int(x["rows"])
-        if places > band_words:
-            least = int(x["count"]) + 1
-            return sum(int(y["count"]) >= least for y in ranked), least
-    if complete:
-        return len(ranked), max(min_count, 1)
-    least = int(ranked[-1]["count"]) + 1
-    return sum(int(y["count"]) >= least for y in ranked), least
+    @F.pandas_udf(T.StringType())
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield pd.Series([SEP.join(_replayed(w.split(SEP), sent.value)) for w in words], dtype=object)
+    return state.select("n", rewrite("syms").alias("syms")).where(F.instr("syms", SEP) > 0)
 
 
 def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
@@ -267,78 +291,61 @@ def learn_merges(spark: SparkSession, words: DataFrame, n_merges: int,
     """T5: learn up to ``n_merges`` merges from (word, n). Returns the merges in
     rank order as (left, right, count); only this bounded list is kept on the driver.
 
-    Exact sequential BPE (count desc, then left, right ascending). Every pair has
-    its count and its number of places (distinct words, repeats counted), both
-    kept up to date by differences: a merge only changes the words holding the
-    merged pair. A round takes one of two ways, with the same result:
-
-    * Frequent pairs lie in more words than one process should hold. Of the
-      ``candidates`` best pairs a round takes the longest prefix that sequential
-      BPE would take in the same order (``_accept_batch``), and Spark rewrites the words.
-    * As soon as the best pairs lie in at most ``band_words`` places, the words of
-      as many of them as fit are the work of a round: all merges down to the band's least
-      count are found among these words (``_Band``), a hundred or more a round.
-      At most ``band_words`` words reach the driver at a time, whatever the corpus.
-
-    Pair counts are checkpointed every round, the words every
-    ``checkpoint_every`` rounds and persisted in between (reliable files
-    under spark.checkpoint.dir).
+    Exact sequential BPE (count desc, then left, right ascending). The best pairs
+    of a round, the band, are as many as make at most ``band_words`` different pieces
+    of words (``candidates`` in the first round, then by what the last one made); at
+    least one pair. At most ``band_words`` pieces and ``RANKED`` pairs reach the
+    driver at a time, whatever the corpus.
+
+    The words are persisted every round and checkpointed every ``checkpoint_every``
+    rounds (reliable files under spark.checkpoint.dir).
     """
-    state = (initial_symbols(words.select("word", "n")).where(F.length("word") > 1)
-             .select("word", "n", "syms").checkpoint(eager=True))
-    counts = _summed(_pair_rows(state, F.col("n"), 1)).checkpoint(eager=True)
+    state = initial_symbols(words.select("word", "n")).where(F.length("word") > 1).select("n", "syms").checkpoint(eager=True)
     merges: list[tuple[str, str, int]] = []
     known: set[str] = set()
     whole = state.count() <= band_words  # so few words are one band
+    if whole:
+        state = state.where(F.instr("syms", SEP) > 0)
+        return [(_plain(a), _plain(b), c) for a, b, c in _Band(state.collect(), max(min_count, 1), True).take(n_merges, known)]
     held: list[DataFrame] = []  # persisted word states since the last checkpoint
-    r = 0
+    width, r = max(candidates, 1), 0
     while len(merges) < n_merges:
-        ranked = (counts.select(F.substring_index("p", SEP, 1).alias("left"), F.substring_index("p", SEP, -1).alias("right"),
-                                "p", "count", "rows").where(F.col("count") >= min_count)
-                  .orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc())
-                  .limit(RANKED).collect())
-        if not ranked:
-            break
-        complete = len(ranked) < RANKED
-        width, least = (len(ranked), max(min_count, 1)) if whole else _band_of(ranked, complete, min_count, band_words)
-        if width:
-            mine = [x["p"] for x in ranked[:width]]
-            hit = F.exists(F.regexp_extract_all("syms", F.lit(PAIR_PATTERN), 1), lambda p: p.isin(mine))
-            band = _Band((state if whole else state.where(hit)).collect(), least, whole)
-            merges += band.take(n_merges - len(merges), known)
-            # at most band_words rows, back to the words they came from
-            changed = [(band.rows[k]["word"], SEP.join(band.words[k])) for k in sorted(band.changed)]
-            shifts = [(SEP.join(p), c, band.delta_rows[p]) for p, c in band.delta.items() if c or band.delta_rows[p]]
-            new = spark.createDataFrame(pd.DataFrame(changed, columns=["word", "new"]), "word string, new string")
-            delta = spark.createDataFrame(pd.DataFrame(shifts, columns=["p", "count", "rows"]), "p string, count long, rows long")
-            state = (state.join(F.broadcast(new), "word", "left")
-                     .select("word", "n", F.coalesce("new", "syms").alias("syms")))
-        else:
-            batch = _accept_batch(ranked, min(candidates, n_merges - len(merges)), complete)
-            merges += batch
-            known |= {a + b for a, b, _ in batch}
-            hit, merged = None, F.col("syms")
-            for a, b, _ in batch:
-                h = (F.instr("syms", a + SEP + b) > 0) & F.col("syms").rlike(_pair_pattern(a, b))
-                hit = h if hit is None else (hit | h)
-                merged = apply_merge(merged, a, b)
-            old = state.where(hit)
-            delta = _pair_rows(old, -F.col("n"), -1).unionByName(
-                _pair_rows(old.withColumn("syms", merged), F.col("n"), 1))
-            state = state.withColumn("syms", F.when(hit, merged).otherwise(F.col("syms")))
-        # each round's plan refers to the previous round's, and cached plans carry
-        # their history in their descriptions: the counts (one row per distinct
-        # pair, small next to the words) cut it every round
-        counts = _summed(counts.unionByName(delta)).checkpoint(eager=True)
-        # building the counts read the previous words in full, so that copy is
-        # cached now; older copies are no longer needed
+        ranked = _ranked(state, min_count)
+        # counting read the previous words in full, so older copies are no longer needed
         while len(held) > 1:
             held.pop(0).unpersist()
+        if not ranked:
+            break
+        floor = 0 if len(ranked) < RANKED else int(ranked[-1]["count"])
+        if len(ranked) < RANKED and min_count > 1:
+            floor = min_count - 1
+        while True:
+            least, most = max(int(ranked[min(width, len(ranked)) - 1]["count"]), 1), n_merges - len(merges)
+            if len(ranked) == RANKED and least == floor:  # pairs of this count may be missing in the list
+                least = floor + 1
+            if least > int(ranked[0]["count"]):  # more equal pairs than the list holds: the first one alone
+                least, most = least - 1, 1
+                inside = ranked[:1]
+            else:
+                inside = [x for x in ranked if int(x["count"]) >= least]
+            band = {(x["left"], x["right"]) for x in inside}
+            pieces = _pieces(spark, state, band)
+            alone = len(inside) == 1 or int(inside[-1]["count"]) == int(ranked[0]["count"])
+            rows = (pieces if alone else pieces.limit(band_words + 1)).collect()
+            if alone or len(rows) <= band_words:
+                break
+            width = max(1, min(width, len(inside)) // 4)
+        outside = {(x["left"], x["right"]): int(x["count"]) for x in ranked if (x["left"], x["right"]) not in band}
+        taken = _Band(rows, least, False, band, outside, floor).take(most, known)
+        merges += taken
+        if len(rows) * 8 <= band_words:
+            width = max(width, min(4 * width, RANKED))
+        elif len(rows) * 3 <= band_words:
+            width = max(width, min(2 * width, RANKED))
+        state = _rewritten(spark, state, taken)
         r += 1
         if r % checkpoint_every == 0:
-            # words left with one symbol can never merge again: drop them where
-            # the plan is cut anyway
-            state = state.where(F.instr("syms", SEP) > 0).checkpoint(eager=True)
+            state = state.checkpoint(eager=True)
             for h in held:
                 h.unpersist()
             held = []

@@ -132,3 +132,54 @@ def test_words_with_the_separator_are_counted(spark):
     assert got == [("a", "b", 14), ("\u0001", "ab", 9), ("\u0002", "\u0001", 4)]
     pairs = {(r.left, r.right): r["count"] for r in VO.pair_counts(VO.initial_symbols(words)).collect()}
     assert pairs == {("a", "b"): 14, ("\u0001", "a"): 9, ("\u0002", "\u0001"): 4}
+
+
+def test_rounds_are_few_and_equal_sequential_bpe(spark, monkeypatch):
+    """Words with many frequent pairs: a round takes dozens of merges, whatever the number of words."""
+    rounds = []
+    take = VO._Band.take
+    monkeypatch.setattr(VO._Band, "take", lambda self, most, known: rounds.append(take(self, most, known)) or rounds[-1])
+    _, expected = py_bpe(py_texts(), 300)
+    words = VO.word_counts(TB.table(spark, SF001, "documents")).checkpoint()
+    assert VO.learn_merges(spark, words, 300, band_words=words.count() // 2) == expected
+    assert len(rounds) <= 12, [len(x) for x in rounds]
+
+
+def test_cut_words_equal_sequential_bpe():
+    """Words cut at rare pairs, tokens made in several ways: every width of the band gives the same merges."""
+    import random
+
+    for seed in range(300):
+        rnd = random.Random(seed)
+        words = {"".join(rnd.choices("abcd"[:rnd.randint(1, 4)], k=rnd.randint(2, 10))): rnd.randint(1, 40) for _ in range(30)}
+        want = VO._Band([{"syms": VO.SEP.join(w), "n": n} for w, n in words.items()], 1, whole=True).take(40, set())
+        got, known, state = [], set(), [(list(w), n) for w, n in words.items()]
+        width, listed = rnd.choice([1, 2, 4, 9]), rnd.choice([4, 1000])
+        while len(got) < len(want):
+            counts = Counter()
+            for s, n in state:
+                for p in zip(s, s[1:]):
+                    counts[p] += n
+            ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+            floor = ranked[listed][1] if len(ranked) > listed else 0
+            ranked = ranked[:listed]
+            least = max(ranked[min(width, len(ranked)) - 1][1], floor + 1)
+            band = {p for p, c in ranked if c >= least} or {ranked[0][0]}
+            most = len(want) - len(got) if least <= ranked[0][1] else 1
+            pieces = Counter()
+            for s, n in state:
+                start = 0
+                for i in range(1, len(s) + 1):
+                    if i == len(s) or (s[i - 1], s[i]) not in band:
+                        pieces[VO.SEP.join(s[start:i])] += n if i - start > 1 else 0
+                        start = i
+            rows = [{"syms": s, "n": n} for s, n in pieces.items() if n]
+            outside = {p: c for p, c in ranked if p not in band}
+            taken = VO._Band(rows, min(least, ranked[0][1]), False, band, outside, floor).take(most, known)
+            assert taken
+            steps = {}
+            for i, (a, b, _) in enumerate(taken):
+                steps.setdefault((a, b), []).append(i)
+            state = [(VO._replayed(s, steps), n) for s, n in state]
+            got += taken
+        assert got == want, seed
