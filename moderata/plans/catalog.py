@@ -494,15 +494,17 @@ def q_pad_batch(spark, sf):
 
 
 def _run_stream(spark, sf, output):
-    """The events in three deliveries, some of them twice, each a micro-batch or more."""
+    """The events in three deliveries, some of them twice, each a micro-batch (of as many files as it has)."""
     base = scratch_path(spark, "stream")
     ev = TB.table(spark, sf, "events")
     part = TB.hash_int("event_id", "part") % 3
     for k in range(3):
         again = (F.col("event_id") % 10 == 0) & ((part + 1) % 3 == k)
         ev.where((part == k) | again).write.parquet(f"{base}/in/{k}")
+    files = max(len(spark.read.schema(ev.schema).parquet(f"{base}/in/{k}").inputFiles()) for k in range(3))
     cfg, per = _personas(spark)
-    messages = TB.chat_from_events(ST.event_source(spark, f"{base}/in", max_files_per_trigger=1))
+    files = min(max(files, 1), ST.MAX_FILES_PER_TRIGGER)
+    messages = TB.chat_from_events(ST.event_source(spark, f"{base}/in", max_files_per_trigger=files))
     ST.run_to_end(ST.start(messages, base, output, personas=per, pool_all=_pool(cfg)[0],
                            p_default=_pool(cfg)[1], replies=FI.reply_lists(cfg)))
     return base

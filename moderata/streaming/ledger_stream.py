@@ -6,8 +6,9 @@ score -> quarantine. What a table is made of decides where it is kept:
 
 * ``users``: counters per (guild, author), a streaming aggregation in update
   mode. The state store is the table; ``current_users`` reads it.
-* ``last``: the latest message per (guild, author, channel), one value per key
-  with ``transformWithState``; ``current_last_messages`` reads that state.
+* ``last``: the latest message per (guild, author, channel), a streaming
+  aggregation too (the largest of time, id and text together);
+  ``current_last_messages`` reads that state.
 * ``history``, ``actions``, ``quarantine``: rows that are only ever added, by
   Spark's file sink, whose log says which files count.
 
@@ -49,7 +50,10 @@ CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabl
 
 def event_source(spark: SparkSession, directory: str, glob: str = "*.parquet",
                  max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """Raw events; a backlog is cut into micro-batches of ``max_files_per_trigger`` files."""
+    """Raw events; a backlog is cut into micro-batches of ``max_files_per_trigger`` files.
+
+    Every micro-batch commits each partition of the state, so few files a batch make many commits.
+    """
     return (spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob)
             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(directory))
@@ -74,24 +78,6 @@ class Unseen(StatefulProcessor):
         pass
 
 
-class Latest(StatefulProcessor):
-    """The newest message of a key by (at, message_id); changed keys are passed on."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "at long, message_id long, text string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        best = self.latest.get()
-        held = tuple(best[:2]) if best is not None else None
-        newest = max(rows, key=lambda r: (r["at"], r["message_id"]))
-        if held is None or (newest["at"], newest["message_id"]) > held:
-            self.latest.update((newest["at"], newest["message_id"], newest["text"]))
-            yield Row(guild=key[0], author=key[1], channel=key[2], message_id=newest["message_id"], text=newest["text"])
-
-    def close(self) -> None:
-        pass
-
-
 def unseen(messages: DataFrame, seen_ttl_ms: int | None = None) -> DataFrame:
     """Each message once: for ever, or within ``seen_ttl_ms`` of its first arrival.
 
@@ -106,12 +92,11 @@ def unseen(messages: DataFrame, seen_ttl_ms: int | None = None) -> DataFrame:
 
 
 def latest_messages(scored: DataFrame) -> DataFrame:
-    """The latest message per key as stream state (input: a stream of scored messages)."""
+    """The latest message per key as stream state (input: a stream of scored messages); keys with new messages are passed on."""
     at = F.coalesce(F.unix_micros("ts"), F.lit(-(10 ** 16)))  # no time: before any time
-    return (scored.select("guild", "author", "channel", at.alias("at"), "message_id", "text")
-            .groupBy("guild", "author", "channel")
-            .transformWithState(Latest(), "guild string, author long, channel string, message_id long, text string",
-                                "Update", "None"))
+    return (scored.select("guild", "author", "channel", F.struct(at.alias("at"), "message_id", "text").alias("m"))
+            .groupBy("guild", "author", "channel").agg(F.max("m").alias("m"))
+            .select("guild", "author", "channel", "m.message_id", "m.text"))
 
 
 def _rows(name: str, flow: Flow, personas, pool_all, p_default, replies) -> DataFrame:
@@ -165,12 +150,9 @@ def run_to_end(queries: StreamingQuery | dict[str, StreamingQuery]) -> None:
             raise RuntimeError(str(q.exception()))
 
 
-def _state(spark: SparkSession, base: str, name: str, schema: str, **options) -> DataFrame:
+def _state(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
     """Keys and values of a query's state after its last complete micro-batch."""
-    reader = spark.read.format("statestore")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    state = reader.load(f"{base}/{name}/checkpoint")
+    state = spark.read.format("statestore").load(f"{base}/{name}/checkpoint")
     return state.select("key.*", F.col("value").cast(schema).alias("value")).select("*", "value.*").drop("value")
 
 
@@ -180,8 +162,8 @@ def current_users(spark: SparkSession, base: str) -> DataFrame:
 
 
 def current_last_messages(spark: SparkSession, base: str) -> DataFrame:
-    return (_state(spark, base, "last", "struct<at: bigint, message_id: bigint, text: string>", stateVarName="latest")
-            .drop("at"))
+    m = "struct<at: bigint, message_id: bigint, text: string>"
+    return _state(spark, base, "last", f"struct<m: {m}>").select("guild", "author", "channel", "m.message_id", "m.text")
 
 
 def appended(spark: SparkSession, base: str, name: str) -> DataFrame:

@@ -152,3 +152,18 @@ def test_changed_rows_reach_a_sink_of_the_callers(spark):
 
 def test_appended_tables_before_the_first_batch(spark):
     assert ST.appended(spark, _work(), "history").count() == 0
+
+
+def test_a_delivery_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """The stream queries commit their state once a delivery, not once a file."""
+    from moderata.plans import catalog as C
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i % 7, "view", 1.0, f"text {i}") for i in range(400)]
+    events = spark.createDataFrame(rows, schemas.EVENTS).repartition(6)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    base = C._run_stream(spark, str(tmp_path), "last")
+    done = [x for x in os.listdir(f"{base}/last/checkpoint/sources/0") if x.isdigit()]
+    assert len(done) <= 3, done
+    flow = process(TB.chat_from_events(TB.table(spark, str(tmp_path), "events")), TB.fixture_scores)
+    assert _rows(ST.current_last_messages(spark, base)) == _rows(L.last_message(flow.scored))
+    # the latest message is a state of Spark's own aggregation: no Python call per key
+    assert "stateStoreSave" in open(f"{base}/last/checkpoint/state/0/_metadata/metadata").read()
