@@ -36,6 +36,11 @@ from . import labels as LB
 NUM_FEATURES = 1 << 16  # dense gradient per partition per iteration
 
 
+def _few_parts(df: DataFrame) -> DataFrame:
+    """At most twice as many partitions as cores: each sends a dense gradient in every step, however small its share."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 @dataclass
 class MultiLabelModel:
     features: PipelineModel
@@ -95,13 +100,12 @@ def fit(train: DataFrame, text_col: str = "comment_text", max_iter: int = 25,
     from pyspark.ml import Pipeline
     tok, tf, idf = featurizer(text_col, num_features)
     fe = Pipeline(stages=[tok, tf, idf]).fit(train)
-    feats = fe.transform(train).select("features", *CLASSES).persist()
+    feats = _few_parts(fe.transform(train).select("features", *CLASSES)).persist()
 
     def fit_one(c: str) -> LogisticRegressionModel:
         y = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        pos = feats.select("features", F.lit(1.0).alias("label"), y.alias("w"))
-        neg = feats.select("features", F.lit(0.0).alias("label"), (1.0 - y).alias("w"))
-        data = pos.unionByName(neg).where(F.col("w") > 0)
+        both = F.array(F.struct(F.lit(1.0).alias("label"), y.alias("w")), F.struct(F.lit(0.0).alias("label"), (1.0 - y).alias("w")))
+        data = feats.select("features", F.explode(F.filter(both, lambda e: e["w"] > 0)).alias("e")).select("features", "e.*")
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
                                 maxIter=max_iter, regParam=reg, standardization=False)
         return lr.fit(data)
@@ -133,6 +137,7 @@ def evaluate(model: MultiLabelModel, holdout: DataFrame, id_col: str = "id") ->
 
 JOINT_FEATURES = 1 << 13  # with 31 outputs: 2 MB of gradient a task
 LEARNING_RATE, MOMENTS = 0.05, (0.9, 0.999)
+BLOCK = 256  # examples of a matrix: 17 MB with 8,192 features
 
 
 @dataclass
@@ -170,37 +175,36 @@ def hashed_terms(text: str | Column = "text", num_features: int = JOINT_FEATURES
     return F.transform(F.array_distinct(terms), lambda w: F.pmod(F.xxhash64(w), F.lit(num_features)).cast("int"))
 
 
+def _design(rows: Sequence[np.ndarray], num_features: int) -> np.ndarray:
+    """Rows of feature places as a matrix: each place counts one over the root of the row's number of places; a bias last."""
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    width = num_features + 1
+    out = np.zeros(len(rows) * width)
+    if sizes.sum():
+        at = np.repeat(np.arange(len(rows)) * width, sizes) + np.concatenate([r for r in rows if len(r)])
+        places, times = np.unique(at, return_counts=True)
+        out[places] = times / np.sqrt(sizes)[places // width]
+    out[num_features::width] = 1.0
+    return out.reshape(len(rows), width)
+
+
 def _logits(weights: np.ndarray, rows: Sequence[np.ndarray]) -> np.ndarray:
     """Logits of rows of feature places: the places' mean direction, scaled by root of their number, and the bias."""
-    sizes = np.array([len(r) for r in rows])
-    out = np.repeat(weights[:, -1][None, :], len(rows), axis=0)
-    used = np.flatnonzero(sizes)
-    if len(used):
-        flat = np.concatenate([rows[k] for k in used])
-        starts = np.cumsum(sizes[used]) - sizes[used]
-        out[used] += np.add.reduceat(weights.T[flat], starts, axis=0) / np.sqrt(sizes[used])[:, None]
-    return out
+    return _design(rows, weights.shape[1] - 1) @ weights.T
 
 
-def loss_and_gradient(weights: np.ndarray, rows: Sequence[np.ndarray], targets: np.ndarray):
-    """Sums of the masked soft-target cross entropy per output and of its gradient.
+def loss_and_gradient(weights: np.ndarray, rows: Sequence[np.ndarray], targets: np.ndarray, gradient: bool = True):
+    """Sums of the masked soft-target cross entropy per output and of its gradient (None if not asked for).
 
     A target that is NaN is masked: it adds neither loss nor gradient.
     """
-    z = _logits(weights, rows)
+    x = _design(rows, weights.shape[1] - 1)
+    z = x @ weights.T
     known = ~np.isnan(targets)
     y = np.where(known, targets, 0.0)
     loss = np.where(known, np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z))), 0.0)
-    error = np.where(known, 1 / (1 + np.exp(-z)) - y, 0.0)
-    gradient = np.zeros_like(weights)
-    gradient[:, -1] = error.sum(axis=0)
-    sizes = np.array([len(r) for r in rows])
-    used = np.flatnonzero(sizes)
-    if len(used):
-        flat = np.concatenate([rows[k] for k in used])
-        spread = np.repeat(error[used] / np.sqrt(sizes[used])[:, None], sizes[used], axis=0)
-        np.add.at(gradient.T, flat, spread)
-    return loss.sum(axis=0), known.sum(axis=0), gradient
+    error = np.where(known, 1 / (1 + np.exp(-z)) - y, 0.0) if gradient else None
+    return loss.sum(axis=0), known.sum(axis=0), error.T @ x if gradient else None
 
 
 def _examples(df: DataFrame, model: JointModel, text_col: str) -> DataFrame:
@@ -208,30 +212,37 @@ def _examples(df: DataFrame, model: JointModel, text_col: str) -> DataFrame:
     return df.select(hashed_terms(text_col, model.num_features).alias("x"), targets.alias("y"))
 
 
-def _step(examples: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _step(examples: DataFrame, weights: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Loss, known targets and gradient over all examples, added up on the way (a tree of tasks)."""
     spark = examples.sparkSession
     sent = spark.sparkContext.broadcast(weights)  # outputs x features: bounded by the model
     shape = weights.shape
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, known, gradient = np.zeros(shape[0]), np.zeros(shape[0]), np.zeros(shape)
+        loss, known, total = np.zeros(shape[0]), np.zeros(shape[0]), np.zeros(shape if gradient else 0)
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo:lo + 256]
+            for lo in range(0, len(b), BLOCK):
+                part = b.iloc[lo:lo + BLOCK]
                 y = np.array([[np.nan if v is None else v for v in row] for row in part["y"]], float).reshape(-1, shape[0])
-                a, k, g = loss_and_gradient(sent.value, [np.asarray(r, int) for r in part["x"]], y)
-                loss, known, gradient = loss + a, known + k, gradient + g
-        yield pd.DataFrame({"s": [np.concatenate([loss, known, gradient.ravel()]).tobytes()]})
+                a, k, g = loss_and_gradient(sent.value, [np.asarray(r, int) for r in part["x"]], y, gradient)
+                loss += a
+                known += k
+                if gradient:
+                    total += g
+        yield pd.DataFrame({"s": [np.concatenate([loss, known, total.ravel()]).tobytes()]})
     sums = examples.mapInPandas(partial, "s binary").rdd.map(lambda r: np.frombuffer(r["s"]))
     total = sums.treeReduce(lambda a, b: a + b, depth=3)
     sent.unpersist()
-    return total[:shape[0]], total[shape[0]:2 * shape[0]], total[2 * shape[0]:].reshape(shape)
+    return total[:shape[0]], total[shape[0]:2 * shape[0]], total[2 * shape[0]:].reshape(shape) if gradient else None
 
 
 def joint_loss(model: JointModel, df: DataFrame, text_col: str = "comment_text") -> dict[str, float]:
     """Mean loss of the classes, of the identity groups and of all known targets."""
-    loss, known, _ = _step(_examples(df, model, text_col), model.weights)
+    return _mean_losses(model, _examples(df, model, text_col))
+
+
+def _mean_losses(model: JointModel, examples: DataFrame) -> dict[str, float]:
+    loss, known, _ = _step(examples, model.weights, gradient=False)
     own = np.array([c in CLASSES for c in model.outputs])
 
     def mean(which):
@@ -247,7 +258,8 @@ def train_epochs(model: JointModel, train: DataFrame, epochs: int, folder: str |
     identity targets. An epoch takes ``steps`` gradients over all examples: sums over
     the tasks, so the result does not depend on how the rows are dealt (but for rounding).
     """
-    examples = _examples(train, model, text_col).persist()
+    examples = _few_parts(_examples(train, model, text_col)).persist()
+    held_out = None if holdout is None else _few_parts(_examples(holdout, model, text_col)).persist()
     own = np.array([c in CLASSES for c in model.outputs])
     try:
         while model.epoch < epochs:
@@ -264,12 +276,14 @@ def train_epochs(model: JointModel, train: DataFrame, epochs: int, folder: str |
                     np.sqrt(square / (1 - MOMENTS[1]**t)) + 1e-8)
             told = {"epoch": model.epoch + 1, "train_loss": float((loss / share).sum())}
             model = JointModel(weights, model.outputs, model.epoch + 1, (mean, square), [*model.history, told])
-            if holdout is not None:
-                told.update({f"holdout_{k}": v for k, v in joint_loss(model, holdout, text_col).items()})
+            if held_out is not None:
+                told.update({f"holdout_{k}": v for k, v in _mean_losses(model, held_out).items()})
             if folder:
                 save_joint(train.sparkSession, model, folder)
     finally:
         examples.unpersist()
+        if held_out is not None:
+            held_out.unpersist()
     return model
 
 
@@ -314,8 +328,8 @@ def batch_scorer(spark: SparkSession, folder: str, epoch: int | None = None, tex
         weights = sent.value
         for texts in batches:
             out = np.full((len(texts), len(CLASSES)), np.nan)
-            for lo in range(0, len(texts), 256):
-                part = texts.iloc[lo:lo + 256]
+            for lo in range(0, len(texts), BLOCK // 4):
+                part = texts.iloc[lo:lo + BLOCK // 4]
                 at = [k for k, v in enumerate(part) if v is not None]
                 rows = [np.asarray(x, int) for k in at for x in part.iloc[k]]
                 if rows:

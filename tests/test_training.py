@@ -129,3 +129,17 @@ def test_observed_metrics_equal_eval_metrics(spark):
     counted, metrics = LB.observed_metrics(wide, CLASSES[:3])
     counted.write.format("noop").mode("overwrite").save()
     assert metrics().collect() == LB.eval_metrics(wide, CLASSES[:3]).collect()
+
+
+def test_steps_send_few_gradients_and_losses_send_none(spark):
+    """Tasks per gradient are bounded by the cores; an evaluation makes no gradient; repeated places count each time."""
+    many = spark.range(400).repartition(100)
+    assert TR._few_parts(many).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    weights = np.arange(15.0).reshape(3, 5) / 10
+    rows, y = [np.array([0, 0, 3]), np.array([], int)], np.array([[1.0, np.nan, 0.0], [0.0, 1.0, np.nan]])
+    x = np.array([[2, 0, 0, 1, np.sqrt(3)], [0, 0, 0, 0, 1]]) / np.array([[np.sqrt(3)], [1]])
+    error = np.where(np.isnan(y), 0, 1 / (1 + np.exp(-(x @ weights.T))) - y)
+    loss, known, gradient = TR.loss_and_gradient(weights, rows, y)
+    assert np.allclose(gradient, error.T @ x) and known.tolist() == [2, 1, 1]
+    again = TR.loss_and_gradient(weights, rows, y, gradient=False)
+    assert np.allclose(again[0], loss) and again[2] is None
