@@ -16,8 +16,7 @@ its own and, if it is at most tau longer, the next lower class with the
 substrings that a segment can have moved to: (i, move) with
 max(-i, i - tau) <= move <= i. Some segment i is whole and has exactly i edits
 before it, hence moves at most i, and at most tau - i after it. Candidates are
-verified by a banded bit-parallel edit distance: a word of 2 tau + 1 bits holds
-the vertical differences of the band and slides down one row per column.
+verified by a banded edit distance.
 
 Keys that many different lines share are found on a sample of the lines (the
 sample only chooses the way, not the result) and are refined instead of paired:
@@ -25,7 +24,8 @@ the segment is cut out and the rest, which may hold tau edits as well, is
 partitioned again, so that lines must agree on more of their text to meet.
 Refined keys of more than ``FEW`` lines are first compared with the line that
 shares most busy keys; two lines linked to it are not compared with each other
-if one of them comes after it (the later one's fate and their class are known).
+if one of them comes after it (the later one's fate and their class are known),
+unless all links are asked for, as ``classes`` does.
 
 Scale. Equal lines are one line to the join: its text is fetched once, and one
 narrow row per occurrence is aggregated by a 128-bit hash (the join itself knows
@@ -60,6 +60,7 @@ CLASSES = (16, 24, 32, 48, 64, 80, 100, 144, 208, 304, 448, 672, 1024, 2048, 409
 LEVELS = {1: 3, 2: 2}   # refinements of busy keys by edits; one beyond
 PARTS = 4           # jobs that the signatures are dealt over, by segment number
 FEW = 16            # lines of a refined key that are paired at once
+SHARES = 16         # tasks that a larger key's lines are dealt over where all its links are asked for
 _BLANK = " \t\u000b\f\r"
 
 
@@ -69,38 +70,8 @@ def let(value: Column, body) -> Column:
 
 
 def within(pattern: Column, text: Column, tau: int) -> Column:
-    """True if the edit distance of two strings is at most ``tau``.
-
-    Bit b of the words stands for pattern row j - tau + b in column j. Rows
-    above the pattern count down to it, so they never help a path.
-    """
-    width = 2 * tau + 1
-    mask = (1 << width) - 1
-    pad = F.lit("")
-    rows = F.concat(F.array_repeat(pad, tau), F.split(pattern, ""), F.array_repeat(pad, width))
-
-    def equal(padded):
-        return F.transform(F.split(text, ""), lambda c, j: sum(
-            (F.when(F.get(padded, j + b) == c, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, width)),
-            F.when(F.get(padded, j) == c, F.lit(1)).otherwise(F.lit(0))).cast("long"))
-
-    shift = F.char_length(text) - F.char_length(pattern)
-    goal = F.lit(tau) - shift  # the bit of the diagonal that ends in the last cell
-    start = F.struct(F.lit(mask & ~((1 << tau) - 1)).cast("long").alias("vp"),
-                     F.lit((1 << tau) - 1).cast("long").alias("vn"), F.abs(shift).cast("long").alias("d"))
-
-    def step(acc, eq):
-        vp, vn = acc["vp"], acc["vn"]
-        d0 = (((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn)).bitwiseAND(F.lit(mask))
-        return let(d0, lambda z: let(
-            vn.bitwiseOR(F.bitwise_not(z.bitwiseOR(vp))).bitwiseAND(F.lit(mask)), lambda hp: F.struct(
-                z.bitwiseAND(vp).bitwiseOR(F.bitwise_not(F.shiftright(z, 1).bitwiseOR(hp)))
-                .bitwiseAND(F.lit(mask)).alias("vp"),
-                F.shiftright(z, 1).bitwiseAND(hp).alias("vn"),
-                (acc["d"] + F.lit(1) - F.call_function("shiftright", z, goal).bitwiseAND(F.lit(1))).alias("d"))))
-
-    distance = let(rows, lambda padded: F.aggregate(equal(padded), start, step, lambda acc: acc["d"]))
-    return F.when(F.abs(shift) > tau, F.lit(False)).otherwise(distance <= tau)
+    """True if the edit distance of two strings is at most ``tau`` (only a band of 2 tau + 1 diagonals is computed)."""
+    return F.levenshtein(pattern, text, tau) >= 0
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,8 +198,18 @@ def _near(pairs: DataFrame, told: DataFrame, bands: tuple) -> DataFrame:
     return near.where(test).select("a", "b").distinct()
 
 
-def _links(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
-    """Links (a, b) that tell for every line whether an earlier one is near, and its class (not all links of large groups)."""
+def _dealt(index: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of large keys, each key's lines dealt over ``SHARES`` tasks."""
+    def key(share):
+        return F.xxhash64("key", share).alias("key")
+    part = F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int")
+    return (index.select(key(part), "id", "size", "probe"),
+            marks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).select(
+                key(F.col("share")), "id", "size", "probe"))
+
+
+def _links(lines: DataFrame, firsts: DataFrame, bands: tuple, every: bool = False) -> DataFrame:
+    """All links (a, b), with ``every``; else as many as tell for each line whether an earlier one is near, and its class."""
     sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
     busy = written(_index(sample, bands).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
     found = None
@@ -243,6 +224,11 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
     refined = written(_refined(many.where("not probe").join(texts, "id"), bands, False).union(
         _refined(many.select("key", "id", "size").distinct().join(texts, "id"), bands, True)).distinct(), "refined")
     large = refined.groupBy("key").agg(F.countDistinct("id").alias("c")).where(F.col("c") > FEW).select("key")
+    small = refined.join(large, "key", "left_anti")
+    found = found.union(_met(small.where("not probe"), small, bands))
+    if every:
+        big = written(refined.join(large, "key", "left_semi"), "hot")
+        return _near(written(found.union(_met(*_dealt(big.where("not probe"), big), bands)).distinct(), "pairs"), known, bands)
     shares = many.groupBy("id").agg(F.countDistinct("key").alias("shares"))
     place = firsts.groupBy("id").agg(F.min(F.struct("k1", "k2", "pos")).alias("place"))
     hot = written(refined.join(large, "key", "left_semi").join(shares, "id").join(place, "id"), "hot")
@@ -250,8 +236,7 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
         "key", F.col("c.id").alias("centre"), F.col("c.place").alias("at"))
     star = (hot.select("key", "id").distinct().join(centre, "key").where("id <> centre")
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
-    small = refined.join(large, "key", "left_anti")
-    pairs = written(found.union(_met(small.where("not probe"), small, bands)).union(star).distinct(), "pairs")
+    pairs = written(found.union(star).distinct(), "pairs")
     links = written(_near(pairs, known, bands), "links")
     both = links.union(links.select("b", "a")).toDF("centre", "id").withColumn("tied", F.lit(True))
     rest = written(hot.join(centre, "key").join(both, ["centre", "id"], "left").select(
@@ -262,8 +247,13 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
     return links.union(_near(written(more, "pairs"), known, bands))
 
 
-def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text"):
-    """The tables behind the dedup: keyed documents, occurrences, first occurrences, links."""
+def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text", every: bool = False):
+    """The tables behind the dedup: keyed documents, occurrences, first occurrences, links.
+
+    ``every`` asks for all links between different lines: their number grows with
+    the square of a group of lines that are all near each other. Which lines go is
+    told by fewer, and so is which lines belong together.
+    """
     keyed = _keyed(docs, id_col, text_col)
     occ = (keyed.select("k1", "k2", F.posexplode(_trimmed(F.col("t"))).alias("pos", "line")).where("line <> ''")
            .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "k1", "k2", "pos"))
@@ -274,7 +264,7 @@ def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", t
         x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).where(F.col("x.size") >= MIN_CHARS).select(
         F.xxhash64("x.line").alias("id"), "x.line", "x.size")
     lines = written(lines.dropDuplicates(["id"]), "lines")
-    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau)), "links")
+    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau), every), "links")
 
 
 def dedup_lines(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,13 +310,12 @@ def classes(docs: DataFrame, tau: int | None = TAU) -> DataFrame:
 
     A class is a component of the links; its id is the document and the line
     number (from 0) of its earliest line. ``class_links`` counts the links of
-    the class between different lines that were needed to find it; a large group
-    has no row for each of its pairs. Defined cases: a null id stays null; a text
+    the class, all pairs of different lines within ``tau`` edits. Defined cases: a null id stays null; a text
     without a line, or null, gets an empty list; rows that repeat id and text get
     the same lines; an empty table gives an empty table; of the other columns,
     whatever their names, none is returned.
     """
-    keyed, occ, firsts, links = line_links(docs, tau)
+    keyed, occ, firsts, links = line_links(docs, tau, every=True)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = merged(ends.select("id", F.col("id").alias("comp")), links)
     first = firsts.join(nodes, "id").groupBy("comp").agg(F.min(F.struct("k1", "k2", "pos")).alias("c"))

@@ -132,3 +132,22 @@ def test_classes_tie_repeats_and_near_lines(spark):
            for r in lines.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [(0, 1, 0, 0), (1, 1, 1, 2)], 2: [(0, 1, 1, 2), (2, 1, 0, 0)], 3: [(0, 1, 1, 2)],
                    4: [(0, 1, 1, 2), (1, 4, 1, 0)], 5: [], 6: [(0, 1, 1, 2)]}
+
+
+@pytest.mark.parametrize("tau", [1, None])
+def test_classes_count_every_link_of_a_large_group(spark, monkeypatch, tau):
+    """Lines that are all near each other: no link between different lines is left out."""
+    for name, value in (("BUSY", 2), ("SAMPLE", 1), ("FEW", 4)):
+        monkeypatch.setattr(lines, name, value)
+    base = "the committee met on tuesday and heard the report of the treasurer on the harbour"
+    rows = [(i, base[:40] + c + base[41:]) for i, c in enumerate("abcdefghijklmnopqrstuvwx")]
+    rows += [(100 + i, base[:k] + "#" + base[k + 1:]) for i, k in enumerate(range(20))] + [(200, "another line of the same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, linked = lines._plain_links(rows, tau)
+    assert lines.line_links(docs, tau, every=True)[3].count() == sum(map(len, linked.values())) // 2
+    got = {x.doc_id: x.lines[0] for x in lines.classes(docs, tau).collect()}
+    assert {i: (x.class_doc_id, x.class_line) for i, x in got.items()} == {
+        i: v[0][1:] for i, v in lines.brute_classes(rows, tau).items()}
+    for i, t in rows:
+        own = [u for j, u in rows if got[j].class_doc_id == got[i].class_doc_id]
+        assert got[i].class_links == sum(len(linked[u]) for u in own) // 2
