@@ -27,10 +27,13 @@ shares most busy keys; two lines linked to it are not compared with each other
 if one of them comes after it (the later one's fate and their class are known),
 unless all links are asked for, as ``classes`` does.
 
-Scale. Equal lines are one line to the join: its text is fetched once, and one
-narrow row per occurrence is aggregated by a 128-bit hash (the join itself knows
-a line by 64 bits). Signature rows hold two longs, a size and a flag, never
-text. They are made from the distinct lines inside the job that joins them, a
+Scale. Equal lines are one line to the join, and one narrow row per occurrence
+is aggregated by a 128-bit hash (the join itself knows a line by 64 bits). Texts
+are shuffled only where a bitmap of bounded size (``WORDS``), sent to every
+task, cannot rule it out: lines that occur again, lines of candidate pairs,
+documents with a dropped line; an exact join or grouping follows, so a bit that
+two keys share costs time only. Signature rows hold two longs, a size and a
+flag, never text. They are made from the distinct lines inside the job that joins them, a
 part of the segment numbers at a time (``PARTS`` jobs), and never stored; their
 shuffle files go when a job ends. No candidate is dropped and nothing is
 collected. Narrow intermediate tables are written to the shared checkpoint
@@ -60,6 +63,7 @@ CLASSES = (16, 24, 32, 48, 64, 80, 100, 144, 208, 304, 448, 672, 1024, 2048, 409
 LEVELS = {1: 3, 2: 2}   # refinements of busy keys by edits; one beyond
 PARTS = 4           # jobs that the signatures are dealt over, by segment number
 FEW = 16            # lines of a refined key that are paired at once
+WORDS = 1 << 20     # words of 64 bits in a bitmap of keys
 SHARES = 16         # tasks that a larger key's lines are dealt over where all its links are asked for
 _BLANK = " \t\u000b\f\r"
 
@@ -96,6 +100,19 @@ def _letters(line: Column) -> Column:
     return F.array(*[(size - F.char_length(F.translate(line, c, ""))).cast("int") for c in "etaoinsrhldu "])
 
 
+def _bitmap(keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """(word, bits) of the low bits of 64-bit keys: ``WORDS`` rows at most, whatever the number of keys."""
+    return written(keys.select(key.bitwiseAND(64 * WORDS - 1).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+                   .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")), name)
+
+
+def _maybe(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: false only where the key is none of the bitmap's."""
+    told = rows.withColumn("at", key.bitwiseAND(64 * WORDS - 1)).withColumn("word", F.shiftright("at", 6))
+    return told.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.coalesce(F.expr(
+        "shiftright(bits, cast(at % 64 as int)) & 1 = 1"), F.lit(False))).drop("at", "word", "bits")
+
+
 def _bands(tau: int | None) -> tuple:
     return BANDS if tau is None else ((MIN_CHARS, tau),)
 
@@ -219,7 +236,9 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple, every: bool = Fals
         found = met if found is None else found.union(met)
     many = written(_signatures(lines, bands).join(busy, "key", "left_semi"), "many")
     needed = found.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
-    known = written(lines.join(needed, "id", "left_semi").withColumn("letters", _letters(F.col("line"))), "known")
+    needed = written(needed, "needed")
+    likely = _maybe(lines, F.col("id"), _bitmap(needed, F.col("id"), "bits")).where("hit").drop("hit")
+    known = written(likely.join(needed, "id", "left_semi").withColumn("letters", _letters(F.col("line"))), "known")
     texts = known.select("id", "line")
     refined = written(_refined(many.where("not probe").join(texts, "id"), bands, False).union(
         _refined(many.select("key", "id", "size").distinct().join(texts, "id"), bands, True)).distinct(), "refined")
@@ -248,42 +267,48 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple, every: bool = Fals
 
 
 def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text", every: bool = False):
-    """The tables behind the dedup: keyed documents, occurrences, first occurrences, links.
+    """The tables behind the dedup: keyed documents, occurrences, first occurrences, links, a bitmap of lines that occur again.
 
     ``every`` asks for all links between different lines: their number grows with
     the square of a group of lines that are all near each other. Which lines go is
     told by fewer, and so is which lines belong together.
     """
     keyed = _keyed(docs, id_col, text_col)
-    occ = (keyed.select("k1", "k2", F.posexplode(_trimmed(F.col("t"))).alias("pos", "line")).where("line <> ''")
-           .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "k1", "k2", "pos"))
+    # sizes travel with the lines: counting characters anew for every segment would cost most of the time
+    told = written(keyed.select("k1", "k2", F.posexplode(_trimmed(F.col("t"))).alias("pos", "line")).where("line <> ''").select(
+        F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "k1", "k2", "pos", "line",
+        F.char_length("line").cast("int").alias("size")), "told")
+    occ = told.select("id", "id2", "k1", "k2", "pos")
     firsts = written(occ.groupBy("id", "id2").agg(F.min(F.struct("k1", "k2", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
                      .select("id", "id2", "f.*", "n"), "firsts")
-    # sizes travel with the lines: counting characters anew for every segment would cost most of the time
-    lines = keyed.select(F.explode(F.transform(F.array_distinct(_trimmed(F.col("t"))), lambda x: F.struct(
-        x.alias("line"), F.char_length(x).cast("int").alias("size")))).alias("x")).where(F.col("x.size") >= MIN_CHARS).select(
-        F.xxhash64("x.line").alias("id"), "x.line", "x.size")
-    lines = written(lines.dropDuplicates(["id"]), "lines")
-    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau), every), "links")
+    again = _bitmap(firsts.where("n > 1"), F.col("id"), "again")
+    lines = _maybe(told.where(F.col("size") >= MIN_CHARS).select("id", "line", "size"), F.col("id"), again)
+    twice = written(lines.where("hit").drop("hit").dropDuplicates(["id"]), "twice")
+    lines = lines.where("not hit").select("id", "line", "size").union(twice.select("id", "line", "size"))
+    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau), every), "links"), again
 
 
 def dedup_lines(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """t, cell (all columns) and marks: per dropped line its number and why it goes."""
-    keyed, occ, firsts, links = line_links(docs, tau, id_col, text_col)
+    keyed, occ, firsts, links, twice = line_links(docs, tau, id_col, text_col)
     place = firsts.select("id", "k1", "k2", "pos")
     both = links.union(links.select("b", "a"))
     near = (both.join(place.toDF("a", "k1", "k2", "pos"), "a").join(place.toDF("b", "j1", "j2", "jpos"), "b")
             .groupBy("k1", "k2", "pos")
             .agg(F.max(F.struct(F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("jpos").alias("pos"))
                        < F.struct("k1", "k2", "pos")).alias("near")).where("near"))
-    again = (occ.join(firsts.where("n > 1").select("id", "id2", F.struct("k1", "k2", "pos").alias("f")), ["id", "id2"])
+    again = (_maybe(occ, F.col("id"), twice).where("hit")
+             .join(firsts.where("n > 1").select("id", "id2", F.struct("k1", "k2", "pos").alias("f")), ["id", "id2"])
              .where(F.struct("k1", "k2", "pos") != F.col("f")).select("k1", "k2", "pos"))
     marks = (near.select("k1", "k2", F.struct("pos", F.lit(False).alias("exact"), "near").alias("m"))
              .union(again.distinct().select("k1", "k2", F.struct("pos", F.lit(True).alias("exact"), F.lit(False).alias("near")).alias("m")))
              .groupBy("k1", "k2").agg(F.collect_list("m").alias("marks")))
     marks = written(marks, "marks")
-    return keyed.join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast(
-        "array<struct<pos:int,exact:boolean,near:boolean>>")))
+    key, none = F.xxhash64("k1", "k2"), F.array().cast("array<struct<pos:int,exact:boolean,near:boolean>>")
+    rows = _maybe(keyed.select("k1", "k2", "cell"), key, _bitmap(marks, key, "bits"))
+    hit = rows.where("hit").join(marks, ["k1", "k2"], "left").select("cell", F.coalesce("marks", none).alias("marks"))
+    rows = hit.union(rows.where("not hit").select("cell", none.alias("marks")))
+    return rows.select(F.col("cell").getField(text_col).alias("t"), "cell", "marks")
 
 
 def _kept_text(text: Column) -> Column:
@@ -315,7 +340,7 @@ def classes(docs: DataFrame, tau: int | None = TAU) -> DataFrame:
     the same lines; an empty table gives an empty table; of the other columns,
     whatever their names, none is returned.
     """
-    keyed, occ, firsts, links = line_links(docs, tau, every=True)
+    keyed, occ, firsts, links, _ = line_links(docs, tau, every=True)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = merged(ends.select("id", F.col("id").alias("comp")), links)
     first = firsts.join(nodes, "id").groupBy("comp").agg(F.min(F.struct("k1", "k2", "pos")).alias("c"))

@@ -151,3 +151,35 @@ def test_classes_count_every_link_of_a_large_group(spark, monkeypatch, tau):
     for i, t in rows:
         own = [u for j, u in rows if got[j].class_doc_id == got[i].class_doc_id]
         assert got[i].class_links == sum(len(linked[u]) for u in own) // 2
+
+
+def test_only_texts_in_question_are_moved(spark, monkeypatch):
+    """Lines that come once are neither made distinct nor, without a candidate, looked up again."""
+    tables, plain = {}, lines.written
+
+    def noted(df, name):
+        tables[name] = plain(df, name)
+        return tables[name]
+    monkeypatch.setattr(lines, "written", noted)
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abcdefghij ") for _ in range(50)) + "z") for i in range(200)]
+    rows += [(300, rows[0][1]), (301, rows[1][1][:-1] + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_exact, x.n_near) for x in lines.report(docs).collect()}
+    assert got == {i: (int(i == 300), int(i == 301)) for i, _ in rows}
+    assert tables["twice"].count() == 1 and tables["known"].count() == 2
+    hit = lines._maybe(docs, F.xxhash64("doc_id"), lines._bitmap(docs.where("doc_id > 250"), F.xxhash64("doc_id"), "bits"))
+    assert hit.where("hit").count() < 10 and {300, 301} <= {x.doc_id for x in hit.where("hit").collect()}
+
+
+def test_full_bitmaps_change_no_result(spark, monkeypatch):
+    """Where every key shares its bit with others, the exact joins behind the bitmaps decide."""
+    monkeypatch.setattr(lines, "WORDS", 1)
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdef ") for _ in range(r.randint(12, 40))) for _ in range(12)]
+    rows = [(i, "\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3]), "abc") for _ in range(r.randint(0, 6))))
+            for i in range(120)]
+    got = {x.doc_id: x for x in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (n, exact, near, kept) in lines.brute_force(rows, 1).items():
+        assert (got[i].n_lines, got[i].n_exact, got[i].n_near) == (n, exact, near)
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
