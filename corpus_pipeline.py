@@ -1,7 +1,8 @@
 """The training-corpus pipeline: quality, line dedup, near-dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor
-kept. ``run`` writes each stage's result as Parquet below the shared checkpoint
+kept; those that run Python hand it a few hundred rows at a time, which also
+holds for the session afterwards (``run`` puts the setting back). ``run`` writes each stage's result as Parquet below the shared checkpoint
 folder and reads it again as the next one's input, so a lost executor costs
 the stage at hand only.
 
@@ -15,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from moderata.llm import lines, minhash, mixing, pieces, quality
-from moderata.llm.common import table, written
+from moderata.llm.common import BATCH, small_batches, table, written
 
 BUDGET_PERCENT = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of these documents, accepts."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,6 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: runs of five words, similarity 0.8."""
+    small_batches(spark)
     return minhash.keep_first(docs, minhash.PIPELINE_WORDS)
 
 
@@ -42,6 +45,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether the ids decode to the text again."""
+    small_batches(spark)
     return pieces.round_trip(docs)
 
 
@@ -57,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    name, stage = STAGES[-1]
-    return written(stage(spark, docs, sf_dir), name)
+    before = spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCH, before)
+    return docs

@@ -12,6 +12,7 @@ from ..sources.tables import table  # noqa: F401  (re-exported for the operators
 WHITE = b" \t\n\x0b\x0c\r"
 PIECE = 1 << 18   # bytes of one text handled at a time
 SLAB = 1 << 19    # bytes of several texts handled in one numpy pass
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> str:
+    """Python workers get ``rows`` rows at a time at most, from now on in this session; returns the setting before.
+
+    A document can be long: Spark's 10,000 of them are tens of MB in each worker, several times over.
+    """
+    before = spark.conf.get(BATCH)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH, rows)
+    return before
+
+
 def id_bucket(col, n: int):
     """crc32 of the id's decimal text modulo n (a null id counts as empty text)."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -39,7 +39,7 @@ ALPHA = 0.6
 SEED = 20
 ZIPF_SHIFT = 2.7
 BYTE_LOG_WEIGHT = -20.0
-UNIT_SLAB = 1 << 20
+UNIT_SLAB = 1 << 18   # bytes of text whose lattice is held at a time: some 150 bytes of memory for each
 
 
 class Vocabulary:
@@ -215,7 +215,7 @@ def lattice(vocab: Vocabulary, raw: bytes, starts: np.ndarray):
 class Arena:
     """The lattices of the first distinct units that a task meets, up to ``limit`` bytes of them."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 1 << 20):
+    def __init__(self, vocab: Vocabulary, limit: int = 1 << 19):
         self.vocab, self.limit = vocab, limit
         self.pool = b""
         self.codes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)

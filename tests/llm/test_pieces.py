@@ -65,3 +65,21 @@ def test_odd_rows_and_columns(odd_docs, no_docs):
     back = pieces.encoded(odd_docs, vocab).select("text", pieces.decoder(vocab)("ids").alias("again")).collect()
     assert all(x.text == x.again for x in back)
     assert pieces.round_trip(no_docs).count() == 0
+
+
+def test_memory_of_a_long_text_is_bounded():
+    """The lattice of a part of the text is held at a time, whatever the length of the text."""
+    import random
+    import tracemalloc
+
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(160_000))
+    arena = pieces.Arena(pieces.load())
+    tracemalloc.start()
+    try:
+        ids = pieces.encode_texts(arena, [7], [text])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pieces.decode_ids(arena.vocab, ids) == text and len(text) > 1_000_000
+    assert peak < 150e6, peak

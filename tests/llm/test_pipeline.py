@@ -38,3 +38,23 @@ def test_run_and_registration(spark):
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
     out = E.queries()["pipeline"](spark, SF001)
     assert out.columns == ["doc_id", "n_tokens", "ids", "lossless"] and out.count() > 50
+
+
+def test_python_stages_take_few_rows_at_a_time(spark):
+    """A worker holds a few hundred documents; the session's setting comes back after a run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    try:
+        for name in ("quality_classifier", "minhash_near_dedup", "sentencepiece_encoding"):
+            spark.conf.set(key, 10_000)
+            dict(C.STAGES)[name](spark, docs, SF001)
+            assert int(spark.conf.get(key)) <= 500, name
+        spark.conf.set(key, 100)
+        dict(C.STAGES)["sentencepiece_encoding"](spark, docs, SF001)
+        assert spark.conf.get(key) == "100"
+        spark.conf.set(key, 7_000)
+        C.run(spark, SF001)
+        assert spark.conf.get(key) == "7000"
+    finally:
+        spark.conf.set(key, before)
