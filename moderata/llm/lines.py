@@ -18,14 +18,17 @@ max(-i, i - tau) <= move <= i. Some segment i is whole and has exactly i edits
 before it, hence moves at most i, and at most tau - i after it. Candidates are
 verified by a banded edit distance.
 
-Keys that many different lines share are found on a sample of the lines (the
-sample only chooses the way, not the result) and are refined instead of paired:
-the segment is cut out and the rest, which may hold tau edits as well, is
-partitioned again, so that lines must agree on more of their text to meet.
-Refined keys of more than ``FEW`` lines are first compared with the line that
-shares most busy keys; two lines linked to it are not compared with each other
-if one of them comes after it (the later one's fate and their class are known),
-unless all links are asked for, as ``classes`` does.
+The dedup asks only whether an earlier line is near. Lines of keys that ``FEW``
+or more different lines share are not paired: each looks for an earlier line in
+a semi-join, which ends at the first it finds and returns lines, not pairs; two
+lines are compared under one of the keys they share. What comes out grows with
+the lines, while a line that nothing is near to is still compared with every
+earlier line of its keys that sizes and letters do not rule out.
+
+``classes`` needs all links. There, keys that many lines share are found on a
+sample of the lines (the sample only chooses the way, not the result) and are
+refined: the segment is cut out and the rest, which may hold tau edits as well,
+is partitioned again, so that lines must agree on more of their text to meet.
 
 Scale. Equal lines are one line to the join, and one narrow row per occurrence
 is aggregated by a 128-bit hash (the join itself knows a line by 64 bits). Texts
@@ -62,7 +65,9 @@ BANDS = ((16, 1), (32, 2), (64, 4), (100, 7))
 CLASSES = (16, 24, 32, 48, 64, 80, 100, 144, 208, 304, 448, 672, 1024, 2048, 4096)
 LEVELS = {1: 3, 2: 2}   # refinements of busy keys by edits; one beyond
 PARTS = 4           # jobs that the signatures are dealt over, by segment number
-FEW = 16            # lines of a refined key that are paired at once
+FEW = 16            # lines of a key that are paired at once
+CROWD = 256         # lines of a key that one task compares with the key's other lines
+MOST = 64           # tasks that a key's lines are dealt over at most
 WORDS = 1 << 20     # words of 64 bits in a bitmap of keys
 SHARES = 16         # tasks that a larger key's lines are dealt over where all its links are asked for
 _BLANK = " \t\u000b\f\r"
@@ -100,6 +105,13 @@ def _letters(line: Column) -> Column:
     return F.array(*[(size - F.char_length(F.translate(line, c, ""))).cast("int") for c in "etaoinsrhldu "])
 
 
+def _codes(letters: Column) -> Column:
+    """``letters`` in two longs, eight bits a count: two counts differ by at least as many as their bits do."""
+    ring = F.array(*[F.lit((1 << n) - 1 if n <= 8 else 255 ^ (1 << n - 8) - 1) for n in range(16)]).cast("array<long>")
+    bits = F.transform(letters, lambda n: F.element_at(ring, n % 16 + 1))
+    return F.array(*[F.aggregate(F.slice(bits, at, 8), F.lit(0).cast("long"), lambda x, y: F.shiftleft(x, 8).bitwiseOR(y)) for at in (1, 9)])
+
+
 def _bitmap(keys: DataFrame, key: Column, name: str) -> DataFrame:
     """(word, bits) of the low bits of 64-bit keys: ``WORDS`` rows at most, whatever the number of keys."""
     return written(keys.select(key.bitwiseAND(64 * WORDS - 1).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
@@ -192,27 +204,36 @@ def _refined(rows: DataFrame, bands: tuple, probe: bool) -> DataFrame:
     return found.select("key", "id", "size", F.lit(probe).alias("probe"))
 
 
-def _met(index: DataFrame, marks: DataFrame, bands: tuple, *more: str, unless: str = "false") -> DataFrame:
+def _met(index: DataFrame, marks: DataFrame, bands: tuple) -> DataFrame:
     """Pairs (a < b) of lines that meet under a key and whose sizes allow it."""
-    index = index.select("key", F.col("id").alias("i"), F.col("size").alias("si"), *[F.col(c).alias(c + "_i") for c in more])
-    other = marks.select("key", F.col("id").alias("o"), F.col("size").alias("so"), "probe", *[F.col(c).alias(c + "_o") for c in more])
-    fits = F.expr("i < o or probe and i > o") & (F.abs(F.col("si") - F.col("so")) <= _edits(F.least("si", "so"), bands)) & ~F.expr(unless)
+    index = index.select("key", F.col("id").alias("i"), F.col("size").alias("si"))
+    other = marks.select("key", F.col("id").alias("o"), F.col("size").alias("so"), "probe")
+    fits = F.expr("i < o or probe and i > o") & (F.abs(F.col("si") - F.col("so")) <= _edits(F.least("si", "so"), bands))
     return (index.hint("shuffle_hash").join(other, "key").where(fits)
             .select(F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b")).distinct())
 
 
+def _within_band(a: Column, b: Column, tau: Column, bands: tuple) -> Column:
+    """True if two strings lie within ``tau``, one of the edits of ``bands``."""
+    test = F.lit(False)
+    for t in sorted({t for _, t in bands}):
+        test = F.when(tau == t, within(a, b, t)).otherwise(test)
+    return test
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """How far two ``letters`` lie apart; an edit changes at most two counts by one."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
+
+
 def _near(pairs: DataFrame, told: DataFrame, bands: tuple) -> DataFrame:
     """The pairs (a, b) within the edits of their band; ``told``: id, line, size, letters."""
     names = ("id", "line", "size", "letters")
     left, right = (told.select(*[F.col(c).alias(side if c == "id" else c + side) for c in names]) for side in "ab")
     tau = _edits(F.least("sizea", "sizeb"), bands)
-    apart = F.aggregate(F.zip_with("lettersa", "lettersb", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    # an edit changes at most two counts by one
-    near = pairs.join(left, "a").join(right, "b").where(apart <= 2 * tau).withColumn("tau", tau)
-    test = F.lit(False)
-    for t in sorted({t for _, t in bands}):
-        test = F.when(F.col("tau") == t, within(F.col("linea"), F.col("lineb"), t)).otherwise(test)
-    return near.where(test).select("a", "b").distinct()
+    near = (pairs.join(left, "a").join(right, "b").where(_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * tau)
+            .withColumn("tau", tau))
+    return near.where(_within_band(F.col("linea"), F.col("lineb"), F.col("tau"), bands)).select("a", "b").distinct()
 
 
 def _dealt(index: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -225,10 +246,10 @@ def _dealt(index: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
                 key(F.col("share")), "id", "size", "probe"))
 
 
-def _links(lines: DataFrame, firsts: DataFrame, bands: tuple, every: bool = False) -> DataFrame:
-    """All links (a, b), with ``every``; else as many as tell for each line whether an earlier one is near, and its class."""
-    sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    busy = written(_index(sample, bands).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BUSY).select("key"), "busy")
+def _candidates(lines: DataFrame, bands: tuple, sample: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs that meet under calm keys, (key, id, size, probe) of busy keys, and texts and letters of all their lines."""
+    some = lines.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0)
+    busy = written(_index(some, bands).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("key"), "busy")
     found = None
     for part in range(min(PARTS, max(t for _, t in bands) + 1)):
         calm = [marks.join(busy, "key", "left_anti") for marks in (_index(lines, bands, part), _signatures(lines, bands, part))]
@@ -239,39 +260,59 @@ def _links(lines: DataFrame, firsts: DataFrame, bands: tuple, every: bool = Fals
     needed = written(needed, "needed")
     likely = _maybe(lines, F.col("id"), _bitmap(needed, F.col("id"), "bits")).where("hit").drop("hit")
     known = written(likely.join(needed, "id", "left_semi").withColumn("letters", _letters(F.col("line"))), "known")
+    return found, many, known
+
+
+def _links(lines: DataFrame, bands: tuple) -> DataFrame:
+    """All links (a, b)."""
+    found, many, known = _candidates(lines, bands, SAMPLE, BUSY)
     texts = known.select("id", "line")
     refined = written(_refined(many.where("not probe").join(texts, "id"), bands, False).union(
         _refined(many.select("key", "id", "size").distinct().join(texts, "id"), bands, True)).distinct(), "refined")
     large = refined.groupBy("key").agg(F.countDistinct("id").alias("c")).where(F.col("c") > FEW).select("key")
     small = refined.join(large, "key", "left_anti")
-    found = found.union(_met(small.where("not probe"), small, bands))
-    if every:
-        big = written(refined.join(large, "key", "left_semi"), "hot")
-        return _near(written(found.union(_met(*_dealt(big.where("not probe"), big), bands)).distinct(), "pairs"), known, bands)
-    shares = many.groupBy("id").agg(F.countDistinct("key").alias("shares"))
+    big = written(refined.join(large, "key", "left_semi"), "hot")
+    found = found.union(_met(small.where("not probe"), small, bands)).union(_met(*_dealt(big.where("not probe"), big), bands))
+    return _near(written(found.distinct(), "pairs"), known, bands)
+
+
+def _later(lines: DataFrame, firsts: DataFrame, bands: tuple) -> DataFrame:
+    """The ids of the lines that an earlier line is near to.
+
+    Lines of busy keys look for one such line in a semi-join, which makes no
+    pairs; two lines are compared once, under the shared key that comes first
+    in an order of the later line's own, which spreads a group over its keys.
+    """
+    found, many, known = _candidates(lines, bands, 1, FEW)
     place = firsts.groupBy("id").agg(F.min(F.struct("k1", "k2", "pos")).alias("place"))
-    hot = written(refined.join(large, "key", "left_semi").join(shares, "id").join(place, "id"), "hot")
-    centre = hot.groupBy("key").agg(F.max(F.struct("shares", "id", "place")).alias("c")).select(
-        "key", F.col("c.id").alias("centre"), F.col("c.place").alias("at"))
-    star = (hot.select("key", "id").distinct().join(centre, "key").where("id <> centre")
-            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
-    pairs = written(found.union(star).distinct(), "pairs")
-    links = written(_near(pairs, known, bands), "links")
-    both = links.union(links.select("b", "a")).toDF("centre", "id").withColumn("tied", F.lit(True))
-    rest = written(hot.join(centre, "key").join(both, ["centre", "id"], "left").select(
-        "key", "id", "size", "probe", (F.coalesce("tied", F.lit(False)) | (F.col("id") == F.col("centre"))).alias("tied"),
-        (F.col("at") < F.col("place")).alias("later")), "rest")
-    more = (_met(rest.where("not probe"), rest, bands, "tied", "later", unless="tied_i and tied_o and (later_i or later_o)")
-            .join(pairs, ["a", "b"], "left_anti"))
-    return links.union(_near(written(more, "pairs"), known, bands))
+    links = written(_near(written(found.distinct(), "pairs"), known, bands), "links")
+    ends = links.join(place.toDF("a", "pa"), "a").join(place.toDF("b", "pb"), "b")
+    told = written(ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later")
+    rows = many.select("key", "id").distinct()
+    keys = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    shares = rows.groupBy("key").agg(F.least(F.lit(MOST), F.ceil(F.count(F.lit(1)) / CROWD)).cast("int").alias("shares"))
+    full = (rows.join(shares, "key").join(keys, "id").join(known, "id").join(place, "id")
+            .withColumn("codes", _codes(F.col("letters"))).withColumn("x", F.col("codes")[0]).withColumn("y", F.col("codes")[1]))
+    names = ("size", "line", "x", "y", "place")
+    late = (full.join(told, "id", "left_anti").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+            .select("key", "share", "id", *names, F.filter("keys", lambda k: F.xxhash64(k, "id") < F.xxhash64("key", "id")).alias("before")))
+    early = full.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(
+        "key", "share", *[F.col(c).alias(c + "_e") for c in names], "keys")
+    tau = _edits(F.least("size", "size_e"), bands)
+    near = F.when((F.col("place_e") < F.col("place")) & (F.abs(F.col("size") - F.col("size_e")) <= tau)
+                  & (F.expr("bit_count(x ^ x_e) + bit_count(y ^ y_e)") <= 2 * tau) & ~F.arrays_overlap("before", "keys"),
+                  _within_band(F.col("line"), F.col("line_e"), tau, bands)).otherwise(False)
+    late, early = late.alias("l"), early.hint("merge").alias("e")
+    more = late.join(early, (F.col("l.key") == F.col("e.key")) & (F.col("l.share") == F.col("e.share")) & near, "left_semi")
+    return told.union(more.select("id")).distinct()
 
 
 def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text", every: bool = False):
     """The tables behind the dedup: keyed documents, occurrences, first occurrences, links, a bitmap of lines that occur again.
 
     ``every`` asks for all links between different lines: their number grows with
-    the square of a group of lines that are all near each other. Which lines go is
-    told by fewer, and so is which lines belong together.
+    the square of a group of lines that are all near each other. Without it the
+    links are not made: the table holds the ids of lines near an earlier one.
     """
     keyed = _keyed(docs, id_col, text_col)
     # sizes travel with the lines: counting characters anew for every segment would cost most of the time
@@ -285,18 +326,14 @@ def line_links(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", t
     lines = _maybe(told.where(F.col("size") >= MIN_CHARS).select("id", "line", "size"), F.col("id"), again)
     twice = written(lines.where("hit").drop("hit").dropDuplicates(["id"]), "twice")
     lines = lines.where("not hit").select("id", "line", "size").union(twice.select("id", "line", "size"))
-    return keyed, occ, firsts, written(_links(lines, firsts, _bands(tau), every), "links"), again
+    return keyed, occ, firsts, written(
+        _links(lines, _bands(tau)) if every else _later(lines, firsts, _bands(tau)), "links"), again
 
 
 def dedup_lines(docs: DataFrame, tau: int | None = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """t, cell (all columns) and marks: per dropped line its number and why it goes."""
-    keyed, occ, firsts, links, twice = line_links(docs, tau, id_col, text_col)
-    place = firsts.select("id", "k1", "k2", "pos")
-    both = links.union(links.select("b", "a"))
-    near = (both.join(place.toDF("a", "k1", "k2", "pos"), "a").join(place.toDF("b", "j1", "j2", "jpos"), "b")
-            .groupBy("k1", "k2", "pos")
-            .agg(F.max(F.struct(F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("jpos").alias("pos"))
-                       < F.struct("k1", "k2", "pos")).alias("near")).where("near"))
+    keyed, occ, firsts, later, twice = line_links(docs, tau, id_col, text_col)
+    near = firsts.join(later, "id").select("k1", "k2", "pos", F.lit(True).alias("near"))
     again = (_maybe(occ, F.col("id"), twice).where("hit")
              .join(firsts.where("n > 1").select("id", "id2", F.struct("k1", "k2", "pos").alias("f")), ["id", "id2"])
              .where(F.struct("k1", "k2", "pos") != F.col("f")).select("k1", "k2", "pos"))

@@ -183,3 +183,42 @@ def test_full_bitmaps_change_no_result(spark, monkeypatch):
     for i, (n, exact, near, kept) in lines.brute_force(rows, 1).items():
         assert (got[i].n_lines, got[i].n_exact, got[i].n_near) == (n, exact, near)
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_versions_of_one_line_far_apart_are_not_paired(spark, monkeypatch):
+    """Lines that share most of their text, few of them near: no pairs are made of them, and the right ones go."""
+    tables, plain = [], lines.written
+
+    def noted(df, name):
+        out = plain(df, name)
+        tables.append((name, out))
+        return out
+    monkeypatch.setattr(lines, "written", noted)
+    monkeypatch.setattr(lines, "CROWD", 10)
+    r = random.Random(4)
+    words = [["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(24)]]
+    for i in range(60):
+        told = list(words[0] if i % 6 else r.choice(words))
+        for _ in range(3 if i % 6 else 1):
+            told[r.randrange(24)] = "".join(r.choice("klmnopqrst") for _ in range(5))
+        words.append(told)
+    rows = list(enumerate(" ".join(w) for w in words))
+    want = lines.brute_force(rows)
+    got = {x.doc_id for x in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, (_, _, near, _) in want.items() if not near} and 4 < len(got) < 61
+    assert sum(t.count() for name, t in tables if name in ("pairs", "links")) < 12 * len(rows)
+
+
+def test_codes_rule_out_only_what_counts_do(spark):
+    """Bits of the codes differ by no more than the counts, and for near lines by no more than two an edit."""
+    r = random.Random(6)
+    pairs = []
+    for _ in range(200):
+        a = "".join(r.choice("etaoinsrhldu xé") for _ in range(r.randint(10, 400)))
+        n = r.randint(0, 7)
+        pairs.append((a, edited(r, a, n, "etu z"), n))
+    df = spark.createDataFrame(pairs, "a string, b string, n int").select(
+        "n", *[lines._letters(F.col(c)).alias("l" + c) for c in "ab"]).select(
+        "n", lines._apart(F.col("la"), F.col("lb")).alias("apart"), lines._codes(F.col("la")).alias("x"), lines._codes(F.col("lb")).alias("y"))
+    rows = df.selectExpr("n", "apart", "bit_count(x[0] ^ y[0]) + bit_count(x[1] ^ y[1]) AS bits").collect()
+    assert all(x.bits <= x.apart and x.bits <= 2 * x.n for x in rows) and any(x.bits == x.apart > 4 for x in rows)
